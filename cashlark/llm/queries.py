@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, packing, quality, secrets
+from . import bpe, licenses, lines, packing, quality, secrets
 from .common import table
 
 WORDS = "word_bpe_49k.json"
 
 
+def op1_suffix_array_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each document without later copies of runs of lines."""
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -33,6 +38,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
+        op1_suffix_array_lines,
         op5_forced_boundary_bpe,
         op6_rare_token_licenses,
         op7_rule_ensemble_quality,
