@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, packing, quality, secrets
+from . import bpe, capfilters, licenses, lines, neardup, neighbours, packing, quality, secrets
 from .common import table
 
 WORDS = "word_bpe_49k.json"
@@ -16,6 +17,14 @@ def op1_suffix_array_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -28,6 +37,10 @@ def op7_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -39,9 +52,12 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_suffix_array_lines,
+        op2_adaptive_dimension_scan,
+        op3_spherical_cap_filters,
         op5_forced_boundary_bpe,
         op6_rare_token_licenses,
         op7_rule_ensemble_quality,
+        op8_order_minhash,
         op9_harmonic_packing,
         op10_ownership_secrets,
     )
