@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capfilters, licenses, lines, neardup, neighbours, packing, quality, secrets
+from . import archives, bpe, capfilters, licenses, lines, neardup, neighbours, packing, quality, secrets
 from .common import table
 
 WORDS = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -54,6 +58,7 @@ def queries() -> dict:
         op1_suffix_array_lines,
         op2_adaptive_dimension_scan,
         op3_spherical_cap_filters,
+        op4_legacy_archives,
         op5_forced_boundary_bpe,
         op6_rare_token_licenses,
         op7_rule_ensemble_quality,
