@@ -246,7 +246,7 @@ _NOTE = r"(?i)(pix|boleto|ted|doc|transfer|visa|master|elo|amex|card|paypal)"
 
 def distinct_names(names: Column) -> Column:
     """Names in order without repeats that differ only in case or accents, store credit first, joined by bars."""
-    kept = F.filter(F.transform(names, F.trim), lambda n: n != "")
+    kept = F.filter(F.transform(names, lambda x: F.trim(x)), lambda n: n != "")
     fresh = F.filter(kept, lambda n, i: F.array_position(F.transform(kept, folded), folded(n)) == i + 1)
     credit = F.filter(fresh, lambda n: gateway_name(n) == STORE_CREDIT_GATEWAY)
     first = F.slice(credit, 1, 1)

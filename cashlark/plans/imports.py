@@ -14,7 +14,7 @@ _BREAK = "\x01"
 def cells(line: Column) -> Column:
     """Cells between commas and semicolons outside quotes; quotes only switch and are dropped."""
     parts = F.transform(F.split(line, '"'), lambda s, i: F.when(i % 2 == 0, F.regexp_replace(s, "[,;]", _BREAK)).otherwise(s))
-    return F.transform(F.split(F.array_join(parts, ""), _BREAK), F.trim)
+    return F.transform(F.split(F.array_join(parts, ""), _BREAK), lambda x: F.trim(x))
 
 
 def _date(text: Column) -> Column:
