@@ -161,5 +161,11 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     kth = nearest.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("distance"))).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
     others = asked.join(kth, "id", "left").select("id", "vector", "turned", F.explode(F.slice("lists", 2, max(1, probes))).alias("list"), F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
     found = nearest.union(_probe(index, others, k))
+    if probes < len(centres):
+        enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+        short = written(asked.join(enough, "id", "left_anti").select("id", "vector"), "short-queries")
+        if not short.isEmpty():  # their probed lists hold fewer than k vectors
+            rest = short.mapInArrow(assigned(True, len(centres)), schema).select("id", "vector", "turned", F.explode(F.slice("lists", probes + 1, len(centres))).alias("list"), F.lit(float("inf")).alias("bound"))
+            found = found.union(_probe(index, rest, k))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
