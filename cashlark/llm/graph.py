@@ -25,6 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node points to one least node that points nowhere."""
+    several = edges.groupBy("u").count().where("count > 1").select("u")
+    onward = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return several.union(onward).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of an edge; the component is its least node.
 
@@ -36,11 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     plain = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = written(plain, "edges")
-    mark = None
-    while True:
+    while not _is_star_forest(now):
         now = written(_small_star(_large_star(now)), "stars")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == mark:
-            break
-        mark = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_batches, digest128, text_of, written
+from .common import arrow_batches, digest128, written
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
-SLOTS, PICKS, AGREE = 16, 3, 3
+SLOTS, PICKS, AGREE = 20, 3, 4
 #: Members of a bucket that one round compares with all others.
-LEADERS = 24
+LEADERS = 128
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -155,64 +155,84 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """Members of every bucket of at least two texts: bucket (slot, value), node, size, sketch."""
+    """Members of every bucket of at least two texts: bucket (slot, value), node, size, and the sketch in 32 bits a slot."""
     each = texts.select("node", F.posexplode("sketch").alias("slot", "value"))
     shared = each.groupBy("slot", "value").count().where("count > 1").select("slot", "value")
     members = each.join(shared, ["slot", "value"])
-    return written(members.join(texts.select("node", "size", "sketch"), "node"), "buckets")
+    short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
+    return members.join(texts.select("node", "size", short.alias("sketch")), "node")
+
+
+def candidate_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, t``: each wanted text (node, d1, d2, first) once."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("first"), F.col(text).alias("t"), *digest128(F.col(text))).alias("r")
+    own = wanted.alias("w").join(rows, (F.col("w.d1") == F.col("r.d1")) & (F.col("w.d2") == F.col("r.d2")) & F.col("w.first").eqNullSafe(F.col("r.first")))
+    return written(own.select("node", "t").dropDuplicates(["node"]), "candidate-texts")
 
 
 def _verify(frames):
-    memory: dict = {}
+    last, grams = None, None
     for frame in frames:
         kept = []
         for a, b, text_a, text_b in zip(frame["a"], frame["b"], frame["text_a"], frame["text_b"]):
-            if a not in memory:
-                memory = {a: kmers(text_a)}  # pairs come sorted by their first text
-            if similarity(memory[a], kmers(text_b)):
+            if a != last:  # pairs come sorted by their first text
+                last, grams = a, kmers(text_a)
+            if similarity(grams, kmers(text_b)):
                 kept.append((a, b))
         yield pd.DataFrame(kept, columns=["a", "b"])
 
 
+def open_members(labelled: DataFrame) -> DataFrame:
+    """Members of the buckets in which two components still have members that never led; all other buckets are done."""
+    waiting = F.when(~F.col("led"), F.col("component"))
+    still = labelled.groupBy("slot", "value").agg(F.min(waiting).alias("c1"), F.max(waiting).alias("c2")).where("c1 != c2").select("slot", "value")
+    return labelled.join(still, ["slot", "value"])
+
+
+def leaders_of(labelled: DataFrame, first: bool) -> DataFrame:
+    """``slot, value, node``: members to compare with all others of their bucket; first one each, then those outside its largest component."""
+    bucket = ["slot", "value"]
+    if first:
+        return labelled.groupBy(*bucket).agg(F.min("node").alias("node"))
+    rest = labelled.where(~F.col("led"))
+    parts = rest.groupBy(*bucket, "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy(*bucket).agg(F.max(F.struct("n", "component")).alias("main"))
+    minor = rest.join(main, bucket).where(F.col("component") != F.col("main.component"))
+    nth = F.row_number().over(W.partitionBy(*bucket).orderBy("node"))
+    return minor.withColumn("nth", nth).where(F.col("nth") <= LEADERS).select(*bucket, "node")
+
+
+def candidate_pairs(labelled: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``a, b``: each leader with the members outside its component that may be similar, in the first slot that both share."""
+    bucket = ["slot", "value"]
+    lead = leaders.join(labelled, [*bucket, "node"]).select(*bucket, F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"), F.col("component").alias("component_a"))
+    agree = F.zip_with("sketch_a", "sketch", lambda x, y: x == y)
+    sizes = F.least("size", "size_a") >= SIMILAR * F.greatest("size", "size_a") - 1e-6
+    pairs = labelled.join(lead, bucket).where((F.col("component") != F.col("component_a")) & sizes)
+    pairs = pairs.where((F.array_position(agree, True) == F.col("slot") + 1) & (F.size(F.filter(agree, lambda x: x)) >= AGREE))
+    return pairs.select("a", F.col("node").alias("b"))
+
+
 def links(docs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """``a, b``: links between different texts, enough to join all that belong together."""
-    spark = docs.sparkSession
-    members = buckets(texts)
-    wanted = texts.join(members.select("node").distinct(), "node").select("node", "d1", "d2", "first")
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("first"), F.col(text).alias("t"), *digest128(F.col(text))).alias("r")
-    kept = wanted.alias("w").join(rows, (F.col("w.d1") == F.col("r.d1")) & (F.col("w.d2") == F.col("r.d2")) & F.col("w.first").eqNullSafe(F.col("r.first")))
-    kept = written(kept.select("node", "t").dropDuplicates(["node"]), "candidate-texts")
-    arrow_batches(spark, 200)
-    labelled = members.withColumn("component", F.col("node"))
-    done, found, first = None, None, True
-    while True:
-        labelled = written(labelled, "members")
-        # Members that led a round are compared with all others of the bucket.
-        each = labelled if done is None else labelled.join(done, ["slot", "value", "node"], "left_anti")
-        parts = each.groupBy("slot", "value", "component").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-        spread = parts.groupBy("slot", "value").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("component"))).alias("main"), F.min("least").alias("least"))
-        several = labelled.groupBy("slot", "value").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("slot", "value")
-        open_buckets = spread.join(several, ["slot", "value"])
-        if first:
-            leaders = open_buckets.select("slot", "value", F.col("least").alias("node"))
-        else:
-            minor = each.join(open_buckets, ["slot", "value"]).where(F.col("component") != F.col("main.component"))
-            leaders = minor.withColumn("nth", F.row_number().over(W.partitionBy("slot", "value").orderBy("node"))).where(F.col("nth") <= LEADERS).select("slot", "value", "node")
-        leaders = written(leaders, "leaders")
-        if leaders.isEmpty():
-            return found if found is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        lead = leaders.join(labelled, ["slot", "value", "node"]).select("slot", "value", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"), F.col("component").alias("component_a"))
-        agree = F.size(F.filter(F.arrays_zip(F.col("sketch_a").alias("x"), F.col("sketch").alias("y")), lambda s: s["x"] == s["y"]))
-        close = (F.least("size", "size_a") >= SIMILAR * F.greatest("size", "size_a") - 1e-6) & (agree >= F.least(F.lit(AGREE), F.lit(SLOTS)))
-        pairs = labelled.join(lead, ["slot", "value"]).where((F.col("component") != F.col("component_a")) & close)
-        pairs = written(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
-        with_texts = pairs.join(kept.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b").join(kept.select(F.col("node").alias("a"), F.col("t").alias("text_a")), "a")
-        fresh = written(with_texts.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_verify, "a long, b long"), "links")
-        found = fresh if found is None else found.union(fresh)
-        labels = written(components(found), "labels")
-        labelled = labelled.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        done = leaders if done is None else done.union(leaders)
+    labelled = written(buckets(texts).withColumns({"component": F.col("node"), "led": F.lit(False)}), "members")
+    found = labelled.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
+    wanted = texts.join(labelled.select("node").distinct(), "node").select("node", "d1", "d2", "first")
+    whole = candidate_texts(docs, wanted, key, text)
+    first = True
+    while not labelled.isEmpty():
+        leaders = written(leaders_of(labelled, first), "leaders")
+        pairs = written(candidate_pairs(labelled, leaders), "pairs")
+        both = pairs.join(whole.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b").join(whole.select(F.col("node").alias("a"), F.col("t").alias("text_a")), "a")
+        fresh = written(both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_verify, "a long, b long"), "links")
+        found = found.union(fresh)
+        labels = components(found)
+        done = leaders.withColumn("now", F.lit(True))
+        labelled = labelled.drop("component").join(labels, "node", "left").join(done, ["slot", "value", "node"], "left")
+        labelled = labelled.withColumns({"component": F.coalesce("component", "node"), "led": F.col("led") | F.coalesce("now", F.lit(False))}).drop("now")
+        labelled = written(open_members(labelled), "members")
         first = False
+    return found
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,7 +242,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     told apart by nothing and stay or go together.
     """
     texts = nodes(docs, key, text)
-    labels = written(components(links(docs, texts, key, text)), "labels")
+    labels = components(links(docs, texts, key, text))
     of_text = texts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_class = of_text.groupBy("component").agg(F.min("first").alias("class_id"))
     known = written(of_text.join(of_class, "component").select("d1", "d2", "copies", "class_id"), "text-classes")
