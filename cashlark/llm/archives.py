@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from .common import arrow_batches, scratch, text_of, written
 
 #: Records per archive file.
 RECORDS = 400
+#: How archive files are written.
+FILES = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": RECORDS}
 SOFTWARE = "archive-converter"
 
 # Field names of the two versions' URL records, and the separators of the formats.
@@ -68,7 +71,7 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
     """Write pages as ARC files; even ids go by version 1, odd ids by version 2."""
     version = F.when(F.coalesce(F.col(key).cast("long"), F.lit(0)) % 2 == 0, 1).otherwise(2)
     records = arc_records(pages, version, key, url, html)
-    records.write.option("lineSep", ARC_BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    records.write.option("lineSep", ARC_BREAK).options(**FILES).text(path)
 
 
 def arc_entries(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -89,6 +92,7 @@ def arc_entries(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, content`` of every file under a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
@@ -115,6 +119,7 @@ _PAGE = re.compile(rb"X-Page-Id: (-?\d+)")
 
 def _arc_rows(with_payload: bool):
     def run(frames):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 rows, name = [], path.rpartition("/")[2]
@@ -123,10 +128,12 @@ def _arc_rows(with_payload: bool):
                     page = _PAGE.search(head)
                     row = {"file": name, "at": at, "page": int(page[1]) if page else None}
                     if with_payload:
-                        row |= {"url": header["URL"], "ip": header["IP-address"], "date": header["Archive-date"], "head": head.decode(), "payload": zlib.compress(payload, 1)}
+                        row |= {"url": header["URL"], "ip": header["IP-address"], "date": header["Archive-date"], "head": head.decode(), "payload": pack(payload)}
                     else:
                         row |= {"bytes": len(payload), "digest": base32_sha1(payload)}
                     rows.append(row)
+                if not rows:
+                    continue
                 out = pd.DataFrame(rows)
                 out["page"] = out["page"].astype("Int64")
                 yield out
@@ -140,7 +147,7 @@ def arc_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Every record with its header fields and its payload, deflated."""
+    """Every record with its header fields and its payload, compressed."""
     return whole_files(spark, path).mapInPandas(_arc_rows(True), "file string, at long, page long, url string, ip string, date string, head string, payload binary")
 
 
@@ -161,11 +168,11 @@ def _stamp(date: str) -> str:
 
 
 def _warc_records(frames):
+    unpack = zstandard.ZstdDecompressor().decompress
     for frame in frames:
         values = []
         for row in frame.itertuples(index=False):
-            payload, digest = zlib.decompress(row.payload), row.digest
-            digest = digest if isinstance(digest, str) else base32_sha1(payload)
+            payload, digest = unpack(row.payload), row.digest
             revisit = isinstance(row.original_file, str)
             lines = [
                 "WARC/1.1",
@@ -190,9 +197,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
     """Convert ARC files to WARC files; equal payloads of at least ``least_bytes`` are written once."""
     arrow_batches(spark, 200)
     index = written(arc_index(spark, arc_path), "arc-index")
-    later = roles(index, least_bytes).select("file", "at", "digest", F.col("original.file").alias("original_file"), F.col("original.at").cast("double").alias("original_at"), F.col("original.page").cast("double").alias("original_page"))
-    records = read_arc(spark, arc_path).join(later, ["file", "at"], "left").mapInPandas(_warc_records, "value string")
-    records.write.option("lineSep", WARC_BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(warc_path)
+    later = roles(index, least_bytes).select("file", "at", F.col("original.file").alias("original_file"), F.col("original.at").cast("double").alias("original_at"), F.col("original.page").cast("double").alias("original_page"))
+    known = index.select("file", "at", "digest").join(later, ["file", "at"], "left")
+    records = read_arc(spark, arc_path).join(known, ["file", "at"]).mapInPandas(_warc_records, "value string")
+    records.write.option("lineSep", WARC_BREAK).options(**FILES).text(warc_path)
 
 
 def warc_entries(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
