@@ -2,8 +2,8 @@
 
 A text's k-mers are its runs of five words, each labelled with how often it has
 occurred before.  For each of SLOTS random orders the PICKS smallest k-mers are
-sampled and kept in text order; texts that agree in a slot are candidates.  A
-candidate pair is verified by a banded alignment of the two k-mer sequences:
+sampled and kept in text order; texts that agree in one of the first BUCKETS
+slots and in AGREE of all are candidates.  A candidate pair is verified by a banded alignment of the two k-mer sequences:
 with L aligned of n and m k-mers its similarity is L / (n + m - L), which is
 sensitive to order, and pairs of at least 0.8 are links.  The band is as wide
 as an alignment of that similarity can stray, so verification is exact.
@@ -11,8 +11,8 @@ as an alignment of that similarity can stray, so verification is exact.
 Exact copies are one node.  Within a bucket no pair of one component is looked
 at: each round every bucket compares a few leaders from its smaller components
 with all members outside their component, until no two components of any bucket
-are left unverified.  A pair of similarity 0.8 is a candidate in at least
-AGREE of SLOTS slots with probability above 0.998.
+are left unverified.  A pair of similarity 0.8 is a candidate with a
+probability above 0.999.
 
 Texts of under five words are one k-mer.  Null texts are alone; texts without
 words are copies only of equal texts.  Rows with a null key belong to classes,
@@ -33,9 +33,9 @@ from .common import arrow_batches, digest128, written
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
-SLOTS, PICKS, AGREE = 20, 3, 4
-#: Members of a bucket that one round compares with all others.
-LEADERS = 128
+SLOTS, BUCKETS, PICKS, AGREE = 64, 16, 3, 20
+#: Members of a bucket that one round compares with all others; the last number holds for all later rounds.
+LEADERS = (1, 16, 1024)
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -77,9 +77,14 @@ def kmers(text: str) -> np.ndarray:
 
 def sketch(grams: np.ndarray) -> np.ndarray:
     """One 64-bit value per slot: the sampled k-mers in text order."""
-    values = _mixed(grams[None, :] ^ _SEEDS[:, None])
-    picks = min(PICKS, len(grams))
-    at = np.argpartition(values, picks - 1, axis=1)[:, :picks] if picks < len(grams) else np.tile(np.arange(len(grams)), (SLOTS, 1))
+    values = (grams[None, :] ^ _SEEDS[:, None]) * _MIX[0]
+    values ^= values >> np.uint64(32)
+    values *= _MIX[1]
+    picks, rows = min(PICKS, len(grams)), np.arange(SLOTS)
+    at = np.empty((SLOTS, picks), np.int64)
+    for j in range(picks):
+        at[:, j] = values.argmin(axis=1)
+        values[rows, at[:, j]] = np.iinfo(np.uint64).max
     at.sort(axis=1)
     out = np.full(SLOTS, np.uint64(picks))
     for j in range(picks):
@@ -155,12 +160,13 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """Members of every bucket of at least two texts: bucket (slot, value), node, size, and the sketch in 32 bits a slot."""
-    each = texts.select("node", F.posexplode("sketch").alias("slot", "value"))
-    shared = each.groupBy("slot", "value").count().where("count > 1").select("slot", "value")
+    """Members of every bucket of at least two texts: bucket (slot, value), node, size, the sketch in 32 bits a slot, and the members of all its buckets as weight."""
+    each = texts.select("node", F.posexplode(F.slice("sketch", 1, BUCKETS)).alias("slot", "value"))
+    shared = each.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1")
     members = each.join(shared, ["slot", "value"])
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
-    return members.join(texts.select("node", "size", short.alias("sketch")), "node")
+    return members.drop("n").join(weights, "node").join(texts.select("node", "size", short.alias("sketch")), "node")
 
 
 def candidate_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -189,17 +195,21 @@ def open_members(labelled: DataFrame) -> DataFrame:
     return labelled.join(still, ["slot", "value"])
 
 
-def leaders_of(labelled: DataFrame, first: bool) -> DataFrame:
-    """``slot, value, node``: members to compare with all others of their bucket; first one each, then those outside its largest component."""
+def leaders_of(labelled: DataFrame, turn: int) -> DataFrame:
+    """``slot, value, node``: members to compare with all others of their bucket.
+
+    First the one that shares buckets with most others, then the first by that
+    order outside the component with most members that never led.
+    """
     bucket = ["slot", "value"]
-    if first:
-        return labelled.groupBy(*bucket).agg(F.min("node").alias("node"))
+    if not turn:
+        return labelled.groupBy(*bucket).agg(F.max(F.struct("weight", "node")).getField("node").alias("node"))
     rest = labelled.where(~F.col("led"))
     parts = rest.groupBy(*bucket, "component").agg(F.count("*").alias("n"))
     main = parts.groupBy(*bucket).agg(F.max(F.struct("n", "component")).alias("main"))
     minor = rest.join(main, bucket).where(F.col("component") != F.col("main.component"))
-    nth = F.row_number().over(W.partitionBy(*bucket).orderBy("node"))
-    return minor.withColumn("nth", nth).where(F.col("nth") <= LEADERS).select(*bucket, "node")
+    nth = F.row_number().over(W.partitionBy(*bucket).orderBy(F.desc("weight"), "node"))
+    return minor.withColumn("nth", nth).where(F.col("nth") <= LEADERS[min(turn, len(LEADERS) - 1)]).select(*bucket, "node")
 
 
 def candidate_pairs(labelled: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -213,15 +223,15 @@ def candidate_pairs(labelled: DataFrame, leaders: DataFrame) -> DataFrame:
     return pairs.select("a", F.col("node").alias("b"))
 
 
-def links(docs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``a, b``: links between different texts, enough to join all that belong together."""
+def linked(docs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, component`` of every text that links with another."""
     labelled = written(buckets(texts).withColumns({"component": F.col("node"), "led": F.lit(False)}), "members")
     found = labelled.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
     wanted = texts.join(labelled.select("node").distinct(), "node").select("node", "d1", "d2", "first")
     whole = candidate_texts(docs, wanted, key, text)
-    first = True
+    labels, turn = found.select(F.col("a").alias("node"), F.col("b").alias("component")), 0
     while not labelled.isEmpty():
-        leaders = written(leaders_of(labelled, first), "leaders")
+        leaders = written(leaders_of(labelled, turn), "leaders")
         pairs = written(candidate_pairs(labelled, leaders), "pairs")
         both = pairs.join(whole.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b").join(whole.select(F.col("node").alias("a"), F.col("t").alias("text_a")), "a")
         fresh = written(both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_verify, "a long, b long"), "links")
@@ -231,8 +241,8 @@ def links(docs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
         labelled = labelled.drop("component").join(labels, "node", "left").join(done, ["slot", "value", "node"], "left")
         labelled = labelled.withColumns({"component": F.coalesce("component", "node"), "led": F.col("led") | F.coalesce("now", F.lit(False))}).drop("now")
         labelled = written(open_members(labelled), "members")
-        first = False
-    return found
+        turn += 1
+    return labels
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +252,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     told apart by nothing and stay or go together.
     """
     texts = nodes(docs, key, text)
-    labels = components(links(docs, texts, key, text))
+    labels = linked(docs, texts, key, text)
     of_text = texts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_class = of_text.groupBy("component").agg(F.min("first").alias("class_id"))
     known = written(of_text.join(of_class, "component").select("d1", "d2", "copies", "class_id"), "text-classes")
