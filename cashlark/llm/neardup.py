@@ -245,27 +245,32 @@ def linked(docs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     return labels
 
 
+def text_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``d1, d2, copies, class_id`` of every distinct text."""
+    texts = nodes(docs, key, text)
+    of_text = texts.join(linked(docs, texts, key, text), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_class = of_text.groupBy("component").agg(F.min("first").alias("class_id"))
+    return written(of_text.join(of_class, "component").select("d1", "d2", "copies", "class_id"), "text-classes")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: its key, the class of its text (smallest key), how many rows copy its text, and whether it is kept.
 
-    Of each class the row with the smallest key stays; rows that repeat it are
-    told apart by nothing and stay or go together.
+    Of each class the row with the smallest key stays; rows that repeat both
+    its key and its text are marked alike.
     """
-    texts = nodes(docs, key, text)
-    labels = linked(docs, texts, key, text)
-    of_text = texts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of_class = of_text.groupBy("component").agg(F.min("first").alias("class_id"))
-    known = written(of_text.join(of_class, "component").select("d1", "d2", "copies", "class_id"), "text-classes")
-    rows = docs.select(key, *digest128(F.col(text)), F.col(text).isNull().alias("no_text")).join(known, ["d1", "d2"], "left")
+    rows = docs.select(key, *digest128(F.col(text)), F.col(text).isNull().alias("no_text")).join(text_classes(docs, key, text), ["d1", "d2"], "left")
     own = F.when(F.col("no_text"), F.col(key)).otherwise(F.col("class_id"))
-    return rows.select(key, own.alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce(F.col("no_text") | F.col(key).eqNullSafe(F.col("class_id")), F.lit(True)).alias("kept"))
+    return rows.select(key, own.alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), (F.col("no_text") | F.col(key).eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: one of each class, and all without text.
 
-    Rows that repeat the key and the text of the one that stays are dropped too.
+    Of rows that repeat both key and text one stays.
     """
-    gone = classes(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("gone_id")).distinct()
-    rows = docs.alias("d").join(gone.alias("g"), F.col(f"d.{key}").eqNullSafe(F.col("g.gone_id")), "left_anti")
-    return rows.select("d.*").dropDuplicates([key, text])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key_id"), F.col(text).isNull().alias("no_text"), *digest128(F.col(text)))
+    rows = rows.join(text_classes(docs, key, text), ["d1", "d2"], "left")
+    rows = rows.where(F.col("no_text") | F.col("key_id").eqNullSafe(F.col("class_id")))
+    own = F.when(F.col("no_text"), F.monotonically_increasing_id())  # rows without text repeat nothing
+    return rows.withColumn("own", own).dropDuplicates(["key_id", "d1", "d2", "own"]).select("row.*")
