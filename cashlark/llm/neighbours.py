@@ -37,7 +37,7 @@ BLOCK, QUERY_BLOCK = 4096, 1024
 #: Columns of a block, and how many standard deviations a candidate must lie beyond the bound.
 COLUMNS, CONFIDENCE = 16, 1.3
 #: Share of the lists that a query probes.
-PROBED = 0.65
+PROBED = 0.75
 
 
 def list_count(n: int) -> int:
