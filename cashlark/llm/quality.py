@@ -128,8 +128,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 def kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> DataFrame:
     """The rows of ``docs`` that score at least 0.5, all columns unchanged."""
     columns = docs.columns
-    whole = docs.select(F.struct(*columns).alias("row"), F.col(key).alias("key_id"), F.col(text).alias("whole_text"))
-    stats = with_statistics(whole, ["row", "key_id"], "whole_text")
-    learnt = written(with_statistics(docs.join(labels.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi"), [key], text), "quality-statistics")
-    score = fit(learnt, labels, key, label, most_rows).score()
+    whole = docs.select(F.struct(*columns).alias("row"), F.col(key).alias(key), F.col(text).alias("whole_text"))
+    stats = written(with_statistics(whole, ["row", key], "whole_text"), "quality-statistics")
+    score = fit(stats.drop("row"), labels, key, label, most_rows).score()
     return stats.where(score >= 0.5).select("row.*")
