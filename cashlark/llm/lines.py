@@ -27,11 +27,13 @@ from .common import arrow_batches, digest128, written
 
 #: Suffixes that one task of the interval scan holds.
 CHUNK = 50_000
+#: Next ranks that are ordered in one piece, as a power of two.
+NEXT_BITS = 16
 KEY = ["key_id", "d1", "d2"]
 
 
-def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``rows`` with their place, from 1, in the order of ``by``, which must tell all rows apart.
+def numbered(rows: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
+    """``rows`` with their place, from 1, in the order of ``by``, which must tell all rows apart; and how many there are.
 
     Sorted range partitions count on from each other, so equal leading values
     need not meet in one task.
@@ -46,62 +48,74 @@ def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
         before.append((part, total))
         total += n
     base = F.broadcast(spark.createDataFrame(before, "part_id long, base_id long"))
-    return order.join(base, "part_id").withColumn(name, F.col("base_id") + F.col("at_id").bitwiseAND((1 << 33) - 1) + 1).drop("part_id", "base_id", "at_id")
+    order = order.join(base, "part_id").withColumn(name, F.col("base_id") + F.col("at_id").bitwiseAND((1 << 33) - 1) + 1)
+    return order.drop("part_id", "base_id", "at_id"), total
 
 
-def repeated_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Every line that occurs more than once: row (order of texts), i (line number), words, l1, l2 (hash), left (lines of its stretch from here on)."""
+def first_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``d1, d2, first_key``: the smallest key of each distinct text."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key_id")).alias("k"), *digest128(F.col(text)))
+    return rows.groupBy("d1", "d2").agg(F.min("k").getField("key_id").alias("first_key"))
+
+
+def repeated_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
+    """Every line that occurs in two places of different texts or twice in one: row (order of texts), i (line number), words, l1, l2 (hash), left (lines of its stretch from here on).
+
+    Later copies of a whole text are left out: what they repeat is known.
+    """
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key_id"), *digest128(F.col(text)), F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    lines = written(texts.select(*KEY, "i", F.regexp_count("line", F.lit(r"\S+")).alias("words"), *digest128(F.col("line"), "l")), "lines")
-    lines = lines if _keys_differ(docs, key) else lines.dropDuplicates([*KEY, "i"])
+    lines = texts.select(*KEY, "i", F.regexp_count("line", F.lit(r"\S+")).alias("words"), *digest128(F.col("line"), "l")).alias("a")
+    first = firsts.alias("f")
+    lines = lines.join(first, (F.col("a.d1") == F.col("f.d1")) & (F.col("a.d2") == F.col("f.d2")) & F.col("a.key_id").eqNullSafe(F.col("f.first_key")), "left_semi")
+    lines = written(lines, "lines")
     often = lines.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")
-    again = written(lines.join(often, ["l1", "l2"]), "repeated-lines")
-    rows = numbered(again.select(*KEY).distinct(), KEY, "row").alias("r")
-    again = again.alias("a").join(rows, [F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}")) for c in KEY]).select("a.*", "row")
+    again = written(lines.join(often, ["l1", "l2"]).dropDuplicates(["d1", "d2", "i"]), "repeated-lines")
+    rows, _ = numbered(again.select(*KEY).distinct(), KEY, "row")
+    again = again.join(rows.select("d1", "d2", "row"), ["d1", "d2"])
     by_row = W.partitionBy("row").orderBy("i")
     again = again.withColumn("fresh", (F.col("i") - F.coalesce(F.lag("i").over(by_row), F.lit(-2)) != 1).cast("int"))
     again = again.withColumn("stretch", F.sum("fresh").over(by_row))
     return again.withColumn("left", F.max("i").over(W.partitionBy("row", "stretch")) - F.col("i") + 1).drop("fresh", "stretch")
 
 
-def _keys_differ(docs: DataFrame, key: str) -> bool:
-    """Whether no key repeats, so that no rows need to be told apart."""
-    return docs.groupBy(key).count().where("count > 1").isEmpty()
-
-
 def first_ranks(lines: DataFrame) -> DataFrame:
     """Suffixes ranked by their first line: a rank is one more than the number of smaller suffixes."""
-    order = written(numbered(lines.select("l1", "l2", "row", "i", "words", "left"), ["l1", "l2", "row", "i"], "place"), "by-line")
+    order, _ = numbered(lines.select("l1", "l2", "row", "i", "words", "left"), ["l1", "l2", "row", "i"], "place")
     ranks = order.groupBy("l1", "l2").agg(F.min("place").alias("rank"))
     return order.join(ranks, ["l1", "l2"]).select("row", "i", "words", "left", "rank", F.array("rank").alias("levels"))
 
 
-def doubled(suffixes: DataFrame, h: int) -> DataFrame:
-    """``row, i, fresh``: new ranks by 2h lines of the suffixes that shared a rank by h lines and go on."""
+def doubled(suffixes: DataFrame, h: int) -> DataFrame | None:
+    """``row, i, fresh``: new ranks by 2h lines of the suffixes that shared a rank by h lines and go on; None if there are none.
+
+    Within its group a suffix moves up by the number of suffixes whose next h
+    lines are smaller.  These are counted from one row per distinct pair, first
+    by blocks of next ranks and then within a block, so that no group of a
+    frequent line is ordered in one piece.
+    """
     now = suffixes.select("row", "i", "rank", "left")
     open_ranks = now.groupBy("rank").agg(F.count("*").alias("n"), F.max("left").alias("most")).where((F.col("n") > 1) & (F.col("most") > h)).select("rank")
     ahead = now.select("row", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
     active = now.join(open_ranks, "rank").join(ahead, ["row", "i"], "left")
     active = written(active.select("row", "i", "rank", F.when(F.col("left") > h, F.col("next")).otherwise(F.lit(0)).alias("next")), "active")
     if active.isEmpty():
-        return active.select("row", "i", F.col("rank").alias("fresh"))
-    order = written(numbered(active, ["rank", "next", "row", "i"], "place"), "by-pair")
-    pairs = order.groupBy("rank", "next").agg(F.min("place").alias("first"))
-    groups = pairs.groupBy("rank").agg(F.min("first").alias("start"))
-    fresh = pairs.join(groups, "rank").select("rank", "next", (F.col("rank") + F.col("first") - F.col("start")).alias("fresh"))
-    return order.join(fresh, ["rank", "next"]).select("row", "i", "fresh")
+        return None
+    smaller = lambda *keys: F.coalesce(F.sum("n").over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pairs = active.groupBy("rank", "next").agg(F.count("*").alias("n")).withColumn("block", F.shiftright("next", NEXT_BITS))
+    inner = pairs.withColumn("inner", smaller("rank", "block", "next"))
+    outer = pairs.groupBy("rank", "block").agg(F.sum("n").alias("n")).withColumn("outer", smaller("rank", "block")).drop("n")
+    fresh = inner.join(outer, ["rank", "block"]).select("rank", "next", (F.col("rank") + F.col("outer") + F.col("inner")).alias("fresh"))
+    return active.join(fresh, ["rank", "next"]).select("row", "i", "fresh")
 
 
 def suffix_ranks(lines: DataFrame) -> DataFrame:
     """All suffixes: row, i, words, left, rank, and levels (their ranks by 1, 2, 4, ... lines)."""
     now, h = written(first_ranks(lines), "suffixes"), 1
-    while True:
-        changed = written(doubled(now, h), "doubled")
-        if changed.isEmpty():
-            return now
+    while (changed := doubled(now, h)) is not None:
         now = now.join(changed, ["row", "i"], "left").withColumn("rank", F.coalesce("fresh", "rank"))
         now = written(now.select("row", "i", "words", "left", "rank", F.concat("levels", F.array("rank")).alias("levels")), "suffixes")
         h *= 2
+    return now
 
 
 def _equal_level(a: str, b: str, below: Column) -> Column:
@@ -112,7 +126,7 @@ def _equal_level(a: str, b: str, below: Column) -> Column:
 
 def suffix_array(ranks: DataFrame) -> DataFrame:
     """Suffixes in order: ``sa`` from 1, and ``lcp``, the lines that each shares with the one before."""
-    order = written(numbered(ranks, ["rank", "row", "i"], "sa"), "suffix-array")
+    order, _ = numbered(ranks, ["rank", "row", "i"], "sa")
     past = order.select((F.col("sa") + 1).alias("sa"), F.col("row").alias("p_row"), F.col("i").alias("p_i"), F.col("rank").alias("p_rank"), F.col("levels").alias("b"))
     same = F.col("rank") == F.col("p_rank")
     pairs = order.join(past, "sa").withColumn("k", F.when(same, -1).otherwise(_equal_level("levels", "b", F.size("levels"))))
@@ -245,25 +259,30 @@ def _covered(least_words: int):
     return run
 
 
-def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 50) -> DataFrame:
-    """``key_id, d1, d2, gone``: the line numbers to delete of each text that repeats earlier runs."""
-    lines = written(repeated_lines(docs, key, text), "stretches")
+def later_copies(docs: DataFrame, firsts: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 50) -> DataFrame:
+    """``d1, d2, gone``: the line numbers to delete of each distinct text that repeats earlier runs."""
+    lines = written(repeated_lines(docs, firsts, key, text), "stretches")
     if lines.isEmpty():
-        return lines.select(*KEY, F.array("i").alias("gone"))
+        return lines.select("d1", "d2", F.array("i").alias("gone"))
     runs = shared_runs(suffix_array(suffix_ranks(lines)))
     by_row = runs.join(lines.select("row", "i", "words"), ["row", "i"]).groupBy("row")
     by_row = by_row.agg(F.sort_array(F.collect_list(F.struct("i", "words", "shared"))).alias("lines"), F.max("shared").alias("most")).where("most > 0")
     gone = by_row.select("row", "lines").mapInPandas(_covered(least_words), "row long, gone array<int>").where(F.size("gone") > 0)
-    return gone.join(lines.select("row", *KEY).distinct(), "row").select(*KEY, "gone")
+    return gone.join(lines.select("row", "d1", "d2").distinct(), "row").select("d1", "d2", "gone")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 50) -> DataFrame:
     """All rows and columns of ``docs`` with later copies of runs deleted, and ``n_lines`` and ``n_deleted``."""
-    gone = written(later_copies(docs, key, text, least_words), "deleted-lines").alias("g")
-    rows = docs.select(F.struct(*docs.columns).alias("doc_row"), F.col(key).alias("key_id"), *digest128(F.col(text))).alias("a")
-    rows = rows.join(gone, [F.col(f"a.{c}").eqNullSafe(F.col(f"g.{c}")) for c in KEY], "left").select("doc_row", "gone")
+    firsts = written(first_copies(docs, key, text), "first-copies")
+    gone = written(firsts.join(later_copies(docs, firsts, key, text, least_words), ["d1", "d2"], "left"), "deleted-lines")
+    rows = docs.select(F.struct(*docs.columns).alias("doc_row"), F.col(key).alias("key_id"), *digest128(F.col(text)))
+    rows = rows.join(gone, ["d1", "d2"], "left")
     whole = F.col("doc_row")[text]
     lines = F.split(whole, "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    columns = [F.when(F.col("gone").isNull(), whole).otherwise(left).alias(c) if c == text else F.col("doc_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    return rows.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    copied = F.coalesce(whole.isNotNull() & ~F.col("key_id").eqNullSafe(F.col("first_key")) & (F.regexp_count(whole, F.lit(r"\S+")) >= least_words), F.lit(False))
+    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+    n_deleted = F.when(F.col("copied"), n_lines).otherwise(F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    kept_text = F.when(F.col("copied"), "").when(F.col("gone").isNull(), whole).otherwise(left)
+    columns = [kept_text.alias(c) if c == text else F.col("doc_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    return rows.withColumn("copied", copied).select(*columns, n_lines.alias("n_lines"), n_deleted.alias("n_deleted"))
