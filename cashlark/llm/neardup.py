@@ -1,8 +1,8 @@
 """Near-dedup by Order MinHash: sketches that keep the text order of sampled k-mers.
 
-A text's k-mers are its runs of five words, each labelled with how often it has
-occurred before.  For each of SLOTS random orders the PICKS smallest k-mers are
-sampled and kept in text order; texts that agree in one of the first BUCKETS
+A text's k-mers are its runs of five words.  For sampling each is labelled with
+how often it has occurred before.  For each of SLOTS random orders the PICKS
+smallest k-mers are sampled and kept in text order; texts that agree in one of the first BUCKETS
 slots and in AGREE of all are candidates.  A candidate pair is verified by a banded alignment of the two k-mer sequences:
 with L aligned of n and m k-mers its similarity is L / (n + m - L), which is
 sensitive to order, and pairs of at least 0.8 are links.  The band is as wide
@@ -53,7 +53,7 @@ _POWERS = _mixed(np.arange(101, 101 + WORDS, dtype=np.uint64) * _STEP) | np.uint
 
 
 def kmers(text: str) -> np.ndarray:
-    """Hashes of the k-mers of a text in order, each with the number of its earlier occurrences."""
+    """Hashes of the k-mers of a text in order."""
     words = text.split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -63,7 +63,13 @@ def kmers(text: str) -> np.ndarray:
     else:
         n = len(words) - WORDS + 1
         grams = sum((hashed[i : i + n] * _POWERS[i] for i in range(WORDS)), np.zeros(n, np.uint64))
-    grams = _mixed(grams)
+    return _mixed(grams)
+
+
+def labelled_kmers(grams: np.ndarray) -> np.ndarray:
+    """The hashes of k-mers, each changed by the number of its earlier occurrences, so that all are distinct."""
+    if not len(grams):
+        return grams
     order = np.argsort(grams, kind="stable")
     ordered = grams[order]
     fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -132,10 +138,14 @@ def aligned(a: list, b: list, band: int) -> int:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two k-mer sequences if it is at least SIMILAR, else 0."""
+    """Similarity of two k-mer sequences if it is at least SIMILAR, else 0.
+
+    Labels serve only to count common k-mers: one occurrence more or less early
+    in a text changes the labels of all later ones, so k-mers are aligned without.
+    """
     n, m = len(a), len(b)
     least = SIMILAR / (1 + SIMILAR) * (n + m)
-    if min(n, m) < least - 1e-9 or len(np.intersect1d(a, b, assume_unique=True)) < least - 1e-9:
+    if min(n, m) < least - 1e-9 or len(np.intersect1d(labelled_kmers(a), labelled_kmers(b), assume_unique=True)) < least - 1e-9:
         return 0.0
     found = aligned(a.tolist(), b.tolist(), int(n + m - 2 * least) + 1)
     return found / (n + m - found) if found >= least - 1e-9 else 0.0
@@ -149,7 +159,7 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [kmers(t) for t in batch.column("t").to_pylist()]
+            found = [labelled_kmers(kmers(t)) for t in batch.column("t").to_pylist()]
             sketches = [sketch(g).tolist() if len(g) else [] for g in found]
             columns = [batch.column(key), batch.column("d1"), batch.column("d2"), pa.array([len(g) for g in found], pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)

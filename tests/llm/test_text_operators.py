@@ -156,6 +156,24 @@ def test_near_duplicates_share_a_class(spark):
     assert neardup.classes(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def boilerplate_pair():
+    """A text whose paragraphs are each followed by one and the same passage, and its copy without the first of these."""
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    again = words(40)
+    parts = [p for _ in range(12) for p in (words(40), again)]
+    return " ".join(parts), " ".join([parts[0], *parts[2:]])
+
+
+def test_repeated_passages_align_as_by_brute_force(spark):
+    whole, short = boilerplate_pair()
+    grams = lambda t: list(zip(*[t.split()[i:] for i in range(neardup.WORDS)]))
+    a, b = grams(whole), grams(short)
+    n = common(a, b)
+    assert neardup.similarity(neardup.kmers(whole), neardup.kmers(short)) == n / (len(a) + len(b) - n) > 0.9
+    assert [r["class_id"] for r in neardup.classes(docs(spark, [whole, short])).orderBy("doc_id").collect()] == [0, 0]
+
+
 def test_licences(spark):
     texts = [None, "", "Released under the MIT License.", "MIT\nlicense apache-license GENERAL public LICENSE; mit license", "mit licenses, a license mit", "Licensed under CC BY-NC 4.0.", "cc by and nc 4 0", "word " * 3000 + "Licensed under the Apache License, Version 2.0"]
     found = {r["doc_id"]: r.asDict() for r in licenses.scan(docs(spark, texts)).collect()}
