@@ -2,17 +2,21 @@
 
 A text's k-mers are its runs of five words.  For sampling each is labelled with
 how often it has occurred before.  For each of SLOTS random orders the PICKS
-smallest k-mers are sampled and kept in text order; texts that agree in one of the first BUCKETS
-slots and in AGREE of all are candidates.  A candidate pair is verified by a banded alignment of the two k-mer sequences:
-with L aligned of n and m k-mers its similarity is L / (n + m - L), which is
+smallest k-mers are sampled and kept in text order; texts that agree in one of
+the slots are candidates, and each of them is verified unless already in one
+component.  Verification is a banded alignment of the two k-mer sequences: with
+L aligned of n and m k-mers the similarity is L / (n + m - L), which is
 sensitive to order, and pairs of at least 0.8 are links.  The band is as wide
 as an alignment of that similarity can stray, so verification is exact.
 
 Exact copies are one node.  Within a bucket no pair of one component is looked
 at: each round every bucket compares a few leaders from its smaller components
 with all members outside their component, until no two components of any bucket
-are left unverified.  A pair of similarity 0.8 is a candidate with a
-probability above 0.999.
+are left unverified.  A pair of similarity 0.8 or more without repeated k-mers
+agrees in a slot with probability L(L-1)(L-2) / (U(U-1)(U-2)), U = n + m - L, or
+more: it is a candidate with a probability of at least 0.9997 at any size (least
+with 4 of 5 k-mers).  Repeated k-mers can be sampled in another order, which
+lowers this by an amount that is not bounded here.
 
 Texts of under five words are one k-mer.  Null texts are alone; texts without
 words are copies only of equal texts.  Rows with a null key belong to classes,
@@ -33,7 +37,7 @@ from .common import arrow_batches, digest128, written
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
-SLOTS, BUCKETS, PICKS, AGREE = 64, 16, 3, 20
+SLOTS, PICKS = 16, 3
 #: Members of a bucket that one round compares with all others; the last number holds for all later rounds.
 LEADERS = (1, 16, 1024)
 
@@ -170,13 +174,12 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """Members of every bucket of at least two texts: bucket (slot, value), node, size, the sketch in 32 bits a slot, and the members of all its buckets as weight."""
-    each = texts.select("node", F.posexplode(F.slice("sketch", 1, BUCKETS)).alias("slot", "value"))
+    """Members of every bucket of at least two texts: bucket (slot, value), node, size, sketch, and the members of all its buckets as weight."""
+    each = texts.select("node", F.posexplode("sketch").alias("slot", "value"))
     shared = each.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1")
     members = each.join(shared, ["slot", "value"])
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
-    return members.drop("n").join(weights, "node").join(texts.select("node", "size", short.alias("sketch")), "node")
+    return members.drop("n").join(weights, "node").join(texts.select("node", "size", "sketch"), "node")
 
 
 def candidate_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -229,7 +232,7 @@ def candidate_pairs(labelled: DataFrame, leaders: DataFrame) -> DataFrame:
     agree = F.zip_with("sketch_a", "sketch", lambda x, y: x == y)
     sizes = F.least("size", "size_a") >= SIMILAR * F.greatest("size", "size_a") - 1e-6
     pairs = labelled.join(lead, bucket).where((F.col("component") != F.col("component_a")) & sizes)
-    pairs = pairs.where((F.array_position(agree, True) == F.col("slot") + 1) & (F.size(F.filter(agree, lambda x: x)) >= AGREE))
+    pairs = pairs.where(F.array_position(agree, True) == F.col("slot") + 1)
     return pairs.select("a", F.col("node").alias("b"))
 
 

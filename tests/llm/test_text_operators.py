@@ -174,6 +174,14 @@ def test_repeated_passages_align_as_by_brute_force(spark):
     assert [r["class_id"] for r in neardup.classes(docs(spark, [whole, short])).orderBy("doc_id").collect()] == [0, 0]
 
 
+def test_short_near_copies_are_all_found(spark):
+    rng = random.Random(13)
+    short = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(8)) for _ in range(200)]
+    texts = [t for s in short for t in (s, f"{s} more")]  # 4 of 5 k-mers
+    found = neardup.classes(docs(spark, texts)).collect()
+    assert [r["doc_id"] for r in found if r["class_id"] != r["doc_id"] - r["doc_id"] % 2] == []
+
+
 def test_licences(spark):
     texts = [None, "", "Released under the MIT License.", "MIT\nlicense apache-license GENERAL public LICENSE; mit license", "mit licenses, a license mit", "Licensed under CC BY-NC 4.0.", "cc by and nc 4 0", "word " * 3000 + "Licensed under the Apache License, Version 2.0"]
     found = {r["doc_id"]: r.asDict() for r in licenses.scan(docs(spark, texts)).collect()}
