@@ -2,10 +2,10 @@
 
 The words of all licence templates form the index.  One pass over the corpus
 counts in how many documents each of them occurs; these counts give each word's
-IDF.  For each document and template the highest-IDF words that both have are
-looked up, the template's postings are intersected by relative position, and a
-template counts as present where its mandatory key phrase stands at one of the
-common offsets.  Base phrases are counted wherever their words stand together.
+IDF.  A template counts as present where its mandatory key phrase stands.  Each
+such place is scored by the template's highest-IDF words whose postings agree
+with it, then by all words in place, and the best place counts; words elsewhere
+change nothing.  Base phrases are counted wherever their words stand together.
 
 All work on a document stays in its row.  Null and empty texts have no words;
 repeated rows and null ids are scanned like any others.
@@ -36,7 +36,7 @@ TEMPLATES = {
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
 }
-#: How many of the rarest words of a template that a document has are intersected.
+#: How many of the rarest words of a template are looked up to find its best place.
 RARE_WORDS = 3
 #: Score of a document with base phrases alone.
 BASE_SCORE = 0.5
@@ -56,7 +56,7 @@ def _words(text: Column) -> Column:
 
 
 def _starts(hits: Column, words: list[str]) -> Column:
-    """Positions at which the words stand consecutively; such words are neighbours among the hits too."""
+    """Which hits the words stand consecutively from, counted from 0; such words are neighbours among the hits too."""
 
     def here(hit, j):
         tests = [hit["w"] == words[0]]
@@ -65,7 +65,7 @@ def _starts(hits: Column, words: list[str]) -> Column:
             tests.append((later["w"] == word) & (later["i"] == hit["i"] + k))
         return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
-    return F.transform(F.filter(hits, here), lambda h: h["i"])
+    return F.array_compact(F.transform(hits, lambda hit, j: F.when(here(hit, j), j)))
 
 
 def postings(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -89,22 +89,24 @@ def rarity(rows: DataFrame) -> dict[str, float]:
     return {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in index_words()}
 
 
-def _offsets(idf: dict[str, float], template: list[str], phrase: list[str], starts: Column) -> Column:
-    """Where in the document the template would begin, by its rarest words and its mandatory phrase."""
-    ranked = sorted(set(template), key=lambda w: (-idf[w], w))
+def _in_place(template: Column, offset: Column):
+    """Whether a hit is the word that the template has at that place."""
+    return lambda hit: F.coalesce(F.get(template, hit["i"] - offset) == hit["w"], F.lit(False))
 
-    def places(word: str) -> Column:
-        at = F.filter("hits", lambda h: h["w"] == word)
-        return F.flatten(F.transform(at, lambda h: F.array(*[h["i"] - t for t, w in enumerate(template) if w == word])))
 
+def _best(idf: dict[str, float], template: list[str], phrase: list[str], hits: Column, starts: Column) -> Column:
+    """Of all places where the mandatory phrase stands, the one with most of the template's rarest words and then most of its words in place: both counts, null if there is no such place."""
+    rare = sorted(set(template), key=lambda w: (-idf[w], w))[:RARE_WORDS]
     begin = next(t for t in range(len(template)) if template[t : t + len(phrase)] == phrase)
-    rare = F.slice(F.filter(F.array(*map(places, ranked)), lambda p: F.size(p) > 0), 1, RARE_WORDS)
-    return F.aggregate(rare, F.array_distinct(F.transform(starts, lambda i: i - begin)), F.array_intersect)
+    words = F.array(*map(F.lit, template))
 
+    def place(j):
+        # All that can be in place is among as many hits around the phrase as the template has words.
+        near = F.slice(hits, F.greatest(j - begin, F.lit(0)) + 1, F.lit(len(template)))
+        in_place = F.filter(near, _in_place(words, F.get(hits, j)["i"] - begin))
+        return F.struct(F.size(F.filter(in_place, lambda h: h["w"].isin(rare))).alias("rare"), F.size(in_place).alias("all"))
 
-def _in_place(template: Column, offset: Column):
-    """Whether a hit is the word that the template has at that place."""
-    return lambda hit: F.coalesce(F.get(template, hit["i"] - offset) == hit["w"], F.lit(False))
+    return F.array_max(F.transform(starts, place))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,20 +116,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     none = F.array().cast("array<int>")
     hits = F.col("hits")
     for phrase, label in BASE.items():
-        rows = rows.withColumn(f"at_{label}", F.when(F.size(hits) > 0, _starts(hits, phrase.split())).otherwise(none))
+        rows = rows.withColumn(f"at_{label}", F.when(F.size(hits) > 0, F.transform(_starts(hits, phrase.split()), lambda j: F.get(hits, j)["i"])).otherwise(none))
     for number, (body, phrase) in enumerate(TEMPLATES.values()):
         starts = F.when(F.size(hits) > 0, _starts(hits, phrase.split())).otherwise(none)
-        rows = rows.withColumn(f"phrase_{number}", starts)
-        found = _offsets(idf, body.split(), phrase.split(), F.col(f"phrase_{number}"))
-        rows = rows.withColumn(f"offset_{number}", F.when(F.size(f"phrase_{number}") > 0, F.get(F.array_sort(found), F.lit(0))))
+        rows = rows.withColumn(f"best_{number}", _best(idf, body.split(), phrase.split(), hits, starts))
     scores, names = [], []
     for number, (name, (body, _)) in enumerate(TEMPLATES.items()):
-        template = F.array(*map(F.lit, body.split()))
-        offset = F.col(f"offset_{number}")
-        in_place = F.filter(hits, _in_place(template, offset))
-        here = offset.isNotNull()
-        scores.append(F.when(here, F.size(in_place) / len(body.split())).otherwise(0.0))
-        names.append(F.when(here, F.lit(name)))
+        best = F.col(f"best_{number}")
+        scores.append(F.when(best.isNotNull(), best["all"] / len(body.split())).otherwise(0.0))
+        names.append(F.when(best.isNotNull(), F.lit(name)))
     places = F.concat(*[F.col(f"at_{label}") for label in BASE.values()])
     own = F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in BASE.values()])
     text_list = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")

@@ -192,6 +192,14 @@ def test_licences(spark):
     assert found[5]["labels"] == "cc-by-nc-4.0" and found[6]["labels"] == "" and found[2]["labels"] == "mit,mit-notice" and found[7]["labels"] == "apache,apache-2.0"
 
 
+def test_licences_by_their_best_place(spark):
+    loose, notice = "available under the mit license", "released under the mit license"
+    texts = [loose, f"{loose} as it was released before", f"{loose} and {notice}", f"{notice} and {loose}", f"released {loose}", "mit license " * 4000 + notice]
+    found = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
+    assert [found[i]["labels"] for i in range(len(texts))] == ["mit,mit-notice"] * len(texts)
+    assert [found[i]["score"] for i in range(len(texts))] == [0.8, 0.8, 1, 1, 0.8, 1]
+
+
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
