@@ -9,14 +9,22 @@ L aligned of n and m k-mers the similarity is L / (n + m - L), which is
 sensitive to order, and pairs of at least 0.8 are links.  The band is as wide
 as an alignment of that similarity can stray, so verification is exact.
 
-Exact copies are one node.  Within a bucket no pair of one component is looked
-at: each round every bucket compares a few leaders from its smaller components
-with all members outside their component, until no two components of any bucket
-are left unverified.  A pair of similarity 0.8 or more without repeated k-mers
-agrees in a slot with probability L(L-1)(L-2) / (U(U-1)(U-2)), U = n + m - L, or
-more: it is a candidate with a probability of at least 0.9997 at any size (least
-with 4 of 5 k-mers).  Repeated k-mers can be sampled in another order, which
-lowers this by an amount that is not bounded here.
+Exact copies are one node, and no pair of one component needs to be looked at.
+First the leader of each bucket is compared with all its members, which joins
+groups of close copies by as many pairs as they have texts.  What is then left in
+more than one component is compared in blocks: a task holds the k-mers of two
+blocks of a bucket once, counts common k-mers of all pairs, aligns those pairs
+that have enough of them and are still apart, and gives out only links that join
+two components.  So every pair that shares a bucket is verified or already in one
+component, and no pair is ever a row.  A group of different texts of which most
+pairs share buckets without being links costs the square of its size in time, but
+not in rows.
+
+A pair of similarity 0.8 or more without repeated k-mers agrees in a slot with
+probability L(L-1)(L-2) / (U(U-1)(U-2)), U = n + m - L, or more: it is a candidate
+with a probability of at least 0.9997 at any size (least with 4 of 5 k-mers).
+Repeated k-mers can be sampled in another order, which lowers this by an amount
+that is not bounded here.
 
 Texts of under five words are one k-mer.  Null texts are alone; texts without
 words are copies only of equal texts.  Rows with a null key belong to classes,
@@ -31,15 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import arrow_batches, digest128, written
 from .graph import components
+from .vectors import groups
 
 WORDS, SIMILAR = 5, 0.8
 SLOTS, PICKS = 16, 3
-#: Members of a bucket that one round compares with all others; the last number holds for all later rounds.
-LEADERS = (1, 16, 1024)
+#: Texts, and k-mers of all of them, that a block of a bucket holds.
+BLOCK, BLOCK_KMERS = 4096, 1 << 20
+#: What tells tasks of verification apart.
+TASK = ["slot", "value", "low", "high"]
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -182,88 +192,134 @@ def buckets(texts: DataFrame) -> DataFrame:
     return members.drop("n").join(weights, "node").join(texts.select("node", "size", "sketch"), "node")
 
 
-def candidate_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``node, t``: each wanted text (node, d1, d2, first) once."""
+def candidate_grams(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, grams``: the k-mers in order of each wanted text (node, d1, d2, first), once."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("first"), F.col(text).alias("t"), *digest128(F.col(text))).alias("r")
     own = wanted.alias("w").join(rows, (F.col("w.d1") == F.col("r.d1")) & (F.col("w.d2") == F.col("r.d2")) & F.col("w.first").eqNullSafe(F.col("r.first")))
-    return written(own.select("node", "t").dropDuplicates(["node"]), "candidate-texts")
 
+    def run(batches):
+        for batch in batches:
+            grams = pa.array([kmers(t).view(np.int64) for t in batch.column("t").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), grams], ["node", "grams"])
 
-def _verify(frames):
-    last, grams = None, None
-    for frame in frames:
-        kept = []
-        for a, b, text_a, text_b in zip(frame["a"], frame["b"], frame["text_a"], frame["text_b"]):
-            if a != last:  # pairs come sorted by their first text
-                last, grams = a, kmers(text_a)
-            if similarity(grams, kmers(text_b)):
-                kept.append((a, b))
-        yield pd.DataFrame(kept, columns=["a", "b"])
+    return written(own.select("node", "t").dropDuplicates(["node"]).mapInArrow(run, "node long, grams array<long>"), "grams")
 
 
-def open_members(labelled: DataFrame) -> DataFrame:
-    """Members of the buckets in which two components still have members that never led; all other buckets are done."""
-    waiting = F.when(~F.col("led"), F.col("component"))
-    still = labelled.groupBy("slot", "value").agg(F.min(waiting).alias("c1"), F.max(waiting).alias("c2")).where("c1 != c2").select("slot", "value")
-    return labelled.join(still, ["slot", "value"])
+def _shared_counts(one: np.ndarray, others: list[np.ndarray], mark: np.ndarray) -> np.ndarray:
+    """How many of its k-mers each of ``others`` has in common with ``one``; ``mark`` is a zeroed table of all k-mers."""
+    mark[one] = 1
+    counts = np.add.reduceat(mark[np.concatenate(others)], np.cumsum([0, *map(len, others[:-1])]), dtype=np.int32)
+    mark[one] = 0
+    return counts
 
 
-def leaders_of(labelled: DataFrame, turn: int) -> DataFrame:
-    """``slot, value, node``: members to compare with all others of their bucket.
+def new_links(node: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: np.ndarray | None, slot: int, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between texts of the lower and the higher block that join components; pairs of one component are passed over.
 
-    First the one that shares buckets with most others, then the first by that
-    order outside the component with most members that never led.
+    Pairs that first agree in another slot than ``slot`` belong to another
+    bucket; without sketches every pair belongs here.  A pair is aligned only if
+    the k-mers that both have, in any order, suffice for the similarity.
+    """
+    sizes = np.array([len(g) for g in grams])
+    ids = np.unique(np.concatenate([labelled_kmers(g) for g in grams]), return_inverse=True)[1].astype(np.int32)
+    ids = np.split(ids, np.cumsum(sizes)[:-1])
+    mark = np.zeros(max(int(i.max()) for i in ids) + 1, np.int8)
+    root, found = component.copy(), []
+    low, high = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    for i in low:
+        near = high[high > i] if block[low[0]] == block[high[0]] else high
+        near = near[(root[near] != root[i]) & (np.minimum(sizes[near], sizes[i]) >= SIMILAR * np.maximum(sizes[near], sizes[i]) - 1e-6)]
+        if len(near) and sketches is not None:
+            near = near[(sketches[near] == sketches[i]).argmax(axis=1) == slot]
+        if not len(near):
+            continue
+        least = SIMILAR / (1 + SIMILAR) * (sizes[near] + sizes[i]) - 1e-9
+        for j in near[_shared_counts(ids[i], [ids[j] for j in near], mark) >= least]:
+            if root[j] != root[i] and similarity(grams[i], grams[j]):
+                found.append((int(node[i]), int(node[j])))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def _verify(batches):
+    for rows in groups(batches, TASK):
+        block = rows.column("block").to_numpy()
+        if rows.num_rows < 2 or rows.column("low")[0].as_py() not in block or rows.column("high")[0].as_py() not in block:
+            continue
+        flat = rows.column("grams").combine_chunks()
+        grams = np.split(flat.flatten().to_numpy().view(np.uint64), np.cumsum(flat.value_lengths().to_numpy())[:-1])
+        slot = rows.column("slot")[0].as_py()
+        sketches = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SLOTS) if slot >= 0 else None
+        found = new_links(rows.column("node").to_numpy(), rows.column("component").to_numpy(), block, sketches, slot, grams)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+
+def verified(tasks: DataFrame, grams: DataFrame) -> DataFrame:
+    """``a, b``: links that join components, from tasks of texts whose pairs are to be verified."""
+    rows = tasks.join(grams, "node").select(*TASK, "block", "node", "component", "sketch", "grams")
+    return written(rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(_verify, "a long, b long"), "links")
+
+
+def leader_tasks(members: DataFrame) -> DataFrame:
+    """Tasks of one leader and up to BLOCK texts that share a bucket with it.
+
+    A bucket's leader is the text that shares buckets with most others.  Each
+    pair of a leader and a text is in one task, however many buckets they share.
     """
     bucket = ["slot", "value"]
-    if not turn:
-        return labelled.groupBy(*bucket).agg(F.max(F.struct("weight", "node")).getField("node").alias("node"))
-    rest = labelled.where(~F.col("led"))
-    parts = rest.groupBy(*bucket, "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy(*bucket).agg(F.max(F.struct("n", "component")).alias("main"))
-    minor = rest.join(main, bucket).where(F.col("component") != F.col("main.component"))
-    nth = F.row_number().over(W.partitionBy(*bucket).orderBy(F.desc("weight"), "node"))
-    return minor.withColumn("nth", nth).where(F.col("nth") <= LEADERS[min(turn, len(LEADERS) - 1)]).select(*bucket, "node")
-
-
-def candidate_pairs(labelled: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``a, b``: each leader with the members outside its component that may be similar, in the first slot that both share."""
+    leaders = members.groupBy(*bucket).agg(F.max(F.struct("weight", "node")).getField("node").alias("leader"))
+    pairs = members.join(leaders, bucket).where("node != leader").select("leader", "node").distinct()
+    pairs = written(pairs, "leader-pairs")
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    led = pairs.join(sizes, "leader").withColumn("high", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    led = led.select(F.col("leader").alias("value"), "high", F.col("high").alias("block"), "node")
+    leading = sizes.select(F.col("leader").alias("value"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), F.lit(-1).alias("block"), F.col("leader").alias("node"))
+    return led.union(leading).select(F.lit(-1).alias("slot"), "value", F.lit(-1).alias("low"), "high", "block", "node", F.col("node").alias("component"), F.lit(None).cast("array<long>").alias("sketch"))
+
+
+def block_tasks(members: DataFrame) -> DataFrame:
+    """Tasks that hold every pair of texts of one bucket and different components: members (slot, value, node, size, sketch, component).
+
+    Buckets of one component are done.  In the others the largest component is
+    the major one; each block of minor members meets all blocks, and no two
+    blocks of the major component meet.  Buckets that fit one block are one task.
+    """
     bucket = ["slot", "value"]
-    lead = leaders.join(labelled, [*bucket, "node"]).select(*bucket, F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"), F.col("component").alias("component_a"))
-    agree = F.zip_with("sketch_a", "sketch", lambda x, y: x == y)
-    sizes = F.least("size", "size_a") >= SIMILAR * F.greatest("size", "size_a") - 1e-6
-    pairs = labelled.join(lead, bucket).where((F.col("component") != F.col("component_a")) & sizes)
-    pairs = pairs.where(F.array_position(agree, True) == F.col("slot") + 1)
-    return pairs.select("a", F.col("node").alias("b"))
+    parts = members.groupBy(*bucket, "component").agg(F.count("*").alias("n"), F.sum("size").alias("k"))
+    blocks = lambda n, k: F.ceil(F.greatest(n / BLOCK, k / BLOCK_KMERS)).cast("int")
+    whole = parts.groupBy(*bucket).agg(F.max(F.struct("n", "component", "k")).alias("top"), F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > top.n")
+    whole = whole.select(*bucket, F.when(blocks(F.col("n"), F.col("k")) > 1, F.col("top.component")).alias("major"), "n", "k", "top")
+    plan = whole.select(
+        *bucket,
+        "major",
+        F.when(F.col("major").isNull(), 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("k") - F.col("top.k"))).alias("minors"),
+        F.when(F.col("major").isNull(), 0).otherwise(blocks(F.col("top.n"), F.col("top.k"))).alias("majors"),
+    )
+    rows = members.join(plan, bucket).withColumn("is_major", F.coalesce(F.col("component") == F.col("major"), F.lit(False)))
+    some = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("is_major"), F.col("minors") + some("majors")).otherwise(some("minors")))
+    met = F.when(F.col("is_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    return rows.select(*bucket, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "sketch")
 
 
 def linked(docs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """``node, component`` of every text that links with another."""
-    labelled = written(buckets(texts).withColumns({"component": F.col("node"), "led": F.lit(False)}), "members")
-    found = labelled.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
-    wanted = texts.join(labelled.select("node").distinct(), "node").select("node", "d1", "d2", "first")
-    whole = candidate_texts(docs, wanted, key, text)
-    labels, turn = found.select(F.col("a").alias("node"), F.col("b").alias("component")), 0
-    while not labelled.isEmpty():
-        leaders = written(leaders_of(labelled, turn), "leaders")
-        pairs = written(candidate_pairs(labelled, leaders), "pairs")
-        both = pairs.join(whole.select(F.col("node").alias("b"), F.col("t").alias("text_b")), "b").join(whole.select(F.col("node").alias("a"), F.col("t").alias("text_a")), "a")
-        fresh = written(both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_verify, "a long, b long"), "links")
-        found = found.union(fresh)
-        labels = components(found)
-        done = leaders.withColumn("now", F.lit(True))
-        labelled = labelled.drop("component").join(labels, "node", "left").join(done, ["slot", "value", "node"], "left")
-        labelled = labelled.withColumns({"component": F.coalesce("component", "node"), "led": F.col("led") | F.coalesce("now", F.lit(False))}).drop("now")
-        labelled = written(open_members(labelled), "members")
-        turn += 1
-    return labels
+    members = written(buckets(texts), "members")
+    wanted = texts.join(members.select("node").distinct(), "node").select("node", "d1", "d2", "first")
+    grams = candidate_grams(docs, wanted, key, text)
+    found = verified(leader_tasks(members), grams)
+    known = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = verified(block_tasks(written(known, "members")), grams)
+    return components(found.union(rest))
 
 
 def text_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``d1, d2, copies, class_id`` of every distinct text."""
+    """``d1, d2, first, copies, class_id`` of every distinct text; ``first`` is its smallest key."""
     texts = nodes(docs, key, text)
     of_text = texts.join(linked(docs, texts, key, text), "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_class = of_text.groupBy("component").agg(F.min("first").alias("class_id"))
-    return written(of_text.join(of_class, "component").select("d1", "d2", "copies", "class_id"), "text-classes")
+    return written(of_text.join(of_class, "component").select("d1", "d2", "first", "copies", "class_id"), "text-classes")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,7 +328,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Of each class the row with the smallest key stays; rows that repeat both
     its key and its text are marked alike.
     """
-    rows = docs.select(key, *digest128(F.col(text)), F.col(text).isNull().alias("no_text")).join(text_classes(docs, key, text), ["d1", "d2"], "left")
+    rows = docs.select(key, *digest128(F.col(text)), F.col(text).isNull().alias("no_text")).join(text_classes(docs, key, text).drop("first"), ["d1", "d2"], "left")
     own = F.when(F.col("no_text"), F.col(key)).otherwise(F.col("class_id"))
     return rows.select(key, own.alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), (F.col("no_text") | F.col(key).eqNullSafe(F.col("class_id"))).alias("kept"))
 
@@ -282,8 +338,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Of rows that repeat both key and text one stays.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key_id"), F.col(text).isNull().alias("no_text"), *digest128(F.col(text)))
-    rows = rows.join(text_classes(docs, key, text), ["d1", "d2"], "left")
-    rows = rows.where(F.col("no_text") | F.col("key_id").eqNullSafe(F.col("class_id")))
-    own = F.when(F.col("no_text"), F.monotonically_increasing_id())  # rows without text repeat nothing
-    return rows.withColumn("own", own).dropDuplicates(["key_id", "d1", "d2", "own"]).select("row.*")
+    winners = text_classes(docs, key, text).where("first <=> class_id").select(F.col("class_id").alias("key_id"), "d1", "d2").alias("w")
+    known = F.col(text).isNotNull()
+    rows = docs.where(known).select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key_id"), *digest128(F.col(text)))
+    # Repeated rows are one before they meet; a hot text is spread by its keys.
+    rows = rows.groupBy("key_id", "d1", "d2").agg(F.first("row").alias("row")).alias("r")
+    same = F.col("r.key_id").eqNullSafe(F.col("w.key_id")) & (F.col("r.d1") == F.col("w.d1")) & (F.col("r.d2") == F.col("w.d2"))
+    return rows.join(winners, same, "left_semi").select("row.*").unionByName(docs.where(~known))

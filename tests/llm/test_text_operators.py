@@ -235,3 +235,55 @@ def test_quality_without_labels(spark):
     assert {(r["score"], r["predicted"]) for r in quality.classify(rows, none).collect()} == {(0.5, 1)}
     one = spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, quality int")
     assert quality.kept(rows.withColumn("label", F.lit("clash")), one).count() == 3
+
+
+def similar_classes(texts):
+    """Brute force: the smallest place of each text's class, by alignment of all pairs."""
+    grams = [list(zip(*[t.split()[i:] for i in range(neardup.WORDS)])) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            least = neardup.SIMILAR / (1 + neardup.SIMILAR) * (len(a) + len(b))
+            if len(set(a) & set(b)) >= least - 1e-9 and common(a, b) >= least - 1e-9:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("block", "kmers"), [(4096, 1 << 20), (7, 1 << 20), (4096, 300)])
+def test_classes_equal_brute_force(spark, monkeypatch, block, kmers):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_KMERS", kmers)
+    rng = random.Random(17)
+    fresh = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for size, copies in ((60, 60), (90, 60), (200, 20), (12, 60), (40, 1)):
+        base = [fresh() for _ in range(size)]
+        for _ in range(copies):  # pairs of copies lie on both sides of the limit
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                at = rng.randrange(len(own))
+                own[at : at + rng.choice([0, 1])] = [fresh()]
+            texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts))
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, texts)).collect()}
+    want = similar_classes(texts)
+    assert 5 < len(set(want)) < len(texts)
+    assert [found[i] for i in range(len(texts))] == want
+
+
+def test_near_duplicates_with_odd_keys_and_columns(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, "a b c d e f", 1, "x"), (None, "a b c d e f", 1, "x"), (3, "a b c d e f", 2, "y"), (4, long, 3, "z"), (5, long + " end", 4, "z"), (5, long + " end", 4, "z"), (None, None, 5, "n"), (7, None, 6, "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, d1 int, row string").withColumns({"t": F.lit("t"), "node": F.lit(0), "first": F.lit("f")})
+    found = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_copies"], r["kept"]) for r in neardup.classes(frame).collect())
+    assert found == [(0, 0, 1, True), (0, 3, 3, False), (0, 3, 3, False), (3, 3, 3, True), (4, 4, 1, True), (5, 4, 2, False), (5, 4, 2, False), (7, 7, 1, True)]
+    left = neardup.one_of_each(frame)
+    assert left.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["d1"]) for r in left.collect()) == [(0, 5), (3, 2), (4, 3), (7, 6)]
