@@ -1,6 +1,7 @@
 """Archives, embeddings and the pipeline against brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -33,11 +34,77 @@ def test_small_payloads_are_not_shared(spark):
     assert {r["record_type"] for r in archives.round_trip(pages, least_bytes=3).collect()} == {"response"}
 
 
+# Two files as other software wrote them: by the examples of the format's description.
+BODY = b"HTTP/1.1 200 OK\r\n\r\nhi\n"
+ARC_1 = (
+    b"filedesc://IA-001102.arc 0 19960923142103 text/plain 76\n1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    b"http://www.dryswamp.edu:80/index.html 127.10.100.2 19961104142103 text/html 202\n"
+    + b"HTTP/1.0 200 Document follows\nDate: Mon, 04 Nov 1996 14:21:06 GMT\nServer: NCSA/1.4.1\nContent-type: text/html Last-modified: Sat,10 Aug 1996 22:33:11 GMT\nContent-length: 30\n\n<HTML>\nHello World!!!\n</HTML>".ljust(202, b"x")
+    + b"\nhttp://a/with blank 127.0.0.1 1996 text/html %d\n" % len(BODY)
+    + BODY
+    + b"\ndns:www.dryswamp.edu 127.0.0.1 19961104142103 text/dns 8\n20001231\n"
+)
+LATIN = "HTTP/1.1 200 OK\r\n\r\nna\u00efve \u00e9t\u00e9".encode("latin-1")
+ARC_2 = (
+    b"filedesc://two.arc 0 20010923142103 text/plain 200 - - 0 two.arc 121\n2 0 Alexa Internet\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n\n"
+    + b"http://b/ 127.0.0.1 20010923142104 text/html 200 abc - 209 two.arc %d\n" % len(LATIN)
+    + LATIN
+    + b"\nhttp://c/ 127.0.0.1 20010923142105 text/html 404 abd http://d/ 400 two.arc %d\n" % len(BODY)
+    + BODY
+    + b"\n"
+)
+
+
 def test_both_versions_are_parsed():
-    body = b"HTTP/1.1 200 OK\r\n\r\nhi"
-    one = b"version 1 http://a 1.2.3.4 20240102030405 text/html %d\n" % len(body) + body + b"\n"
-    two = b"version 2 http://b 1.2.3.4 20240102030405 text/html 200 X - 0 f.arc %d\n" % len(body) + body + b"\n"
-    assert [(h["URL"], b) for _, h, b in archives.arc_entries(one + two)] == [("http://a", body), ("http://b", body)]
+    one, two = (list(archives.arc_entries(d)) for d in (ARC_1, ARC_2))
+    assert [(h["URL"], h["Archive-date"], len(b)) for _, h, b in one] == [(b"http://www.dryswamp.edu:80/index.html", b"19961104142103", 202), (b"http://a/with blank", b"1996", len(BODY)), (b"dns:www.dryswamp.edu", b"19961104142103", 8)]
+    assert [(h["URL"], h["Result-code"], h["Location"], b) for _, h, b in two] == [(b"http://b/", b"200", b"-", LATIN), (b"http://c/", b"404", b"http://d/", BODY)]
+    assert {h["Archive"] for _, h, _ in one + two} == {b"IA-001102.arc", b"two.arc"}
+    assert all(data[at:].startswith(h["URL"]) for data, found in ((ARC_1, one), (ARC_2, two)) for at, h, _ in found)
+
+
+@pytest.mark.parametrize("data", [ARC_1[:-5], ARC_1.replace(b"text/html 202", b"text/html 190"), ARC_2.replace(b"two.arc 121", b"two.arc x"), ARC_1.replace(b"\n1 0 Alexa", b"\n7 0 Alexa"), b"no archive"])
+def test_wrong_lengths_and_lines_raise(data):
+    with pytest.raises(ValueError, match="at \\d+"):
+        list(archives.arc_entries(data))
+
+
+def test_foreign_archives_are_converted(spark, tmp_path):
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "one.arc").write_bytes(ARC_1)
+    # A gzip member for each record.
+    starts = [0, *(at for at, _, _ in archives.arc_entries(ARC_2)), len(ARC_2)]
+    (tmp_path / "arc" / "two.arc.gz").write_bytes(b"".join(gzip.compress(ARC_2[a:b]) for a, b in zip(starts, starts[1:])))
+    runs = []
+    for run in ("x", "y"):
+        archives.convert(spark, str(tmp_path / "arc"), str(tmp_path / run))
+        entries = []
+        for file in sorted((tmp_path / run).glob("part-*")):
+            entries += list(archives.warc_entries(gzip.decompress(file.read_bytes())))
+        runs.append(sorted((h["warc-type"], h.get("warc-target-uri"), h["warc-date"], h["warc-record-id"], b) for h, b in entries if h["warc-type"] != b"warcinfo"))
+        assert entries[0][0]["warc-type"] == b"warcinfo" and b"format: WARC" in entries[0][1]
+        later = next(h for h, _ in entries if h["warc-type"] == b"revisit")
+        first = next(h for h, _ in entries if h["warc-record-id"] == later["warc-refers-to"])
+        assert (later["warc-refers-to-target-uri"], later["warc-refers-to-date"]) == (first["warc-target-uri"], first["warc-date"])
+    assert runs[0] == runs[1]
+    kinds = {uri: (kind, date, block) for kind, uri, date, _, block in runs[0]}
+    assert kinds[b"http://b/"] == (b"response", b"2001-09-23T14:21:04Z", LATIN)
+    assert kinds[b"dns:www.dryswamp.edu"] == (b"resource", b"1996-11-04T14:21:03Z", b"20001231")
+    assert kinds[b"http://a/with blank"] == (b"response", b"1996-01-01T00:00:00Z", BODY)
+    assert kinds[b"http://c/"] == (b"revisit", b"2001-09-23T14:21:05Z", BODY[:-3])
+    rows = archives.with_originals(archives.read_warc(spark, str(tmp_path / "x"))).collect()
+    assert len(rows) == 5 and all(r["bytes"] > 0 for r in rows)
+
+
+def test_archives_are_closed_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(archives, "ARCHIVE_BYTES", 5000)
+    pages = spark.createDataFrame([(i // 2, f"http://h/{i}", "x" * 1000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    archives.write_arc(pages, str(tmp_path / "arc"))
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "arc").glob("part-*")]
+    assert len(sizes) > 6 and max(sizes) < 8000
+    rows = archives.round_trip(pages).collect()
+    assert sum(r["record_type"] == "response" for r in rows) == 1 and {r["refers_to"] for r in rows} == {None, 0} and len({r["record_id"] for r in rows}) == 40
+    assert archives.round_trip(pages.limit(0)).count() == 0
 
 
 def vectors(spark, seed, n, copies=True):
