@@ -27,6 +27,8 @@ from .common import arrow_batches, digest128, written
 
 #: Suffixes that one task of the interval scan holds.
 CHUNK = 50_000
+#: Neighbouring chunks that a node of the tree of chunks holds.
+FAN = 64
 #: Next ranks that are ordered in one piece, as a power of two.
 NEXT_BITS = 16
 KEY = ["key_id", "d1", "d2"]
@@ -207,6 +209,49 @@ def _meet(outer: list, least: int, own: list) -> list:
     return [*stack, *own]
 
 
+def _merged(children: pd.DataFrame) -> pd.DataFrame:
+    """The stacks at both ends of neighbouring chunks taken as one."""
+    children = children.sort_values("chunk")
+    leasts, up, down = children["least"].tolist(), [], []
+    for least, own in zip(leasts, children["up"]):
+        up = _meet(up, least, _stack(own))
+    for least, own in zip(reversed(leasts), reversed(children["down"].tolist())):
+        down = _meet(down, least, _stack(own))
+    return pd.DataFrame({"chunk": children["parent"].iloc[:1].to_numpy(), "least": [min(leasts)], "up": [_flat(up)], "down": [_flat(down)]})
+
+
+def _passed_on(children: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+    """What lies before and behind each of some neighbouring chunks, from what lies around all of them."""
+    children = children.sort_values("chunk")
+    leasts, low, high = children["least"].tolist(), [], []
+    stack = _stack(around["low"].iloc[0]) if len(around) else []
+    for least, own in zip(leasts, children["up"]):
+        low.append(_flat(stack))
+        stack = _meet(stack, least, _stack(own))
+    stack = _stack(around["high"].iloc[0]) if len(around) else []
+    for least, own in zip(reversed(leasts), reversed(children["down"].tolist())):
+        high.append(_flat(stack))
+        stack = _meet(stack, least, _stack(own))
+    return pd.DataFrame({"chunk": children["chunk"].to_numpy(), "low": low, "high": high[::-1]})
+
+
+_ENDS = "chunk long, least long, up array<array<long>>, down array<array<long>>"
+_AROUND = "chunk long, low array<array<long>>, high array<array<long>>"
+
+
+def _all_around(ends: DataFrame) -> DataFrame:
+    """``chunk, low, high``: the stacks before and behind every chunk, by a tree of FAN chunks a node."""
+    levels = [written(ends, "chunk-ends")]
+    while levels[-1].select("chunk").limit(2).count() > 1:
+        parents = levels[-1].withColumn("parent", F.floor(F.col("chunk") / FAN).cast("long")).groupBy("parent")
+        levels.append(written(parents.applyInPandas(_merged, _ENDS), "chunk-ends"))
+    around = ends.sparkSession.createDataFrame([(0, [], [])], _AROUND)
+    for children in reversed(levels[:-1]):
+        children = children.withColumn("parent", F.floor(F.col("chunk") / FAN).cast("long"))
+        around = written(children.groupBy("parent").cogroup(around.groupBy("chunk")).applyInPandas(_passed_on, _AROUND), "around-chunks")
+    return around
+
+
 def _finished(chunk: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
     places, lefts, lcps = _columns(chunk)
     best, _, _ = sweep(places, lefts, lcps, _stack(around["low"].iloc[0]), _stack(around["high"].iloc[0]))
@@ -219,22 +264,12 @@ def shared_runs(array: DataFrame) -> DataFrame:
 
     Chunks of the suffix array are scanned on their own; an interval of common
     prefixes that crosses chunks is passed on by the stacks at their ends, which
-    are no longer than the longest common prefix there.
+    are no longer than the longest common prefix there.  Stacks are merged up a
+    tree of chunks and passed down again, so no task or driver holds all of them.
     """
-    spark = array.sparkSession
-    arrow_batches(spark, 10_000)
+    arrow_batches(array.sparkSession, 10_000)
     chunks = written(array.select(F.floor((F.col("sa") - 1) / CHUNK).cast("long").alias("chunk"), "sa", "row", "i", "left", "lcp"), "chunks")
-    ends = chunks.groupBy("chunk").applyInPandas(_ends, "chunk long, least long, up array<array<long>>, down array<array<long>>")
-    ends = sorted((r["chunk"], r["least"], _stack(r["up"]), _stack(r["down"])) for r in ends.collect())
-    low, high, stack = [], [], []
-    for _, least, up, _ in ends:
-        low.append(_flat(stack))
-        stack = _meet(stack, least, up)
-    stack = []
-    for _, least, _, down in reversed(ends):
-        high.append(_flat(stack))
-        stack = _meet(stack, least, down)
-    around = spark.createDataFrame([(e[0], a, b) for e, a, b in zip(ends, low, reversed(high))], "chunk long, low array<array<long>>, high array<array<long>>")
+    around = _all_around(chunks.groupBy("chunk").applyInPandas(_ends, _ENDS))
     return chunks.groupBy("chunk").cogroup(around.groupBy("chunk")).applyInPandas(_finished, "row long, i long, shared long")
 
 
@@ -272,15 +307,21 @@ def later_copies(docs: DataFrame, firsts: DataFrame, key: str = "doc_id", text:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 50) -> DataFrame:
-    """All rows and columns of ``docs`` with later copies of runs deleted, and ``n_lines`` and ``n_deleted``."""
+    """All rows and columns of ``docs`` with later copies of runs deleted, and ``n_lines`` and ``n_deleted``.
+
+    Of a whole text's copies only the first, found by key and text, keeps lines;
+    a copy of fewer than ``least_words`` words holds no run that counts and stays.
+    """
     firsts = written(first_copies(docs, key, text), "first-copies")
-    gone = written(firsts.join(later_copies(docs, firsts, key, text, least_words), ["d1", "d2"], "left"), "deleted-lines")
-    rows = docs.select(F.struct(*docs.columns).alias("doc_row"), F.col(key).alias("key_id"), *digest128(F.col(text)))
-    rows = rows.join(gone, ["d1", "d2"], "left")
+    gone = written(firsts.join(later_copies(docs, firsts, key, text, least_words), ["d1", "d2"], "left"), "deleted-lines").alias("g")
+    rows = docs.select(F.struct(*docs.columns).alias("doc_row"), F.col(key).alias("key_id"), *digest128(F.col(text))).alias("r")
+    # Keys spread the copies of one text.
+    same = F.col("r.key_id").eqNullSafe(F.col("g.first_key")) & (F.col("r.d1") == F.col("g.d1")) & (F.col("r.d2") == F.col("g.d2"))
+    rows = rows.join(gone, same, "left").select("doc_row", "gone", F.col("g.d1").isNull().alias("later"))
     whole = F.col("doc_row")[text]
     lines = F.split(whole, "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    copied = F.coalesce(whole.isNotNull() & ~F.col("key_id").eqNullSafe(F.col("first_key")) & (F.regexp_count(whole, F.lit(r"\S+")) >= least_words), F.lit(False))
+    copied = F.coalesce(whole.isNotNull() & F.col("later") & (F.regexp_count(whole, F.lit(r"\S+")) >= least_words), F.lit(False))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_deleted = F.when(F.col("copied"), n_lines).otherwise(F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     kept_text = F.when(F.col("copied"), "").when(F.col("gone").isNull(), whole).otherwise(left)
