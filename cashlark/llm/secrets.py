@@ -6,9 +6,15 @@ distinct owners and repositories: a value that several owners carry is a widely
 copied example, one that a single owner carries and that mixes letters and
 digits looks like a live credential.
 
-Only texts with a candidate leave the scan, and candidate values travel as
-hashes.  Null and empty texts have no candidates; repeated rows share one result
-and are each returned; rows with a null owner count as one unnamed owner.
+All kinds are found in the scan itself: of a text only the places and the hashes
+of its candidates leave it, and values travel as hashes alone.  By default the
+owner is the column ``source`` and the repository (``source``, ``lang``); with a
+handful of sources "one owner" is a weak test, so name finer columns where there
+are any.
+
+Null and empty texts have no candidates; repeated rows share one result and are
+each returned; rows with a null owner count as one unnamed owner; rows with a null
+key count like any others.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,36 +46,51 @@ def _keyed(docs: DataFrame, key: str, text: str) -> list[Column]:
     return [F.col(key).alias("key_id"), *digest128(text_of(text))]
 
 
+def _matches(text: Column, number: int, pattern: str, group: int, least: int) -> Column:
+    """All matches of a pattern in order: the gap before each, its size, and its value as a hash."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+
+    def one(m, i):
+        value = m["value"]
+        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        return F.struct(F.lit(number).alias("kind_no"), i.alias("i"), m["gap"].alias("gap"), m["size"].alias("size"), (F.length(value) >= least).alias("long_enough"), mixed.alias("mixed"), F.sha2(value, 256).alias("secret"))
+
+    return F.transform(zipped, one)
+
+
+def hits(docs: DataFrame, key: str, text: str, owner: str, repository: tuple[str, ...]) -> DataFrame:
+    """Every match of every kind in the rows of ``docs``, with the row's owner and repository; texts stay in the scan."""
+    unnamed = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.where(text_of(text).rlike(ANY)).select(*_keyed(docs, key, text), text_of(text).alias("t"), unnamed(owner).alias("owner"), F.struct(*[unnamed(c).alias(f"r{n}") for n, c in enumerate(repository)]).alias("repository"))
+    found = F.concat(*[_matches(F.col("t"), number, *how) for number, how in enumerate(KINDS.values())])
+    rows = rows.select(*KEY, "owner", "repository", F.explode(found).alias("m"))
+    return written(rows.select(*KEY, "owner", "repository", "m.*"), "secret-hits")
+
+
+def owned(found: DataFrame) -> DataFrame:
+    """``secret, repositories``: the values that one owner alone carries."""
+    carriers = found.where("long_enough").select("secret", "owner", "repository").distinct()
+    counts = carriers.groupBy("secret").agg(F.min("owner").alias("least"), F.max("owner").alias("most"), F.count("*").alias("repositories"))
+    return counts.where("least = most").select("secret", "repositories")
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """One row per distinct (key, text) with candidates: its spans in order of start and kind.
 
-    ``spans`` is an array of structs: start, kind_no, end, kind, live, owners, repositories.
+    ``spans`` is an array of structs: start, kind_no, end, kind, live, repositories
+    (those of its one owner; null for values that several owners carry).
     """
-    unnamed = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.where(text_of(text).rlike(ANY)).select(*_keyed(docs, key, text), text_of(text).alias("t"), unnamed(owner).alias("owner"), F.struct(*[unnamed(c) for c in repository]).alias("repository"))
-    rows = written(rows, "secret-texts")
-    texts = rows.groupBy(*KEY).agg(F.first("t").alias("t"))
-    found = None
-    for number, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
-        between = F.transform(F.split("t", pattern, -1), F.length)
-        matches = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
-        values = F.regexp_extract_all("t", F.lit(pattern), F.lit(group))
-        zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("gap"), F.transform(matches, F.length).alias("size"), values.alias("value"))
-        some = texts.where(F.col("t").rlike(pattern)).select(*KEY, F.posexplode(zipped).alias("i", "m"))
-        some = some.select(*KEY, F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), "i", F.col("m.gap").alias("gap"), F.col("m.size").alias("size"), F.col("m.value").alias("value"), F.lit(least).alias("least"))
-        found = some if found is None else found.unionByName(some)
+    found = hits(docs, key, text, owner, repository)
+    once = found.select(*KEY, "kind_no", "i", "gap", "size", "long_enough", "mixed", "secret").dropDuplicates([*KEY, "kind_no", "i"])
     upto = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy(*KEY, "kind_no").orderBy("i"))
-    live = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    found = found.withColumn("end", upto).where(F.length("value") >= F.col("least"))
-    found = written(found.select(*KEY, "kind_no", "kind", (F.col("end") - F.col("size")).alias("start"), "end", live.alias("mixed"), F.sha2("value", 256).alias("secret")), "secret-spans")
-    carriers = rows.select(*KEY, "owner", "repository").distinct()
-    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in KEY]
-    held = found.alias("f").join(carriers.alias("r"), same[0] & same[1] & same[2]).select("secret", "owner", "repository")
-    counts = held.groupBy("secret").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    judged = found.join(counts, "secret").withColumn("live", F.col("mixed") & (F.col("owners") == 1))
-    judged = judged.where(F.col("live") | F.col("kind").isin(list(BASE)))
-    one = F.struct("start", "kind_no", "end", "kind", "live", "owners", "repositories")
-    return judged.groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("spans"))
+    once = once.withColumn("end", upto).where("long_enough")
+    once = written(once.select(*KEY, "kind_no", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind_no") + 1).alias("kind"), (F.col("end") - F.col("size")).alias("start"), "end", "mixed", "secret"), "secret-spans")
+    # Widely copied values are not on the right side, so they meet nothing there.
+    judged = once.join(owned(found), "secret", "left").withColumn("live", F.col("mixed") & F.col("repositories").isNotNull())
+    judged = judged.where(F.col("live") | (F.col("kind_no") < len(BASE)))
+    return judged.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "kind", "live", "repositories"))).alias("spans"))
 
 
 def _joined(array: Column) -> Column:

@@ -106,13 +106,25 @@ def remaining(texts, least):
 
 def test_lines_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHUNK", 23)
+    monkeypatch.setattr(lines, "FAN", 3)
     rng = random.Random(3)
     texts = [None, "", "", *["\n".join(rng.choice(["a a", "b b", "c c", "d", ""]) for _ in range(rng.randint(1, 20))) for _ in range(30)]]
+    texts += [texts[5], texts[6], "a a", "a a", texts[7], texts[5]]  # copies of whole texts
     frame = docs(spark, texts).withColumn("n_lines", F.lit("clash"))
     found = {r["doc_id"]: r["text"] for r in lines.dedup(frame, least_words=6).collect()}
     assert found == remaining(texts, 6)
 
 
+def test_lines_with_odd_keys(spark):
+    run = "\n".join(f"line {i} of a passage" for i in range(12))
+    rows = [(None, run, "x"), (None, run, "x"), (2, f"start\n{run}", "y"), (2, f"start\n{run}", "y"), (3, run, "z"), (4, None, "n"), (None, None, "n"), (5, f"start\n{run}\n" + "long " * 50_000, "w")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, d1 string").withColumns({"gone": F.lit(1), "row": F.lit(2)})
+    out = lines.dedup(frame)
+    assert out.columns == [*frame.columns, "n_lines", "n_deleted"]
+    found = sorted((r["doc_id"] or 0, r["d1"], r["text"]) for r in out.where("text is not null").collect())
+    assert found == [(0, "x", run), (0, "x", run), (2, "y", "start"), (2, "y", "start"), (3, "z", ""), (5, "w", "long " * 50_000)] and out.count() == 8
+
+
 def test_lines_without_repeats_stay(spark):
     frame = docs(spark, ["a b c", "d e f"])
     assert {r["text"] for r in lines.dedup(frame, least_words=1).collect()} == {"a b c", "d e f"}
@@ -222,6 +234,43 @@ def test_secrets(spark):
     assert masked[6] == texts[6] and masked[0] is None and "abcdefgh1" not in masked[3] and masked[3].startswith("é🙂 [SECRET]")
 
 
+def test_secrets_with_odd_keys_and_columns(spark):
+    held = 'token = "abcd1234efgh"'
+    rows = [(None, held, None, "en"), (None, held, None, "en"), (2, "x " * 100_000 + held, None, None), (3, None, "s", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"d1": F.lit("a"), "t": F.lit("b"), "kind": F.lit("c"), "secret": F.lit("d"), "spans": F.lit("e")})
+    found = sorted((r["doc_id"] or 0, r["n_assign"], r["n_live"]) for r in secrets.scan(frame).collect())
+    assert found == [(0, 1, 1), (0, 1, 1), (2, 1, 1), (3, 0, 0)]
+    masked = secrets.masked(frame)
+    assert masked.columns == frame.columns and masked.where("text like '%abcd1234%'").count() == 0
+    assert secrets.scan(frame.limit(0)).count() == 0
+
+
+def added_spans(texts, owners):
+    """Brute force: which values of the method's own kind one owner alone carries and look live."""
+    name = re.compile(r"""(?:[_-]key|pwd|auth|credentials?|private_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    carriers: dict = {}
+    for text, owner in zip(texts, owners):
+        for _, p, group, least in PATTERNS:
+            for m in p.finditer(text):
+                if len(m[group]) >= least:
+                    carriers.setdefault(m[group], set()).add(owner)
+        for m in name.finditer(text):
+            if len(m[1]) >= 16:
+                carriers.setdefault(m[1], set()).add(owner)
+    live = lambda v: len(carriers[v]) == 1 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+    return [[f"named:{m.start()}:{m.end()}" for m in name.finditer(t) if len(m[1]) >= 16 and live(m[1])] for t in texts]
+
+
+def test_spans_of_the_method_equal_brute_force(spark):
+    rng = random.Random(23)
+    values = [f"{rng.randrange(16**12):x}{'aZ9'[i % 3] * 8}" for i in range(60)]
+    texts = [" ".join(rng.choice(["db_key = ", "auth:", "PWD='", "x-key=", "é "]) + rng.choice(values) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    owners = [f"s{rng.randrange(6)}" for _ in texts]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs(spark, texts, owners)).collect()}
+    want = added_spans(texts, owners)
+    assert any(want) and [[x for x in found[i].split(",") if x.startswith("named")] for i in range(len(texts))] == want
+
+
 def test_quality_on_held_out_rows(spark):
     table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     found = quality.classify(table, labels).join(labels, "doc_id").where("held_out")
