@@ -7,34 +7,33 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import (
-    HUB,
-    MARKETPLACE_ALIASES,
-    MARKETPLACE_LABELS,
-    NO_GATEWAY,
-    PAYMENT_METHODS,
-    PAYMENT_TOKENS,
-    SHIPPING_BOUNDS,
-    STORE_CREDIT_GATEWAY,
-    STOREFRONT,
-)
-
-_ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
-_PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
+from . import values as V
+from .values import HUB, NO_GATEWAY, STORE_CREDIT_GATEWAY, STOREFRONT
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(V.WHITE))
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, _ACCENTED, _PLAIN)
+    return F.translate(text, V.ACCENTED, V.PLAIN)
 
 
 def folded(text: Column) -> Column:
     """Without accents, in lower case, trimmed."""
-    return F.trim(F.lower(strip_accents(text)))
+    return trimmed(F.lower(strip_accents(text)))
+
+
+def scalar(text: Column) -> Column:
+    """A text leaf of JSON; null where the payload holds an object or an array."""
+    nested = F.when(text.startswith("{"), F.json_object_keys(text).isNotNull()).when(text.startswith("["), F.json_array_length(text).isNotNull())
+    return F.when(F.coalesce(nested, F.lit(False)), None).otherwise(text)
 
 
 def clean(text: Column) -> Column:
-    """Trimmed; blank becomes null."""
-    return F.nullif(F.trim(text), F.lit(""))
+    """Trimmed; blank becomes null, and so do objects and arrays."""
+    return F.nullif(trimmed(scalar(text)), F.lit(""))
 
 
 def marketplace_token(text: Column) -> Column:
@@ -55,33 +54,34 @@ def marketplace_label(marketplace: Column, source: Column) -> Column:
 def origin_label(value: Column) -> Column:
     """Catalogue label of a marketplace name or key, else its words in title case."""
     token = marketplace_token(value)
-    for old, new in MARKETPLACE_ALIASES.items():
+    for old, new in V.MARKETPLACE_ALIASES.items():
         token = F.when(token == old, new).otherwise(token)
-    known = reduce(lambda c, kv: c.when(token == kv[0], kv[1]), MARKETPLACE_LABELS.items(), F.when(F.lit(False), None))
+    known = reduce(lambda c, kv: c.when(token == kv[0], kv[1]), V.MARKETPLACE_LABELS.items(), F.when(F.lit(False), None))
     return F.coalesce(known, title_words(value))
 
 
 def names_method(raw: Column, method: str) -> Column:
-    tokens = PAYMENT_TOKENS.get(method, [])
+    tokens = V.PAYMENT_TOKENS.get(method, [])
     return F.coalesce(folded(raw).rlike("|".join(tokens)), F.lit(False)) if tokens else F.lit(False)
 
 
 def classify_payment(raw: Column) -> Column:
     """The first method, in order of precedence, that a token in the text names."""
-    chosen = F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "other")
-    for method in PAYMENT_TOKENS:
+    chosen = F.when(F.coalesce(trimmed(raw), F.lit("")) == "", "other")
+    for method in V.PAYMENT_TOKENS:
         chosen = chosen.when(names_method(raw, method), method)
     return chosen.otherwise("other")
 
 
 def method_rank(raw: Column) -> Column:
     """Precedence of a gateway's method in ties: smaller goes first."""
-    return F.array_position(F.array(*map(F.lit, PAYMENT_METHODS)), classify_payment(raw)).cast("int")
+    return F.array_position(F.array(*map(F.lit, V.PAYMENT_METHODS)), classify_payment(raw)).cast("int")
 
 
-def payment_label(raw: Column, normalized: Column, labels: dict[str, str], unknown: str) -> Column:
-    named = reduce(lambda c, kv: c.when(normalized == kv[0], kv[1]), labels.items(), F.when(F.lit(False), None))
-    return F.coalesce(clean(raw), named, F.lit(unknown))
+def payment_label(raw: Column, normalized: Column) -> Column:
+    """The text as it stands, else the label of the method, else that none is known."""
+    named = reduce(lambda c, kv: c.when(normalized == kv[0], kv[1]), V.PAYMENT_LABELS.items(), F.when(F.lit(False), None))
+    return F.coalesce(F.nullif(raw, F.lit("")), named, F.lit(V.UNKNOWN_PAYMENT))
 
 
 def finite(number: Column) -> Column:
@@ -93,18 +93,20 @@ def to_cents(amount: Column) -> Column:
     return F.floor(amount * 100 + 0.5).cast("long")
 
 
+_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+
+
 def money_locale(text: Column) -> Column:
     """Cents of a number whose dots are thousands if it has a comma; 0 if it is none."""
-    has_comma = text.contains(",")
-    plain = F.when(has_comma, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text)
-    number = F.when(F.trim(plain) == "", F.lit(0.0)).otherwise(finite(plain.try_cast("double")))
+    plain = trimmed(F.when(text.contains(","), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text))
+    number = F.when(plain.rlike(f"^{_NUMBER}$"), finite(plain.try_cast("double")))
     return F.coalesce(to_cents(number), F.lit(0).cast("long"))
 
 
 def money_prefix(text: Column) -> Column:
     """The number that a text begins with, its first comma as a point; null if it begins with none."""
     pointed = F.regexp_replace(text, r"^([^,]*),", "$1.")
-    return finite(F.regexp_extract(pointed, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"))
+    return finite(F.regexp_extract(pointed, rf"^\s*({_NUMBER})", 1).try_cast("double"))
 
 
 def first_money(*texts: Column) -> Column:
@@ -153,7 +155,7 @@ def shipping_cents(p: Column) -> Column:
     ]
     total, subtotal = zero(first_money(p["total_price"])), first_money(p["subtotal_price"], p["current_subtotal_price"])
     left = total - subtotal + discount_cents(p) + zero(first_money(p["total_tax"])) + zero(first_money(shop_amount(p, "current_total_additional_fees_set")))
-    derived = F.when((total > 0) & left.between(*SHIPPING_BOUNDS), F.greatest(left, F.lit(0).cast("long")))
+    derived = F.when((total > 0) & left.between(*V.SHIPPING_BOUNDS), F.greatest(left, F.lit(0).cast("long")))
     return zero(F.coalesce(direct, *lines, derived))
 
 
@@ -166,20 +168,15 @@ def liquid_cents(amount: Column, *parts: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), reduce(lambda a, b: a - b, parts, amount))
 
 
-def first_instant(*texts: Column) -> Column:
-    """The first value that is a valid instant."""
-    return F.coalesce(*[F.try_to_timestamp(clean(t)) if isinstance(t, Column) else t for t in texts])
-
-
 def display_order_number(name: Column, number: Column, identifier: Column) -> Column:
     own, other = clean(name), clean(number)
     return F.coalesce(F.when(own.startswith("#"), own).otherwise(F.concat(F.lit("#"), own)), F.concat(F.lit("#"), F.regexp_replace(other, "^#", "")), F.concat(F.lit("#"), identifier))
 
 
 def shown_order_number(number: Column, description: Column) -> Column:
-    """For exports: the number with one mark, else the one in the description, else a dash."""
-    found = F.nullif(F.regexp_extract(description, r"#?(\d+)", 1), F.lit(""))
-    return F.coalesce(F.concat(F.lit("#"), F.regexp_replace(clean(number), "^#+", "")), F.concat(F.lit("#"), found), F.lit("—"))
+    """For exports: the number with one mark, else the one that the description marks, else a dash."""
+    found = F.nullif(F.regexp_extract(description, r"(?i)Pedido\s*#\s*([\w-]+)", 1), F.lit(""))
+    return F.coalesce(F.concat(F.lit("#"), F.regexp_replace(F.nullif(number, F.lit("")), "^#", "")), F.concat(F.lit("#"), found), F.lit("—"))
 
 
 def source_bucket(marketplace: Column, external_source: Column, source: Column) -> Column:
@@ -221,37 +218,41 @@ def difference_percent(value: Column, reference: Column) -> Column:
 
 
 def failure_reason(message: Column) -> Column:
-    m = F.lower(message)
-    return (
-        F.when(message.isNull() | (F.trim(message) == ""), "desconhecido")
-        .when(m.rlike("timeout|timed out|abort"), "timeout")
-        .when(m.rlike("429|rate"), "rate_limit")
-        .when(m.rlike("401|403|unauthor|forbidden"), "autenticacao")
-        .when(m.rlike("5[0-9]{2}"), "servidor")
-        .otherwise("outro")
-    )
+    """The first reason of which the pattern stands in an error message."""
+    known = reduce(lambda c, kv: c.when(message.rlike(f"(?i){kv[1]}"), kv[0]), V.FAILURE_PATTERNS.items(), F.when(F.lit(False), None))
+    return F.coalesce(known, F.lit(V.OTHER_FAILURE))
+
+
+_STORE_CREDIT = f"(?i){'|'.join(V.STORE_CREDIT_NAMES)}"
 
 
 def gateway_name(raw: Column) -> Column:
-    return F.when(raw.rlike(r"(?i)shopify_store_credit|store\s*credit|cr[eé]dito\s*em\s*loja"), STORE_CREDIT_GATEWAY).otherwise(F.trim(raw))
+    return F.when(raw.rlike(_STORE_CREDIT), STORE_CREDIT_GATEWAY).otherwise(trimmed(raw))
 
 
 def gateway_or_none(raw: Column) -> Column:
     return F.coalesce(clean(raw), F.lit(NO_GATEWAY))
 
 
-_TAG = r"(?i)pix|starkbank|store\s*credit|shopify_store_credit|cr[eé]dito\s*em\s*loja|visa|master|amex|elo|card|cart[aã]o|boleto|ted|doc|transfer|paypal|wallet|cash|dinheiro|appmax"
-_NOTE = r"(?i)(pix|boleto|ted|doc|transfer|visa|master|elo|amex|card|paypal)"
+def distinct_names(names: Column) -> Column:
+    """Names in order without repeats that differ only in case or accents, the first that is store credit in front, joined by bars.
 
+    Each name is folded once; one pass carries the keys seen, the store credit and the other names.
+    """
+    pieces = F.transform(names, lambda n: F.struct(trimmed(n).alias("name"), folded(n).alias("key"), n.rlike(_STORE_CREDIT).alias("credit")))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("keys"), F.lit(None).cast("string").alias("credit"), none.alias("rest"))
 
-def distinct_names(names: Column) -> Column:
-    """Names in order without repeats that differ only in case or accents, store credit first, joined by bars."""
-    kept = F.filter(F.transform(names, lambda x: F.trim(x)), lambda n: n != "")
-    fresh = F.filter(kept, lambda n, i: F.array_position(F.transform(kept, folded), folded(n)) == i + 1)
-    credit = F.filter(fresh, lambda n: gateway_name(n) == STORE_CREDIT_GATEWAY)
-    first = F.slice(credit, 1, 1)
-    rest = F.filter(fresh, lambda n: ~F.array_contains(first, n))
-    return F.nullif(F.array_join(F.concat(first, rest), " | "), F.lit(""))
+    def add(seen, piece):
+        first = piece["credit"] & seen["credit"].isNull()
+        more = F.struct(
+            F.array_append(seen["keys"], piece["key"]).alias("keys"),
+            F.when(first, piece["name"]).otherwise(seen["credit"]).alias("credit"),
+            F.when(first, seen["rest"]).otherwise(F.array_append(seen["rest"], piece["name"])).alias("rest"),
+        )
+        return F.when((piece["name"] == "") | F.array_contains(seen["keys"], piece["key"]), seen).otherwise(more)
+
+    return F.aggregate(pieces, start, add, lambda seen: F.nullif(F.concat_ws(" | ", seen["credit"], seen["rest"]), F.lit("")))
 
 
 def payment_raw(p: Column, dominant: Column) -> Column:
@@ -262,10 +263,10 @@ def payment_raw(p: Column, dominant: Column) -> Column:
     first = F.get(p["transactions"], F.lit(0))
     gateways = F.filter(F.transform(p["transactions"], lambda t: clean(t["gateway"])), lambda g: g.isNotNull())
     by_leg = F.coalesce(clean(first["payment_details"]["credit_card"]["brand"]), clean(first["payment_details"]["wallet"]["type"]), F.get(gateways, F.lit(0)))
-    attribute = F.get(F.filter(p["note_attributes"], lambda a: F.coalesce(a["name"], F.lit("")).rlike("(?i)payment|metodo|forma|gateway")), F.lit(0))["value"]
-    note = F.nullif(F.regexp_extract(p["note"], _NOTE, 1), F.lit(""))
+    attribute = F.get(F.filter(p["note_attributes"], lambda a: F.coalesce(a["name"], F.lit("")).rlike(f"(?i){'|'.join(V.ATTRIBUTE_WORDS)}")), F.lit(0))["value"]
+    note = F.nullif(F.regexp_extract(p["note"], f"(?i)({'|'.join(V.NOTE_WORDS)})", 1), F.lit(""))
     raw = F.coalesce(joined, by_leg, clean(p["gateway"]), clean(attribute), note)
-    tags = F.filter(F.split(F.coalesce(p["tags"], F.lit("")), ","), lambda t: t.rlike(_TAG))
+    tags = F.filter(F.split(F.coalesce(p["tags"], F.lit("")), ","), lambda t: t.rlike(f"(?i){'|'.join(V.TAG_WORDS)}"))
     pieces = F.transform(F.flatten(F.transform(tags, lambda t: F.split(t, r"\|"))), gateway_name)
     own = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\|"), gateway_name)
     return F.when(dominant.isNotNull(), gateway_name(dominant)).otherwise(F.coalesce(distinct_names(F.concat(own, pieces)), raw))

@@ -12,6 +12,42 @@ PAYMENT_TOKENS = {
 }
 PAYMENT_METHODS = [*PAYMENT_TOKENS, "other"]
 
+# What each method is called where no text names it.
+PAYMENT_LABELS = {
+    "credit_card": "Cartão de crédito",
+    "pix": "Pix",
+    "store_credit": "Crédito em loja",
+    "boleto": "Boleto",
+    "bank_transfer": "Transferência",
+    "wallet": "Carteira digital",
+    "cash": "Dinheiro",
+    "other": "Outro",
+}
+UNKNOWN_PAYMENT = "Não informado"
+
+# Spellings of store credit, words of a tag that name a payment, words of a note that do, and names of note attributes.
+STORE_CREDIT_NAMES = ["shopify_store_credit", r"store\s*credit", r"credito\s*em\s*loja", r"crédito\s*em\s*loja"]
+TAG_WORDS = [
+    "pix", "starkbank", r"store\s*credit", "shopify_store_credit", r"credito\s*em\s*loja", r"crédito\s*em\s*loja", "visa", "master", "amex", "elo", "card", "cartao", "cartão", "boleto",
+    "ted", "doc", "transfer", "paypal", "wallet", "cash", "dinheiro", "appmax",
+]
+NOTE_WORDS = ["pix", "boleto", "ted", "doc", "transfer", "visa", "master", "elo", "amex", "card", "paypal"]
+ATTRIBUTE_WORDS = ["payment", "metodo", "forma", "gateway"]
+
+# Reasons of failures in order of precedence, with the patterns that name them.
+FAILURE_PATTERNS = {
+    "timeout": "timeout|timed out",
+    "invalid_date": "date|invalid.*occurredAt",
+    "database_error": "connection|database|socket|prisma",
+    "constraint_error": "unique|constraint",
+}
+OTHER_FAILURE = "unknown_error"
+
+# Letters with accents and their plain forms, and characters that count as white space.
+ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
+PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
+WHITE = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # Marketplace keys with labels, and older names of some keys.
 MARKETPLACE_LABELS = {
     "shopify": "Shopify",
@@ -37,6 +73,8 @@ SHIPPING_BOUNDS = (-50_000, 1_000_000)
 
 # Zones of business days and of verification days.
 BUSINESS_ZONE, VERIFICATION_ZONE = "America/Sao_Paulo", "America/Bahia"
+#: The days that a materialisation covers begin at this fixed offset.
+BUSINESS_OFFSET = "-03:00"
 
 # Expectations of scheduled jobs: label, minutes until late, runs per day, seconds that a run may take.
 JOB_EXPECTATIONS = {

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
-from ..functions.values import PAID_KINDS, STOREFRONT
+from ..functions.values import NO_GATEWAY, PAID_KINDS, STOREFRONT
+from .ranks import largest_gaps
 
 
 def total(column: str | Column) -> Column:
@@ -46,12 +47,8 @@ def gateway_split(legs: DataFrame) -> DataFrame:
 
 def dominant_gateway(split: DataFrame) -> DataFrame:
     """Per order the gateway with the most cents; ties go by the method's precedence, then by name."""
-    best = F.struct("amount_cents", (-S.method_rank(F.col("gateway_raw"))).alias("rank"))
-    tops = split.withColumn("_best", best)
-    top = tops.groupBy("external_order_id").agg(F.max("_best").alias("_top"), F.sum("amount_cents").cast("long").alias("total_amount_cents"))
-    at_top = tops.join(top, "external_order_id").where(F.col("_best") == F.col("_top"))
-    first = F.min(F.struct("gateway_raw", "amount_cents", "processed_at"))
-    won = at_top.groupBy("external_order_id", "total_amount_cents").agg(first.alias("w"))
+    order = F.struct((-F.col("amount_cents")).alias("less"), S.method_rank(F.col("gateway_raw")).alias("rank"), "gateway_raw", "amount_cents", "processed_at")
+    won = split.withColumn("_order", order).groupBy("external_order_id").agg(F.min("_order").alias("w"), F.sum("amount_cents").cast("long").alias("total_amount_cents"))
     return won.select("external_order_id", F.col("w.gateway_raw").alias("gateway_raw"), F.col("w.amount_cents").alias("dominant_amount_cents"), "total_amount_cents", F.col("w.processed_at").alias("processed_at"))
 
 
@@ -105,11 +102,10 @@ def pipeline_by_day(orders: DataFrame, ledger: DataFrame, resolutions: DataFrame
 
 def job_run_report(runs: DataFrame, as_of: Column, stuck_minutes: int, per_day: Column, days: int) -> DataFrame:
     """Per job: runs by outcome and trigger, durations of good runs, largest gap between starts, schedule coverage."""
-    gap = (F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.lag("started_at").over(W.partitionBy("job_name").orderBy("started_at", "id")).cast("timestamp"))) / 60e6
     scheduled = F.coalesce(F.col("request_id").startswith("cf-cron-"), F.lit(False))
     ok = F.col("status") == "ok"
     stuck = (F.col("status") == "running") & (F.col("started_at") < as_of - F.make_interval(mins=F.lit(stuck_minutes)))
-    report = runs.withColumn("gap", gap).groupBy("job_name").agg(
+    report = runs.groupBy("job_name").agg(
         F.count("*").alias("runs"),
         F.count_if(ok).alias("ok"),
         F.count_if(F.col("status") == "failed").alias("failed"),
@@ -119,9 +115,10 @@ def job_run_report(runs: DataFrame, as_of: Column, stuck_minutes: int, per_day:
         F.round(F.avg(F.when(ok, F.col("duration_ms"))), 6).alias("avg_ms"),
         F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms) FILTER (WHERE status = 'ok')").cast("long").alias("p95_ms"),
         F.max("duration_ms").alias("max_ms"),
-        F.round(F.max("gap"), 6).alias("largest_gap_minutes"),
         F.max("started_at").alias("last_started_at"),
     )
+    gaps = largest_gaps(runs, "job_name", "started_at").select("job_name", F.round(F.col("gap_micros") / 60e6, 6).alias("largest_gap_minutes"))
+    report = report.join(gaps, "job_name", "left")
     return report.withColumn("coverage_percent", F.round(F.col("scheduled") / (per_day * days) * 100, 6))
 
 
@@ -185,15 +182,47 @@ def counts_by_state(rows: DataFrame, state: str, states: list[str]) -> DataFrame
     return known.join(rows.groupBy(state).agg(F.count("*").alias("n")), state, "left").select(state, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def business_baseline(rows: DataFrame, as_of: Column) -> DataFrame:
-    income = F.col("type") == "income"
-    return rows.agg(
+def business_baseline(rows: DataFrame, as_of: Column, **tables: DataFrame) -> DataFrame:
+    """One row: totals of entries, those of the last 30 days, and the rows of other tables by name."""
+    income, recent = F.col("type") == "income", F.col("occurred_at") >= as_of - F.expr("INTERVAL 30 DAYS")
+    found = rows.agg(
         F.count("*").alias("n"),
         sum_if(income, "amount_cents").alias("income_cents"),
         sum_if(~income, "amount_cents").alias("outcome_cents"),
         (sum_if(income, "amount_cents") - sum_if(~income, "amount_cents")).alias("balance_cents"),
-        F.count_if(F.col("occurred_at") >= as_of - F.expr("INTERVAL 30 DAYS")).alias("last_30_days"),
+        F.count_if(recent).alias("last_30_days"),
+        sum_if(income & recent, "amount_cents").alias("last_30_days_income_cents"),
+        sum_if(~income & recent, "amount_cents").alias("last_30_days_outcome_cents"),
     )
+    for name, other in tables.items():
+        found = found.join(other.agg(F.count("*").alias(f"total_{name}")), F.lit(True))  # both sides are one row
+    return found
+
+
+def ledger_pulse(resolutions: DataFrame) -> DataFrame:
+    """How far the ledger of payments has come: the newest resolution and the newest payment."""
+    return resolutions.agg(F.max("resolved_at").alias("last_resolved_at"), F.max("processed_at").alias("last_processed_at"))
+
+
+def without(orders: DataFrame, others: DataFrame) -> DataFrame:
+    """Orders of which another table knows nothing."""
+    return orders.join(others.select("external_order_id"), "external_order_id", "left_anti")
+
+
+def primary_gateways(latest: DataFrame) -> DataFrame:
+    """By the first gateway that the latest paid event of an order names: orders, payments, items, and orders that name several.
+
+    ``latest`` has one row per order with its parsed payload ``p``.
+    """
+    p = F.col("p")
+    names = F.coalesce(p["payment_gateway_names"], F.array().cast("array<string>"))
+    rows = latest.select(
+        F.coalesce(F.nullif(F.get(names, F.lit(0)), F.lit("")), F.lit(NO_GATEWAY)).alias("gateway"),
+        S.money_locale(p["total_price"]).alias("paid_cents"),
+        S.money_locale(p["total_line_items_price"]).alias("items_cents"),
+        (F.size(names) > 1).alias("is_split"),
+    )
+    return rows.groupBy("gateway").agg(F.count("*").alias("orders"), total("paid_cents").alias("gross_cents"), total("items_cents").alias("items_cents"), F.count_if("is_split").alias("split_orders"))
 
 
 def storefront(rows: DataFrame) -> DataFrame:

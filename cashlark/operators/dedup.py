@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import numbered
+
 
 def first_by(rows: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
     """The first row of each key; the window's limit runs before the shuffle as well."""
@@ -33,8 +35,7 @@ def latest_paid(events: DataFrame) -> DataFrame:
 
 def stratified_sample(rows: DataFrame, stratum: str, order: str, k: int) -> DataFrame:
     """Per stratum ``k`` rows at even steps of the order; all rows of a stratum with at most ``k``."""
-    w = W.partitionBy(stratum)
-    placed = rows.withColumns({"_n": F.count("*").over(w), "_j": F.row_number().over(w.orderBy(order)) - 1})
+    placed = numbered(rows, stratum, [order])
     # Row j is taken if it is floor(i * n / k) for some i.
     i = F.ceil(F.col("_j") * k / F.col("_n"))
     taken = (F.col("_n") <= k) | ((i < k) & (F.floor(i * F.col("_n") / k) == F.col("_j")))

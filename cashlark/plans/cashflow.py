@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -52,6 +52,7 @@ def summary(rows: DataFrame, start: datetime, end: datetime, floor: datetime | N
         A.sum_if(expense, "amount_cents").alias("expense_cents"),
         A.total("discount_cents").alias("discount_cents"),
         A.total("shipping_cents").alias("shipping_cents"),
+        F.coalesce(F.sum("tax_cents") + F.sum("fee_cents"), F.lit(0)).cast("long").alias("tax_fee_cents"),
         F.count("*").alias("n"),
     )
 
@@ -63,6 +64,15 @@ def by_source(summed: DataFrame) -> DataFrame:
     return sums.withColumn("delta_percent", S.delta_percent(F.col("current_cents"), F.col("previous_cents")))
 
 
+def compared(summed: DataFrame) -> DataFrame:
+    """One row: totals of the period beside those of the one before, null where that was not covered, with the change of income in percent."""
+    fields = ["income_cents", "expense_cents", "discount_cents", "shipping_cents", "tax_fee_cents", "n"]
+    now, then = F.col("period") == "current", F.col("period") == "previous"
+    sums = [F.coalesce(F.sum(F.when(now, F.col(c))), F.lit(0)).cast("long").alias(f"current_{c}") for c in fields]
+    sums += [F.sum(F.when(then, F.col(c))).cast("long").alias(f"previous_{c}") for c in fields]
+    return summed.agg(*sums).withColumn("income_delta_percent", S.delta_percent(F.col("current_income_cents"), F.col("previous_income_cents")))
+
+
 def period_totals(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Totals of both periods from entries: income, expense, discount, shipping, tax with fees."""
     income, expense = F.col("type") == "income", F.col("type") == "expense"
@@ -101,20 +111,69 @@ def entries_summary(entries: DataFrame, start: datetime, end: datetime) -> DataF
     )
 
 
-def export_rows(orders: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Eight text columns of an order export; money has two decimals."""
-    money = lambda c: F.format_string("%d.%02d", F.floor(F.col(c) / 100).cast("long"), F.pmod(F.col(c), F.lit(100)))
-    return orders.select(
-        F.date_format("occurred_at", "yyyy-MM-dd").alias("data"),
-        S.shown_order_number(F.col("order_number"), F.col("description")).alias("pedido"),
-        F.coalesce(S.origin_label(F.col("marketplace")), F.lit("—")).alias("origem"),
-        S.payment_label(F.col("payment_method_raw"), F.col("payment_method_normalized"), labels, "Não informado").alias("pagamento"),
-        money("amount_cents").alias("valor"),
-        money("shipping_cents").alias("frete"),
-        money("discount_cents").alias("desconto"),
-        money("liquid_cents").alias("liquido"),
+def entries_compared(entries: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """One row: the period's totals of entries beside those of the one before, which are null where it has no entry at all."""
+    sums = entries_summary(entries, start, end)
+    fields = ["income_cents", "expense_cents", "balance_cents", "transfers"]
+    of = lambda period, c: F.sum(F.when(F.col("period") == period, F.col(c))).cast("long")
+    return sums.agg(*[F.coalesce(of("current", c), F.lit(0)).cast("long").alias(f"current_{c}") for c in fields], *[of("previous", c).alias(f"previous_{c}") for c in fields])
+
+
+def parity(live: DataFrame, stored: DataFrame, cases: dict[str, Column], fields: list[str], start: datetime, end: datetime) -> DataFrame:
+    """Two ways to the same orders under each filter: rows of either, and orders that only one has or whose fields differ.
+
+    Both sides are read once, whatever the number of cases.
+    """
+    names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in cases.items()]))
+
+    def side(rows: DataFrame) -> DataFrame:
+        inside = rows.where((F.col("occurred_at") >= F.lit(start)) & (F.col("occurred_at") < F.lit(end)))
+        row = F.struct(*[F.col(f) for f in fields]).alias("row")
+        return inside.select(F.explode(names).alias("filter_case"), "source", "order_key", row)
+
+    keys = ["filter_case", "source", "order_key"]
+    both = side(live).withColumnRenamed("row", "a").join(side(stored).withColumnRenamed("row", "b"), keys, "full_outer")
+    return both.groupBy("filter_case").agg(F.count("a").alias("live_rows"), F.count("b").alias("stored_rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differences"))
+
+
+# Headings of an export in their order, and the mark that opens its file.
+EXPORT_HEADINGS = ["Marketplace", "Numero do pedido", "Data", "Forma de pagamento", "Entrega", "Descontos", "Taxas", "Valor"]
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def export_rows(rows: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Eight text columns of an order export: dates as day/month/year of the zone, money with two decimals, taxes with fees."""
+    money = lambda cents: F.call_function("format_number", S.zero(cents) / 100, F.lit("0.00"))
+    return rows.select(
+        F.coalesce("marketplace", "external_source", F.lit("—")).alias("marketplace"),
+        S.shown_order_number(F.col("order_number"), F.col("description")).alias("order_number"),
+        F.date_format(F.from_utc_timestamp("occurred_at", zone), "dd/MM/yyyy").alias("date"),
+        S.payment_label(F.col("payment_method_raw"), F.col("payment_method_normalized")).alias("payment_method"),
+        money(F.col("shipping_cents")).alias("shipping"),
+        money(F.col("discount_cents")).alias("discounts"),
+        money(S.zero(F.col("tax_cents")) + S.zero(F.col("fee_cents"))).alias("fees"),
+        money(F.col("amount_cents")).alias("amount"),
     )
 
 
-def write_export(rows: DataFrame, path: str) -> None:
-    rows.write.option("sep", ";").option("header", True).csv(path)
+def csv_line(columns: list[Column]) -> Column:
+    """Values between semicolons; quoted only where one holds a semicolon, a quote or a line end."""
+    quoted = [F.when(c.rlike(r'[";\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in columns]
+    return F.concat_ws(";", *quoted)
+
+
+def export_lines(rows: DataFrame) -> DataFrame:
+    """``line``: each row of an export as text, without the headings."""
+    return rows.select(csv_line([F.col(c) for c in rows.columns]).alias("line"))
+
+
+def write_export(rows: DataFrame, path: str, single: bool = False) -> None:
+    """An export as text files without headings, or as one file that opens with the mark and the headings.
+
+    The single file is written by one task, for exports that people open.
+    """
+    lines = export_lines(rows)
+    if single:
+        head = rows.sparkSession.createDataFrame([(BYTE_ORDER_MARK + ";".join(EXPORT_HEADINGS),)], "line string")
+        lines = head.union(lines).coalesce(1)
+    lines.write.text(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.values import RUN_WINDOW_MINUTES, SCHEDULED_PREFIX, STUCK_FACTOR
 
@@ -30,10 +29,12 @@ def job_health(runs: DataFrame, expectations: DataFrame, as_of: Column) -> DataF
     own = own.join(expectations, "job_name").withColumn("age", age)
     limit = F.ceil(F.col("max_seconds") * STUCK_FACTOR / 60)
     own = own.withColumn("dead", (F.col("status") == "failed") | ((F.col("status") == "running") & (F.col("age") > limit)))
-    own = own.withColumn("nth", F.row_number().over(W.partitionBy("job_name").orderBy(F.desc("started_at"), F.desc("id"))))
     inside = F.col("age") <= RUN_WINDOW_MINUTES
-    newest = F.max(F.when(F.col("nth") == 1, F.struct("status", "age", "dead")))
-    facts = own.groupBy("job_name").agg(newest.alias("last"), F.count_if(inside).alias("runs_in_window"), F.count_if(inside & F.col("dead") & (F.col("nth") > 1)).alias("recent_failures"))
+    newest = F.max_by(F.struct("status", "age", "dead"), F.struct("started_at", "id"))
+    facts = own.groupBy("job_name").agg(newest.alias("last"), F.count_if(inside).alias("runs_in_window"), F.count_if(inside & F.col("dead")).alias("failures"))
+    # The newest run is judged on its own.
+    of_last = F.when((F.col("last.age") <= RUN_WINDOW_MINUTES) & F.col("last.dead"), 1).otherwise(0)
+    facts = facts.withColumn("recent_failures", F.col("failures") - of_last)
     both = expectations.join(facts, "job_name", "left")
     verdict = (
         F.when(F.col("last").isNull(), "sem_registro")
@@ -82,9 +83,19 @@ def retained(rows: DataFrame, stamp: str, as_of: Column, days: int) -> DataFrame
     return rows.where(F.col(stamp) >= as_of - F.make_interval(days=F.lit(days)))
 
 
-def sweep_status(cycles: DataFrame, as_of: Column) -> DataFrame:
-    """The last cycle and the good ones of a day."""
-    return cycles.agg(F.max("started_at").alias("last_cycle_at"), F.count_if((F.col("status") == "ok") & (F.col("started_at") >= as_of - F.expr("INTERVAL 24 HOURS"))).alias("ok_24h"), F.count_if(F.col("status") == "failed").alias("failed"))
+def sweep_status(cycles: DataFrame, queue: DataFrame, cursors: DataFrame, as_of: Column) -> DataFrame:
+    """One row: the last cycle, good cycles of a day, repairs that wait, how far the audit's lap is, and whether two laps prove completeness.
+
+    A cycle that ended at its deadline counts as good.  ``cursors``: pass,
+    next_block, lap_end_block, lap_number.
+    """
+    good = F.col("status").isin("ok", "deadline") & (F.col("started_at") > as_of - F.expr("INTERVAL 24 HOURS"))
+    found = cycles.agg(F.max("started_at").alias("last_cycle_at"), F.count_if(good).alias("ok_24h"), F.count_if(F.col("status") == "failed").alias("failed"))
+    audit = cursors.where(F.col("pass") == "audit")
+    share = F.round(F.col("next_block") / F.nullif(F.col("lap_end_block"), F.lit(0)) * 100, 1)
+    audit = audit.agg(F.max(share).alias("audit_percent"), F.coalesce(F.max("lap_number") >= 2, F.lit(False)).alias("is_complete"))
+    # All three are one row.
+    return found.join(queue.agg(F.count("*").alias("pending_repairs")), F.lit(True)).join(audit, F.lit(True))
 
 
 def retry_schedule(rows: DataFrame, as_of: Column, delays: list[int]) -> DataFrame:

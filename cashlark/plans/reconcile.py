@@ -83,6 +83,23 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def run_summary(detected: DataFrame, eligible: DataFrame, attempted: DataFrame, rechecked: DataFrame) -> DataFrame:
+    """One row on a round of corrections: what was detected and closed, queued, tried with which outcome, and put off.
+
+    ``attempted`` are the rows of the queue that were tried, with ``outcome``:
+    corrected, diverging, failed or exhausted; ``eligible`` are all that were due.
+    """
+    is_ = lambda s: F.count_if(F.col("outcome") == s)
+    parts = [
+        detected.agg(F.count("*").alias("detected"), A.total(F.abs("delta_cents")).alias("drift_cents")),
+        rechecked.agg(F.count_if(F.col("status") == "corrigido").alias("reconferred")),
+        eligible.agg(F.count("*").alias("queued")),
+        attempted.agg(is_("corrected").alias("corrected"), is_("diverging").alias("still_diverging"), is_("failed").alias("failed"), is_("exhausted").alias("exhausted"), F.count("*").alias("_tried")),
+    ]
+    both = reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # each is one row
+    return both.withColumn("deferred", F.greatest(F.col("queued") - F.col("_tried"), F.lit(0))).drop("_tried")
+
+
 def metrics(system: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
     """Per method the system's income beside the ledger's: difference, percent and whether it diverges."""
     own = ledger.groupBy(S.classify_payment(F.col("gateway_raw")).alias("payment_method")).agg(A.total("amount_cents").alias("ledger_cents"))
@@ -98,20 +115,41 @@ def maturity(days: DataFrame, zone: str) -> DataFrame:
     return days.withColumns({"materialized_after": after, "is_mature": (F.col("without_resolution") == 0) & (F.col("without_ledger") == 0) & after})
 
 
-RUN_RESULT = "metrics array<struct<diverges:boolean>>, maturity struct<isMature:boolean>, ledgerVsShopify struct<driftCents:bigint>"
+RUN_RESULT = "metrics array<struct<label:string,diverges:boolean>>, maturity struct<isMature:boolean,unresolvedOrders:bigint,ordersWithoutLedger:bigint,materializedAfterWindow:boolean>, ledgerVsShopify struct<driftCents:bigint>"
+
+
+def pending_reasons(maturity: Column) -> Column:
+    """What keeps a day from being final, in order, joined by commas."""
+    unresolved, ledger = maturity["unresolvedOrders"], maturity["ordersWithoutLedger"]
+    reasons = [
+        F.when(unresolved.isNull(), "resolucao_ilegivel").when(unresolved > 0, "sem_resolucao"),
+        F.when(ledger.isNull(), "ledger_ilegivel").when(ledger > 0, "sem_ledger"),
+        F.when(~F.coalesce(maturity["materializedAfterWindow"], F.lit(False)), "materializacao_antiga"),
+    ]
+    return F.when(maturity.isNull(), "sem_maturidade").otherwise(F.concat_ws(",", *reasons))
+
 
+def verdict(runs: DataFrame, days: DataFrame) -> DataFrame:
+    """The newest verification run of each of the ``days``: none, failed, unreadable, provisional, diverging or confirmed.
 
-def verdict(runs: DataFrame) -> DataFrame:
-    """The newest verification run of each day: failed, unreadable, provisional, diverging or confirmed, with its alert."""
+    ``pending`` names what a provisional day waits for; ``alert`` is raised for
+    metrics that diverge, and only informs while the day is not mature.
+    """
     from ..operators.dedup import first_by
 
     last = first_by(runs, ["day"], [F.desc("started_at"), F.desc("id")]).withColumn("r", F.from_json("result", RUN_RESULT))
-    diverges = F.exists("r.metrics", lambda m: m["diverges"])
+    last = days.select("day").distinct().join(last, "day", "left")
+    diverges = F.coalesce(F.exists("r.metrics", lambda m: F.coalesce(m["diverges"], F.lit(False))), F.lit(False))
+    mature = F.coalesce(F.col("r.maturity.isMature"), F.lit(False))
     value = (
-        F.when(F.col("status") == "failed", "falhou")
+        F.when(F.col("id").isNull(), "sem_registro")
+        .when(F.col("status") == "failed", "falhou")
         .when(F.col("r.metrics").isNull(), "formato_desconhecido")
-        .when(~F.coalesce(F.col("r.maturity.isMature"), F.lit(False)), "provisoria")
+        .when(~mature, "provisoria")
         .when(diverges, "divergente")
         .otherwise("conferido")
     )
-    return last.withColumn("verdict", value).withColumn("alert", F.when(F.col("verdict") == "divergente", "divergence").when(F.col("verdict") == "provisoria", "informational").otherwise("none")).select("day", "verdict", "alert")
+    readable = ~F.col("verdict").isin("sem_registro", "falhou", "formato_desconhecido")
+    alert = F.when(~readable | ~diverges, "none").when(~mature, "informational").otherwise("divergence")
+    pending = F.when(F.col("verdict") == "provisoria", pending_reasons(F.col("r.maturity"))).otherwise("")
+    return last.withColumn("verdict", value).withColumns({"alert": alert, "pending": pending}).select("day", "verdict", "alert", "pending")

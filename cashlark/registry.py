@@ -7,14 +7,17 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .functions import scalars as S
 from .functions import values as V
 from .operators import aggregates as A
 from .operators import dedup, filters, joins, paging, state
+from .operators.ranks import largest_gaps
 from .plans import cashflow, health, imports, orders, payments, reconcile
+from .sources import sinks
 from .sources.fixtures import Tables, twin
+from .sources.payloads import order_payload, orders_extract
+from .sources.scratch import scratch, written
 from .streaming import ingest
 
 FLAGSHIP = "cf1_cash_flow_summary"
@@ -211,9 +214,7 @@ def win1_count_over(t: Tables) -> DataFrame:
 
 @query("SELECT job_name, max(date_diff('microsecond', prior, started_at)) AS largest_gap_micros FROM (SELECT *, lag(started_at) OVER (PARTITION BY job_name ORDER BY started_at, id) AS prior FROM job_runs_fx) GROUP BY 1")
 def win2_run_gap(t: Tables) -> DataFrame:
-    prior = F.lag("started_at").over(W.partitionBy("job_name").orderBy("started_at", "id"))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return t.job_runs_fx.withColumn("gap", micros(F.col("started_at")) - micros(prior)).groupBy("job_name").agg(F.max("gap").alias("largest_gap_micros"))
+    return largest_gaps(t.job_runs_fx, "job_name", "started_at").withColumnRenamed("gap_micros", "largest_gap_micros")
 
 
 @query("SELECT marketplace, CAST(sum(amount_cents) AS BIGINT) AS total_cents, round(sum(amount_cents) * 100.0 / sum(sum(amount_cents)) OVER (), 6) AS percent FROM orders_fx GROUP BY 1")
@@ -302,10 +303,20 @@ def jn11_explain_difference(t: Tables) -> DataFrame:
     return found.groupBy("cause").agg(F.count("*").alias("n"), A.total("difference_cents").alias("difference_cents"))
 
 
-@query("""WITH c AS (SELECT 'source' AS table_name, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'mirror', (SELECT count(*) FROM orders_fx WHERE status <> 'rejected') UNION ALL SELECT 'audit', (SELECT count(*) FROM lineitem))
-    SELECT table_name, n, n - (SELECT count(*) FROM orders) AS difference, CASE WHEN n < (SELECT count(*) FROM orders) THEN 'missing_rows' WHEN n > (SELECT count(*) FROM orders) THEN 'extra_rows' END AS problem FROM c""")
+@query("""WITH c AS (SELECT 'source' AS table_name, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'mirror', (SELECT count(*) FROM orders_fx WHERE status <> 'rejected')
+        UNION ALL SELECT 'queue', (SELECT count(*) FROM changes_fx) UNION ALL SELECT 'audit', (SELECT count(*) FROM lineitem))
+    SELECT table_name, n, n - (SELECT count(*) FROM orders) AS difference,
+        CASE WHEN n < (SELECT count(*) FROM orders) THEN 'missing_rows' WHEN n > (SELECT count(*) FROM orders) THEN 'extra_rows' END AS problem FROM c""")
 def jn12_parity_counts(t: Tables) -> DataFrame:
-    return joins.parity_counts(source=t.orders, mirror=t.orders_fx.where("status <> 'rejected'"), audit=t.lineitem)
+    return joins.parity_counts(source=t.orders, mirror=t.orders_fx.where("status <> 'rejected'"), queue=t.changes_fx, audit=t.lineitem)
+
+
+@query(f"""WITH {SPLIT_SQL} SELECT external_order_id, 'ledger' AS missing FROM orders_fx WHERE external_order_id NOT IN (SELECT external_order_id FROM split)
+    UNION ALL SELECT external_order_id, 'resolution' FROM orders_fx WHERE external_order_id NOT IN (SELECT external_order_id FROM split WHERE gateway_raw = 'pix')""")
+def jn7_orders_without_ledger(t: Tables) -> DataFrame:
+    """Orders of which the ledger, or the resolutions, know nothing; here only one gateway is resolved."""
+    lacking = lambda others, name: A.without(t.orders_fx, others).select("external_order_id", F.lit(name).alias("missing"))
+    return lacking(split(t), "ledger").unionByName(lacking(split(t).where("gateway_raw = 'pix'"), "resolution"))
 
 
 # ---- aggregates
@@ -338,20 +349,21 @@ def agg4_payment_method_totals(t: Tables) -> DataFrame:
     return A.method_totals(grouped_orders(t))
 
 
-UNIFIED_SQL = f"""u AS (SELECT marketplace AS source_bucket, {METHOD_SQL} AS payment_method, type, amount_cents, coalesce(discount_cents, 0) AS discount_cents, coalesce(shipping_cents, 0) AS shipping_cents, occurred_at FROM orders_fx WHERE {LIVE}
-    UNION ALL SELECT source, 'other', type, amount_cents, 0, 0, occurred_at FROM entries_fx WHERE {LIVE})"""
+UNIFIED_SQL = f"""u AS (SELECT marketplace AS source_bucket, {METHOD_SQL} AS payment_method, type, amount_cents, coalesce(discount_cents, 0) AS discount_cents, coalesce(shipping_cents, 0) AS shipping_cents,
+        tax_cents, fee_cents, occurred_at FROM orders_fx WHERE {LIVE} UNION ALL SELECT source, 'other', type, amount_cents, 0, 0, 0, 0, occurred_at FROM entries_fx WHERE {LIVE})"""
 SUMMARY_SQL = """CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount_cents END), 0) AS BIGINT) AS income_cents, CAST(coalesce(sum(CASE WHEN type = 'expense' THEN amount_cents END), 0) AS BIGINT) AS expense_cents,
     CAST(sum(discount_cents) AS BIGINT) AS discount_cents, CAST(sum(shipping_cents) AS BIGINT) AS shipping_cents, count(*) AS n"""
+TAX_FEE_SQL = "CAST(coalesce(sum(tax_cents) + sum(fee_cents), 0) AS BIGINT) AS tax_fee_cents"
 TAGGED_SQL = "CASE WHEN occurred_at >= TIMESTAMP '1998-01-01' THEN 'current' ELSE 'previous' END"
 BOTH_PERIODS = "occurred_at >= TIMESTAMP '1997-07-04' AND occurred_at < TIMESTAMP '1998-07-01'"
 
 
 def all_rows(t: Tables) -> DataFrame:
-    columns = ["source_bucket", "payment_method", "type", "amount_cents", "discount_cents", "shipping_cents", "occurred_at"]
+    columns = ["source_bucket", "payment_method", "type", "amount_cents", "discount_cents", "shipping_cents", "tax_cents", "fee_cents", "occurred_at"]
     return cashflow.unified(as_order_rows(t).where(LIVE).select(columns), as_entry_rows(t).where(LIVE).select(columns))
 
 
-@query(f"WITH {UNIFIED_SQL} SELECT source_bucket, payment_method, {SUMMARY_SQL} FROM u WHERE {IN_PERIOD} GROUP BY 1, 2")
+@query(f"WITH {UNIFIED_SQL} SELECT source_bucket, payment_method, {SUMMARY_SQL}, {TAX_FEE_SQL} FROM u WHERE {IN_PERIOD} GROUP BY 1, 2")
 def agg5_summarize_transactions(t: Tables) -> DataFrame:
     return cashflow.summary(all_rows(t), *PERIOD).where("period = 'current'").drop("period")
 
@@ -424,7 +436,13 @@ def agg16_pipeline_by_day(t: Tables) -> DataFrame:
     return pipeline_days(t)
 
 
-@query("SELECT CASE id % 50 WHEN 0 THEN 'timeout' WHEN 10 THEN 'rate_limit' WHEN 20 THEN 'autenticacao' WHEN 30 THEN 'servidor' ELSE 'outro' END AS reason, count(*) AS n FROM job_runs_fx WHERE status = 'failed' GROUP BY 1")
+@query(f"WITH {RESOLVED_SQL} SELECT max(resolved_at) AS last_resolved_at, max(processed_at) AS last_processed_at FROM resolved")
+def agg16_ledger_pulse(t: Tables) -> DataFrame:
+    return A.ledger_pulse(resolved(t))
+
+
+@query("""SELECT CASE id % 50 WHEN 0 THEN 'timeout' WHEN 10 THEN 'invalid_date' WHEN 20 THEN 'database_error' WHEN 30 THEN 'constraint_error' ELSE 'unknown_error' END AS reason,
+    count(*) AS n FROM job_runs_fx WHERE status = 'failed' GROUP BY 1""")
 def agg17_failure_reasons(t: Tables) -> DataFrame:
     return t.job_runs_fx.where("status = 'failed'").groupBy(S.failure_reason(F.col("error_message")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -446,9 +464,13 @@ def agg20_mirror_by_source(t: Tables) -> DataFrame:
     return t.raw_events_fx.groupBy(F.coalesce("source", F.lit("sem_source")).alias("source")).agg(F.count("*").alias("n"), F.max("received_at").alias("last_received_at"))
 
 
-@query("SELECT max(started_at) AS last_cycle_at, count(CASE WHEN status = 'ok' AND started_at >= TIMESTAMP '2024-01-30' THEN 1 END) AS ok_24h, count(CASE WHEN status = 'failed' THEN 1 END) AS failed FROM job_runs_fx")
+@query("""SELECT max(started_at) AS last_cycle_at, count(CASE WHEN status = 'ok' AND started_at > TIMESTAMP '2024-01-30' THEN 1 END) AS ok_24h, count(CASE WHEN status = 'failed' THEN 1 END) AS failed,
+    (SELECT count(*) FROM divergences_fx WHERE status IN ('pendente', 'persistente')) AS pending_repairs, round(count(CASE WHEN status = 'ok' THEN 1 END) * 100.0 / count(*), 1) AS audit_percent, count(DISTINCT job_name) >= 2 AS is_complete FROM job_runs_fx""")
 def agg21_sweep_status(t: Tables) -> DataFrame:
-    return health.sweep_status(t.job_runs_fx, ntz(EVENTS_AS_OF))
+    """Laps of the audit are read off the runs: its blocks are all runs, of which the good ones are behind it."""
+    lap = t.job_runs_fx.agg(F.lit("audit").alias("pass"), F.count_if(F.col("status") == "ok").alias("next_block"), F.count("*").alias("lap_end_block"), F.countDistinct("job_name").alias("lap_number"))
+    other = lap.withColumns({"pass": F.lit("sweep"), "next_block": F.lit(0), "lap_number": F.lit(9)})
+    return health.sweep_status(t.job_runs_fx, t.divergences_fx.where(F.col("status").isin(V.OPEN_STATES)), lap.unionByName(other), ntz(EVENTS_AS_OF))
 
 
 @query("""SELECT job_name, count(*) AS runs, count(CASE WHEN status = 'ok' THEN 1 END) AS ok, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, count(CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-31' - INTERVAL '10' MINUTE THEN 1 END) AS stuck,
@@ -471,9 +493,11 @@ def agg24_financial_status_mix(t: Tables) -> DataFrame:
     return A.status_mix(dedup.canonical_orders(t.raw_events_fx)).withColumns({c: F.round(c, 6) for c in ("orders_percent", "money_percent")})
 
 
-@query("SELECT event_type, count(DISTINCT external_order_id) AS orders FROM raw_events_fx GROUP BY 1")
+@query("SELECT lower(status) AS status, count(DISTINCT external_order_id) AS orders FROM raw_events_fx WHERE source = 'shopify' AND received_at >= TIMESTAMP '2024-01-05' GROUP BY 1")
 def agg25_status_on_any_event(t: Tables) -> DataFrame:
-    return t.raw_events_fx.groupBy("event_type").agg(F.countDistinct("external_order_id").alias("orders"))
+    """Storefront orders with each status on any of their events, so that one order can count under several."""
+    events = A.storefront(t.raw_events_fx).where(F.col("received_at") >= ntz(datetime(2024, 1, 5)))
+    return events.groupBy(F.lower("status").alias("status")).agg(F.countDistinct("external_order_id").alias("orders"))
 
 
 @query(f"""WITH {DOMINANT_SQL} SELECT CAST(sum(s.amount_cents) AS BIGINT) AS total_cents, CAST(coalesce(sum(CASE WHEN s.gateway_raw <> d.gateway_raw THEN s.amount_cents END), 0) AS BIGINT) AS misattributed_cents, count(DISTINCT CASE WHEN s.gateway_raw <> d.gateway_raw THEN s.external_order_id END) AS split_orders,
@@ -518,9 +542,18 @@ def agg30_backlog_money_by_status(t: Tables) -> DataFrame:
     return beyond.groupBy("status").agg(F.count("*").alias("orders"), A.total("total_cents").alias("total_cents"))
 
 
-@query("SELECT source, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS gross_cents FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY received_at DESC, id DESC) AS nth FROM raw_events_fx WHERE status = 'paid') WHERE nth = 1 GROUP BY 1")
+@query("""SELECT CASE WHEN CAST(external_order_id AS BIGINT) % 5 = 0 THEN 'sem_gateway' WHEN event_type = 'purchase' THEN 'pix' ELSE 'appmax' END AS gateway, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS gross_cents,
+    CAST(sum(total_cents // 2) AS BIGINT) AS items_cents, count(CASE WHEN CAST(external_order_id AS BIGINT) % 5 > 2 THEN 1 END) AS split_orders
+    FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY received_at DESC, id DESC) AS nth FROM raw_events_fx WHERE status = 'paid') WHERE nth = 1 GROUP BY 1""")
 def agg31_primary_gateway_report(t: Tables) -> DataFrame:
-    return dedup.latest_paid(t.raw_events_fx).groupBy("source").agg(F.count("*").alias("orders"), A.total("total_cents").alias("gross_cents"))
+    k = F.col("external_order_id").cast("long") % 5
+    money = lambda c: F.format_string("%d.%02d", F.floor(c / 100).cast("long"), F.pmod(c, F.lit(100)))
+    first = F.when(F.col("event_type") == "purchase", "pix").otherwise("appmax")
+    names = F.when(k == 0, F.array().cast("array<string>")).when(k > 2, F.array(first, F.lit("extra"))).otherwise(F.array(first))
+    total = F.col("total_cents")
+    payload = F.struct(names.alias("payment_gateway_names"), money(total).alias("total_price"), money(F.floor(total / 2).cast("long")).alias("total_line_items_price"))
+    latest = dedup.latest_paid(t.raw_events_fx.withColumn("payload_json", F.to_json(payload)))
+    return A.primary_gateways(latest.withColumn("p", order_payload(F.col("payload_json"))))
 
 
 BY_GATEWAY_SQL = """SELECT gateway_raw, CAST(sum(CASE WHEN kind IN ('sale', 'capture', 'change') THEN amount_cents ELSE 0 END) AS BIGINT) AS gross_cents, CAST(sum(CASE WHEN kind = 'refund' THEN amount_cents ELSE 0 END) AS BIGINT) AS refund_cents, count(*) AS legs, count(DISTINCT external_order_id) AS orders,
@@ -545,9 +578,11 @@ def agg33_day_payments_by_gateway(t: Tables) -> DataFrame:
 
 
 @query("""SELECT count(*) AS n, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents, CAST(sum(CASE WHEN type <> 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS outcome_cents, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE -amount_cents END) AS BIGINT) AS balance_cents,
-    count(CASE WHEN occurred_at >= TIMESTAMP '2001-07-03' THEN 1 END) AS last_30_days FROM entries_fx""")
+    count(CASE WHEN occurred_at >= TIMESTAMP '1998-05-02' THEN 1 END) AS last_30_days, CAST(coalesce(sum(CASE WHEN type = 'income' AND occurred_at >= TIMESTAMP '1998-05-02' THEN amount_cents END), 0) AS BIGINT) AS last_30_days_income_cents,
+    CAST(coalesce(sum(CASE WHEN type <> 'income' AND occurred_at >= TIMESTAMP '1998-05-02' THEN amount_cents END), 0) AS BIGINT) AS last_30_days_outcome_cents, (SELECT count(*) FROM job_runs_fx WHERE job_name = 'purchase') AS total_batches,
+    (SELECT count(*) FROM changes_fx) AS total_notifications, (SELECT count(*) FROM raw_events_fx) AS total_raw FROM entries_fx""")
 def agg34_business_baseline(t: Tables) -> DataFrame:
-    return A.business_baseline(t.entries_fx, ntz(ORDERS_AS_OF))
+    return A.business_baseline(t.entries_fx, ntz(datetime(1998, 6, 1)), batches=t.job_runs_fx.where("job_name = 'purchase'"), notifications=t.changes_fx, raw=t.raw_events_fx)
 
 
 @query("SELECT c.id, c.name, count(e.id) AS n FROM categories_fx c LEFT JOIN entries_fx e ON e.category_id = c.id GROUP BY 1, 2")
@@ -559,9 +594,12 @@ def agg35_category_usage(t: Tables) -> DataFrame:
 # ---- paging and sets
 
 
-@query(f"SELECT order_key, source, occurred_at FROM orders_fx WHERE {LIVE} ORDER BY occurred_at DESC, source, order_key LIMIT 50 OFFSET 100")
+@query(f"""WITH f AS (SELECT *, count(*) OVER () AS total FROM orders_fx WHERE type = 'income' AND source IN ('shopify', 'anymarket') AND status = 'approved' AND {IN_PERIOD} AND {METHOD_SQL} = 'pix')
+    SELECT order_key, source, occurred_at, total FROM f ORDER BY occurred_at DESC, source, order_key LIMIT 5 OFFSET 5""")
 def top1_list_orders_page(t: Tables) -> DataFrame:
-    return paging.page(t.orders_fx.where(LIVE), paging.orders_order(), 50, 100).select("order_key", "source", "occurred_at")
+    rows = as_order_rows(t).withColumn("payment_method_normalized", F.col("payment_method"))
+    found = filters.transactions(rows, type="income", sources=[V.STOREFRONT, V.HUB], status="approved", payment="pix", start=ntz(PERIOD[0]), end=ntz(PERIOD[1]))
+    return paging.page(found, paging.orders_order(), 5, 5).select("order_key", "source", "occurred_at", "total")
 
 
 @query("WITH m AS (SELECT occurred_at, 'order' AS kind, order_key AS key FROM orders_fx UNION ALL SELECT occurred_at, 'entry', CAST(id AS VARCHAR) FROM entries_fx) SELECT kind, key, (SELECT count(*) FROM m) AS total FROM m ORDER BY occurred_at DESC, kind, key LIMIT 25 OFFSET 50")
@@ -654,11 +692,42 @@ def set5_candidate_order_ids(t: Tables) -> DataFrame:
 # ---- cash flow
 
 
-@query(f"WITH {UNIFIED_SQL} SELECT {TAGGED_SQL} AS period, source_bucket, payment_method, {SUMMARY_SQL} FROM u WHERE {BOTH_PERIODS} GROUP BY 1, 2, 3")
+CF1_SQL = f"{UNIFIED_SQL}, s AS (SELECT {TAGGED_SQL} AS period, source_bucket, payment_method, {SUMMARY_SQL}, {TAX_FEE_SQL} FROM u WHERE {BOTH_PERIODS} GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {CF1_SQL} SELECT * FROM s")
 def cf1_cash_flow_summary(t: Tables) -> DataFrame:
     return cashflow.summary(all_rows(t), *PERIOD, floor=FLOOR)
 
 
+@query(f"""WITH {CF1_SQL}, b AS (SELECT source_bucket, CAST(sum(CASE period WHEN 'current' THEN income_cents ELSE 0 END) AS BIGINT) AS current_cents, CAST(sum(CASE period WHEN 'previous' THEN income_cents ELSE 0 END) AS BIGINT) AS previous_cents FROM s GROUP BY 1)
+    SELECT *, round((current_cents - previous_cents) * 100.0 / nullif(abs(previous_cents), 0), 6) AS delta_percent FROM b""")
+def cf1_by_source(t: Tables) -> DataFrame:
+    return cashflow.by_source(cashflow.summary(all_rows(t), *PERIOD, floor=FLOOR)).withColumn("delta_percent", F.round("delta_percent", 6))
+
+
+COMPARED = "income_cents expense_cents discount_cents shipping_cents tax_fee_cents n".split()
+
+
+def of_period_sql(period: str, column: str) -> str:
+    whole = f"sum(CASE period WHEN '{period}' THEN {column} END)"
+    return f"CAST({whole if period == 'previous' else f'coalesce({whole}, 0)'} AS BIGINT) AS {period}_{column}"
+
+
+@query(f"""WITH {CF1_SQL}, c AS (SELECT {', '.join(of_period_sql(p, c) for p in ('current', 'previous') for c in COMPARED)} FROM s)
+    SELECT *, round((current_income_cents - previous_income_cents) * 100.0 / abs(previous_income_cents), 6) AS income_delta_percent FROM c""")
+def cf1_periods_compared(t: Tables) -> DataFrame:
+    return cashflow.compared(cashflow.summary(all_rows(t), *PERIOD, floor=FLOOR)).withColumn("income_delta_percent", F.round("income_delta_percent", 6))
+
+
+@query(f"""WITH {UNIFIED_SQL} SELECT {', '.join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS current_{c}" for c in ('income_cents', 'n'))}, CAST(NULL AS BIGINT) AS previous_income_cents
+    FROM (SELECT CASE WHEN type = 'income' THEN amount_cents ELSE 0 END AS income_cents, 1 AS n FROM u WHERE {IN_PERIOD})""")
+def cf1_uncovered_before(t: Tables) -> DataFrame:
+    """The floor of the data lies inside the period before, so that it is not compared."""
+    found = cashflow.compared(cashflow.summary(all_rows(t), *PERIOD, floor=datetime(1997, 9, 1)))
+    return found.select("current_income_cents", "current_n", "previous_income_cents")
+
+
 @query(f"""SELECT {TAGGED_SQL} AS period, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents, CAST(sum(CASE WHEN type = 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, CAST(0 AS BIGINT) AS discount_cents, CAST(0 AS BIGINT) AS shipping_cents, CAST(0 AS BIGINT) AS tax_fee_cents, count(*) AS n
     FROM entries_fx WHERE {LIVE} AND {BOTH_PERIODS} GROUP BY 1""")
 def cf2_cash_flow_sql_path(t: Tables) -> DataFrame:
@@ -683,30 +752,53 @@ def cf5_entries_summary(t: Tables) -> DataFrame:
     return cashflow.entries_summary(t.entries_fx, *PERIOD)
 
 
-METHOD_LABELS = {"pix": "Pix", "credit_card": "Cartão de crédito", "boleto": "Boleto", "store_credit": "Crédito em loja", "other": "Outro"}
+ENTRIES_SQL = "CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount_cents END), 0) AS BIGINT) AS current_income_cents, CAST(coalesce(sum(CASE WHEN type = 'expense' THEN amount_cents END), 0) AS BIGINT) AS current_expense_cents, CAST(coalesce(sum(CASE type WHEN 'income' THEN amount_cents WHEN 'expense' THEN -amount_cents END), 0) AS BIGINT) AS current_balance_cents, count(CASE WHEN type = 'transfer' THEN 1 END) AS current_transfers"
+
+
+@query(f"""SELECT {ENTRIES_SQL}, {', '.join(f'CAST(NULL AS BIGINT) AS previous_{c}' for c in ('income_cents', 'expense_cents', 'balance_cents', 'transfers'))}
+    FROM entries_fx WHERE {LIVE} AND occurred_at >= TIMESTAMP '1995-01-01' AND occurred_at < TIMESTAMP '1997-01-01'""")
+def cf5_entries_compared(t: Tables) -> DataFrame:
+    """The first two years of the data against those before them, which have no entry."""
+    return cashflow.entries_compared(t.entries_fx, datetime(1995, 1, 1), datetime(1997, 1, 1))
 
 
 def money_sql(column: str) -> str:
-    return f"CAST({column} // 100 AS VARCHAR) || '.' || lpad(CAST({column} % 100 AS VARCHAR), 2, '0')"
+    return f"CAST(coalesce({column}, 0) // 100 AS VARCHAR) || '.' || lpad(CAST(coalesce({column}, 0) % 100 AS VARCHAR), 2, '0')"
+
+
+EXPORT_SQL = f"""export AS (SELECT CASE WHEN CAST(order_key AS BIGINT) % 11 = 0 THEN source WHEN CAST(order_key AS BIGINT) % 12 = 0 THEN 'Loja "A"; B' ELSE marketplace END AS marketplace,
+    CASE CAST(order_key AS BIGINT) % 6 WHEN 0 THEN '—' ELSE '#' || order_key END AS order_number, strftime(occurred_at, '%d/%m/%Y') AS date,
+    CASE CAST(order_key AS BIGINT) % 10 WHEN 0 THEN CASE {METHOD_SQL} WHEN 'pix' THEN 'Pix' WHEN 'credit_card' THEN 'Cartão de crédito' WHEN 'boleto' THEN 'Boleto'
+        WHEN 'store_credit' THEN 'Crédito em loja' ELSE 'Outro' END ELSE payment_method_raw END AS payment_method,
+    {money_sql('shipping_cents')} AS shipping, {money_sql('discount_cents')} AS discounts, {money_sql('coalesce(tax_cents, 0) + coalesce(fee_cents, 0)')} AS fees, {money_sql('amount_cents')} AS amount
+    FROM orders_fx WHERE {IN_PERIOD})"""
+
+
+def exported(t: Tables) -> DataFrame:
+    """An export of the period; some orders lack a marketplace, a number or the text of their payment."""
+    k = F.col("order_key").cast("long")
+    rows = filters.transactions(as_order_rows(t), start=ntz(PERIOD[0]), end=ntz(PERIOD[1]))
+    rows = rows.withColumns(
+        {
+            "marketplace": F.when(k % 11 == 0, None).when(k % 12 == 0, 'Loja "A"; B').otherwise(F.col("marketplace")),
+            "order_number": F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit("#"), "order_key")).when(k % 6 < 5, F.col("order_key")),
+            "description": F.when(k % 6 == 0, "Pedido").otherwise(F.concat(F.lit("pedido # "), "order_key")),
+            "payment_method_normalized": F.col("payment_method"),
+            "payment_method_raw": F.when(k % 10 == 0, "").otherwise(F.col("payment_method_raw")),
+        }
+    )
+    return cashflow.export_rows(rows)
 
 
-@query(f"""SELECT strftime(occurred_at, '%Y-%m-%d') AS data, '#' || order_key AS pedido, upper(substr(marketplace, 1, 1)) || lower(substr(marketplace, 2)) AS origem, payment_method_raw AS pagamento, {money_sql('amount_cents')} AS valor,
-    {money_sql('coalesce(shipping_cents, 0)')} AS frete, {money_sql('coalesce(discount_cents, 0)')} AS desconto, {money_sql('greatest(0, amount_cents - coalesce(shipping_cents, 0) - coalesce(discount_cents, 0))')} AS liquido FROM orders_fx WHERE {IN_PERIOD}""")
+@query(f"WITH {EXPORT_SQL} SELECT * FROM export")
 def cf6_export_orders(t: Tables) -> DataFrame:
-    rows = filters.transactions(as_order_rows(t), start=ntz(PERIOD[0]), end=ntz(PERIOD[1])).withColumns({c: S.zero(F.col(c)) for c in ("shipping_cents", "discount_cents")})
-    rows = rows.withColumns({"order_number": F.col("order_key"), "description": F.lit(None).cast("string"), "payment_method_normalized": F.col("payment_method"), "liquid_cents": S.liquid_cents(F.col("amount_cents"), F.col("shipping_cents"), F.col("discount_cents"))})
-    return cashflow.export_rows(rows, METHOD_LABELS)
+    return exported(t)
 
 
-@query(f"SELECT marketplace, count(*) AS rows, 0 AS differences FROM orders_fx WHERE {LIVE} GROUP BY 1")
-def cf7_read_model_parity(t: Tables) -> DataFrame:
-    """Two ways to the same orders, compared field by field in each marketplace: filtered by token, and by name."""
-    fields = ["amount_cents", "status", "payment_method_raw", "marketplace"]
-    rows = t.orders_fx.where(LIVE)
-    token = S.marketplace_token(F.col("marketplace"))
-    left, right = rows.where(token.isNotNull()), filters.transactions(t.orders_fx, type="income").where(F.col("status").isin("approved", "applied"))
-    differences = joins.diff_read_models(left, right, ["order_key"], fields).join(t.orders_fx.select("order_key", "marketplace"), "order_key").groupBy("marketplace").agg(F.count("*").alias("d"))
-    return rows.groupBy("marketplace").agg(F.count("*").alias("rows")).join(differences, "marketplace", "left").select("marketplace", "rows", F.coalesce("d", F.lit(0)).cast("int").alias("differences"))
+@query(f"""WITH {EXPORT_SQL} SELECT CASE WHEN contains(marketplace, ';') THEN '"' || replace(marketplace, '"', '""') || '"' ELSE marketplace END || ';' || order_number || ';' || date || ';' || payment_method
+    || ';' || shipping || ';' || discounts || ';' || fees || ';' || amount AS line FROM export""")
+def snk1_export_orders_csv(t: Tables) -> DataFrame:
+    return cashflow.export_lines(exported(t))
 
 
 # ---- payloads and materialisation
@@ -748,10 +840,16 @@ def payload_events(t: Tables) -> DataFrame:
             F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"),
         )
     )
-    return o.select(
+    key = F.col("order_key").cast("long")
+    last = o.select(
         F.concat(F.lit("ev-"), "order_key").alias("id"), "source", F.lit("order").alias("event_type"), "external_order_id", F.when(F.col("source") == V.HUB, hub).otherwise(store).alias("payload_json"), F.col("occurred_at").alias("received_at"), F.col("materialized_at").alias("mirror_updated_at"),
-        F.when(F.col("order_key").cast("long") % 13 == 0, "failed").otherwise("processed").alias("processing_status"),
+        F.when(F.col("order_key").cast("long") % 13 == 0, "failed").otherwise("processed").alias("processing_status"), key.alias("key"),
     )
+    # An older event in the same state with less money, and a newer one that is not paid, of some orders.
+    money_of = r'("(?:total|total_price|current_total_price)":")\d+'
+    older = last.where(last.key % 2 == 0).withColumns({"id": F.concat(F.lit("old-"), "external_order_id"), "payload_json": F.regexp_replace("payload_json", money_of, "$13"), "received_at": F.col("received_at") - F.expr("INTERVAL 10 DAYS"), "mirror_updated_at": F.col("mirror_updated_at") - F.expr("INTERVAL 10 DAYS")})
+    newer = last.where(last.key % 5 == 0).withColumns({"id": F.concat(F.lit("new-"), "external_order_id"), "payload_json": F.lit('{"financial_status": "pending", "total_price": "1.00"}'), "received_at": F.col("received_at") + F.expr("INTERVAL 1 DAY"), "mirror_updated_at": F.lit(None).cast("timestamp_ntz")})
+    return last.unionByName(older).unionByName(newer).drop("key")
 
 
 def no_resolution(t: Tables) -> DataFrame:
@@ -761,40 +859,141 @@ def no_resolution(t: Tables) -> DataFrame:
 @query(f"""SELECT external_order_id, coalesce(discount_cents, 0) AS discount_cents, coalesce(shipping_cents, 0) AS shipping_cents, status <> 'rejected' AS paid FROM orders_fx WHERE source = 'shopify'""")
 def src5_read_order_payload(t: Tables) -> DataFrame:
     p = F.col("p")
-    rows = orders.parsed(payload_events(t).where(F.col("source") == V.STOREFRONT))
+    rows = orders.parsed(payload_events(t).where((F.col("source") == V.STOREFRONT) & F.col("id").startswith("ev-")))
     return rows.select("external_order_id", S.discount_cents(p).alias("discount_cents"), S.shipping_cents(p).alias("shipping_cents"), "paid")
 
 
-MAPPED_SQL = f"""mapped AS (SELECT source, order_key, amount_cents, coalesce(shipping_cents, 0) AS shipping_cents, coalesce(discount_cents, 0) AS discount_cents, CASE source WHEN 'shopify' THEN coalesce(tax_cents, 0) ELSE 0 END AS tax_cents, CASE source WHEN 'anymarket' THEN 150 ELSE 0 END AS fee_cents,
-    CASE WHEN source = 'shopify' THEN 'Shopify' ELSE upper(substr(marketplace, 1, 1)) || lower(substr(marketplace, 2)) END AS marketplace, CASE WHEN payment_method_raw = 'shopify_store_credit' AND source = 'shopify' THEN 'Crédito em loja' ELSE payment_method_raw END AS payment_method_raw, {METHOD_SQL} AS payment_method_normalized,
-    'Pedido ' || order_key AS description, CASE CAST(order_key AS BIGINT) % 13 WHEN 0 THEN 'rejected' ELSE 'approved' END AS status, CAST(occurred_at AS VARCHAR)[1:19] AS occurred FROM orders_fx WHERE status <> 'rejected')"""
+#: How far an order is mapped with the resolution of its payment, and without.
+RESOLUTION_SQL = "resolution AS (SELECT external_order_id AS resolved_order, gateway_raw AS resolved_raw, processed_at AS resolved_for, processed_at + INTERVAL '1' DAY AS resolved_at FROM dominant)"
+
+
+def mapped_sql(name: str, rows: str, is_resolved: str) -> str:
+    """SQL of mapped orders: ``rows`` are orders, of which those under ``is_resolved`` take gateway and date of their resolution."""
+    raw = f"CASE WHEN {is_resolved} THEN CASE resolved_raw WHEN 'shopify_store_credit' THEN 'Crédito em loja' ELSE resolved_raw END WHEN payment_method_raw = 'shopify_store_credit' AND source = 'shopify' THEN 'Crédito em loja' ELSE payment_method_raw END"
+    return f"""{name} AS (SELECT *, 'Pedido ' || order_number AS description, lower('Pedido ' || order_number || ' ' || external_id || ' ' || order_number || ' ' || marketplace) AS search_text,
+        CASE payment_method_raw WHEN 'pix' THEN 'pix' WHEN 'appmax' THEN 'credit_card' WHEN 'Crédito em loja' THEN 'store_credit' ELSE {METHOD_SQL} END AS payment_method_normalized,
+        lower(replace(marketplace, ' ', '_')) AS marketplace_key, source AS source_key, marketplace AS source_bucket, greatest(0, amount_cents - shipping_cents - discount_cents - tax_cents - fee_cents) AS liquid_cents
+    FROM (SELECT source, order_key, 'ev-' || order_key AS mirror_row_id, external_order_id AS external_id, order_key AS order_number, amount_cents, coalesce(shipping_cents, 0) AS shipping_cents, coalesce(discount_cents, 0) AS discount_cents,
+        CASE source WHEN 'shopify' THEN coalesce(tax_cents, 0) ELSE 0 END AS tax_cents, CASE source WHEN 'anymarket' THEN 150 ELSE 0 END AS fee_cents, CASE WHEN source = 'shopify' THEN 'Shopify' ELSE upper(substr(marketplace, 1, 1)) || lower(substr(marketplace, 2)) END AS marketplace,
+        {raw} AS payment_method_raw, CASE CAST(order_key AS BIGINT) % 13 WHEN 0 THEN 'rejected' ELSE 'approved' END AS status, CASE WHEN {is_resolved} THEN resolved_for ELSE CAST(occurred_at AS TIMESTAMP) END AS occurred_at, CAST(occurred_at AS TIMESTAMP) AS received_at,
+        'income' AS type, 'BRL' AS currency, CASE source WHEN 'shopify' THEN 'webhook' ELSE 'integration' END AS tx_source, CAST(NULL AS TIMESTAMP) AS source_updated_at FROM {rows} LEFT JOIN resolution ON resolved_order = external_order_id))"""
+
+
+RESOLVED_NOW = "source = 'shopify' AND resolved_raw IS NOT NULL"
+MAPPED_SQL = f"{DOMINANT_SQL}, {RESOLUTION_SQL}, " + mapped_sql("mapped", "(SELECT * FROM orders_fx WHERE status <> 'rejected')", RESOLVED_NOW)
+HASHED_SQL = " || chr(31) || ".join(
+    "strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%gZ')" if c == "occurred_at_text" else f"coalesce(CAST({c} AS VARCHAR), '')" for c in orders.HASHED
+)
+
+
+def landed(t: Tables) -> DataFrame:
+    """The payload events as a landed table."""
+    return written(payload_events(t), "landed-events")
+
 
+def mapped_events(events: DataFrame, resolutions: DataFrame) -> DataFrame:
+    return joins.events_with_resolution(orders.newest_events(events), resolutions)
 
-@query(f"WITH {MAPPED_SQL} SELECT *, greatest(0, amount_cents - shipping_cents - discount_cents - tax_cents - fee_cents) AS liquid_cents FROM mapped")
+
+@query(f"WITH {MAPPED_SQL} SELECT {', '.join(c for c in orders.ORDER_COLUMNS if c != 'content_hash')}, sha256({HASHED_SQL}) AS content_hash FROM mapped")
 def mat1_map_orders(t: Tables) -> DataFrame:
-    events = joins.events_with_resolution(orders.newest_events(payload_events(t)), no_resolution(t))
-    columns = "source order_key amount_cents shipping_cents discount_cents tax_cents fee_cents marketplace payment_method_raw payment_method_normalized description status liquid_cents".split()
-    return orders.map_orders(events).select(*columns, F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred"))
+    rows = orders.map_orders(mapped_events(landed(t), resolved(t)))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("occurred_at", "received_at", "source_updated_at")})
 
 
-@query("SELECT 'nao_pago' AS reason, count(*) AS n FROM orders_fx WHERE status = 'rejected' HAVING count(*) > 0")
+@query("""SELECT CASE WHEN CAST(order_key AS BIGINT) % 17 = 1 THEN 'sem_payload' WHEN CAST(order_key AS BIGINT) % 17 = 3 THEN 'sem_source' WHEN CAST(order_key AS BIGINT) % 17 = 2 THEN 'valor_nao_positivo' ELSE 'nao_pago' END AS reason, count(*) AS n
+    FROM orders_fx WHERE status = 'rejected' OR CAST(order_key AS BIGINT) % 17 IN (1, 2, 3) GROUP BY 1""")
 def agg17_rejections(t: Tables) -> DataFrame:
-    return orders.rejections(joins.events_with_resolution(orders.newest_events(payload_events(t)), no_resolution(t)))
+    k = F.col("external_order_id").cast("long") % 17
+    free = F.lit('{"financial_status": "paid", "paymentStatus": "paid", "total": "0", "total_price": "0"}')
+    events = payload_events(t).withColumns({"payload_json": F.when(k == 1, None).when(k == 2, free).otherwise(F.col("payload_json")), "source": F.when(k != 3, F.col("source"))})
+    return orders.rejections(joins.events_with_resolution(orders.newest_events(events), resolved(t)))
 
 
-def half_current(t: Tables) -> DataFrame:
-    """An order table from earlier events: some orders missing, some with another amount."""
-    events = joins.events_with_resolution(orders.newest_events(payload_events(t)), no_resolution(t))
+def half_current(t: Tables, events: DataFrame) -> DataFrame:
+    """A stored order table from earlier events: some orders missing, some with less money, some before their resolution, some no longer paid."""
     k = F.col("order_key").cast("long") % 10
-    old = orders.map_orders(events).where(k != 0).withColumn("content_hash", F.when(k == 1, F.lit("old")).otherwise(F.col("content_hash")))
-    return old
+    early = resolved(t).where(F.col("external_order_id").cast("long") % 10 != 3)
+    rows = orders._mapped(mapped_events(events, early)).where((k != 0) & (F.col("paid") | (k == 2)))
+    rows = rows.withColumns({"content_hash": F.when(k == 1, F.lit("old")).otherwise(F.col("content_hash")), "amount_cents": F.col("amount_cents") - F.when(k == 1, 1).otherwise(0)})
+    return written(rows.select(*orders.ORDER_COLUMNS, (F.col("received_at") + F.expr("INTERVAL 3 DAYS")).alias("materialized_at")), "orders")
+
+
+def touched_sql(first: str, end: str) -> str:
+    """SQL of every order with what ``half_current`` holds of it and whether a materialisation touches it: days of -03:00, two days of grace, half-open."""
+    inside = lambda at: f"({at} >= TIMESTAMP '{first}' - INTERVAL '45' HOUR AND {at} < TIMESTAMP '{end}' + INTERVAL '51' HOUR)"
+    return f"""{DOMINANT_SQL}, {RESOLUTION_SQL}, state AS (SELECT *, CAST(order_key AS BIGINT) % 10 AS k, CAST(order_key AS BIGINT) % 10 <> 0 AND (status <> 'rejected' OR CAST(order_key AS BIGINT) % 10 = 2) AS stored,
+        {inside('occurred_at')} OR (CAST(order_key AS BIGINT) % 2 = 0 AND {inside("occurred_at - INTERVAL '10' DAY")}) OR (CAST(order_key AS BIGINT) % 5 = 0 AND {inside("occurred_at + INTERVAL '1' DAY")}) AS inside,
+        source = 'shopify' AND coalesce(resolved_at > materialized_at, false) AS late, source = 'shopify' AND resolved_raw IS NOT NULL AS has_resolution FROM orders_fx LEFT JOIN resolution ON resolved_order = external_order_id),
+    changes AS (SELECT *, CASE WHEN NOT stored AND status <> 'rejected' AND inside THEN 'inserted' WHEN NOT stored THEN NULL WHEN NOT (inside OR late) THEN 'unchanged' WHEN status = 'rejected' THEN 'deleted'
+        WHEN k = 1 OR (k = 3 AND has_resolution) THEN 'updated' ELSE 'unchanged' END AS change FROM state)"""
 
 
-@query("""SELECT change, count(*) AS n FROM (SELECT CASE WHEN NOT (occurred_at >= TIMESTAMP '1997-12-30' AND occurred_at <= TIMESTAMP '1998-02-03') THEN 'unchanged' WHEN CAST(order_key AS BIGINT) % 10 = 0 THEN 'inserted' WHEN CAST(order_key AS BIGINT) % 10 = 1 THEN 'updated' ELSE 'unchanged' END AS change
-    FROM orders_fx WHERE status <> 'rejected' AND (CAST(order_key AS BIGINT) % 10 <> 0 OR (occurred_at >= TIMESTAMP '1997-12-30' AND occurred_at <= TIMESTAMP '1998-02-03'))) GROUP BY 1""")
+@query(f"WITH {touched_sql('1998-01-01', '1998-02-01')} SELECT change, count(*) AS n FROM changes WHERE change IS NOT NULL GROUP BY 1")
 def mat3_materialize_range(t: Tables) -> DataFrame:
-    merged = orders.materialize(half_current(t), payload_events(t), no_resolution(t), date(1998, 1, 1), date(1998, 1, 31))
-    return orders.change_counts(merged.where("change <> 'deleted'"))
+    events = landed(t)
+    return orders.change_counts(orders.materialize(half_current(t, events), events, resolved(t), date(1998, 1, 1), date(1998, 1, 31), ORDERS_AS_OF))
+
+
+@query(f"""WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key, change, CASE WHEN change IN ('inserted', 'updated') THEN TIMESTAMP '2001-08-02' ELSE CAST(occurred_at AS TIMESTAMP) + INTERVAL '3' DAY END AS materialized_at
+    FROM changes WHERE change IS NOT NULL""")
+def mat2_materialize_day(t: Tables) -> DataFrame:
+    events = landed(t)
+    rows = orders.materialize_day(half_current(t, events), events, resolved(t), date(1998, 3, 5), ORDERS_AS_OF)
+    return rows.select("source", "order_key", "change", F.col("materialized_at").cast("timestamp_ntz").alias("materialized_at"))
+
+
+@query(f"WITH {touched_sql('1998-01-01', '1998-02-01')} SELECT DISTINCT source, order_key FROM state WHERE inside OR (late AND stored)")
+def str5_late_events(t: Tables) -> DataFrame:
+    """What late events and late resolutions bring back: keys to read again."""
+    events = landed(t)
+    return orders.touched(half_current(t, events), events, resolved(t), date(1998, 1, 1), date(1998, 1, 31))
+
+
+#: The nine filters under which both ways to the orders are compared: name, test on mapped rows, SQL.
+PARITY_CASES = [
+    ("all", lambda: F.lit(True), "true"),
+    ("marketplace=shopify", lambda: filters.marketplace_is("shopify"), "source = 'shopify'"),
+    ("marketplace=anymarket", lambda: filters.marketplace_is("anymarket"), "source = 'anymarket'"),
+    ("marketplace=building", lambda: filters.marketplace_is("building"), "source = 'anymarket' AND marketplace = 'Building'"),
+    ("payment=pix", lambda: filters.payment_is("pix"), "payment_method_normalized = 'pix'"),
+    ("payment=credit_card", lambda: filters.payment_is("credit_card"), "payment_method_normalized = 'credit_card'"),
+    ("payment=boleto", lambda: filters.payment_is("boleto"), "payment_method_normalized = 'boleto'"),
+    ("search=pedido", lambda: filters.search("pedido"), "contains(search_text, 'pedido')"),
+    ("search=50%", lambda: filters.search("50%"), "contains(search_text, '50%')"),
+]
+PARITY_FIELDS = "external_id marketplace order_number payment_method_raw payment_method_normalized amount_cents shipping_cents discount_cents tax_cents fee_cents liquid_cents currency occurred_at description tx_source status type".split()
+
+
+def parity_side_sql(name: str, rows: str) -> str:
+    cases = " UNION ALL ".join(f"SELECT '{case}' AS filter_case, * FROM {rows} WHERE {IN_PERIOD} AND {test}" for case, _, test in PARITY_CASES)
+    return f"{name} AS ({cases})"
+
+
+STORED_SQL = f"""{touched_sql('1998-01-01', '1998-04-01')},
+    {mapped_sql('live', "(SELECT * FROM orders_fx WHERE status <> 'rejected')", RESOLVED_NOW)},
+    {mapped_sql('before', "(SELECT * FROM orders_fx WHERE CAST(order_key AS BIGINT) % 10 <> 0 AND (status <> 'rejected' OR CAST(order_key AS BIGINT) % 10 = 2))", "source = 'shopify' AND resolved_raw IS NOT NULL AND CAST(order_key AS BIGINT) % 10 <> 3")},
+    stored_rows AS (SELECT l.* FROM live l JOIN changes c USING (source, order_key) WHERE c.change IN ('inserted', 'updated')
+        UNION ALL SELECT b.* REPLACE (b.amount_cents - CASE c.k WHEN 1 THEN 1 ELSE 0 END AS amount_cents) FROM before b JOIN changes c USING (source, order_key) WHERE c.change = 'unchanged')"""
+
+
+@query(f"""WITH {STORED_SQL}, {parity_side_sql('l', 'live')}, {parity_side_sql('r', 'stored_rows')}
+    SELECT filter_case, count(l.order_key) AS live_rows, count(r.order_key) AS stored_rows, count(CASE WHEN l.order_key IS NULL OR r.order_key IS NULL OR {' OR '.join(f'l.{c} IS DISTINCT FROM r.{c}' for c in PARITY_FIELDS)} THEN 1 END) AS differences
+    FROM l FULL JOIN r USING (filter_case, source, order_key) GROUP BY 1""")
+def cf7_read_model_parity(t: Tables) -> DataFrame:
+    """Orders mapped from all events against the stored table, of which only a quarter is fresh, under nine filters."""
+    events = landed(t)
+    stored = orders.materialize(half_current(t, events), events, resolved(t), date(1998, 1, 1), date(1998, 3, 31)).where("change <> 'deleted'")
+    return cashflow.parity(orders.map_orders(mapped_events(events, resolved(t))), stored, {name: test() for name, test, _ in PARITY_CASES}, PARITY_FIELDS, *PERIOD)
+
+
+@query(f"""WITH {MAPPED_SQL}, page AS (SELECT *, row_number() OVER (ORDER BY occurred_at DESC, source, order_key) AS nth FROM mapped WHERE {IN_PERIOD})
+    SELECT source, order_key, CAST(ceil(nth / 20) AS INT) AS page FROM page WHERE nth <= 40""")
+def cf7_parity_pages(t: Tables) -> DataFrame:
+    """The first two pages of the period: no order on both, newest first."""
+    rows = filters.transactions(orders.map_orders(mapped_events(landed(t), resolved(t))), start=PERIOD[0], end=PERIOD[1]).select("source", "order_key", "occurred_at")
+    first, second = (paging.page(rows, paging.orders_order(), 20, 20 * (n - 1)).select("source", "order_key", F.lit(n).alias("page")) for n in (1, 2))
+    return first.unionByName(second)
 
 
 @query("""SELECT order_key, CASE WHEN CAST(order_key AS BIGINT) % 3 = 0 THEN 'inserted' WHEN CAST(order_key AS BIGINT) % 3 = 1 THEN 'updated' ELSE 'unchanged' END AS change FROM orders_fx""")
@@ -960,12 +1159,24 @@ def rec6_maturity(t: Tables) -> DataFrame:
     return reconcile.maturity(pipeline_days(t), ZONE).select("day", "is_mature")
 
 
-@query("""SELECT CAST(started_at AS DATE) AS day, CASE WHEN status = 'failed' THEN 'falhou' WHEN id % 7 = 0 THEN 'formato_desconhecido' WHEN id % 7 = 1 THEN 'provisoria' WHEN id % 7 = 2 THEN 'divergente' ELSE 'conferido' END AS verdict,
-    CASE WHEN status <> 'failed' AND id % 7 = 2 THEN 'divergence' WHEN status <> 'failed' AND id % 7 = 1 THEN 'informational' ELSE 'none' END AS alert FROM (SELECT *, row_number() OVER (PARTITION BY CAST(started_at AS DATE) ORDER BY started_at DESC, id DESC) AS nth FROM job_runs_fx) WHERE nth = 1""")
+@query("""WITH runs AS (SELECT *, CAST(started_at AS DATE) AS day, id % 7 AS k, row_number() OVER (PARTITION BY CAST(started_at AS DATE) ORDER BY started_at DESC, id DESC) AS nth FROM job_runs_fx WHERE day(started_at) % 6 <> 0),
+    days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
+    SELECT d.day, CASE WHEN r.id IS NULL THEN 'sem_registro' WHEN status = 'failed' THEN 'falhou' WHEN k = 0 THEN 'formato_desconhecido' WHEN k IN (1, 3, 4) THEN 'provisoria' WHEN k = 2 THEN 'divergente' ELSE 'conferido' END AS verdict,
+    CASE WHEN r.id IS NULL OR status = 'failed' THEN 'none' WHEN k = 2 THEN 'divergence' WHEN k = 3 THEN 'informational' ELSE 'none' END AS alert,
+    CASE WHEN r.id IS NULL OR status = 'failed' THEN '' WHEN k = 1 THEN 'sem_resolucao,sem_ledger,materializacao_antiga' WHEN k = 3 THEN 'resolucao_ilegivel,materializacao_antiga' WHEN k = 4 THEN 'sem_maturidade' ELSE '' END AS pending
+    FROM days d LEFT JOIN runs r ON r.day = d.day AND nth = 1""")
 def rec7_verification_verdict(t: Tables) -> DataFrame:
     k = F.col("id") % 7
-    result = F.when(k == 0, "{}").otherwise(F.to_json(F.struct(F.array(F.struct((k == 2).alias("diverges"))).alias("metrics"), F.struct((k != 1).alias("isMature")).alias("maturity"))))
-    return reconcile.verdict(t.job_runs_fx.withColumns({"day": F.to_date("started_at"), "result": result}))
+    maturity = F.struct(
+        (~k.isin(1, 3)).alias("isMature"),
+        F.when(k == 1, 7).when(k != 3, 0).alias("unresolvedOrders"),
+        F.when(k == 1, 2).otherwise(0).alias("ordersWithoutLedger"),
+        (~k.isin(1, 3)).alias("materializedAfterWindow"),
+    )
+    result = F.struct(F.array(F.struct(F.lit("gross").alias("label"), k.isin(2, 3).alias("diverges"))).alias("metrics"), F.when(k != 4, maturity).alias("maturity"))
+    runs = t.job_runs_fx.where(F.dayofmonth("started_at") % 6 != 0)
+    runs = runs.withColumns({"day": F.to_date("started_at"), "result": F.when(k == 0, "{}").otherwise(F.to_json(result))})
+    return reconcile.verdict(runs, t.events.select(F.to_date("ts").alias("day")))
 
 
 @query("""SELECT external_order_id, CASE WHEN open AND k % 3 = 0 THEN 'aceito' ELSE status END AS status, CASE WHEN open AND k % 3 = 1 THEN least(attempts, 4) ELSE attempts END AS attempts, CASE WHEN open AND k % 3 = 0 THEN 'ana' END AS reviewed_by
@@ -981,6 +1192,94 @@ def rec9_reconciliation_summary(t: Tables) -> DataFrame:
     return reconcile.summary(t.divergences_fx)
 
 
+@query("""WITH due AS (SELECT * FROM divergences_fx WHERE status IN ('pendente', 'persistente') AND next_attempt_at <= TIMESTAMP '1998-01-01'), tried AS (SELECT *, CAST(external_order_id AS BIGINT) % 4 AS k FROM due WHERE attempts < 3)
+    SELECT (SELECT count(*) FROM divergences_fx) AS detected, (SELECT CAST(sum(abs(delta_cents)) AS BIGINT) FROM divergences_fx) AS drift_cents, (SELECT count(*) FROM divergences_fx WHERE status = 'corrigido') AS reconferred, (SELECT count(*) FROM due) AS queued,
+    count(CASE WHEN k = 0 THEN 1 END) AS corrected, count(CASE WHEN k = 1 THEN 1 END) AS still_diverging, count(CASE WHEN k = 2 THEN 1 END) AS failed, count(CASE WHEN k = 3 THEN 1 END) AS exhausted, (SELECT count(*) FROM due) - count(*) AS deferred FROM tried""")
+def rec9_correction_round(t: Tables) -> DataFrame:
+    due = t.divergences_fx.where(F.col("status").isin(V.OPEN_STATES) & (F.col("next_attempt_at") <= ntz(datetime(1998, 1, 1))))
+    outcomes = F.array(*map(F.lit, ("corrected", "diverging", "failed", "exhausted")))
+    tried = due.where("attempts < 3").withColumn("outcome", F.get(outcomes, (F.col("external_order_id").cast("long") % 4).cast("int")))
+    return reconcile.run_summary(t.divergences_fx, due, tried, t.divergences_fx)
+
+
+# ---- landed extracts, snapshots, backfills and ingestion
+
+
+def landed_orders(t: Tables) -> DataFrame:
+    """Storefront orders as landed pages of JSON, a hundred a page, read back."""
+    rows = payload_events(t).where((F.col("source") == V.STOREFRONT) & F.col("id").startswith("ev-"))
+    body = F.regexp_replace("payload_json", r"^\{", '{"id":7,"total_tax":"1.25","currency":"BRL",')
+    body = F.regexp_replace(body, '^\\{"id":7', F.concat(F.lit('{"id":'), F.col("external_order_id")))
+    pages = rows.groupBy(F.floor(F.col("external_order_id").cast("long") / 100).alias("page")).agg(F.array_join(F.collect_list(body), ",").alias("orders"))
+    path = scratch(t.spark, "landed-orders")
+    pages.select(F.concat(F.lit('{"orders": [\n'), "orders", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return orders_extract(t.spark, path)
+
+
+@query("SELECT order_key AS external_id, order_key AS name, status <> 'rejected' AS paid FROM orders_fx WHERE source = 'shopify'")
+def src8_read_orders_extract(t: Tables) -> DataFrame:
+    p = F.col("p")
+    return landed_orders(t).select(p["id"].alias("external_id"), p["name"].alias("name"), S.paid_token(p["financial_status"]).alias("paid"))
+
+
+@query(f"""SELECT order_key AS external_id, '#' || order_key AS order_number, CASE WHEN payment_method_raw = 'shopify_store_credit' THEN 'Crédito em loja' ELSE payment_method_raw END AS payment_method_raw, {METHOD_SQL} AS payment_method_normalized,
+    coalesce(shipping_cents, 0) AS shipping_cents, coalesce(discount_cents, 0) AS discount_cents, CAST(125 AS BIGINT) AS tax_cents, CAST(0 AS BIGINT) AS fee_cents, CASE CAST(order_key AS BIGINT) % 5 WHEN 0 THEN 0 ELSE amount_cents END AS amount_cents, 'BRL' AS currency,
+    CAST(occurred_at AS TIMESTAMP) AS occurred_at, 'Pedido #' || order_key AS description FROM orders_fx WHERE source = 'shopify'""")
+def mat4_map_orders_from_extract(t: Tables) -> DataFrame:
+    return orders.map_extract(landed_orders(t)).withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
+@query(f"SELECT id, type, amount_cents FROM entries_fx WHERE {local('occurred_at')} = DATE '1998-03-04'")
+def snk5_snapshot_day(t: Tables) -> DataFrame:
+    """Two days saved, the first of them twice, and one read back."""
+    path = scratch(t.spark, "snapshots")
+    for day in (date(1998, 3, 4), date(1998, 3, 5), date(1998, 3, 4)):
+        sinks.snapshot_day(t.entries_fx, day, ZONE, path)
+    return sinks.read_snapshot(t.spark, date(1998, 3, 4), path).select("id", "type", "amount_cents")
+
+
+GAPPED_SQL = "gapped AS (SELECT * FROM raw_events_fx WHERE NOT (received_at >= TIMESTAMP '2024-01-10' AND received_at < TIMESTAMP '2024-01-14' AND CAST(id AS BIGINT) % 3 = 0))"
+WINDOW_SQL = "received_at >= TIMESTAMP '2024-01-08' AND received_at < TIMESTAMP '2024-01-12'"
+
+
+def gapped(t: Tables) -> DataFrame:
+    """The events without a third of those of some days."""
+    lost = (F.col("received_at") >= ntz(datetime(2024, 1, 10))) & (F.col("received_at") < ntz(datetime(2024, 1, 14))) & (F.col("id").cast("long") % 3 == 0)
+    return t.raw_events_fx.where(~lost)
+
+
+@query(f"WITH {GAPPED_SQL} SELECT id, CASE WHEN id IN (SELECT id FROM gapped) THEN 'unchanged' ELSE 'inserted' END AS change FROM raw_events_fx WHERE id IN (SELECT id FROM gapped) OR ({WINDOW_SQL})")
+def snk9_backfill_window(t: Tables) -> DataFrame:
+    filled = sinks.backfill_window(gapped(t), t.raw_events_fx, datetime(2024, 1, 8), datetime(2024, 1, 12), datetime(2024, 1, 1), ["status", "total_cents"])
+    return filled.select("id", "change")
+
+
+@query(f"""WITH {GAPPED_SQL}, m AS (SELECT source, count(*) AS n FROM gapped WHERE {WINDOW_SQL} GROUP BY 1), u AS (SELECT source, count(*) AS n FROM raw_events_fx WHERE {WINDOW_SQL} GROUP BY 1)
+    SELECT source, coalesce(m.n, 0) AS mirrored, coalesce(u.n, 0) AS upstream, coalesce(u.n, 0) - coalesce(m.n, 0) AS missing FROM m FULL JOIN u USING (source)""")
+def snk9_window_counts(t: Tables) -> DataFrame:
+    return sinks.window_counts(gapped(t), t.raw_events_fx, datetime(2024, 1, 8), datetime(2024, 1, 12))
+
+
+@query("""WITH stored AS (SELECT * FROM raw_events_fx WHERE received_at < TIMESTAMP '2024-01-20' AND CAST(id AS BIGINT) % 50 <> 0), edge AS (SELECT max(received_at) - INTERVAL '300' SECOND AS edge_at FROM stored)
+    SELECT id, received_at FROM raw_events_fx, edge WHERE received_at >= edge_at AND id NOT IN (SELECT id FROM stored)""")
+def str1_ingest_incremental(t: Tables) -> DataFrame:
+    """What a mirror that stops on one day, with gaps, takes from all arrivals, some of them twice."""
+    stored = t.raw_events_fx.where((F.col("received_at") < ntz(datetime(2024, 1, 20))) & (F.col("id").cast("long") % 50 != 0))
+    arrivals = t.raw_events_fx.unionByName(t.raw_events_fx.where(F.col("id").cast("long") % 4 == 0))
+    return ingest.incremental(stored, arrivals, datetime(2024, 1, 1)).select("id", "received_at")
+
+
+@query("SELECT event_id, event_type FROM events")
+def str4_dedupe_notifications(t: Tables) -> DataFrame:
+    """Notifications as a stream of files in which a third comes twice: each is taken once."""
+    landed, out = scratch(t.spark, "notifications"), scratch(t.spark, "unseen")
+    rows = t.events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows.unionByName(rows.where("event_id % 3 = 0")).write.parquet(landed)
+    stream = ingest.unseen(ingest.source(t.spark, landed, rows.schema), kept="60 days")
+    ingest.run_once(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), scratch(t.spark, "checkpoint"))
+    return t.spark.read.parquet(out).select("event_id", "event_type")
+
+
 # ---- health
 
 EXPECTED = [("purchase", 240, 8, 60), ("refund", 900, 4, 300), ("click", 180, 500, 300), ("view", 1560, 1, 300), ("never", 60, 1, 60)]

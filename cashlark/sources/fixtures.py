@@ -41,7 +41,7 @@ FIXTURES = {
         l_partkey % 101 = 0 AS test FROM {payment_tx_fx} WHERE status = 'success' AND kind IN ('sale', 'capture', 'change') AND gateway_raw <> 'shopify_store_credit'""",
     "job_runs_fx": f"""SELECT event_id AS id, event_type AS job_name, ts AS started_at, {cents('value')} AS duration_ms, CASE event_id % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'ok' END AS status,
         CASE WHEN event_id % 6 = 0 THEN 'manual' ELSE 'cf-cron-' || CAST(event_id AS STRING) END AS request_id,
-        CASE event_id % 50 WHEN 0 THEN 'timeout after 60 s' WHEN 10 THEN 'HTTP 429' WHEN 20 THEN '401 Unauthorized' WHEN 30 THEN 'HTTP 503' WHEN 40 THEN 'broken' END AS error_message FROM {{events}}""",
+        CASE event_id % 50 WHEN 0 THEN 'request Timed Out after 60 s' WHEN 10 THEN 'Invalid value of occurredAt' WHEN 20 THEN 'socket hang up' WHEN 30 THEN 'Unique violation: id' WHEN 40 THEN 'broken' END AS error_message FROM {{events}}""",
     "divergences_fx": f"""SELECT CAST(o_orderkey AS STRING) AS external_order_id, CAST(o_orderdate AS DATE) AS day, {cents('o_totalprice')} AS tender_cents, {cents('o_totalprice / 2')} AS ledger_cents_before,
         {cents('o_totalprice')} - {cents('o_totalprice / 2')} AS delta_cents,
         CASE o_orderkey % 6 WHEN 0 THEN 'pendente' WHEN 1 THEN 'persistente' WHEN 2 THEN 'corrigido' WHEN 3 THEN 'sem_correcao' WHEN 4 THEN 'aceito' ELSE 'pendente' END AS status,

@@ -15,7 +15,7 @@ _MONEY = "struct<shop_money:struct<amount:string>>"
 #: Fields of both sources' payloads.
 ORDER_PAYLOAD = ", ".join(
     [
-        *(f"{c} string" for c in "id name order_number number financial_status display_financial_status total_price current_total_price subtotal_price current_subtotal_price total_tax total_discounts current_total_discounts total_shipping_price currency processed_at created_at updated_at updatedAt gateway note tags".split()),
+        *(f"{c} string" for c in "id name order_number number financial_status display_financial_status total_price current_total_price subtotal_price current_subtotal_price total_line_items_price total_tax total_discounts current_total_discounts total_shipping_price currency processed_at created_at updated_at updatedAt gateway note tags".split()),
         *(f"{c} {_MONEY}" for c in "total_shipping_price_set current_total_shipping_price_set current_total_discounts_set current_total_tax_set current_total_additional_fees_set".split()),
         "payment_gateway_names array<string>",
         "note_attributes array<struct<name:string,value:string>>",

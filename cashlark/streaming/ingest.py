@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,23 @@ def fresh_events(stream: DataFrame, key: str = "id", stamp: str = "received_at",
     return timed.withWatermark(stamp, grace).dropDuplicatesWithinWatermark([key])
 
 
+def incremental(stored: DataFrame, arrivals: DataFrame, floor: datetime, key: str = "id", stamp: str = "received_at", grace_seconds: int = 300) -> DataFrame:
+    """Arrivals that a mirror lacks: read again from its newest instant less the grace, or from the floor if it is empty.
+
+    Ids that are stored are never taken twice, however old they are; of repeated
+    arrivals one is taken, the first by time.
+    """
+    top = stored.agg(F.max(stamp).alias("_top"))
+    start = F.greatest(F.coalesce(F.col("_top") - F.make_interval(secs=F.lit(grace_seconds)), F.lit(floor)), F.lit(floor))
+    late = arrivals.join(top, F.lit(True)).where(F.col(stamp) >= start).drop("_top")  # the right side is one row
+    return first_by(late, [key], [F.col(stamp)]).join(stored.select(key), key, "left_anti").select(arrivals.columns)
+
+
+def unseen(stream: DataFrame, key: str = "event_id", stamp: str = "ts", kept: str = "7 days") -> DataFrame:
+    """Notifications by the first that carries each id; ids are remembered for the time that senders may repeat them."""
+    return stream.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, kept).dropDuplicatesWithinWatermark([key])
+
+
 def daily_totals(stream: DataFrame, stamp: str = "processed_at", late: str = "2 days", offset: str = "3 hours") -> DataFrame:
     """Cents and number of payments per gateway and local day, a day of UTC moved by ``offset``."""
     timed = stream.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, late)

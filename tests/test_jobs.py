@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cashlark import registry
-from cashlark.operators import dedup, state
+from cashlark.operators import dedup, ranks, state
 from cashlark.plans import cashflow, health, imports, orders, reconcile
 from cashlark.sources import sinks
 from cashlark.sources.fixtures import Tables
@@ -164,3 +164,80 @@ def test_empty_legs_clear_only_on_request(spark):
     none, orders_ = ledger.where("false"), ledger.select("external_order_id").limit(1)
     assert state.replace_legs(ledger, none, orders_).count() == 2
     assert state.replace_legs(ledger, none, orders_, clear_empty=True).count() == 1
+
+
+def test_candidates_are_half_open_business_days(spark):
+    stamps = [datetime(2024, 1, 8, 2, 59, 59), datetime(2024, 1, 8, 3), datetime(2024, 1, 13, 2, 59, 59), datetime(2024, 1, 13, 3)]
+    rows = spark.createDataFrame([(f"e{i}", f"o{i}", "shopify", "{}", at) for i, at in enumerate(stamps)], "id string, external_order_id string, source string, payload_json string, received_at timestamp")
+    assert sorted(r["order_key"] for r in orders.candidates(rows, date(2024, 1, 10), date(2024, 1, 10)).collect()) == ["o1", "o2"]
+
+
+def paid_event(order, amount, at):
+    return (f"{order}-{at:%d%H}", order, "shopify", "order", '{"financial_status": "paid", "total_price": "%s", "created_at": "2024-01-10T12:00:00Z"}' % amount, at, None, "processed")
+
+
+EVENTS = "id string, external_order_id string, source string, event_type string, payload_json string, received_at timestamp, mirror_updated_at timestamp, processing_status string"
+
+
+def test_orders_resolved_late_are_materialised_again(spark, tmp_path):
+    day, now = date(2024, 1, 10), datetime(2024, 1, 11)
+    events = spark.createDataFrame([paid_event(f"o{i}", "10.00", datetime(2024, 1, 10, 12)) for i in range(8)], EVENTS)
+    none = registry.no_resolution(Tables(spark, SF))
+    path = str(tmp_path / "orders")
+    empty = spark.createDataFrame([], orders.map_orders(orders.joins.events_with_resolution(orders.newest_events(events), none)).schema)
+    sinks.write_orders(orders.materialize_day(empty, events, none, day, now), path, 4)
+    assert {(r["payment_method_raw"], r["materialized_at"]) for r in sinks.read_orders(spark, path).collect()} == {(None, now)}
+    stale, early = ("o3", "pix", datetime(2024, 1, 9), datetime(2024, 1, 20)), ("o4", "pix", datetime(2024, 1, 9), datetime(2024, 1, 1))
+    resolved = spark.createDataFrame([stale, early], "external_order_id string, gateway_raw string, processed_at timestamp, resolved_at timestamp")
+    before = {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "orders").glob("bucket=*")}
+    sinks.update_orders(events, resolved, path, 4, date(2024, 3, 1), date(2024, 3, 1), datetime(2024, 1, 21))
+    after = {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "orders").glob("bucket=*")}
+    rows = {r["order_key"]: r for r in sinks.read_orders(spark, path).collect()}
+    assert len(rows) == 8 and rows["o3"]["payment_method_raw"] == "pix" and rows["o3"]["occurred_at"] == datetime(2024, 1, 9) and rows["o3"]["materialized_at"] == datetime(2024, 1, 21)
+    assert rows["o4"]["payment_method_raw"] is None and sum(before[k] != after[k] for k in before) == 1
+    sinks.update_orders(events.withColumn("payload_json", F.lit("{}")), resolved, path, 4, day, day)
+    assert sinks.read_orders(spark, path).count() == 0
+
+
+def test_export_is_one_file_with_mark_and_headings(spark, tmp_path):
+    rows = spark.createDataFrame([('Loja "A"; B', None, None, None, "Pedido #7", "", "cash", datetime(2024, 1, 2, 1), 1050, None, 5, -3, 2)], "marketplace string, external_source string, source string, order_number string, description string, payment_method_raw string, payment_method_normalized string, occurred_at timestamp, amount_cents long, shipping_cents long, discount_cents long, tax_cents long, fee_cents long")
+    cashflow.write_export(cashflow.export_rows(rows, "America/Sao_Paulo"), str(tmp_path / "out"), single=True)
+    (file,) = (tmp_path / "out").glob("part-*")
+    assert file.read_text(encoding="utf-8") == '﻿Marketplace;Numero do pedido;Data;Forma de pagamento;Entrega;Descontos;Taxas;Valor\n"Loja ""A""; B";#7;01/01/2024;Dinheiro;0.00;0.05;-0.01;10.50\n'
+
+
+def test_ingestion_remembers_stored_ids(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1, h)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, received_at timestamp")
+    stored = frame([("a", at(1)), ("b", at(5))])
+    arrivals = frame([("a", at(9)), ("b", at(5)), ("c", datetime(2024, 1, 1, 4, 56)), ("d", at(2)), ("e", at(8)), ("e", at(8))])
+    assert sorted(r["id"] for r in ingest.incremental(stored, arrivals, at(0)).collect()) == ["c", "e"]
+    assert sorted(r["id"] for r in ingest.incremental(stored.limit(0), arrivals, at(3)).collect()) == ["a", "b", "c", "e"]
+
+
+def test_streamed_ingestion_equals_batch(spark, tmp_path):
+    rows = Tables(spark, SF).raw_events_fx.select("id", "received_at").withColumn("received_at", F.col("received_at").cast("timestamp"))
+    source, mirror = str(tmp_path / "in"), str(tmp_path / "mirror")
+    for part in rows.randomSplit([1.0, 1.0, 1.0], 3):
+        part.unionByName(rows.limit(20)).orderBy("received_at").coalesce(1).write.mode("append").parquet(source)
+    rows.limit(0).write.parquet(mirror)
+
+    def sink(batch, _):
+        ingest.incremental(spark.read.schema(rows.schema).parquet(mirror), batch, datetime(2024, 1, 1), grace_seconds=40 * 86400).write.mode("append").parquet(mirror)
+
+    ingest.run_once(ingest.source(spark, source, rows.schema, files_per_batch=1), sink, str(tmp_path / "checkpoint"))
+    found = [r["id"] for r in spark.read.parquet(mirror).collect()]
+    assert len(found) == len(set(found)) == rows.count()
+
+
+def test_numbers_and_gaps_need_no_whole_group(spark):
+    rng = random.Random(5)
+    rows = [("ab"[i % 7 > 0], i, datetime.fromtimestamp(1_700_000_000 + rng.randrange(10**6) * (1 + 9 * (i % 5 == 0)))) for i in range(300)] + [("c", 1, None)]
+    frame = spark.createDataFrame(rows, "g string, k long, ts timestamp")
+    for r in ranks.numbered(frame, "g", ["k"]).collect():
+        own = sorted(k for g, k, _ in rows if g == r["g"])
+        assert (r["_n"], own[r["_j"]]) == (len(own), r["k"])
+    found = {r["g"]: r["gap_micros"] for r in ranks.largest_gaps(frame, "g", "ts").collect()}
+    for g in "ab":
+        own = sorted(t for x, _, t in rows if x == g)
+        assert found[g] == max((b - a).total_seconds() for a, b in zip(own, own[1:])) * 1e6

@@ -78,3 +78,24 @@ def test_shipping(spark, json, shipping):
 )
 def test_payment_raw(spark, json, dominant, raw):
     assert money(spark, json, lambda p: S.payment_raw(p, F.lit(dominant).cast("string"))) == raw
+
+
+@pytest.mark.parametrize(
+    "rule,cases",
+    [
+        (S.money_locale, {"12d": 0, "1e3f": 0, "1e3": 100000, "\t7,5 ": 750, ".5": 50, "5.": 500, "+1": 100, "1,2,3": 0, "0x10": 0}),
+        (S.clean, {"\tpaid\n": "paid", " x ": "x", '{"a": 1}': None, "[1, 2]": None, "[PIX]": "[PIX]", "{x}": "{x}", " \t ": None}),
+        (S.paid_token, {"\tpaid": True, "pago\r\n": True, '{"status": "paid"}': False}),
+        (S.failure_reason, {"request Timed Out": "timeout", "Invalid DATE": "invalid_date", "invalid value of occurredAt": "invalid_date", "socket hang up": "database_error", "Unique constraint": "constraint_error", "HTTP 429": "unknown_error", "": "unknown_error", None: "unknown_error"}),
+        (lambda c: S.shown_order_number(c, F.lit("x pedido # ab-1 y")), {"12": "#12", "#12": "#12", "##12": "##12", "": "#ab-1", None: "#ab-1"}),
+        (lambda c: S.shown_order_number(F.lit(None), c), {"12": "—", "Pedido 12": "—", "PEDIDO #7": "#7", None: "—"}),
+        (lambda c: S.payment_label(F.lit(""), c), {"pix": "Pix", "cash": "Dinheiro", "nothing": "Não informado", None: "Não informado"}),
+    ],
+)
+def test_rules_at_their_edges(spark, rule, cases):
+    assert apply(spark, rule, list(cases)) == list(cases.values())
+
+
+def test_distinct_names_keep_their_order(spark):
+    rows = spark.createDataFrame([(["Visa", "cartão", "CARTAO", " ", "store credit", "Crédito em loja", "visa"],), (["Store Credit", "a"],), ([],), (None,)], "names array<string>")
+    assert [r[0] for r in rows.select(S.distinct_names(F.col("names"))).collect()] == ["store credit | Visa | cartão | Crédito em loja", "Store Credit | a", None, None]
