@@ -329,7 +329,7 @@ def _packed_warc(limit: int):
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
     """Convert ARC files to WARC files; equal HTTP payloads of at least ``least_bytes`` are written once."""
-    arrow_batches(spark, 200)
+    arrow_batches(spark)
     index = written(arc_index(spark, arc_path), "arc-index")
     original = F.struct("original.record_id", "original.url", "original.date").alias("original")
     later = roles(index, least_bytes).select("file", "at", original)
@@ -396,7 +396,7 @@ def with_originals(rows: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """Pages written as ARC, converted to WARC and read back: one row per page."""
     spark = pages.sparkSession
-    arrow_batches(spark, 200)
+    arrow_batches(spark)
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
     write_arc(pages, arc, key, url, html)
     convert(spark, arc, warc, least_bytes)

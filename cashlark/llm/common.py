@@ -4,34 +4,15 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, written
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
-
-    A local folder is used only where that setting is missing, as in tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_batches", "digest128", "scratch", "table", "text_of", "written"]
 
 
 @cache
@@ -42,11 +23,21 @@ def _shipped(application: str, context) -> None:
     context.addPyFile(shutil.make_archive(base, "zip", root, Path(__file__).resolve().parents[1].name))
 
 
-def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Prepare Python tasks: ship this package, and bound the Arrow batches that carry whole texts."""
+#: Most rows and bytes of the batches that Python tasks take, since a row may be a whole text.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Prepare Python tasks: ship this package, and bound the Arrow batches of the session where it sets no lower bound.
+
+    Plans read these bounds when they run, which may be after an operator has
+    returned, so they are one and the same for all operators and stay set.
+    """
     _shipped(spark.sparkContext.applicationId, spark.sparkContext)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for name, most in BATCH.items():
+        own = spark.conf.get(name, None)
+        if not (own and own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(name, str(most))
 
 
 def text_of(column: str = "text") -> Column:
