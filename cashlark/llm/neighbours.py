@@ -2,21 +2,30 @@
 
 Largest inner product becomes least distance by one more coordinate that gives
 all indexed vectors the same norm.  Vectors are rotated at random, so that the
-first coordinates of a difference are a fair sample of all, and each list keeps
-its vectors in blocks of columns.  For each query a list is scanned one column
+first coordinates of a difference are a fair sample of all, and a scan takes its
+vectors in blocks of columns.  For each query the lists are scanned one column
 block after the other: the partial distance estimates the whole one, and a
 hypothesis test abandons the candidates that would, with high confidence, lie
-beyond the query's present k-th distance.  The nearest list is scanned first and
-gives the bound for the other lists.
+beyond the query's present k-th distance.
 
-Centroids are fitted on a bounded sample (SAMPLE rows, by a hash of the id);
-every usable vector is indexed.  Long lists are split into blocks by a hash, and
-so are the queries of a list.  Scores are exact inner products of the original
-vectors in double precision.
+Lists are probed nearest first, in waves that end at the shares WAVES of all
+lists.  Each wave takes the k-th distance found so far as its bound, and leaves
+out the lists that cannot reach it: those of which the centre lies further away
+than bound and radius together, which is exact.  Queries that have found fewer
+than k vectors search all other lists.
+
+Neighbouring lists are scanned together, about SCAN vectors in a task, so a
+query travels once to such a group of lists and not to each list; longer lists
+are split by a hash.  Centroids are fitted on a bounded sample (SAMPLE rows, by a
+hash of the id); there are as many lists as the square root of the vectors, but
+no more than rows in the sample.  Every usable vector is indexed.  Scores are
+exact inner products of the original vectors in double precision.
 
 Vectors that are null, zero or hold null or non-finite components, rows with a
 null id, and vectors of another length than the commonest take no part.  Repeated
-ids are candidates once per row, but never for a query of the same id.
+ids are candidates once per row, but never for a query of the same id; of
+repeated query ids one row is asked.  Ties go to the smaller id; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,16 +41,16 @@ from .common import arrow_batches, written
 from .vectors import dimension, groups, list_column, matrix, rotation, usable
 
 SAMPLE, ROUNDS = 20_000, 8
-#: Vectors of a list and queries that one scan takes together.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors and queries that one scan takes together, and queries of which the first columns are compared at once.
+SCAN, QUERY_BLOCK, AT_ONCE = 16_384, 1024, 64
 #: Columns of a block, and how many standard deviations a candidate must lie beyond the bound.
 COLUMNS, CONFIDENCE = 16, 1.3
-#: Share of the lists that a query probes.
-PROBED = 0.75
+#: Shares of the lists, nearest first, after which each wave ends; 0 is the nearest list alone.
+WAVES = (0.0, 0.15, 0.75)
 
 
 def list_count(n: int) -> int:
-    return int(min(4096, max(1, round(np.sqrt(n)))))
+    return max(1, round(np.sqrt(n)))
 
 
 def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
@@ -63,71 +72,94 @@ def _lifted(values: np.ndarray, top: float | None) -> np.ndarray:
     return np.column_stack([values, extra])
 
 
-def scan_list(points: np.ndarray, query: np.ndarray, bound: float, k: int) -> np.ndarray:
-    """Rows of ``points`` that are not abandoned; ``points`` holds blocks of columns of rotated vectors."""
-    width, n = points.shape
-    alive, partial, done = np.arange(n), np.zeros(n), 0
-    while done < width:
-        part = points[done : done + COLUMNS] if len(alive) == n else points[done : done + COLUMNS, alive]
-        partial = partial + ((part - query[done : done + COLUMNS, None]) ** 2).sum(0)
-        done = min(width, done + COLUMNS)
-        if done < width:
-            if bound == np.inf:
-                continue
-            keep = partial * (width / done) <= bound * (1 + CONFIDENCE / np.sqrt(done)) ** 2
-        else:
+def _goes_on(partial: np.ndarray, done: int, width: int, bound: float) -> np.ndarray:
+    """Which candidates the test keeps after ``done`` of ``width`` columns."""
+    return partial * (width / done) <= bound * (1 + CONFIDENCE / np.sqrt(done)) ** 2
+
+
+def scan(points: np.ndarray, first: np.ndarray, query: np.ndarray, candidates: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that are not abandoned, with their distances; ``first`` has the distances by the first columns.
+
+    ``points`` holds a rotated vector in each column.
+    """
+    width, done = len(points), min(COLUMNS, len(points))
+    alive, partial = candidates, first[candidates]
+    while True:
+        if done == width:
             if len(alive) > k:
                 bound = min(bound, np.partition(partial, k - 1)[k - 1])
             keep = partial <= bound * (1 + 1e-9) + 1e-12
-        alive, partial = alive[keep], partial[keep]
-    return alive
+            return alive[keep], partial[keep]
+        if bound < np.inf:
+            keep = _goes_on(partial, done, width, bound)
+            alive, partial = alive[keep], partial[keep]
+        end = min(width, done + COLUMNS)
+        partial = partial + ((points[done:end, alive] - query[done:end, None]) ** 2).sum(0)
+        done = end
 
 
 def _scan(k: int):
-    """Each query's best of one block of a list, with exact scores and distances."""
+    """Each query's best among the vectors of a group of lists, with exact scores and distances."""
     names = ["query_id", "vec_id", "score", "distance"]
 
     def run(batches):
-        for rows in groups(batches, ["list", "block", "query_block"]):
+        for rows in groups(batches, ["part", "query_block"]):
             asks = rows.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
             if asks.all() or not asks.any():
                 continue
             ids, values, turned = rows.column("id").to_numpy(), matrix(rows.column("vector")), matrix(rows.column("turned"))
-            bounds = rows.column("bound").to_numpy()
-            own_ids, own_values = ids[~asks], values[~asks]
-            points = np.ascontiguousarray(turned[~asks].T)
-            out = []
-            for q in np.flatnonzero(asks):
-                near = scan_list(points, turned[q], bounds[q], k + 1)
-                near = near[own_ids[near] != ids[q]]
-                scores = own_values[near] @ values[q]
-                best = np.lexsort((own_ids[near], -scores))[:k]
-                at = near[best]
-                out.append((np.full(len(at), ids[q]), own_ids[at], scores[best], ((points[:, at] - turned[q][:, None]) ** 2).sum(0)))
+            lists, bounds = rows.column("lists").combine_chunks(), rows.column("bound").to_numpy()
+            own_ids, own_values, points = ids[~asks], values[~asks], np.ascontiguousarray(turned[~asks].T)
+            own_list = lists.filter(pa.array(~asks)).flatten().to_numpy()
+            start = points[: min(COLUMNS, len(points))]
+            squares, out = (start**2).sum(0), []
+            for some in np.array_split(np.flatnonzero(asks), -(-asks.sum() // AT_ONCE)):
+                q = turned[some][:, : len(start)]
+                firsts = np.maximum((q**2).sum(1)[:, None] - 2 * q @ start + squares, 0)
+                for first, at in zip(firsts, some):
+                    candidates = np.flatnonzero(np.isin(own_list, lists[int(at)].values.to_numpy()) & (own_ids != ids[at]))
+                    near, distance = scan(points, first, turned[at], candidates, bounds[at], k)
+                    scores = own_values[near] @ values[at]
+                    best = np.lexsort((own_ids[near], -scores))[:k]
+                    out.append((np.full(len(best), ids[at]), own_ids[near[best]], scores[best], distance[best]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
     return run
 
 
-def _probe(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Scan lists: ``asked`` has a row for each query and list."""
-    per_list = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    per_query = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    sizes = written(per_list.join(per_query, "list"), "list-sizes")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    some = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    stored = index.join(sizes, "list").withColumn("block", some("blocks")).withColumn("query_block", every("query_blocks")).withColumn("bound", F.lit(0.0)).withColumn("is_query", F.lit(False))
-    asking = asked.join(sizes, "list").withColumn("query_block", some("query_blocks")).withColumn("block", every("blocks")).withColumn("is_query", F.lit(True))
-    columns = ["list", "block", "query_block", "is_query", "id", "vector", "turned", "bound"]
-    key = ["list", "block", "query_block"]
+def scan_parts(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """For each list (number, vectors) its first part and the parts that it is split into; short lists share a part."""
+    out, part, filled = [], 0, 0
+    for number, n in sizes:
+        if filled and filled + n > SCAN:
+            part, filled = part + 1, 0
+        own = max(1, -(-n // SCAN))
+        out.append((number, part, own))
+        filled += n
+        if own > 1:
+            part, filled = part + own, 0
+    return out
+
+
+def _probe(index: DataFrame, queries: DataFrame, asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """Scan lists: ``asked`` has a row (id, list, bound) for each query and list."""
+    # As many rows as there are lists, which SAMPLE bounds.
+    wanted = asked.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence("first", F.col("first") + F.col("own") - 1)))
+    wanted = wanted.groupBy("id", "part").agg(F.collect_set("list").alias("lists"), F.first("bound").alias("bound"))
+    busy = wanted.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    asking = wanted.join(busy, "part").join(queries, "id").withColumns({"query_block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "is_query": F.lit(True)})
+    stored = index.join(busy, "part").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    stored = stored.withColumns({"lists": F.array("list"), "bound": F.lit(0.0), "is_query": F.lit(False)})
+    columns = ["part", "query_block", "is_query", "id", "vector", "turned", "lists", "bound"]
+    key = ["part", "query_block"]
     both = stored.select(columns).union(asking.select(columns)).repartition(*key).sortWithinPartitions(*key)
     return written(both.mapInArrow(_scan(k), "query_id long, vec_id long, score double, distance double"), "found")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", probed: float = PROBED) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", waves: tuple[float, ...] = WAVES) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query its ``k`` nearest found by inner product, ties to the smaller id."""
     spark = rows.sparkSession
-    arrow_batches(spark, 2000)
+    arrow_batches(spark)
     sound = rows.where(usable(vector) & F.col(key).isNotNull())
     n = dimension(sound, vector)
     sound = sound.where(F.size(vector) == n).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -135,37 +167,57 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     total, top = sound.agg(F.count("*"), F.max(norm)).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    turn, lists = rotation(n + 1, 3), list_count(total)
+    turn = rotation(n + 1, 3)
     # At most SAMPLE rows reach the driver.
     sample = np.array([r["vector"] for r in sound.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()], float)
-    centres = centroids(_lifted(sample, top) @ turn, min(lists, len(sample)))
-    probes = max(1, int(np.ceil(len(centres) * probed)))
+    centres = centroids(_lifted(sample, top) @ turn, min(list_count(total), len(sample)))
 
     def assigned(queries: bool, count: int):
+        """Turned vectors with their ``count`` nearest lists and the distances to these."""
+
         def run(batches):
             for batch in batches:
                 turned = _lifted(matrix(batch.column("vector")), None if queries else top) @ turn
-                far = (centres**2).sum(1)[None, :] - 2 * turned @ centres.T
-                order = np.argsort(far, axis=1, kind="stable")[:, :count].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), list_column(turned, pa.float64()), list_column(order, pa.int32())], ["id", "vector", "turned", "lists"])
+                far = np.sqrt(np.maximum((turned**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2 * turned @ centres.T, 0))
+                order = np.argsort(far, axis=1, kind="stable")[:, :count]
+                columns = [list_column(turned, pa.float64()), list_column(order.astype(np.int32), pa.int32()), list_column(np.take_along_axis(far, order, 1), pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), *columns], ["id", "vector", "turned", "lists", "away"])
 
         return run
 
     doubles = T.ArrayType(T.DoubleType())
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", doubles), T.StructField("turned", doubles), T.StructField("lists", T.ArrayType(T.IntegerType()))])
+    fields = {"id": T.LongType(), "vector": doubles, "turned": doubles, "lists": T.ArrayType(T.IntegerType()), "away": doubles}
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
     index = sound.select("id", "vector").mapInArrow(assigned(False, 1), schema)
-    index = written(index.select("id", "vector", "turned", F.col("lists")[0].alias("list")), "index")
-    asked = sound.where("asks").dropDuplicates(["id"]).select("id", "vector").mapInArrow(assigned(True, probes), schema)
-    asked = written(asked, "queries")
-    nearest = _probe(index, asked.select("id", "vector", "turned", F.col("lists")[0].alias("list"), F.lit(float("inf")).alias("bound")), k)
-    kth = nearest.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("distance"))).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
-    others = asked.join(kth, "id", "left").select("id", "vector", "turned", F.explode(F.slice("lists", 2, max(1, probes))).alias("list"), F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    found = nearest.union(_probe(index, others, k))
-    if probes < len(centres):
+    index = written(index.select("id", "vector", "turned", F.col("lists")[0].alias("list"), F.col("away")[0].alias("away")), "lists")
+    sizes = sorted((r["list"], r["n"], r["radius"]) for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect())
+    radius = {number: r for number, _, r in sizes}
+    parts = spark.createDataFrame([(*p, radius[p[0]]) for p in scan_parts([(number, m) for number, m, _ in sizes])], "list int, first int, own int, radius double")
+    split = F.col("first") + F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
+    index = written(index.join(F.broadcast(parts), "list").select("id", "vector", "turned", "list", split.alias("part")), "index")
+    queries = written(sound.where("asks").dropDuplicates(["id"]).select("id", "vector").mapInArrow(assigned(True, len(centres)), schema), "queries")
+    vectors = queries.select("id", "vector", "turned")
+
+    def probed(found: DataFrame | None, low: int, high: int, which: DataFrame) -> DataFrame:
+        """The lists from place ``low`` to ``high`` that can still hold a nearer vector."""
+        lists = which.select("id", F.explode(F.slice(F.arrays_zip("lists", "away"), low + 1, high - low)).alias("l")).select("id", F.col("l.lists").alias("list"), F.col("l.away").alias("away"))
+        if found is None:
+            return lists.select("id", "list", F.lit(float("inf")).alias("bound"))
+        nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance"))
+        kth = found.withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
+        bounded = lists.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).join(F.broadcast(parts.select("list", "radius")), "list")
+        return bounded.where(F.col("away") - F.col("radius") <= F.sqrt("bound") * (1 + 1e-9)).select("id", "list", "bound")
+
+    found, low = None, 0
+    for share in waves:
+        high = min(len(centres), max(low + 1, int(np.ceil(len(centres) * share))))
+        if high > low:
+            more = _probe(index, vectors, probed(found, low, high, queries), parts.select("list", "first", "own"), k)
+            found, low = more if found is None else found.union(more), high
+    if low < len(centres):
         enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
-        short = written(asked.join(enough, "id", "left_anti").select("id", "vector"), "short-queries")
+        short = written(queries.join(enough, "id", "left_anti"), "short-queries")
         if not short.isEmpty():  # their probed lists hold fewer than k vectors
-            rest = short.mapInArrow(assigned(True, len(centres)), schema).select("id", "vector", "turned", F.explode(F.slice("lists", probes + 1, len(centres))).alias("list"), F.lit(float("inf")).alias("bound"))
-            found = found.union(_probe(index, rest, k))
+            found = found.union(_probe(index, vectors, probed(None, low, len(centres), short), parts.select("list", "first", "own"), k))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
