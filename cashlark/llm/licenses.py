@@ -1,51 +1,52 @@
 """License scan by a positional index of rare words, in DataFrame functions only.
 
-The words of all licence templates form the index.  One pass over the corpus
-counts in how many documents each of them occurs; these counts give each word's
-IDF.  A template counts as present where its mandatory key phrase stands.  Each
-such place is scored by the template's highest-IDF words whose postings agree
-with it, then by all words in place, and the best place counts; words elsewhere
-change nothing.  Base phrases are counted wherever their words stand together.
-
-All work on a document stays in its row.  Null and empty texts have no words;
-repeated rows and null ids are scanned like any others.
+The index holds, of each licence text, its RARE_WORDS highest-IDF words and the
+highest-IDF word of each mandatory phrase, with their places in the text.  IDF
+comes from a pass over all documents that counts in how many of them each licence
+word occurs.  A second pass looks up where a document has index words; a word at
+place i that a text has at place p votes for the text at offset i - p.  Each
+offset voted for is verified: all mandatory phrases of the text have to stand in
+place.  It is scored by the share of the text's words that do, and the best
+offset counts, so that strays elsewhere change nothing.  As every phrase has a
+word in the index, no place where the phrases stand is missed.
+
+Base phrases are counted wherever their words stand together, on their own.
+
+All work on a document stays in its row.  Licence texts are a parameter; they
+reach the tasks as constants of the plan, of at most MOST_WORDS words.  Null and
+empty texts have no words; repeated rows and null ids are scanned like any
+others; an empty table gives no rows; columns beside id and text are not carried.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
-
-# Base phrases with their labels, and licence notices with their mandatory phrases.
-BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = {
-    "mit-notice": ("released under the mit license", "mit license"),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    "apache-2.0": ("licensed under the apache license version 2 0", "apache license version 2 0"),
-    "gpl-3.0": ("licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    "gpl-2.0": ("licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    "cc-by-nc-4.0": ("licensed under cc by nc 4 0", "cc by nc 4 0"),
-    "cc-by-4.0": ("licensed under cc by 4 0", "cc by 4 0"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-}
-#: How many of the rarest words of a template are looked up to find its best place.
+from .common import text_of
+from .license_texts import BASE, TEMPLATES
+
+#: How many of the rarest words of a licence text are in the index, beside one of each phrase.
 RARE_WORDS = 3
+#: Words that all licence texts may have together.
+MOST_WORDS = 1_000_000
 #: Score of a document with base phrases alone.
 BASE_SCORE = 0.5
+#: Votes are numbers: text, then offset moved up so that it is positive.
+_SHIFT, _ZERO = 40, 1 << 39
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def index_words() -> list[str]:
-    return sorted({w for text, phrase in TEMPLATES.values() for w in f"{text} {phrase}".split()} | {w for p in BASE for w in p.split()})
+def words_of(text: str) -> list[str]:
+    """The words of a text in order, on the driver."""
+    return re.findall(WORD, text.translate(str.maketrans(ascii_uppercase, ascii_lowercase)))
 
 
 def _words(text: Column) -> Column:
@@ -55,94 +56,122 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
-def _starts(hits: Column, words: list[str]) -> Column:
-    """Which hits the words stand consecutively from, counted from 0; such words are neighbours among the hits too."""
-
-    def here(hit, j):
-        tests = [hit["w"] == words[0]]
-        for k, word in enumerate(words[1:], 1):
-            later = F.get(hits, j + k)
-            tests.append((later["w"] == word) & (later["i"] == hit["i"] + k))
-        return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
-
-    return F.array_compact(F.transform(hits, lambda hit, j: F.when(here(hit, j), j)))
-
-
-def postings(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Per row: ``keep``, the number of words, the index words it has, and where they stand.
-
-    Positions are kept only where some template or base phrase has all its words.
-    """
-    vocabulary = index_words()
-    needed = [[F.array_contains("present", w) for w in sorted(set(p.split()))] for p in [*BASE, *[p for _, p in TEMPLATES.values()]]]
-    possible = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, ws) for ws in needed])
-    rows = docs.select(*keep, _words(text_of(text)).alias("words"))
-    rows = rows.select(*keep, F.size("words").cast("long").alias("n_words"), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(vocabulary)).alias("hits"))
-    rows = rows.withColumn("present", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["w"]))))
-    return rows.withColumn("hits", F.when(possible, F.col("hits")).otherwise(F.array().cast(rows.schema["hits"].dataType)))
-
-
-def rarity(rows: DataFrame) -> dict[str, float]:
-    """IDF of every index word over all rows; as many values as the templates have words."""
-    total = rows.count()
-    counts = {r["w"]: r["n"] for r in rows.select(F.explode("present").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in index_words()}
-
-
-def _in_place(template: Column, offset: Column):
-    """Whether a hit is the word that the template has at that place."""
-    return lambda hit: F.coalesce(F.get(template, hit["i"] - offset) == hit["w"], F.lit(False))
+def place_of(phrase: list[str], words: list[str]) -> int:
+    """Where a phrase first stands in a licence text."""
+    found = [t for t in range(len(words)) if words[t : t + len(phrase)] == phrase]
+    if not phrase or not found:
+        raise ValueError(f"the phrase {' '.join(phrase)!r} is not part of its licence text")
+    return found[0]
+
+
+def parsed(templates: dict[str, tuple[str, list[str]]]) -> list[tuple[str, list[str], list[tuple[int, list[str]]]]]:
+    """Name, words, and phrases with their places, of each licence text."""
+    out = []
+    for name, (text, phrases) in templates.items():
+        words = words_of(text)
+        out.append((name, words, [(place_of(p, words), p) for p in map(words_of, phrases)]))
+    if sum(len(words) for _, words, _ in out) > MOST_WORDS:
+        raise ValueError(f"the licence texts have more than {MOST_WORDS} words")
+    return out
+
+
+def rarity(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, float]:
+    """IDF of each word over all documents; as many values as there are words."""
+    known = F.array_distinct(F.filter(_words(text_of(text)), lambda w: w.isin(vocabulary)))
+    counts = {r["w"]: r["n"] for r in docs.select(F.explode(known).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    total = docs.count()
+    return {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in vocabulary}
+
+
+def postings(texts: list, idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """The index: each rare word with the licence texts that have it and its places there."""
+    found = defaultdict(list)
+    for number, (_, words, phrases) in enumerate(texts):
+        rarest = lambda some: sorted(set(some), key=lambda w: (-idf[w], w))
+        rare = {*rarest(words)[:RARE_WORDS], *(rarest(p)[0] for _, p in phrases)}
+        for place, word in enumerate(words):
+            if word in rare:
+                found[word].append((number, place))
+    return dict(found)
+
+
+def _strings(words: list[str]) -> Column:
+    """A constant array of words; folded once, however long."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+def _votes(words: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
+    """Every text and offset that an index word of the document speaks for, once."""
+    entries = [F.split(F.lit(" ".join(str((t << _SHIFT) - p + _ZERO) for t, p in places)), " ").cast("array<long>") for places in index.values()]
+    table = F.map_from_arrays(_strings(list(index)), F.array(*entries))
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(list(index)))
+    each = F.transform(hits, lambda h: F.transform(F.element_at(table, h["w"]), lambda v: v + h["i"]))
+    return F.array_distinct(F.flatten(each))
+
+
+def _matches(words: Column, votes: Column, texts: list) -> Column:
+    """Of the votes those at which all mandatory phrases stand: text number and share of its words in place."""
+    constants = F.array(
+        *[
+            F.struct(_strings(own).alias("words"), F.array(*[F.struct(F.lit(at).alias("at"), _strings(p).alias("words")) for at, p in phrases]).alias("phrases"))
+            for _, own, phrases in texts
+        ]
+    )
+    number = lambda v: F.shiftright(v, _SHIFT).cast("int")
+    offset = lambda v: (v.bitwiseAND((1 << _SHIFT) - 1) - _ZERO).cast("int")
+    stands = lambda own, at: F.transform(own, lambda w, j: F.coalesce(F.get(words, at + j) == w, F.lit(False)))
+    whole = lambda v: F.forall(F.get(constants, number(v))["phrases"], lambda p: F.forall(stands(p["words"], offset(v) + p["at"]), lambda x: x))
 
+    def scored(v):
+        own = F.get(constants, number(v))["words"]
+        return F.struct(number(v).alias("number"), (F.size(F.filter(stands(own, offset(v)), lambda x: x)) / F.size(own)).alias("share"))
 
-def _best(idf: dict[str, float], template: list[str], phrase: list[str], hits: Column, starts: Column) -> Column:
-    """Of all places where the mandatory phrase stands, the one with most of the template's rarest words and then most of its words in place: both counts, null if there is no such place."""
-    rare = sorted(set(template), key=lambda w: (-idf[w], w))[:RARE_WORDS]
-    begin = next(t for t in range(len(template)) if template[t : t + len(phrase)] == phrase)
-    words = F.array(*map(F.lit, template))
+    return F.transform(F.filter(votes, whole), scored)
 
-    def place(j):
-        # All that can be in place is among as many hits around the phrase as the template has words.
-        near = F.slice(hits, F.greatest(j - begin, F.lit(0)) + 1, F.lit(len(template)))
-        in_place = F.filter(near, _in_place(words, F.get(hits, j)["i"] - begin))
-        return F.struct(F.size(F.filter(in_place, lambda h: h["w"].isin(rare))).alias("rare"), F.size(in_place).alias("all"))
 
-    return F.array_max(F.transform(starts, place))
+def _base_places(words: Column, phrase: str) -> Column:
+    """Where a base phrase's words stand consecutively, from 0."""
+    own = phrase.split()
+    here = lambda w, i: reduce(lambda a, b: a & b, [w == own[0], *[F.coalesce(F.get(words, i + k) == x, F.lit(False)) for k, x in enumerate(own[1:], 1)]])
+    return F.array_compact(F.transform(words, lambda w, i: F.when(here(w, i), i)))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, list[str]]] = TEMPLATES) -> DataFrame:
     """Per row: word count, base phrases and labels, all labels, and a score from 0 to 1."""
-    rows = written(postings(docs, [key], text), "license-postings")
-    idf = rarity(rows)
-    none = F.array().cast("array<int>")
-    hits = F.col("hits")
-    for phrase, label in BASE.items():
-        rows = rows.withColumn(f"at_{label}", F.when(F.size(hits) > 0, F.transform(_starts(hits, phrase.split()), lambda j: F.get(hits, j)["i"])).otherwise(none))
-    for number, (body, phrase) in enumerate(TEMPLATES.values()):
-        starts = F.when(F.size(hits) > 0, _starts(hits, phrase.split())).otherwise(none)
-        rows = rows.withColumn(f"best_{number}", _best(idf, body.split(), phrase.split(), hits, starts))
-    scores, names = [], []
-    for number, (name, (body, _)) in enumerate(TEMPLATES.items()):
-        best = F.col(f"best_{number}")
-        scores.append(F.when(best.isNotNull(), best["all"] / len(body.split())).otherwise(0.0))
-        names.append(F.when(best.isNotNull(), F.lit(name)))
+    texts = parsed(templates)
+    index = postings(texts, rarity(docs, sorted({w for _, words, _ in texts for w in words}), text))
+    rows = docs.select(F.col(key).alias("own_key"), _words(text_of(text)).alias("words"))
+    words = F.col("words")
+    rows = rows.select("own_key", "words", *[_base_places(words, phrase).alias(f"at_{label}") for phrase, label in BASE.items()], _votes(words, index).alias("votes"))
+    rows = rows.withColumn("matches", _matches(words, F.col("votes"), texts))
     places = F.concat(*[F.col(f"at_{label}") for label in BASE.values()])
     own = F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in BASE.values()])
+    names = F.transform("matches", lambda m: F.get(F.array(*[F.lit(name) for name, _, _ in texts]), m["number"]))
     text_list = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
     return rows.select(
-        key,
-        "n_words",
+        F.col("own_key").alias(key),
+        F.size("words").cast("long").alias("n_words"),
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),
         text_list(own).alias("base_labels"),
-        text_list(F.concat(own, F.array(*names))).alias("labels"),
-        F.greatest(*scores, F.when(F.size(places) > 0, BASE_SCORE).otherwise(0.0)).alias("score"),
+        text_list(F.concat(own, names)).alias("labels"),
+        F.greatest(best, F.when(F.size(places) > 0, BASE_SCORE).otherwise(0.0)).alias("score"),
     )
 
 
-def brute_force(text: str | None) -> dict:
-    """Base results of one text, for tests."""
-    words = re.findall(WORD, (text or "").translate(str.maketrans(ascii_uppercase, ascii_lowercase)))
+def brute_force(text: str | None, templates: dict[str, tuple[str, list[str]]] = TEMPLATES) -> dict:
+    """The whole result for one text by trying every offset of every licence text, for tests."""
+    words = words_of(text or "")
     places = [(i, label) for p, label in BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     at = [i for i, _ in places]
-    return {"n_words": len(words), "n_base": len(at), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted({x for _, x in places}))}
+    labels, score = {x for _, x in places}, BASE_SCORE if places else 0.0
+    for name, own, phrases in parsed(templates):
+        for i in range(len(words)):
+            start = i - phrases[0][0]
+            if all(start + p >= 0 and words[start + p : start + p + len(phrase)] == phrase for p, phrase in phrases):
+                labels.add(name)
+                score = max(score, sum(0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(own)) / len(own))
+    base = {"n_words": len(words), "n_base": len(at), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted({x for _, x in places}))}
+    return base | {"labels": ",".join(sorted(labels)), "score": score}
