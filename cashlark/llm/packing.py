@@ -1,14 +1,20 @@
 """Harmonic packing of tokenised documents into fixed-length sequences.
 
-A length class holds the pieces of one size ``s = capacity // k``, and every
-sequence of the class takes exactly ``capacity // s`` pieces.  Documents are cut
-into whole sequences and then into the largest class sizes that fit, so a piece
-always fills its slot and a sequence is short by fewer than ``k`` tokens.
+Lengths are partitioned into classes: class ``k`` holds pieces of which ``k`` and
+no more fit a sequence, and every full sequence of the class takes exactly ``k``.
+Documents are first cut into whole sequences.  What is left of a document is then
+
+- with ``whole=False`` cut into the largest sizes ``capacity // k`` that fit, so
+  that a piece always fills its slot and a sequence is short by fewer than ``k``
+  tokens: hardly any padding, several pieces a document;
+- with ``whole=True`` one piece of the class of its length, so that no document
+  of up to a sequence is cut, at the price of padding (a piece of class ``k`` can
+  be little longer than ``capacity / (k + 1)``).
 
 Workers number the pieces of each class on their own; one small table of counts
 by worker and class turns these numbers into sequence ids and offsets, so no
 piece meets another one.  What remains of each class, fewer pieces than one
-sequence takes, is at most about ``capacity * log(capacity) / 2`` pieces in all,
+sequence takes, is at most about ``capacity * log(capacity)`` pieces in all,
 whatever the corpus; these are packed best-fit in one task.
 
 Null and empty texts are one piece that holds only the end token.  Repeated rows
@@ -18,6 +24,7 @@ and null ids are packed like any others; other columns are not carried.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
 
@@ -46,11 +53,11 @@ def cut_sizes(rest: int, capacity: int) -> tuple[int, ...]:
     return tuple(sizes)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_token: int, key: str, text: str) -> DataFrame:
-    """Every piece with its worker and its number among that worker's pieces of the class."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_token: int, key: str, text: str, whole: bool = False) -> DataFrame:
+    """Every piece with its class, its worker and its number among that worker's pieces of the class."""
     arrow_batches(docs.sparkSession)
     long = T.LongType()
-    schema = T.StructType([docs.schema[key], *(T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "worker", "nth"))])
+    schema = T.StructType([docs.schema[key], *(T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "fits", "worker", "nth"))])
 
     def run(batches):
         counts, worker = Counter(), TaskContext.get().partitionId()
@@ -58,13 +65,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_token: int, key:
             rows, out = [], []
             for row, ids in encoded(batch, text, tokenizer):
                 ids = np.append(ids, end_token).astype("<u4")
-                start = 0
-                for size in (*[capacity] * (len(ids) // capacity), *cut_sizes(len(ids) % capacity, capacity)):
+                start, rest = 0, len(ids) % capacity
+                ends = ((rest,) if rest else ()) if whole else cut_sizes(rest, capacity)
+                for size in (*[capacity] * (len(ids) // capacity), *ends):
+                    fits = capacity // size
                     rows.append(row)
-                    out.append((start, size, zlib.crc32(ids[start : start + size].tobytes()), len(ids), worker, counts[size]))
-                    counts[size] += 1
+                    out.append((start, size, zlib.crc32(ids[start : start + size].tobytes()), len(ids), fits, worker, counts[fits]))
+                    counts[fits] += 1
                     start += size
-            columns = np.array(out, np.int64).reshape(-1, 6).T
+            columns = np.array(out, np.int64).reshape(-1, 7).T
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), *(pa.array(c) for c in columns)], schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
@@ -72,43 +81,47 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_token: int, key:
 
 def _best_fit(capacity: int):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "worker", "nth"], ascending=[False, True, True]).reset_index(drop=True)
-        free: list[int] = []
+        rows = rows.sort_values(["length", "worker", "fits", "nth"], ascending=[False, True, True, True]).reset_index(drop=True)
+        free: list[tuple[int, int]] = []  # room and number of each bin, least room first
         bins, offsets = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for i, size in enumerate(rows["length"]):
-            fits = [(room, b) for b, room in enumerate(free) if room >= size]
-            room, b = min(fits) if fits else (capacity, len(free))
-            if not fits:
-                free.append(capacity)
+        opened = 0
+        for i, size in enumerate(rows["length"].tolist()):
+            at = bisect_left(free, (size, -1))
+            if at < len(free):
+                room, b = free.pop(at)
+            else:
+                room, b, opened = capacity, opened, opened + 1
             bins[i], offsets[i] = b, capacity - room
-            free[b] = room - size
-        return rows[["worker", "length", "nth"]].assign(bin=bins, place=offsets)
+            if room > size:
+                insort(free, (room - size, b))
+        return rows[["worker", "fits", "nth"]].assign(bin=bins, place=offsets)
 
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_token: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_token: int = 2, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """One row per piece: its document, range and checksum, and its place in a sequence."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, capacity, end_token, key, text), "pieces")
-    by_worker = cut.groupBy("worker", "length").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("length").orderBy("worker").rowsBetween(W.unboundedPreceding, -1))
-    by_worker = written(by_worker.select("worker", "length", "n", F.coalesce(before, F.lit(0)).alias("before")), "piece-counts")
+    cut = written(pieces(docs, tokenizer, capacity, end_token, key, text, whole), "pieces")
+    by_worker = cut.groupBy("worker", "fits").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("fits").orderBy("worker").rowsBetween(W.unboundedPreceding, -1))
+    by_worker = written(by_worker.select("worker", "fits", "n", F.coalesce(before, F.lit(0)).alias("before")), "piece-counts")
     # A row for each class: as many as the capacity has reciprocal sizes.
-    totals = sorted((r["length"], r["n"]) for r in by_worker.groupBy("length").agg(F.sum("n").alias("n")).collect())
+    totals = sorted((r["fits"], r["n"]) for r in by_worker.groupBy("fits").agg(F.sum("n").alias("n")).collect())
     classes, first = [], 0
-    for size, n in totals:
-        each = capacity // size
-        classes.append((size, each, n // each * each, first))
-        first += n // each
-    classes = spark.createDataFrame(classes, "length long, each long, in_full long, first long")
-    placed = (
-        cut.join(by_worker.select("worker", "length", "before").join(F.broadcast(classes), "length"), ["worker", "length"])
-        .withColumn("number", F.col("before") + F.col("nth"))
-    )
-    in_full = placed.where("number < in_full").withColumns({"sequence_id": F.expr("first + number div each"), "offset": F.expr("number % each * length")})
+    for fits, n in totals:
+        classes.append((fits, n // fits * fits, first))
+        first += n // fits
+    classes = spark.createDataFrame(classes, "fits long, in_full long, first long")
+    placed = cut.join(by_worker.select("worker", "fits", "before").join(F.broadcast(classes), "fits"), ["worker", "fits"]).withColumn("number", F.col("before") + F.col("nth"))
+    in_full = placed.where("number < in_full").withColumn("sequence_id", F.expr("first + number div fits"))
+    if whole:
+        ahead = F.sum("length").over(W.partitionBy("sequence_id").orderBy("number").rowsBetween(W.unboundedPreceding, -1))
+        in_full = in_full.withColumn("offset", F.coalesce(ahead, F.lit(0)))
+    else:
+        in_full = in_full.withColumn("offset", F.expr("number % fits * length"))
     rest = placed.where("number >= in_full")
-    tail = rest.select("worker", "length", "nth").groupBy().applyInPandas(_best_fit(capacity), "worker long, length long, nth long, bin long, place long")
-    at_end = rest.join(tail, ["worker", "length", "nth"]).withColumns({"sequence_id": F.col("bin") + first, "offset": F.col("place")})
+    tail = rest.select("worker", "fits", "length", "nth").groupBy().applyInPandas(_best_fit(capacity), "worker long, fits long, nth long, bin long, place long")
+    at_end = rest.join(tail, ["worker", "fits", "nth"]).withColumns({"sequence_id": F.col("bin") + first, "offset": F.col("place")})
     columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return in_full.select(columns).unionByName(at_end.select(columns))
