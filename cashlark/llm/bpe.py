@@ -33,6 +33,20 @@ CACHED_FRAGMENTS = 400_000
 #: Longer fragments are encoded each time and not remembered.
 CACHED_BYTES = 64
 
+# The rules of tokenizer files that cuts and shortcuts here rely on.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+MODEL_RULES = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
 NO_CUT, CUT_AT_END, CUT_INSIDE = 0, 1, 2
 #: Lower-case ASCII and Latin-1 letters in UTF-8.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
@@ -88,14 +102,23 @@ def cut_kinds(seen: np.ndarray) -> np.ndarray:
     return kinds
 
 
+def check_rules(spec: dict) -> None:
+    """Raise if a tokenizer file has other rules than those that cuts rely on."""
+    other = [name for name, rule in RULES.items() if spec.get(name) != rule]
+    other += [f"model.{name}" for name, rule in MODEL_RULES.items() if spec["model"].get(name) != rule]
+    if other:
+        raise ValueError(f"forced boundaries are not known for this tokenizer file: {', '.join(other)} differ")
+
+
 class ForcedBoundaryEncoder:
-    """Encodes many texts at once with one tokenizer file."""
+    """Encodes many texts at once with one tokenizer file, which must have the rules that ``check_rules`` asks for."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        check_rules(spec)
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
