@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from .common import arrow_batches, digest128, written
 
 #: Suffixes that one task of the interval scan holds.
-CHUNK = 50_000
+CHUNK = 8_192
 #: Neighbouring chunks that a node of the tree of chunks holds.
 FAN = 64
 #: Next ranks that are ordered in one piece, as a power of two.
@@ -267,7 +267,7 @@ def shared_runs(array: DataFrame) -> DataFrame:
     are no longer than the longest common prefix there.  Stacks are merged up a
     tree of chunks and passed down again, so no task or driver holds all of them.
     """
-    arrow_batches(array.sparkSession, 10_000)
+    arrow_batches(array.sparkSession)
     chunks = written(array.select(F.floor((F.col("sa") - 1) / CHUNK).cast("long").alias("chunk"), "sa", "row", "i", "left", "lcp"), "chunks")
     around = _all_around(chunks.groupBy("chunk").applyInPandas(_ends, _ENDS))
     return chunks.groupBy("chunk").cogroup(around.groupBy("chunk")).applyInPandas(_finished, "row long, i long, shared long")
