@@ -141,6 +141,46 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found.values())
 
 
+def test_spanning_links_join_what_all_links_join():
+    rng = np.random.default_rng(9)
+    for n, k in ((1, 0), (30, 20), (30, 200)):
+        x, y = (rng.integers(0, n, k) for _ in range(2))
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        forest = capfilters.spanning_links(n, x[order], y[order])
+
+        def labels(edges):
+            label = list(range(n))
+            for _ in range(n):
+                for a, b in edges:
+                    label[a] = label[b] = min(label[a], label[b])
+            return label
+
+        assert labels(forest) == labels(list(zip(x, y))) and len(forest) == n - len(set(labels(forest)))
+
+
+@pytest.mark.parametrize("n", [500, 50_000, 3_000_000, 200_000_000])
+def test_near_vectors_share_a_filter(n):
+    """Pairs at the limit itself: of 2,000 at cosine 0.98 nearly all are candidates, whatever the size of the code."""
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    parts, size = capfilters.code_shape(n)
+    turn, codes = capfilters.rotation(64, 11), capfilters._codes(64, size, parts)
+    one, two = capfilters.decode(a, turn, codes), capfilters.decode(0.98 * a + np.sqrt(1 - 0.98**2) * b, turn, codes)
+    assert (one[:, :, None] == two[:, None, :]).any((1, 2)).mean() >= 0.99
+
+
+def test_odd_vectors(spark):
+    near = [1.0, 0.0, 0.0]
+    rows = [(1, near, 0), (1, near, 0), (2, near, 0), (3, [1.0, 0.01, 0.0], 0), (4, near[:2], 0), (None, near, 0), (5, near, 1), (6, near, None), (7, [0.0, 1.0, 0.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"node": F.lit("x"), "weight": F.lit(1)})
+    found = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in capfilters.near_duplicates(frame).collect())
+    assert found == [(0, 4, 1, False), (1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+
+
 def test_decoding_lists_the_best_filters():
     unit = np.random.default_rng(3).standard_normal((20, 12))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
@@ -168,6 +208,46 @@ def test_search_finds_the_nearest(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def exact_nearest(sound, queries, k=20):
+    ids = np.array(sorted(sound))
+    values = np.array([sound[i] for i in ids])
+    for q in queries:
+        scores = values @ sound[q]
+        order = np.lexsort((ids, -scores))
+        yield q, [int(i) for i in ids[order] if i != q][:k]
+
+
+def test_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    sound = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect() if r["embedding"] and None not in r["embedding"] and np.isfinite(r["embedding"]).all() and any(r["embedding"])}
+    found: dict = {}
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    queries = [i for i in sound if i % 20 == 0]
+    assert set(found) == set(queries) and len(queries) >= 50
+    hits = sum(len(found[q] & set(best)) for q, best in exact_nearest(sound, queries))
+    assert hits / (20 * len(queries)) >= 0.9
+
+
+@pytest.mark.parametrize("scan", [20, 16_384])
+def test_search_with_ties_repeats_and_odd_rows(spark, monkeypatch, scan):
+    monkeypatch.setattr(neighbours, "SCAN", scan)
+    v = lambda *x: [float(n) for n in x]
+    rows = [(i, v(1, 0, i % 2)) for i in range(40)] + [(0, v(1, 0, 0)), (0, v(5, 0, 0)), (None, v(9, 9, 9)), (50, v(1, 0)), (60, None), (70, [None, 1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "list": F.lit(1)})
+    found: dict = {}
+    for r in neighbours.search(frame, F.col("vec_id").isin(0, 1, 50, 60) | F.col("vec_id").isNull(), waves=(0.0, 1.0)).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {0, 1}
+    assert [x[1] for x in sorted(found[1])] == [0, *range(3, 40, 2)][:20]
+    assert all(x[1] != 0 for x in found[0]) and len(found[0]) == 20
+
+
+def test_parts_hold_all_lists(monkeypatch):
+    monkeypatch.setattr(neighbours, "SCAN", 10)
+    assert neighbours.scan_parts([(0, 4), (1, 6), (2, 25), (3, 1), (4, 10)]) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 5, 1)]
+
+
 def test_few_or_no_vectors(spark):
     _, frame = vectors(spark, 4, 8, copies=False)
     assert neighbours.search(frame, F.lit(True)).count() == 8 * 7

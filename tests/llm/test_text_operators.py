@@ -42,6 +42,11 @@ def test_ids_and_text_equal_the_library(spark):
         assert found[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_other_tokenizer_files_are_refused():
+    with pytest.raises(ValueError, match="differ"):
+        bpe.ForcedBoundaryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_encode_replaces_a_clashing_column_and_takes_empty_tables(spark):
     frame = docs(spark, ["a b"]).withColumn("ids", F.lit("old"))
     assert bpe.encode(frame, WORDS).dtypes[-1] == ("ids", "array<int>")
@@ -54,10 +59,11 @@ def test_pieces_fill_their_slots(rest):
     assert sum(sizes) == rest and all(s == 4096 // (4096 // s) for s in sizes)
 
 
-def test_packing_is_whole_and_gapless(spark):
-    texts = [None, "", *[" ".join(["word"] * n) for n in (1, 5, 63, 64, 300, 2047, 4095, 4096, 9000)], "same", "same"]
+@pytest.mark.parametrize("whole", [False, True])
+def test_packing_is_whole_and_gapless(spark, whole):
+    texts = [None, "", *[" ".join(["word"] * n) for n in (1, 5, 63, 64, 300, 2047, 4095, 4096, 9000)], "same", "same", *["a b c"] * 900, *[" ".join(["word"] * (1000 + n)) for n in range(40)]]
     coder = Tokenizer.from_file(WORDS)
-    rows = packing.pack(docs(spark, texts).repartition(3), WORDS).collect()
+    rows = packing.pack(docs(spark, texts).repartition(3), WORDS, whole=whole).collect()
     own: dict = {}
     places: dict = {}
     for r in rows:
@@ -71,14 +77,21 @@ def test_packing_is_whole_and_gapless(spark):
             assert p["start"] == at and p["doc_tokens"] == len(ids)
             assert p["ids_crc32"] == zlib.crc32(np.array(ids[at : at + p["length"]], "<u4").tobytes())
             at += p["length"]
-        assert at == len(ids)
+        assert at == len(ids) and (not whole or len(pieces) == -(-at // 4096))
     for pieces in places.values():
         at = 0
         for p in sorted(pieces, key=lambda p: p["offset"]):
             assert p["offset"] == at
             at += p["length"]
         assert at <= 4096
-    assert packing.pack(docs(spark, ["a"]).limit(0), WORDS).count() == 0
+    assert packing.pack(docs(spark, ["a"]).limit(0), WORDS, whole=whole).count() == 0
+
+
+def test_packing_with_odd_keys_and_columns(spark):
+    rows = [(None, "a b", 1), (None, "a b", 1), (2, "c", 2), (2, "d " * 20_000, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, worker int").withColumns({"fits": F.lit("x"), "length": F.lit("y"), "nth": F.lit(0)})
+    found = packing.pack(frame, WORDS).collect()
+    assert sum(r["length"] for r in found) == 3 + 3 + 2 + 20_001 and sum(r["doc_id"] is None for r in found) >= 2
 
 
 def remaining(texts, least):
@@ -204,6 +217,33 @@ def test_licences(spark):
     assert found[5]["labels"] == "cc-by-nc-4.0" and found[6]["labels"] == "" and found[2]["labels"] == "mit,mit-notice" and found[7]["labels"] == "apache,apache-2.0"
 
 
+def test_licence_labels_equal_brute_force(spark):
+    rng = random.Random(29)
+    parts = [text for text, _ in licenses.TEMPLATES.values()] + ["", "word", "mit", "license the gnu", "public software licensed under"]
+    texts = []
+    for _ in range(60):
+        chosen = [rng.choice(parts).split() for _ in range(rng.randint(1, 3))]
+        for own in chosen:
+            if own and rng.random() < 0.5:  # a word more, another, or one less
+                at = rng.randrange(len(own))
+                own[at : at + rng.choice([0, 1])] = rng.choice([["changed"], []])
+        texts.append(" ".join(w for own in chosen for w in own))
+    frame = docs(spark, texts).withColumns({"words": F.lit("x"), "votes": F.lit(1), "matches": F.lit(2)})
+    found = {r["doc_id"]: r.asDict() for r in licenses.scan(frame).collect()}
+    for i, t in enumerate(texts):
+        want = licenses.brute_force(t)
+        assert {k: found[i][k] for k in want} == pytest.approx(want), (t, want)
+    assert licenses.scan(frame.union(frame).where("doc_id = 3")).count() == 2 and licenses.scan(frame.limit(0)).count() == 0
+
+
+def test_licence_texts_are_a_parameter(spark):
+    own = {"house": ("You may use this tool at home only", ["at home only"])}
+    rows = licenses.scan(docs(spark, ["x you may use this tool at home only y", "at home only", "use at home"]), templates=own).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == ["house", "house", ""] and rows[0]["score"] == 1
+    with pytest.raises(ValueError, match="not part"):
+        licenses.scan(docs(spark, ["x"]), templates={"house": ("a b", ["c"])})
+
+
 def test_licences_by_their_best_place(spark):
     loose, notice = "available under the mit license", "released under the mit license"
     texts = [loose, f"{loose} as it was released before", f"{loose} and {notice}", f"{notice} and {loose}", f"released {loose}", "mit license " * 4000 + notice]
@@ -278,6 +318,29 @@ def test_quality_on_held_out_rows(spark):
     assert good >= 0.9
 
 
+def test_rules_as_columns_equal_rules_by_hand(spark):
+    table, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    stats = quality.with_statistics(table, ["doc_id"])
+    model = quality.fit(stats, labels)
+    assert len(model.rules) == len(model.weights) > 3
+    for row in stats.withColumn("score", model.score()).collect():
+        total = model.intercept
+        for rule, weight in zip(model.rules, model.weights):
+            total += weight * all(row[name] <= at if at_most else row[name] > at for name, at_most, at in rule)
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = [(i, "good words in a row" if i % 2 else "!! || ??", 0.5) for i in range(60)] + [(None, "good words", 0.1), (7, "good words in a row", 0.2), (61, "long text " * 100_000, 0.3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumns({"log_words": F.lit("x"), "row": F.lit(1), "whole_text": F.lit("y")})
+    found = quality.classify(frame, labels)
+    assert found.count() == len(rows) and found.where("score is null or score < 0 or score > 1").count() == 0
+    kept = quality.kept(frame, labels)
+    assert kept.columns == frame.columns and kept.where("text like 'good%'").count() >= 30
+    assert quality.classify(frame.limit(0), labels).count() == 0
+
+
 def test_quality_without_labels(spark):
     rows = docs(spark, [None, "", "some text"])
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -288,7 +351,11 @@ def test_quality_without_labels(spark):
 
 def similar_classes(texts):
     """Brute force: the smallest place of each text's class, by alignment of all pairs."""
-    grams = [list(zip(*[t.split()[i:] for i in range(neardup.WORDS)])) for t in texts]
+    def kmers(text):
+        words = text.split()
+        return list(zip(*[words[i:] for i in range(neardup.WORDS)])) if len(words) >= neardup.WORDS else [tuple(words)] if words else [text]
+
+    grams = [kmers(t) for t in texts]
     parent = list(range(len(texts)))
 
     def root(i):
@@ -305,7 +372,7 @@ def similar_classes(texts):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("block", "kmers"), [(4096, 1 << 20), (7, 1 << 20), (4096, 300)])
+@pytest.mark.parametrize(("block", "kmers"), [(4096, 1 << 20), (7, 300)])
 def test_classes_equal_brute_force(spark, monkeypatch, block, kmers):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "BLOCK_KMERS", kmers)
