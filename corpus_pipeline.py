@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashlark.llm import lines, neardup, packing, quality, secrets
-from cashlark.llm.common import scratch, table
+from cashlark.llm.common import table
+from cashlark.sources.scratch import discard, made, scratch
 
 WORDS = "word_bpe_49k.json"
 
@@ -55,10 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again by the next.
+
+    What a stage wrote on its way is deleted when its own result is written, and
+    that result when the next one is.
+    """
+    docs, last = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
+        before = made()
         path = scratch(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        discard(spark, [p for p in made() if p not in before and p != path] + list(last))
+        docs, last = spark.read.parquet(path), (path,)
     return docs
