@@ -94,7 +94,9 @@ def _packed_arc(limit: int):
     def run(batches):
         worker, closed, waiting = TaskContext.get().partitionId(), 0, {}
         for batch in batches:
-            for page, url, date, version, payload in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "date", "version", "payload"))):
+            for page, url, date, version, payload in zip(
+                *(batch.column(c).to_pylist() for c in ("page", "url", "date", "version", "payload"))
+            ):
                 if version not in waiting:
                     name = f"pages-{worker:06d}-{closed + len(waiting):06d}-{version}.arc"
                     head = version_block(version, name, date)
@@ -228,7 +230,19 @@ def _arc_index(batches):
                 head, payload = split_http(body)
                 page, digest, date = _PAGE.search(head), base32_sha1(payload), _stamp(header["Archive-date"])
                 name = _string(header["Archive"]) or path.rpartition("/")[2]
-                rows.append((path, at, int(page[1]) if page else None, len(payload), digest, bool(head), _identifier(name, at, _string(header["URL"]), date, digest), header["URL"], date))
+                rows.append(
+                    (
+                        path,
+                        at,
+                        int(page[1]) if page else None,
+                        len(payload),
+                        digest,
+                        bool(head),
+                        _identifier(name, at, _string(header["URL"]), date, digest),
+                        header["URL"],
+                        date,
+                    )
+                )
             yield _batch(rows, _INDEX)
 
 
@@ -270,7 +284,10 @@ def roles(index: DataFrame, least_bytes: int) -> DataFrame:
     """``file, at, original``: where a record repeats an earlier payload, the response that it refers to."""
     order = F.struct(F.col("page").isNull().alias("unknown"), "page", "file", "at", "record_id", "url", "date")
     shared = index.where(F.col("is_http") & (F.col("bytes") >= least_bytes))
-    groups = shared.groupBy("digest").agg(F.min(order).alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
+    groups = shared.groupBy("digest").agg(
+        F.min(order).alias("original"),
+        F.count("*").alias("n"),
+    ).where("n > 1").select("digest", "original")
     same = (F.col("original.file") == F.col("file")) & (F.col("original.at") == F.col("at"))
     return shared.select("file", "at", "digest").join(groups, "digest").where(~same).select("file", "at", "original")
 
@@ -286,7 +303,13 @@ def warc_record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 def _info(worker: int, number: int, row: dict) -> bytes:
     """The record that opens a WARC file."""
     name = f"pages-{worker:06d}-{number:06d}.warc.gz"
-    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _identifier(name, row["record_id"])), ("WARC-Date", row["date"]), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    fields = [
+        ("WARC-Type", "warcinfo"),
+        ("WARC-Record-ID", _identifier(name, row["record_id"])),
+        ("WARC-Date", row["date"]),
+        ("WARC-Filename", name),
+        ("Content-Type", "application/warc-fields"),
+    ]
     return warc_record(fields, f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode())
 
 
@@ -304,7 +327,12 @@ def _converted(row: dict, payload: bytes) -> bytes:
         ("Content-Type", HTTP_TYPE if row["is_http"] else row["type"]),
     ]
     if original:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", original["record_id"]), ("WARC-Refers-To-Target-URI", original["url"]), ("WARC-Refers-To-Date", original["date"])]
+        fields += [
+            ("WARC-Profile", REVISIT_PROFILE),
+            ("WARC-Refers-To", original["record_id"]),
+            ("WARC-Refers-To-Target-URI", original["url"]),
+            ("WARC-Refers-To-Date", original["date"]),
+        ]
     return warc_record(fields, row["head"] if original else row["head"] + payload)
 
 
@@ -376,7 +404,18 @@ def _warc_rows(batches):
                 if whole and base32_sha1(payload) != digest or f"sha1:{base32_sha1(block)}" != _string(header["warc-block-digest"]):
                     raise ValueError(f"the record {name} differs from its digest")
                 other = header.get("warc-refers-to")
-                rows.append((int(page[1]) if page else None, len(payload) if whole else None, digest, kind, name, other and _string(other), _string(header["warc-date"]), _string(header["warc-target-uri"])))
+                rows.append(
+                    (
+                        int(page[1]) if page else None,
+                        len(payload) if whole else None,
+                        digest,
+                        kind,
+                        name,
+                        other and _string(other),
+                        _string(header["warc-date"]),
+                        _string(header["warc-target-uri"]),
+                    )
+                )
             yield _batch(rows, _ROWS)
 
 

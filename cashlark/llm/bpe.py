@@ -35,11 +35,19 @@ CACHED_BYTES = 64
 
 # The rules of tokenizer files that cuts and shortcuts here rely on.
 RULES = {
-    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
     "pre_tokenizer": {
         "type": "Sequence",
         "pretokenizers": [
-            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
         ],
     },
@@ -178,7 +186,10 @@ class ForcedBoundaryEncoder:
         parts = [b"" if i in odd else self._normal(t) for i, t in enumerate(texts)]
         ids, offsets = self._encode_block(parts)
         if odd:
-            each = [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if i in odd else ids[offsets[i] : offsets[i + 1]] for i, t in enumerate(texts)]
+            each = [
+                np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if i in odd else ids[offsets[i] : offsets[i + 1]]
+                for i, t in enumerate(texts)
+            ]
             ids, offsets = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         return ids, offsets
 
@@ -284,7 +295,14 @@ def digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
     scan without a shuffle.
     """
     arrow_batches(docs.sparkSession)
-    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = T.StructType(
+        [
+            docs.schema[key],
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("ids_sha256", T.StringType()),
+            T.StructField("decoded_sha256", T.StringType()),
+        ]
+    )
 
     def run(batches):
         coder = encoder(tokenizer)
@@ -294,6 +312,9 @@ def digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 of_text.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
+                schema.names,
+            )
 
     return docs.select(key, text).mapInArrow(run, schema)

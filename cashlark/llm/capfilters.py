@@ -94,7 +94,10 @@ def _nodes(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     usable_rows = rows.where(usable(vector) & F.col(label).isNotNull())
     n = dimension(usable_rows, vector)
     same = usable_rows.where(F.size(vector) == n).groupBy(F.col(label).alias("label"), F.col(vector).alias("vector"))
-    return written(same.agg(F.count("*").alias("weight"), F.min(key).alias("first")).withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
+    return written(
+        same.agg(F.count("*").alias("weight"), F.min(key).alias("first")).withColumn("node", F.monotonically_increasing_id()),
+        "vector-nodes",
+    )
 
 
 def _decoded(nodes: DataFrame, width: int, parts: int, size: int) -> DataFrame:
@@ -178,14 +181,27 @@ def links(nodes: DataFrame, similar: float) -> DataFrame:
     full = in_filter.groupBy("label", "filter").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     members = in_filter.join(full, ["label", "filter"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("node", "label", "filter", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    members = members.select(
+        "node",
+        "label",
+        "filter",
+        "block",
+        F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"),
+    )
     rows = members.join(decoded.select("node", "weight", "vector", "filters"), "node")
     key = ["label", "filter", "low", "high"]
     rows = rows.repartition(*key).sortWithinPartitions(*key)
     return written(rows.mapInArrow(_linked(similar), "a long, b long, others long"), "vector-links")
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", similar: float = 0.98) -> DataFrame:
+def near_duplicates(
+    rows: DataFrame,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    label: str = "label",
+    similar: float = 0.98,
+) -> DataFrame:
     """Per row: its id, how many other vectors it links with, its component and whether it is the one kept."""
     nodes = _nodes(rows, key, vector, label)
     found = links(nodes, similar)
@@ -193,9 +209,19 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     labels = components(found.where("a != b").select("a", "b"))
     known = nodes.join(degree, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = known.join(smallest, "component").select("label", "vector", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    known = known.join(smallest, "component").select(
+        "label",
+        "vector",
+        (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        "component_id",
+    )
     known = written(known, "vector-classes").alias("k")
     all_rows = rows.select(key, F.when(usable(vector), F.col(vector)).alias("vector"), F.col(label).alias("label")).alias("r")
     joined = all_rows.join(known, (F.col("r.label") == F.col("k.label")) & (F.col("r.vector") == F.col("k.vector")), "left")
     component = F.coalesce("component_id", F.col(key))
-    return joined.select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"))
+    return joined.select(
+        key,
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        component.alias("component_id"),
+        F.col(key).eqNullSafe(component).alias("kept"),
+    )

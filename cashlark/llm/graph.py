@@ -15,7 +15,10 @@ def _least_neighbour(pairs: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.where("v > u").join(_least_neighbour(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return both.where("v > u").join(_least_neighbour(both), "u").select(
+        F.col("v").alias("u"),
+        F.col("m").alias("v"),
+    ).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -88,5 +88,8 @@ TEMPLATES: dict[str, tuple[str, list[str]]] = {
     "cc-by-4.0": ("Licensed under CC BY 4.0", ["CC BY 4.0"]),
     "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0", ["CC BY-SA 4.0"]),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0", ["CC BY-NC 4.0"]),
-    "cc-by-4.0-text": ("This work is licensed under a Creative Commons Attribution 4.0 International License", ["Creative Commons Attribution 4.0"]),
+    "cc-by-4.0-text": (
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        ["Creative Commons Attribution 4.0"],
+    ),
 }

@@ -102,7 +102,10 @@ def _strings(words: list[str]) -> Column:
 
 def _votes(words: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
     """Every text and offset that an index word of the document speaks for, once."""
-    entries = [F.split(F.lit(" ".join(str((t << _SHIFT) - p + _ZERO) for t, p in places)), " ").cast("array<long>") for places in index.values()]
+    entries = [
+        F.split(F.lit(" ".join(str((t << _SHIFT) - p + _ZERO) for t, p in places)), " ").cast("array<long>")
+        for places in index.values()
+    ]
     table = F.map_from_arrays(_strings(list(index)), F.array(*entries))
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(list(index)))
     each = F.transform(hits, lambda h: F.transform(F.element_at(table, h["w"]), lambda v: v + h["i"]))
@@ -113,14 +116,20 @@ def _matches(words: Column, votes: Column, texts: list) -> Column:
     """Of the votes those at which all mandatory phrases stand: text number and share of its words in place."""
     constants = F.array(
         *[
-            F.struct(_strings(own).alias("words"), F.array(*[F.struct(F.lit(at).alias("at"), _strings(p).alias("words")) for at, p in phrases]).alias("phrases"))
+            F.struct(
+                _strings(own).alias("words"),
+                F.array(*[F.struct(F.lit(at).alias("at"), _strings(p).alias("words")) for at, p in phrases]).alias("phrases"),
+            )
             for _, own, phrases in texts
         ]
     )
     number = lambda v: F.shiftright(v, _SHIFT).cast("int")
     offset = lambda v: (v.bitwiseAND((1 << _SHIFT) - 1) - _ZERO).cast("int")
     stands = lambda own, at: F.transform(own, lambda w, j: F.coalesce(F.get(words, at + j) == w, F.lit(False)))
-    whole = lambda v: F.forall(F.get(constants, number(v))["phrases"], lambda p: F.forall(stands(p["words"], offset(v) + p["at"]), lambda x: x))
+    whole = lambda v: F.forall(
+        F.get(constants, number(v))["phrases"],
+        lambda p: F.forall(stands(p["words"], offset(v) + p["at"]), lambda x: x),
+    )
 
     def scored(v):
         own = F.get(constants, number(v))["words"]
@@ -132,7 +141,11 @@ def _matches(words: Column, votes: Column, texts: list) -> Column:
 def _base_places(words: Column, phrase: str) -> Column:
     """Where a base phrase's words stand consecutively, from 0."""
     own = phrase.split()
-    here = lambda w, i: reduce(lambda a, b: a & b, [w == own[0], *[F.coalesce(F.get(words, i + k) == x, F.lit(False)) for k, x in enumerate(own[1:], 1)]])
+    here = lambda w, i: reduce(
+        lambda a,
+        b: a & b,
+        [w == own[0], *[F.coalesce(F.get(words, i + k) == x, F.lit(False)) for k, x in enumerate(own[1:], 1)]],
+    )
     return F.array_compact(F.transform(words, lambda w, i: F.when(here(w, i), i)))
 
 
@@ -142,7 +155,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     index = postings(texts, rarity(docs, sorted({w for _, words, _ in texts for w in words}), text))
     rows = docs.select(F.col(key).alias("own_key"), _words(text_of(text)).alias("words"))
     words = F.col("words")
-    rows = rows.select("own_key", "words", *[_base_places(words, phrase).alias(f"at_{label}") for phrase, label in BASE.items()], _votes(words, index).alias("votes"))
+    rows = rows.select(
+        "own_key",
+        "words",
+        *[_base_places(words, phrase).alias(f"at_{label}") for phrase, label in BASE.items()],
+        _votes(words, index).alias("votes"),
+    )
     rows = rows.withColumn("matches", _matches(words, F.col("votes"), texts))
     places = F.concat(*[F.col(f"at_{label}") for label in BASE.values()])
     own = F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in BASE.values()])
@@ -173,5 +191,11 @@ def brute_force(text: str | None, templates: dict[str, tuple[str, list[str]]] =
             if all(start + p >= 0 and words[start + p : start + p + len(phrase)] == phrase for p, phrase in phrases):
                 labels.add(name)
                 score = max(score, sum(0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(own)) / len(own))
-    base = {"n_words": len(words), "n_base": len(at), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted({x for _, x in places}))}
+    base = {
+        "n_words": len(words),
+        "n_base": len(at),
+        "first_word": min(at, default=None),
+        "last_word": max(at, default=None),
+        "base_labels": ",".join(sorted({x for _, x in places})),
+    }
     return base | {"labels": ",".join(sorted(labels)), "score": score}

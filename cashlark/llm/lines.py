@@ -56,7 +56,10 @@ def numbered(rows: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]
 
 def first_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``d1, d2, first_key``: the smallest key of each distinct text."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key_id")).alias("k"), *digest128(F.col(text)))
+    rows = docs.where(F.col(text).isNotNull()).select(
+        F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key_id")).alias("k"),
+        *digest128(F.col(text)),
+    )
     return rows.groupBy("d1", "d2").agg(F.min("k").getField("key_id").alias("first_key"))
 
 
@@ -65,10 +68,18 @@ def repeated_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> D
 
     Later copies of a whole text are left out: what they repeat is known.
     """
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key_id"), *digest128(F.col(text)), F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    texts = docs.where(F.col(text).isNotNull()).select(
+        F.col(key).alias("key_id"),
+        *digest128(F.col(text)),
+        F.posexplode(F.split(text, "\n")).alias("i", "line"),
+    )
     lines = texts.select(*KEY, "i", F.regexp_count("line", F.lit(r"\S+")).alias("words"), *digest128(F.col("line"), "l")).alias("a")
     first = firsts.alias("f")
-    lines = lines.join(first, (F.col("a.d1") == F.col("f.d1")) & (F.col("a.d2") == F.col("f.d2")) & F.col("a.key_id").eqNullSafe(F.col("f.first_key")), "left_semi")
+    lines = lines.join(
+        first,
+        (F.col("a.d1") == F.col("f.d1")) & (F.col("a.d2") == F.col("f.d2")) & F.col("a.key_id").eqNullSafe(F.col("f.first_key")),
+        "left_semi",
+    )
     lines = written(lines, "lines")
     often = lines.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")
     again = written(lines.join(often, ["l1", "l2"]).dropDuplicates(["d1", "d2", "i"]), "repeated-lines")
@@ -96,13 +107,22 @@ def doubled(suffixes: DataFrame, h: int) -> DataFrame | None:
     frequent line is ordered in one piece.
     """
     now = suffixes.select("row", "i", "rank", "left")
-    open_ranks = now.groupBy("rank").agg(F.count("*").alias("n"), F.max("left").alias("most")).where((F.col("n") > 1) & (F.col("most") > h)).select("rank")
+    open_ranks = now.groupBy("rank").agg(
+        F.count("*").alias("n"),
+        F.max("left").alias("most"),
+    ).where((F.col("n") > 1) & (F.col("most") > h)).select("rank")
     ahead = now.select("row", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
     active = now.join(open_ranks, "rank").join(ahead, ["row", "i"], "left")
-    active = written(active.select("row", "i", "rank", F.when(F.col("left") > h, F.col("next")).otherwise(F.lit(0)).alias("next")), "active")
+    active = written(
+        active.select("row", "i", "rank", F.when(F.col("left") > h, F.col("next")).otherwise(F.lit(0)).alias("next")),
+        "active",
+    )
     if active.isEmpty():
         return None
-    smaller = lambda *keys: F.coalesce(F.sum("n").over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    smaller = lambda *keys: F.coalesce(
+        F.sum("n").over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)),
+        F.lit(0),
+    )
     pairs = active.groupBy("rank", "next").agg(F.count("*").alias("n")).withColumn("block", F.shiftright("next", NEXT_BITS))
     inner = pairs.withColumn("inner", smaller("rank", "block", "next"))
     outer = pairs.groupBy("rank", "block").agg(F.sum("n").alias("n")).withColumn("outer", smaller("rank", "block")).drop("n")
@@ -122,18 +142,33 @@ def suffix_ranks(lines: DataFrame) -> DataFrame:
 
 def _equal_level(a: str, b: str, below: Column) -> Column:
     """The highest level under ``below`` at which two suffixes have one rank, -1 if none."""
-    levels = F.filter(F.arrays_zip(F.slice(a, F.lit(1), F.greatest(below, F.lit(0))).alias("a"), F.slice(b, F.lit(1), F.greatest(below, F.lit(0))).alias("b")), lambda x: x["a"] == x["b"])
+    levels = F.filter(
+        F.arrays_zip(
+            F.slice(a, F.lit(1), F.greatest(below, F.lit(0))).alias("a"),
+            F.slice(b, F.lit(1), F.greatest(below, F.lit(0))).alias("b"),
+        ),
+        lambda x: x["a"] == x["b"],
+    )
     return F.coalesce(F.size(levels), F.lit(0)) - 1  # equal at a level means equal at all below
 
 
 def suffix_array(ranks: DataFrame) -> DataFrame:
     """Suffixes in order: ``sa`` from 1, and ``lcp``, the lines that each shares with the one before."""
     order, _ = numbered(ranks, ["rank", "row", "i"], "sa")
-    past = order.select((F.col("sa") + 1).alias("sa"), F.col("row").alias("p_row"), F.col("i").alias("p_i"), F.col("rank").alias("p_rank"), F.col("levels").alias("b"))
+    past = order.select(
+        (F.col("sa") + 1).alias("sa"),
+        F.col("row").alias("p_row"),
+        F.col("i").alias("p_i"),
+        F.col("rank").alias("p_rank"),
+        F.col("levels").alias("b"),
+    )
     same = F.col("rank") == F.col("p_rank")
     pairs = order.join(past, "sa").withColumn("k", F.when(same, -1).otherwise(_equal_level("levels", "b", F.size("levels"))))
     step = F.when(F.col("k") >= 0, F.expr("shiftleft(1, k)")).otherwise(0)
-    pairs = written(pairs.select("sa", "row", "i", "p_row", "p_i", "k", F.when(same, F.col("left")).otherwise(step).alias("lcp")), "neighbours")
+    pairs = written(
+        pairs.select("sa", "row", "i", "p_row", "p_i", "k", F.when(same, F.col("left")).otherwise(step).alias("lcp")),
+        "neighbours",
+    )
     done, open_pairs = pairs.where("k <= 0").select("sa", "lcp"), pairs.where("k > 0")
     while not open_pairs.isEmpty():
         one = ranks.select("row", F.col("i").alias("x"), F.col("levels").alias("a"))
@@ -268,7 +303,10 @@ def shared_runs(array: DataFrame) -> DataFrame:
     tree of chunks and passed down again, so no task or driver holds all of them.
     """
     arrow_batches(array.sparkSession)
-    chunks = written(array.select(F.floor((F.col("sa") - 1) / CHUNK).cast("long").alias("chunk"), "sa", "row", "i", "left", "lcp"), "chunks")
+    chunks = written(
+        array.select(F.floor((F.col("sa") - 1) / CHUNK).cast("long").alias("chunk"), "sa", "row", "i", "left", "lcp"),
+        "chunks",
+    )
     around = _all_around(chunks.groupBy("chunk").applyInPandas(_ends, _ENDS))
     return chunks.groupBy("chunk").cogroup(around.groupBy("chunk")).applyInPandas(_finished, "row long, i long, shared long")
 
@@ -301,7 +339,10 @@ def later_copies(docs: DataFrame, firsts: DataFrame, key: str = "doc_id", text:
         return lines.select("d1", "d2", F.array("i").alias("gone"))
     runs = shared_runs(suffix_array(suffix_ranks(lines)))
     by_row = runs.join(lines.select("row", "i", "words"), ["row", "i"]).groupBy("row")
-    by_row = by_row.agg(F.sort_array(F.collect_list(F.struct("i", "words", "shared"))).alias("lines"), F.max("shared").alias("most")).where("most > 0")
+    by_row = by_row.agg(
+        F.sort_array(F.collect_list(F.struct("i", "words", "shared"))).alias("lines"),
+        F.max("shared").alias("most"),
+    ).where("most > 0")
     gone = by_row.select("row", "lines").mapInPandas(_covered(least_words), "row long, gone array<int>").where(F.size("gone") > 0)
     return gone.join(lines.select("row", "d1", "d2").distinct(), "row").select("d1", "d2", "gone")
 

@@ -169,17 +169,30 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per distinct text: node, its hash, smallest key, copies, number of k-mers and sketch."""
     arrow_batches(docs.sparkSession)
     long = T.LongType()
-    schema = T.StructType([docs.schema[key], *(T.StructField(c, long) for c in ("d1", "d2", "size")), T.StructField("sketch", T.ArrayType(long))])
+    schema = T.StructType(
+        [docs.schema[key], *(T.StructField(c, long) for c in ("d1", "d2", "size")), T.StructField("sketch", T.ArrayType(long))]
+    )
 
     def run(batches):
         for batch in batches:
             found = [labelled_kmers(kmers(t)) for t in batch.column("t").to_pylist()]
             sketches = [sketch(g).tolist() if len(g) else [] for g in found]
-            columns = [batch.column(key), batch.column("d1"), batch.column("d2"), pa.array([len(g) for g in found], pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+            columns = [
+                batch.column(key),
+                batch.column("d1"),
+                batch.column("d2"),
+                pa.array([len(g) for g in found], pa.int64()),
+                pa.array(sketches, pa.list_(pa.int64())),
+            ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("t"), *digest128(F.col(text))).mapInArrow(run, schema)
-    same = rows.groupBy("d1", "d2").agg(F.min(key).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    same = rows.groupBy("d1", "d2").agg(
+        F.min(key).alias("first"),
+        F.count("*").alias("copies"),
+        F.first("size").alias("size"),
+        F.first("sketch").alias("sketch"),
+    )
     return written(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
@@ -195,7 +208,10 @@ def buckets(texts: DataFrame) -> DataFrame:
 def candidate_grams(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``node, grams``: the k-mers in order of each wanted text (node, d1, d2, first), once."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("first"), F.col(text).alias("t"), *digest128(F.col(text))).alias("r")
-    own = wanted.alias("w").join(rows, (F.col("w.d1") == F.col("r.d1")) & (F.col("w.d2") == F.col("r.d2")) & F.col("w.first").eqNullSafe(F.col("r.first")))
+    own = wanted.alias("w").join(
+        rows,
+        (F.col("w.d1") == F.col("r.d1")) & (F.col("w.d2") == F.col("r.d2")) & F.col("w.first").eqNullSafe(F.col("r.first")),
+    )
 
     def run(batches):
         for batch in batches:
@@ -213,7 +229,14 @@ def _shared_counts(one: np.ndarray, others: list[np.ndarray], mark: np.ndarray)
     return counts
 
 
-def new_links(node: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: np.ndarray | None, slot: int, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+def new_links(
+    node: np.ndarray,
+    component: np.ndarray,
+    block: np.ndarray,
+    sketches: np.ndarray | None,
+    slot: int,
+    grams: list[np.ndarray],
+) -> list[tuple[int, int]]:
     """Links between texts of the lower and the higher block that join components; pairs of one component are passed over.
 
     Pairs that first agree in another slot than ``slot`` belong to another
@@ -251,7 +274,10 @@ def _verify(batches):
         slot = rows.column("slot")[0].as_py()
         sketches = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SLOTS) if slot >= 0 else None
         found = new_links(rows.column("node").to_numpy(), rows.column("component").to_numpy(), block, sketches, slot, grams)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())],
+            ["a", "b"],
+        )
 
 
 def verified(tasks: DataFrame, grams: DataFrame) -> DataFrame:
@@ -273,8 +299,22 @@ def leader_tasks(members: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     led = pairs.join(sizes, "leader").withColumn("high", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     led = led.select(F.col("leader").alias("value"), "high", F.col("high").alias("block"), "node")
-    leading = sizes.select(F.col("leader").alias("value"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), F.lit(-1).alias("block"), F.col("leader").alias("node"))
-    return led.union(leading).select(F.lit(-1).alias("slot"), "value", F.lit(-1).alias("low"), "high", "block", "node", F.col("node").alias("component"), F.lit(None).cast("array<long>").alias("sketch"))
+    leading = sizes.select(
+        F.col("leader").alias("value"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"),
+        F.lit(-1).alias("block"),
+        F.col("leader").alias("node"),
+    )
+    return led.union(leading).select(
+        F.lit(-1).alias("slot"),
+        "value",
+        F.lit(-1).alias("low"),
+        "high",
+        "block",
+        "node",
+        F.col("node").alias("component"),
+        F.lit(None).cast("array<long>").alias("sketch"),
+    )
 
 
 def block_tasks(members: DataFrame) -> DataFrame:
@@ -287,7 +327,11 @@ def block_tasks(members: DataFrame) -> DataFrame:
     bucket = ["slot", "value"]
     parts = members.groupBy(*bucket, "component").agg(F.count("*").alias("n"), F.sum("size").alias("k"))
     blocks = lambda n, k: F.ceil(F.greatest(n / BLOCK, k / BLOCK_KMERS)).cast("int")
-    whole = parts.groupBy(*bucket).agg(F.max(F.struct("n", "component", "k")).alias("top"), F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > top.n")
+    whole = parts.groupBy(*bucket).agg(
+        F.max(F.struct("n", "component", "k")).alias("top"),
+        F.sum("n").alias("n"),
+        F.sum("k").alias("k"),
+    ).where("n > top.n")
     whole = whole.select(*bucket, F.when(blocks(F.col("n"), F.col("k")) > 1, F.col("top.component")).alias("major"), "n", "k", "top")
     plan = whole.select(
         *bucket,
@@ -300,7 +344,15 @@ def block_tasks(members: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.when(F.col("is_major"), F.col("minors") + some("majors")).otherwise(some("minors")))
     met = F.when(F.col("is_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
-    return rows.select(*bucket, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "sketch")
+    return rows.select(
+        *bucket,
+        F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"),
+        "block",
+        "node",
+        "component",
+        "sketch",
+    )
 
 
 def linked(docs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -328,9 +380,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Of each class the row with the smallest key stays; rows that repeat both
     its key and its text are marked alike.
     """
-    rows = docs.select(key, *digest128(F.col(text)), F.col(text).isNull().alias("no_text")).join(text_classes(docs, key, text).drop("first"), ["d1", "d2"], "left")
+    rows = docs.select(
+        key,
+        *digest128(F.col(text)),
+        F.col(text).isNull().alias("no_text"),
+    ).join(text_classes(docs, key, text).drop("first"), ["d1", "d2"], "left")
     own = F.when(F.col("no_text"), F.col(key)).otherwise(F.col("class_id"))
-    return rows.select(key, own.alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), (F.col("no_text") | F.col(key).eqNullSafe(F.col("class_id"))).alias("kept"))
+    return rows.select(
+        key,
+        own.alias("class_id"),
+        F.coalesce("copies", F.lit(1)).alias("n_copies"),
+        (F.col("no_text") | F.col(key).eqNullSafe(F.col("class_id"))).alias("kept"),
+    )
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -77,7 +77,14 @@ def _goes_on(partial: np.ndarray, done: int, width: int, bound: float) -> np.nda
     return partial * (width / done) <= bound * (1 + CONFIDENCE / np.sqrt(done)) ** 2
 
 
-def scan(points: np.ndarray, first: np.ndarray, query: np.ndarray, candidates: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(
+    points: np.ndarray,
+    first: np.ndarray,
+    query: np.ndarray,
+    candidates: np.ndarray,
+    bound: float,
+    k: int,
+) -> tuple[np.ndarray, np.ndarray]:
     """Candidates that are not abandoned, with their distances; ``first`` has the distances by the first columns.
 
     ``points`` holds a rotated vector in each column.
@@ -147,7 +154,9 @@ def _probe(index: DataFrame, queries: DataFrame, asked: DataFrame, parts: DataFr
     wanted = asked.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence("first", F.col("first") + F.col("own") - 1)))
     wanted = wanted.groupBy("id", "part").agg(F.collect_set("list").alias("lists"), F.first("bound").alias("bound"))
     busy = wanted.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    asking = wanted.join(busy, "part").join(queries, "id").withColumns({"query_block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "is_query": F.lit(True)})
+    asking = wanted.join(busy, "part").join(queries, "id").withColumns(
+        {"query_block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "is_query": F.lit(True)}
+    )
     stored = index.join(busy, "part").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     stored = stored.withColumns({"lists": F.array("list"), "bound": F.lit(0.0), "is_query": F.lit(False)})
     columns = ["part", "query_block", "is_query", "id", "vector", "turned", "lists", "bound"]
@@ -156,13 +165,24 @@ def _probe(index: DataFrame, queries: DataFrame, asked: DataFrame, parts: DataFr
     return written(both.mapInArrow(_scan(k), "query_id long, vec_id long, score double, distance double"), "found")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", waves: tuple[float, ...] = WAVES) -> DataFrame:
+def search(
+    rows: DataFrame,
+    is_query: Column,
+    k: int = 20,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    waves: tuple[float, ...] = WAVES,
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query its ``k`` nearest found by inner product, ties to the smaller id."""
     spark = rows.sparkSession
     arrow_batches(spark)
     sound = rows.where(usable(vector) & F.col(key).isNotNull())
     n = dimension(sound, vector)
-    sound = sound.where(F.size(vector) == n).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    sound = sound.where(F.size(vector) == n).select(
+        F.col(key).cast("long").alias("id"),
+        F.col(vector).cast("array<double>").alias("vector"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"),
+    )
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     total, top = sound.agg(F.count("*"), F.max(norm)).first()
     if not total:
@@ -180,8 +200,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
                 turned = _lifted(matrix(batch.column("vector")), None if queries else top) @ turn
                 far = np.sqrt(np.maximum((turned**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2 * turned @ centres.T, 0))
                 order = np.argsort(far, axis=1, kind="stable")[:, :count]
-                columns = [list_column(turned, pa.float64()), list_column(order.astype(np.int32), pa.int32()), list_column(np.take_along_axis(far, order, 1), pa.float64())]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), *columns], ["id", "vector", "turned", "lists", "away"])
+                columns = [
+                    list_column(turned, pa.float64()),
+                    list_column(order.astype(np.int32), pa.int32()),
+                    list_column(np.take_along_axis(far, order, 1), pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("vector"), *columns],
+                    ["id", "vector", "turned", "lists", "away"],
+                )
 
         return run
 
@@ -190,22 +217,37 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
     index = sound.select("id", "vector").mapInArrow(assigned(False, 1), schema)
     index = written(index.select("id", "vector", "turned", F.col("lists")[0].alias("list"), F.col("away")[0].alias("away")), "lists")
-    sizes = sorted((r["list"], r["n"], r["radius"]) for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect())
+    sizes = sorted(
+        (r["list"], r["n"], r["radius"])
+        for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
+    )
     radius = {number: r for number, _, r in sizes}
-    parts = spark.createDataFrame([(*p, radius[p[0]]) for p in scan_parts([(number, m) for number, m, _ in sizes])], "list int, first int, own int, radius double")
+    parts = spark.createDataFrame(
+        [(*p, radius[p[0]]) for p in scan_parts([(number, m) for number, m, _ in sizes])],
+        "list int, first int, own int, radius double",
+    )
     split = F.col("first") + F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
     index = written(index.join(F.broadcast(parts), "list").select("id", "vector", "turned", "list", split.alias("part")), "index")
-    queries = written(sound.where("asks").dropDuplicates(["id"]).select("id", "vector").mapInArrow(assigned(True, len(centres)), schema), "queries")
+    queries = written(
+        sound.where("asks").dropDuplicates(["id"]).select("id", "vector").mapInArrow(assigned(True, len(centres)), schema),
+        "queries",
+    )
     vectors = queries.select("id", "vector", "turned")
 
     def probed(found: DataFrame | None, low: int, high: int, which: DataFrame) -> DataFrame:
         """The lists from place ``low`` to ``high`` that can still hold a nearer vector."""
-        lists = which.select("id", F.explode(F.slice(F.arrays_zip("lists", "away"), low + 1, high - low)).alias("l")).select("id", F.col("l.lists").alias("list"), F.col("l.away").alias("away"))
+        lists = which.select(
+            "id",
+            F.explode(F.slice(F.arrays_zip("lists", "away"), low + 1, high - low)).alias("l"),
+        ).select("id", F.col("l.lists").alias("list"), F.col("l.away").alias("away"))
         if found is None:
             return lists.select("id", "list", F.lit(float("inf")).alias("bound"))
         nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance"))
         kth = found.withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
-        bounded = lists.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).join(F.broadcast(parts.select("list", "radius")), "list")
+        bounded = lists.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).join(
+            F.broadcast(parts.select("list", "radius")),
+            "list",
+        )
         return bounded.where(F.col("away") - F.col("radius") <= F.sqrt("bound") * (1 + 1e-9)).select("id", "list", "bound")
 
     found, low = None, 0

@@ -57,7 +57,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_token: int, key:
     """Every piece with its class, its worker and its number among that worker's pieces of the class."""
     arrow_batches(docs.sparkSession)
     long = T.LongType()
-    schema = T.StructType([docs.schema[key], *(T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "fits", "worker", "nth"))])
+    schema = T.StructType(
+        [docs.schema[key], *(T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "fits", "worker", "nth"))]
+    )
 
     def run(batches):
         counts, worker = Counter(), TaskContext.get().partitionId()
@@ -74,7 +76,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_token: int, key:
                     counts[fits] += 1
                     start += size
             columns = np.array(out, np.int64).reshape(-1, 7).T
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), *(pa.array(c) for c in columns)], schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(rows, pa.int64())), *(pa.array(c) for c in columns)],
+                schema.names,
+            )
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -99,7 +104,15 @@ def _best_fit(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_token: int = 2, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = 4096,
+    end_token: int = 2,
+    key: str = "doc_id",
+    text: str = "text",
+    whole: bool = False,
+) -> DataFrame:
     """One row per piece: its document, range and checksum, and its place in a sequence."""
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, capacity, end_token, key, text, whole), "pieces")
@@ -113,7 +126,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_token: int =
         classes.append((fits, n // fits * fits, first))
         first += n // fits
     classes = spark.createDataFrame(classes, "fits long, in_full long, first long")
-    placed = cut.join(by_worker.select("worker", "fits", "before").join(F.broadcast(classes), "fits"), ["worker", "fits"]).withColumn("number", F.col("before") + F.col("nth"))
+    placed = cut.join(
+        by_worker.select("worker", "fits", "before").join(F.broadcast(classes), "fits"),
+        ["worker", "fits"],
+    ).withColumn("number", F.col("before") + F.col("nth"))
     in_full = placed.where("number < in_full").withColumn("sequence_id", F.expr("first + number div fits"))
     if whole:
         ahead = F.sum("length").over(W.partitionBy("sequence_id").orderBy("number").rowsBetween(W.unboundedPreceding, -1))
@@ -121,7 +137,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_token: int =
     else:
         in_full = in_full.withColumn("offset", F.expr("number % fits * length"))
     rest = placed.where("number >= in_full")
-    tail = rest.select("worker", "fits", "length", "nth").groupBy().applyInPandas(_best_fit(capacity), "worker long, fits long, nth long, bin long, place long")
+    tail = rest.select("worker", "fits", "length", "nth").groupBy().applyInPandas(
+        _best_fit(capacity),
+        "worker long, fits long, nth long, bin long, place long",
+    )
     at_end = rest.join(tail, ["worker", "fits", "nth"]).withColumns({"sequence_id": F.col("bin") + first, "offset": F.col("place")})
     columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return in_full.select(columns).unionByName(at_end.select(columns))

@@ -106,7 +106,15 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Ensemble([], [], math.log(share / (1 - share)))
     vector = lambda terms: array_to_vector(F.expr(f"array({', '.join(terms)})")).alias("features")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=5, maxBins=64, subsamplingRate=0.8, featureSubsetStrategy="onethird", seed=7)
+    forest = RandomForestClassifier(
+        numTrees=TREES,
+        maxDepth=DEPTH,
+        minInstancesPerNode=5,
+        maxBins=64,
+        subsamplingRate=0.8,
+        featureSubsetStrategy="onethird",
+        seed=7,
+    )
     rules = paths(forest.fit(rows.select("label", vector(names))), names)
     weigh = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False)
     model = weigh.fit(rows.select("label", vector([f"IF({holds(r)}, 1D, 0D)" for r in rules])))
@@ -118,14 +126,32 @@ def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     return docs.select(*keep, *[c.alias(n) for n, c in statistics(text_of(text)).items()])
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> DataFrame:
+def classify(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    most_rows: int = MOST_ROWS,
+) -> DataFrame:
     """Per row: whether it is held out, its score, and the class that the score predicts."""
     stats = written(with_statistics(docs, [key], text), "quality-statistics")
     score = fit(stats, labels, key, label, most_rows).score()
-    return stats.select(key, held_out(key).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
-
-def kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> DataFrame:
+    return stats.select(
+        key,
+        held_out(key).alias("held_out"),
+        score.alias("score"),
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def kept(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    most_rows: int = MOST_ROWS,
+) -> DataFrame:
     """The rows of ``docs`` that score at least 0.5, all columns unchanged."""
     columns = docs.columns
     whole = docs.select(F.struct(*columns).alias("row"), F.col(key).alias(key), F.col(text).alias("whole_text"))

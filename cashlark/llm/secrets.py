@@ -50,12 +50,24 @@ def _matches(text: Column, number: int, pattern: str, group: int, least: int) ->
     """All matches of a pattern in order: the gap before each, its size, and its value as a hash."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    zipped = F.arrays_zip(
+        F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"),
+        sizes.alias("size"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
+    )
 
     def one(m, i):
         value = m["value"]
         mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-        return F.struct(F.lit(number).alias("kind_no"), i.alias("i"), m["gap"].alias("gap"), m["size"].alias("size"), (F.length(value) >= least).alias("long_enough"), mixed.alias("mixed"), F.sha2(value, 256).alias("secret"))
+        return F.struct(
+            F.lit(number).alias("kind_no"),
+            i.alias("i"),
+            m["gap"].alias("gap"),
+            m["size"].alias("size"),
+            (F.length(value) >= least).alias("long_enough"),
+            mixed.alias("mixed"),
+            F.sha2(value, 256).alias("secret"),
+        )
 
     return F.transform(zipped, one)
 
@@ -63,7 +75,12 @@ def _matches(text: Column, number: int, pattern: str, group: int, least: int) ->
 def hits(docs: DataFrame, key: str, text: str, owner: str, repository: tuple[str, ...]) -> DataFrame:
     """Every match of every kind in the rows of ``docs``, with the row's owner and repository; texts stay in the scan."""
     unnamed = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.where(text_of(text).rlike(ANY)).select(*_keyed(docs, key, text), text_of(text).alias("t"), unnamed(owner).alias("owner"), F.struct(*[unnamed(c).alias(f"r{n}") for n, c in enumerate(repository)]).alias("repository"))
+    rows = docs.where(text_of(text).rlike(ANY)).select(
+        *_keyed(docs, key, text),
+        text_of(text).alias("t"),
+        unnamed(owner).alias("owner"),
+        F.struct(*[unnamed(c).alias(f"r{n}") for n, c in enumerate(repository)]).alias("repository"),
+    )
     found = F.concat(*[_matches(F.col("t"), number, *how) for number, how in enumerate(KINDS.values())])
     rows = rows.select(*KEY, "owner", "repository", F.explode(found).alias("m"))
     return written(rows.select(*KEY, "owner", "repository", "m.*"), "secret-hits")
@@ -76,7 +93,13 @@ def owned(found: DataFrame) -> DataFrame:
     return counts.where("least = most").select("secret", "repositories")
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+def spans(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    owner: str = "source",
+    repository: tuple[str, ...] = ("source", "lang"),
+) -> DataFrame:
     """One row per distinct (key, text) with candidates: its spans in order of start and kind.
 
     ``spans`` is an array of structs: start, kind_no, end, kind, live, repositories
@@ -86,11 +109,24 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     once = found.select(*KEY, "kind_no", "i", "gap", "size", "long_enough", "mixed", "secret").dropDuplicates([*KEY, "kind_no", "i"])
     upto = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy(*KEY, "kind_no").orderBy("i"))
     once = once.withColumn("end", upto).where("long_enough")
-    once = written(once.select(*KEY, "kind_no", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind_no") + 1).alias("kind"), (F.col("end") - F.col("size")).alias("start"), "end", "mixed", "secret"), "secret-spans")
+    once = written(
+        once.select(
+            *KEY,
+            "kind_no",
+            F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind_no") + 1).alias("kind"),
+            (F.col("end") - F.col("size")).alias("start"),
+            "end",
+            "mixed",
+            "secret",
+        ),
+        "secret-spans",
+    )
     # Widely copied values are not on the right side, so they meet nothing there.
     judged = once.join(owned(found), "secret", "left").withColumn("live", F.col("mixed") & F.col("repositories").isNotNull())
     judged = judged.where(F.col("live") | (F.col("kind_no") < len(BASE)))
-    return judged.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "kind", "live", "repositories"))).alias("spans"))
+    return judged.groupBy(*KEY).agg(
+        F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "kind", "live", "repositories"))).alias("spans")
+    )
 
 
 def _joined(array: Column) -> Column:
@@ -102,10 +138,19 @@ def _with_spans(docs: DataFrame, found: DataFrame, key: str, text: str, columns:
     rows = docs.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(columns)], *_keyed(docs, key, text)).alias("a")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in KEY]
     none = F.array().cast(found.schema["spans"].dataType)
-    return rows.join(found.alias("b"), same[0] & same[1] & same[2], "left").select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)], F.coalesce("spans", none).alias("found_spans"))
+    return rows.join(found.alias("b"), same[0] & same[1] & same[2], "left").select(
+        *[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)],
+        F.coalesce("spans", none).alias("found_spans"),
+    )
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    owner: str = "source",
+    repository: tuple[str, ...] = ("source", "lang"),
+) -> DataFrame:
     """Per row: counts by kind, a digest of the base spans, all spans, and how many look live or copied."""
     rows = _with_spans(docs, spans(docs, key, text, owner, repository), key, text, [key])
     base = F.filter("found_spans", lambda s: s["kind_no"] < len(BASE))
@@ -121,7 +166,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     )
 
 
-def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+def masked(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    owner: str = "source",
+    repository: tuple[str, ...] = ("source", "lang"),
+) -> DataFrame:
     """All rows and columns of ``docs`` with live-looking credentials replaced by a mask; other texts are unchanged."""
     rows = _with_spans(docs, spans(docs, key, text, owner, repository), key, text, docs.columns)
     live = F.filter("found_spans", lambda s: s["live"])
@@ -130,7 +181,10 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     def add(done, span):
         gap = F.substr(F.col(text), (done["at"] + 1).cast("int"), F.greatest(span["start"] - done["at"], F.lit(0)).cast("int"))
         fresh = F.concat(done["out"], gap, F.lit(MASK))
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.when(span["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"))
+        return F.struct(
+            F.greatest(done["at"], span["end"]).alias("at"),
+            F.when(span["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"),
+        )
 
     rebuilt = F.aggregate(live, start, add, lambda done: F.concat(done["out"], F.substr(F.col(text), (done["at"] + 1).cast("int"))))
     return rows.withColumn(text, F.when(F.size(live) > 0, rebuilt).otherwise(F.col(text))).select(docs.columns)

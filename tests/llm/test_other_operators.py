@@ -57,13 +57,29 @@ ARC_2 = (
 
 def test_both_versions_are_parsed():
     one, two = (list(archives.arc_entries(d)) for d in (ARC_1, ARC_2))
-    assert [(h["URL"], h["Archive-date"], len(b)) for _, h, b in one] == [(b"http://www.dryswamp.edu:80/index.html", b"19961104142103", 202), (b"http://a/with blank", b"1996", len(BODY)), (b"dns:www.dryswamp.edu", b"19961104142103", 8)]
-    assert [(h["URL"], h["Result-code"], h["Location"], b) for _, h, b in two] == [(b"http://b/", b"200", b"-", LATIN), (b"http://c/", b"404", b"http://d/", BODY)]
+    assert [(h["URL"], h["Archive-date"], len(b)) for _, h, b in one] == [
+        (b"http://www.dryswamp.edu:80/index.html", b"19961104142103", 202),
+        (b"http://a/with blank", b"1996", len(BODY)),
+        (b"dns:www.dryswamp.edu", b"19961104142103", 8),
+    ]
+    assert [(h["URL"], h["Result-code"], h["Location"], b) for _, h, b in two] == [
+        (b"http://b/", b"200", b"-", LATIN),
+        (b"http://c/", b"404", b"http://d/", BODY),
+    ]
     assert {h["Archive"] for _, h, _ in one + two} == {b"IA-001102.arc", b"two.arc"}
     assert all(data[at:].startswith(h["URL"]) for data, found in ((ARC_1, one), (ARC_2, two)) for at, h, _ in found)
 
 
-@pytest.mark.parametrize("data", [ARC_1[:-5], ARC_1.replace(b"text/html 202", b"text/html 190"), ARC_2.replace(b"two.arc 121", b"two.arc x"), ARC_1.replace(b"\n1 0 Alexa", b"\n7 0 Alexa"), b"no archive"])
+@pytest.mark.parametrize(
+    "data",
+    [
+        ARC_1[:-5],
+        ARC_1.replace(b"text/html 202", b"text/html 190"),
+        ARC_2.replace(b"two.arc 121", b"two.arc x"),
+        ARC_1.replace(b"\n1 0 Alexa", b"\n7 0 Alexa"),
+        b"no archive",
+    ],
+)
 def test_wrong_lengths_and_lines_raise(data):
     with pytest.raises(ValueError, match="at \\d+"):
         list(archives.arc_entries(data))
@@ -81,7 +97,12 @@ def test_foreign_archives_are_converted(spark, tmp_path):
         entries = []
         for file in sorted((tmp_path / run).glob("part-*")):
             entries += list(archives.warc_entries(gzip.decompress(file.read_bytes())))
-        runs.append(sorted((h["warc-type"], h.get("warc-target-uri"), h["warc-date"], h["warc-record-id"], b) for h, b in entries if h["warc-type"] != b"warcinfo"))
+        runs.append(
+            sorted(
+                (h["warc-type"], h.get("warc-target-uri"), h["warc-date"], h["warc-record-id"], b)
+                for h, b in entries if h["warc-type"] != b"warcinfo"
+            )
+        )
         assert entries[0][0]["warc-type"] == b"warcinfo" and b"format: WARC" in entries[0][1]
         later = next(h for h, _ in entries if h["warc-type"] == b"revisit")
         first = next(h for h, _ in entries if h["warc-record-id"] == later["warc-refers-to"])
@@ -98,12 +119,18 @@ def test_foreign_archives_are_converted(spark, tmp_path):
 
 def test_archives_are_closed_by_bytes(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(archives, "ARCHIVE_BYTES", 5000)
-    pages = spark.createDataFrame([(i // 2, f"http://h/{i}", "x" * 1000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    pages = spark.createDataFrame(
+        [(i // 2, f"http://h/{i}", "x" * 1000) for i in range(40)],
+        "page_id long, url string, html string",
+    ).coalesce(1)
     archives.write_arc(pages, str(tmp_path / "arc"))
     sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "arc").glob("part-*")]
     assert len(sizes) > 6 and max(sizes) < 8000
     rows = archives.round_trip(pages).collect()
-    assert sum(r["record_type"] == "response" for r in rows) == 1 and {r["refers_to"] for r in rows} == {None, 0} and len({r["record_id"] for r in rows}) == 40
+    assert sum(
+        r["record_type"] == "response"
+        for r in rows
+    ) == 1 and {r["refers_to"] for r in rows} == {None, 0} and len({r["record_id"] for r in rows}) == 40
     assert archives.round_trip(pages.limit(0)).count() == 0
 
 
@@ -114,14 +141,24 @@ def vectors(spark, seed, n, copies=True):
     rows = [(i, [float(x) for x in v[i].astype(np.float32)], i % 3) for i in range(n)]
     rows = [(i, x, (i % (n // 2)) % 3) for i, x, _ in rows]
     if copies:
-        rows += [(n, rows[0][1], 0), (n + 1, rows[0][1], None), (n + 2, None, 0), (n + 3, [0.0] * 16, 0), (n + 4, [float("nan")] * 16, 0), (n + 5, [None] * 16, 0)]
+        rows += [
+            (n, rows[0][1], 0),
+            (n + 1, rows[0][1], None),
+            (n + 2, None, 0),
+            (n + 3, [0.0] * 16, 0),
+            (n + 4, [float("nan")] * 16, 0),
+            (n + 5, [None] * 16, 0),
+        ]
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
 def test_near_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(capfilters, "BLOCK", 8)
     rows, frame = vectors(spark, 1, 200)
-    sound = {i: (np.array(v, float), label) for i, v, label in rows if v and None not in v and np.isfinite(v).all() and any(v) and label is not None}
+    sound = {
+        i: (np.array(v, float), label)
+        for i, v, label in rows if v and None not in v and np.isfinite(v).all() and any(v) and label is not None
+    }
     links = {i: set() for i, *_ in rows}
     for i, (a, x) in sound.items():
         for j, (b, y) in sound.items():
@@ -175,10 +212,33 @@ def test_near_vectors_share_a_filter(n):
 
 def test_odd_vectors(spark):
     near = [1.0, 0.0, 0.0]
-    rows = [(1, near, 0), (1, near, 0), (2, near, 0), (3, [1.0, 0.01, 0.0], 0), (4, near[:2], 0), (None, near, 0), (5, near, 1), (6, near, None), (7, [0.0, 1.0, 0.0], 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"node": F.lit("x"), "weight": F.lit(1)})
+    rows = [
+        (1, near, 0),
+        (1, near, 0),
+        (2, near, 0),
+        (3, [1.0, 0.01, 0.0], 0),
+        (4, near[:2], 0),
+        (None, near, 0),
+        (5, near, 1),
+        (6, near, None),
+        (7, [0.0, 1.0, 0.0], 0),
+    ]
+    frame = spark.createDataFrame(
+        rows,
+        "vec_id long, embedding array<double>, label int",
+    ).withColumns({"node": F.lit("x"), "weight": F.lit(1)})
     found = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in capfilters.near_duplicates(frame).collect())
-    assert found == [(0, 4, 1, False), (1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+    assert found == [
+        (0, 4, 1, False),
+        (1, 4, 1, True),
+        (1, 4, 1, True),
+        (2, 4, 1, False),
+        (3, 4, 1, False),
+        (4, 0, 4, True),
+        (5, 0, 5, True),
+        (6, 0, 6, True),
+        (7, 0, 7, True),
+    ]
 
 
 def test_decoding_lists_the_best_filters():
@@ -219,7 +279,10 @@ def exact_nearest(sound, queries, k=20):
 
 def test_recall_on_the_embeddings(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    sound = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect() if r["embedding"] and None not in r["embedding"] and np.isfinite(r["embedding"]).all() and any(r["embedding"])}
+    sound = {
+        r["vec_id"]: np.array(r["embedding"], float)
+        for r in table.collect() if r["embedding"] and None not in r["embedding"] and np.isfinite(r["embedding"]).all() and any(r["embedding"])
+    }
     found: dict = {}
     for r in neighbours.search(table, F.col("vec_id") % 20 == 0).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
@@ -233,7 +296,14 @@ def test_recall_on_the_embeddings(spark):
 def test_search_with_ties_repeats_and_odd_rows(spark, monkeypatch, scan):
     monkeypatch.setattr(neighbours, "SCAN", scan)
     v = lambda *x: [float(n) for n in x]
-    rows = [(i, v(1, 0, i % 2)) for i in range(40)] + [(0, v(1, 0, 0)), (0, v(5, 0, 0)), (None, v(9, 9, 9)), (50, v(1, 0)), (60, None), (70, [None, 1.0, 2.0])]
+    rows = [(i, v(1, 0, i % 2)) for i in range(40)] + [
+        (0, v(1, 0, 0)),
+        (0, v(5, 0, 0)),
+        (None, v(9, 9, 9)),
+        (50, v(1, 0)),
+        (60, None),
+        (70, [None, 1.0, 2.0]),
+    ]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "list": F.lit(1)})
     found: dict = {}
     for r in neighbours.search(frame, F.col("vec_id").isin(0, 1, 50, 60) | F.col("vec_id").isNull(), waves=(0.0, 1.0)).collect():

@@ -41,7 +41,10 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     firsts = list(distinct.values())
     kept = {firsts[c] for c in classes} | {i for i, t in texts.items() if t is None}
     assert set(found) == kept and len(kept) < len(good) < docs.count()
-    frame = spark.createDataFrame([(r["doc_id"], texts[r["doc_id"]], r["lang"], r["source"], 0) for r in rows if r["doc_id"] in kept], docs.schema)
+    frame = spark.createDataFrame(
+        [(r["doc_id"], texts[r["doc_id"]], r["lang"], r["source"], 0) for r in rows if r["doc_id"] in kept],
+        docs.schema,
+    )
     masked = {r["doc_id"]: r["text"] for r in secrets.masked(frame).collect()}
     coder = Tokenizer.from_file(WORDS)
     for i, pieces in found.items():

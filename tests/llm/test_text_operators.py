@@ -22,7 +22,17 @@ def docs(spark, texts, source="s"):
     return spark.createDataFrame([(i, t, "en", source if isinstance(source, str) else source[i], 0) for i, t in enumerate(texts)], DOCS)
 
 
-ODD = [None, "", "a", "don't stop 12 ½ naïve ÉCOLE", "İstanbul ΣΑΣ ﬁ é", "<|endoftext|>x <|ENDOFTEXT|>", "中文字 🙂!!\x1c\x85  z", "x" * 5000, "'ll'sx !'s rq"]
+ODD = [
+    None,
+    "",
+    "a",
+    "don't stop 12 ½ naïve ÉCOLE",
+    "İstanbul ΣΑΣ ﬁ é",
+    "<|endoftext|>x <|ENDOFTEXT|>",
+    "中文字 🙂!!\x1c\x85  z",
+    "x" * 5000,
+    "'ll'sx !'s rq",
+]
 
 
 def test_ids_and_text_equal_the_library(spark):
@@ -61,7 +71,15 @@ def test_pieces_fill_their_slots(rest):
 
 @pytest.mark.parametrize("whole", [False, True])
 def test_packing_is_whole_and_gapless(spark, whole):
-    texts = [None, "", *[" ".join(["word"] * n) for n in (1, 5, 63, 64, 300, 2047, 4095, 4096, 9000)], "same", "same", *["a b c"] * 900, *[" ".join(["word"] * (1000 + n)) for n in range(40)]]
+    texts = [
+        None,
+        "",
+        *[" ".join(["word"] * n) for n in (1, 5, 63, 64, 300, 2047, 4095, 4096, 9000)],
+        "same",
+        "same",
+        *["a b c"] * 900,
+        *[" ".join(["word"] * (1000 + n)) for n in range(40)],
+    ]
     coder = Tokenizer.from_file(WORDS)
     rows = packing.pack(docs(spark, texts).repartition(3), WORDS, whole=whole).collect()
     own: dict = {}
@@ -89,7 +107,9 @@ def test_packing_is_whole_and_gapless(spark, whole):
 
 def test_packing_with_odd_keys_and_columns(spark):
     rows = [(None, "a b", 1), (None, "a b", 1), (2, "c", 2), (2, "d " * 20_000, 3)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, worker int").withColumns({"fits": F.lit("x"), "length": F.lit("y"), "nth": F.lit(0)})
+    frame = spark.createDataFrame(rows, "doc_id long, text string, worker int").withColumns(
+        {"fits": F.lit("x"), "length": F.lit("y"), "nth": F.lit(0)}
+    )
     found = packing.pack(frame, WORDS).collect()
     assert sum(r["length"] for r in found) == 3 + 3 + 2 + 20_001 and sum(r["doc_id"] is None for r in found) >= 2
 
@@ -114,7 +134,10 @@ def remaining(texts, least):
                 best = max(best, k)
             if best and sum(len(x.split()) for x in own[n : n + best]) >= least:
                 gone[i].update(range(n, n + best))
-    return {i: "\n".join(x for n, x in enumerate(own) if n not in gone[i]) if gone[i] else texts[i] for i, own in split.items()} | {i: None for i, t in enumerate(texts) if t is None}
+    return {
+        i: "\n".join(x for n, x in enumerate(own) if n not in gone[i]) if gone[i] else texts[i]
+        for i, own in split.items()
+    } | {i: None for i, t in enumerate(texts) if t is None}
 
 
 def test_lines_equal_brute_force(spark, monkeypatch):
@@ -130,12 +153,28 @@ def test_lines_equal_brute_force(spark, monkeypatch):
 
 def test_lines_with_odd_keys(spark):
     run = "\n".join(f"line {i} of a passage" for i in range(12))
-    rows = [(None, run, "x"), (None, run, "x"), (2, f"start\n{run}", "y"), (2, f"start\n{run}", "y"), (3, run, "z"), (4, None, "n"), (None, None, "n"), (5, f"start\n{run}\n" + "long " * 50_000, "w")]
+    rows = [
+        (None, run, "x"),
+        (None, run, "x"),
+        (2, f"start\n{run}", "y"),
+        (2, f"start\n{run}", "y"),
+        (3, run, "z"),
+        (4, None, "n"),
+        (None, None, "n"),
+        (5, f"start\n{run}\n" + "long " * 50_000, "w"),
+    ]
     frame = spark.createDataFrame(rows, "doc_id long, text string, d1 string").withColumns({"gone": F.lit(1), "row": F.lit(2)})
     out = lines.dedup(frame)
     assert out.columns == [*frame.columns, "n_lines", "n_deleted"]
     found = sorted((r["doc_id"] or 0, r["d1"], r["text"]) for r in out.where("text is not null").collect())
-    assert found == [(0, "x", run), (0, "x", run), (2, "y", "start"), (2, "y", "start"), (3, "z", ""), (5, "w", "long " * 50_000)] and out.count() == 8
+    assert found == [
+        (0, "x", run),
+        (0, "x", run),
+        (2, "y", "start"),
+        (2, "y", "start"),
+        (3, "z", ""),
+        (5, "w", "long " * 50_000),
+    ] and out.count() == 8
 
 
 def test_lines_without_repeats_stay(spark):
@@ -174,7 +213,19 @@ def test_near_duplicates_share_a_class(spark):
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     near = [*base[:60], "changed", *base[61:]]
     far = [f"v{rng.randrange(10**6)}" for _ in range(120)]
-    texts = [" ".join(base), " ".join(near), " ".join(far), " ".join(base), None, None, "", "", "one two", "one two three", " ".join(reversed(base))]
+    texts = [
+        " ".join(base),
+        " ".join(near),
+        " ".join(far),
+        " ".join(base),
+        None,
+        None,
+        "",
+        "",
+        "one two",
+        "one two three",
+        " ".join(reversed(base)),
+    ]
     found = {r["doc_id"]: r for r in neardup.classes(docs(spark, texts)).collect()}
     assert [found[i]["class_id"] for i in range(len(texts))] == [0, 0, 2, 0, 4, 5, 6, 6, 8, 9, 10]
     assert sorted(r["doc_id"] for r in neardup.one_of_each(docs(spark, texts)).collect()) == [0, 2, 4, 5, 6, 8, 9, 10]
@@ -208,7 +259,16 @@ def test_short_near_copies_are_all_found(spark):
 
 
 def test_licences(spark):
-    texts = [None, "", "Released under the MIT License.", "MIT\nlicense apache-license GENERAL public LICENSE; mit license", "mit licenses, a license mit", "Licensed under CC BY-NC 4.0.", "cc by and nc 4 0", "word " * 3000 + "Licensed under the Apache License, Version 2.0"]
+    texts = [
+        None,
+        "",
+        "Released under the MIT License.",
+        "MIT\nlicense apache-license GENERAL public LICENSE; mit license",
+        "mit licenses, a license mit",
+        "Licensed under CC BY-NC 4.0.",
+        "cc by and nc 4 0",
+        "word " * 3000 + "Licensed under the Apache License, Version 2.0",
+    ]
     found = {r["doc_id"]: r.asDict() for r in licenses.scan(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         want = licenses.brute_force(t)
@@ -238,7 +298,10 @@ def test_licence_labels_equal_brute_force(spark):
 
 def test_licence_texts_are_a_parameter(spark):
     own = {"house": ("You may use this tool at home only", ["at home only"])}
-    rows = licenses.scan(docs(spark, ["x you may use this tool at home only y", "at home only", "use at home"]), templates=own).orderBy("doc_id").collect()
+    rows = licenses.scan(
+        docs(spark, ["x you may use this tool at home only y", "at home only", "use at home"]),
+        templates=own,
+    ).orderBy("doc_id").collect()
     assert [r["labels"] for r in rows] == ["house", "house", ""] and rows[0]["score"] == 1
     with pytest.raises(ValueError, match="not part"):
         licenses.scan(docs(spark, ["x"]), templates={"house": ("a b", ["c"])})
@@ -246,7 +309,14 @@ def test_licence_texts_are_a_parameter(spark):
 
 def test_licences_by_their_best_place(spark):
     loose, notice = "available under the mit license", "released under the mit license"
-    texts = [loose, f"{loose} as it was released before", f"{loose} and {notice}", f"{notice} and {loose}", f"released {loose}", "mit license " * 4000 + notice]
+    texts = [
+        loose,
+        f"{loose} as it was released before",
+        f"{loose} and {notice}",
+        f"{notice} and {loose}",
+        f"released {loose}",
+        "mit license " * 4000 + notice,
+    ]
     found = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
     assert [found[i]["labels"] for i in range(len(texts))] == ["mit,mit-notice"] * len(texts)
     assert [found[i]["score"] for i in range(len(texts))] == [0.8, 0.8, 1, 1, 0.8, 1]
@@ -260,12 +330,25 @@ PATTERNS = [
 
 
 def test_secrets(spark):
-    texts = [None, "", "password=token:abcdefghij", 'é🙂 API_KEY : "abcdefgh1" AKIAABCDEFGHIJKL1 AKIASHORT', "token=token=abcdefgh " + "0af" * 11, "a" * 40 + " secret = 'short'", 'token = "shared99aa" x', 'token = "shared99aa" y', 'db_key="abcdefghij1234567890"']
+    texts = [
+        None,
+        "",
+        "password=token:abcdefghij",
+        'é🙂 API_KEY : "abcdefgh1" AKIAABCDEFGHIJKL1 AKIASHORT',
+        "token=token=abcdefgh " + "0af" * 11,
+        "a" * 40 + " secret = 'short'",
+        'token = "shared99aa" x',
+        'token = "shared99aa" y',
+        'db_key="abcdefghij1234567890"',
+    ]
     sources = ["s", "s", "s", "s", "s", "s", "s", "other", "s"]
     rows = docs(spark, texts, sources)
     found = {r["doc_id"]: r for r in secrets.scan(rows.union(rows.where("doc_id = 3"))).collect()}
     for i, t in enumerate(texts):
-        want = sorted((m.start(), k, m.end(), name) for k, (name, p, group, least) in enumerate(PATTERNS) for m in p.finditer(t or "") if len(m[group]) >= least)
+        want = sorted(
+            (m.start(), k, m.end(), name)
+            for k, (name, p, group, least) in enumerate(PATTERNS) for m in p.finditer(t or "") if len(m[group]) >= least
+        )
         text = ",".join(f"{name}:{a}:{b}" for a, _, b, name in want)
         assert found[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), i
         assert [found[i][f"n_{n}"] for n, *_ in PATTERNS] == [sum(w[3] == n for w in want) for n, *_ in PATTERNS]
@@ -277,7 +360,9 @@ def test_secrets(spark):
 def test_secrets_with_odd_keys_and_columns(spark):
     held = 'token = "abcd1234efgh"'
     rows = [(None, held, None, "en"), (None, held, None, "en"), (2, "x " * 100_000 + held, None, None), (3, None, "s", None)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"d1": F.lit("a"), "t": F.lit("b"), "kind": F.lit("c"), "secret": F.lit("d"), "spans": F.lit("e")})
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns(
+        {"d1": F.lit("a"), "t": F.lit("b"), "kind": F.lit("c"), "secret": F.lit("d"), "spans": F.lit("e")}
+    )
     found = sorted((r["doc_id"] or 0, r["n_assign"], r["n_live"]) for r in secrets.scan(frame).collect())
     assert found == [(0, 1, 1), (0, 1, 1), (2, 1, 1), (3, 0, 0)]
     masked = secrets.masked(frame)
@@ -304,7 +389,10 @@ def added_spans(texts, owners):
 def test_spans_of_the_method_equal_brute_force(spark):
     rng = random.Random(23)
     values = [f"{rng.randrange(16**12):x}{'aZ9'[i % 3] * 8}" for i in range(60)]
-    texts = [" ".join(rng.choice(["db_key = ", "auth:", "PWD='", "x-key=", "é "]) + rng.choice(values) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    texts = [
+        " ".join(rng.choice(["db_key = ", "auth:", "PWD='", "x-key=", "é "]) + rng.choice(values) for _ in range(rng.randint(1, 4)))
+        for _ in range(40)
+    ]
     owners = [f"s{rng.randrange(6)}" for _ in texts]
     found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs(spark, texts, owners)).collect()}
     want = added_spans(texts, owners)
@@ -332,8 +420,14 @@ def test_rules_as_columns_equal_rules_by_hand(spark):
 
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
-    rows = [(i, "good words in a row" if i % 2 else "!! || ??", 0.5) for i in range(60)] + [(None, "good words", 0.1), (7, "good words in a row", 0.2), (61, "long text " * 100_000, 0.3)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumns({"log_words": F.lit("x"), "row": F.lit(1), "whole_text": F.lit("y")})
+    rows = [(i, "good words in a row" if i % 2 else "!! || ??", 0.5) for i in range(60)] + [
+        (None, "good words", 0.1),
+        (7, "good words in a row", 0.2),
+        (61, "long text " * 100_000, 0.3),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumns(
+        {"log_words": F.lit("x"), "row": F.lit(1), "whole_text": F.lit("y")}
+    )
     found = quality.classify(frame, labels)
     assert found.count() == len(rows) and found.where("score is null or score < 0 or score > 1").count() == 0
     kept = quality.kept(frame, labels)
@@ -396,10 +490,30 @@ def test_classes_equal_brute_force(spark, monkeypatch, block, kmers):
 
 def test_near_duplicates_with_odd_keys_and_columns(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
-    rows = [(None, "a b c d e f", 1, "x"), (None, "a b c d e f", 1, "x"), (3, "a b c d e f", 2, "y"), (4, long, 3, "z"), (5, long + " end", 4, "z"), (5, long + " end", 4, "z"), (None, None, 5, "n"), (7, None, 6, "n")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, d1 int, row string").withColumns({"t": F.lit("t"), "node": F.lit(0), "first": F.lit("f")})
+    rows = [
+        (None, "a b c d e f", 1, "x"),
+        (None, "a b c d e f", 1, "x"),
+        (3, "a b c d e f", 2, "y"),
+        (4, long, 3, "z"),
+        (5, long + " end", 4, "z"),
+        (5, long + " end", 4, "z"),
+        (None, None, 5, "n"),
+        (7, None, 6, "n"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, d1 int, row string").withColumns(
+        {"t": F.lit("t"), "node": F.lit(0), "first": F.lit("f")}
+    )
     found = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_copies"], r["kept"]) for r in neardup.classes(frame).collect())
-    assert found == [(0, 0, 1, True), (0, 3, 3, False), (0, 3, 3, False), (3, 3, 3, True), (4, 4, 1, True), (5, 4, 2, False), (5, 4, 2, False), (7, 7, 1, True)]
+    assert found == [
+        (0, 0, 1, True),
+        (0, 3, 3, False),
+        (0, 3, 3, False),
+        (3, 3, 3, True),
+        (4, 4, 1, True),
+        (5, 4, 2, False),
+        (5, 4, 2, False),
+        (7, 7, 1, True),
+    ]
     left = neardup.one_of_each(frame)
     assert left.columns == frame.columns
     assert sorted((r["doc_id"] or 0, r["d1"]) for r in left.collect()) == [(0, 5), (3, 2), (4, 3), (7, 6)]
