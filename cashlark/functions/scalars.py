@@ -27,7 +27,10 @@ def folded(text: Column) -> Column:
 
 def scalar(text: Column) -> Column:
     """A text leaf of JSON; null where the payload holds an object or an array."""
-    nested = F.when(text.startswith("{"), F.json_object_keys(text).isNotNull()).when(text.startswith("["), F.json_array_length(text).isNotNull())
+    nested = F.when(text.startswith("{"), F.json_object_keys(text).isNotNull()).when(
+        text.startswith("["),
+        F.json_array_length(text).isNotNull(),
+    )
     return F.when(F.coalesce(nested, F.lit(False)), None).otherwise(text)
 
 
@@ -131,7 +134,10 @@ def paid_token(text: Column) -> Column:
 def is_paid(source: Column, event_type: Column, p: Column) -> Column:
     """Whether an event says that its order is paid, by its source's fields."""
     store = paid_token(p["financial_status"]) | paid_token(p["display_financial_status"]) | paid_token(event_type)
-    hub = paid_token(p["paymentStatus"]) | paid_token(p["status"]) | F.coalesce(F.exists(p["payments"], lambda x: paid_token(x["status"])), F.lit(False))
+    hub = paid_token(p["paymentStatus"]) | paid_token(p["status"]) | F.coalesce(
+        F.exists(p["payments"], lambda x: paid_token(x["status"])),
+        F.lit(False),
+    )
     return F.coalesce(F.when(source == STOREFRONT, store).when(source == HUB, hub), F.lit(False))
 
 
@@ -147,14 +153,20 @@ def discount_cents(p: Column) -> Column:
 
 def shipping_cents(p: Column) -> Column:
     """Stated shipping, else that of the shipping lines, else what the totals leave within bounds."""
-    direct = first_money(shop_amount(p, "total_shipping_price_set"), shop_amount(p, "current_total_shipping_price_set"), p["total_shipping_price"])
+    direct = first_money(
+        shop_amount(p, "total_shipping_price_set"),
+        shop_amount(p, "current_total_shipping_price_set"),
+        p["total_shipping_price"],
+    )
     lines = [
         sum_money(p["shipping_lines"], lambda x: x["discounted_price_set"]["shop_money"]["amount"]),
         sum_money(p["shipping_lines"], lambda x: x["discounted_price"]),
         sum_money(p["shipping_lines"], lambda x: x["price"]),
     ]
     total, subtotal = zero(first_money(p["total_price"])), first_money(p["subtotal_price"], p["current_subtotal_price"])
-    left = total - subtotal + discount_cents(p) + zero(first_money(p["total_tax"])) + zero(first_money(shop_amount(p, "current_total_additional_fees_set")))
+    left = total - subtotal + discount_cents(p) + zero(first_money(p["total_tax"])) + zero(
+        first_money(shop_amount(p, "current_total_additional_fees_set"))
+    )
     derived = F.when((total > 0) & left.between(*V.SHIPPING_BOUNDS), F.greatest(left, F.lit(0).cast("long")))
     return zero(F.coalesce(direct, *lines, derived))
 
@@ -170,13 +182,21 @@ def liquid_cents(amount: Column, *parts: Column) -> Column:
 
 def display_order_number(name: Column, number: Column, identifier: Column) -> Column:
     own, other = clean(name), clean(number)
-    return F.coalesce(F.when(own.startswith("#"), own).otherwise(F.concat(F.lit("#"), own)), F.concat(F.lit("#"), F.regexp_replace(other, "^#", "")), F.concat(F.lit("#"), identifier))
+    return F.coalesce(
+        F.when(own.startswith("#"), own).otherwise(F.concat(F.lit("#"), own)),
+        F.concat(F.lit("#"), F.regexp_replace(other, "^#", "")),
+        F.concat(F.lit("#"), identifier),
+    )
 
 
 def shown_order_number(number: Column, description: Column) -> Column:
     """For exports: the number with one mark, else the one that the description marks, else a dash."""
     found = F.nullif(F.regexp_extract(description, r"(?i)Pedido\s*#\s*([\w-]+)", 1), F.lit(""))
-    return F.coalesce(F.concat(F.lit("#"), F.regexp_replace(F.nullif(number, F.lit("")), "^#", "")), F.concat(F.lit("#"), found), F.lit("—"))
+    return F.coalesce(
+        F.concat(F.lit("#"), F.regexp_replace(F.nullif(number, F.lit("")), "^#", "")),
+        F.concat(F.lit("#"), found),
+        F.lit("—"),
+    )
 
 
 def source_bucket(marketplace: Column, external_source: Column, source: Column) -> Column:
@@ -239,7 +259,10 @@ def distinct_names(names: Column) -> Column:
 
     Each name is folded once; one pass carries the keys seen, the store credit and the other names.
     """
-    pieces = F.transform(names, lambda n: F.struct(trimmed(n).alias("name"), folded(n).alias("key"), n.rlike(_STORE_CREDIT).alias("credit")))
+    pieces = F.transform(
+        names,
+        lambda n: F.struct(trimmed(n).alias("name"), folded(n).alias("key"), n.rlike(_STORE_CREDIT).alias("credit")),
+    )
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("keys"), F.lit(None).cast("string").alias("credit"), none.alias("rest"))
 
@@ -262,8 +285,15 @@ def payment_raw(p: Column, dominant: Column) -> Column:
     joined = F.nullif(F.array_join(names, " | "), F.lit(""))
     first = F.get(p["transactions"], F.lit(0))
     gateways = F.filter(F.transform(p["transactions"], lambda t: clean(t["gateway"])), lambda g: g.isNotNull())
-    by_leg = F.coalesce(clean(first["payment_details"]["credit_card"]["brand"]), clean(first["payment_details"]["wallet"]["type"]), F.get(gateways, F.lit(0)))
-    attribute = F.get(F.filter(p["note_attributes"], lambda a: F.coalesce(a["name"], F.lit("")).rlike(f"(?i){'|'.join(V.ATTRIBUTE_WORDS)}")), F.lit(0))["value"]
+    by_leg = F.coalesce(
+        clean(first["payment_details"]["credit_card"]["brand"]),
+        clean(first["payment_details"]["wallet"]["type"]),
+        F.get(gateways, F.lit(0)),
+    )
+    attribute = F.get(
+        F.filter(p["note_attributes"], lambda a: F.coalesce(a["name"], F.lit("")).rlike(f"(?i){'|'.join(V.ATTRIBUTE_WORDS)}")),
+        F.lit(0),
+    )["value"]
     note = F.nullif(F.regexp_extract(p["note"], f"(?i)({'|'.join(V.NOTE_WORDS)})", 1), F.lit(""))
     raw = F.coalesce(joined, by_leg, clean(p["gateway"]), clean(attribute), note)
     tags = F.filter(F.split(F.coalesce(p["tags"], F.lit("")), ","), lambda t: t.rlike(f"(?i){'|'.join(V.TAG_WORDS)}"))

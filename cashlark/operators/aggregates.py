@@ -21,53 +21,97 @@ def sum_if(test: Column, column: str | Column) -> Column:
 
 def by_source_method_type(rows: DataFrame) -> DataFrame:
     bucket = S.source_bucket(F.nullif(F.col("marketplace"), F.lit("")), F.col("external_source"), F.col("source"))
-    return rows.groupBy(bucket.alias("source_bucket"), "payment_method", "type").agg(total("amount_cents").alias("total_cents"), F.count("*").alias("n"))
+    return rows.groupBy(bucket.alias("source_bucket"), "payment_method", "type").agg(
+        total("amount_cents").alias("total_cents"),
+        F.count("*").alias("n"),
+    )
 
 
 def breakdown(rows: DataFrame) -> DataFrame:
     """Discount, shipping, and tax with fees; the last is 0 if either has no value at all."""
-    return rows.agg(total("discount_cents").alias("discount_cents"), total("shipping_cents").alias("shipping_cents"), F.coalesce(F.sum("tax_cents") + F.sum("fee_cents"), F.lit(0)).cast("long").alias("tax_fee_cents"))
+    return rows.agg(
+        total("discount_cents").alias("discount_cents"),
+        total("shipping_cents").alias("shipping_cents"),
+        F.coalesce(F.sum("tax_cents") + F.sum("fee_cents"), F.lit(0)).cast("long").alias("tax_fee_cents"),
+    )
 
 
 def source_totals(grouped: DataFrame) -> DataFrame:
     income, expense = F.col("type") == "income", F.col("type") == "expense"
-    return grouped.groupBy("source_bucket").agg(sum_if(income, "total_cents").alias("gross_cents"), sum_if(expense, "total_cents").alias("expense_cents"), sum_if(income | expense, "n").alias("n"))
+    return grouped.groupBy("source_bucket").agg(
+        sum_if(income, "total_cents").alias("gross_cents"),
+        sum_if(expense, "total_cents").alias("expense_cents"),
+        sum_if(income | expense, "n").alias("n"),
+    )
 
 
 def method_totals(grouped: DataFrame) -> DataFrame:
     method = F.coalesce("payment_method", F.lit("other"))
-    return grouped.where("type = 'income'").groupBy(method.alias("payment_method")).agg(total("total_cents").alias("gross_cents"), total("n").alias("n"))
+    return grouped.where("type = 'income'").groupBy(method.alias("payment_method")).agg(
+        total("total_cents").alias("gross_cents"),
+        total("n").alias("n"),
+    )
 
 
 def gateway_split(legs: DataFrame) -> DataFrame:
     """Per order and gateway the successful paying legs: cents, number and latest instant."""
     paying = legs.where((F.col("status") == "success") & F.col("kind").isin(PAID_KINDS))
-    return paying.groupBy("external_order_id", "gateway_raw").agg(F.sum("amount_cents").cast("long").alias("amount_cents"), F.count("*").alias("transaction_count"), F.max("processed_at").alias("processed_at"))
+    return paying.groupBy("external_order_id", "gateway_raw").agg(
+        F.sum("amount_cents").cast("long").alias("amount_cents"),
+        F.count("*").alias("transaction_count"),
+        F.max("processed_at").alias("processed_at"),
+    )
 
 
 def dominant_gateway(split: DataFrame) -> DataFrame:
     """Per order the gateway with the most cents; ties go by the method's precedence, then by name."""
-    order = F.struct((-F.col("amount_cents")).alias("less"), S.method_rank(F.col("gateway_raw")).alias("rank"), "gateway_raw", "amount_cents", "processed_at")
-    won = split.withColumn("_order", order).groupBy("external_order_id").agg(F.min("_order").alias("w"), F.sum("amount_cents").cast("long").alias("total_amount_cents"))
-    return won.select("external_order_id", F.col("w.gateway_raw").alias("gateway_raw"), F.col("w.amount_cents").alias("dominant_amount_cents"), "total_amount_cents", F.col("w.processed_at").alias("processed_at"))
+    order = F.struct(
+        (-F.col("amount_cents")).alias("less"),
+        S.method_rank(F.col("gateway_raw")).alias("rank"),
+        "gateway_raw",
+        "amount_cents",
+        "processed_at",
+    )
+    won = split.withColumn("_order", order).groupBy("external_order_id").agg(
+        F.min("_order").alias("w"),
+        F.sum("amount_cents").cast("long").alias("total_amount_cents"),
+    )
+    return won.select(
+        "external_order_id",
+        F.col("w.gateway_raw").alias("gateway_raw"),
+        F.col("w.amount_cents").alias("dominant_amount_cents"),
+        "total_amount_cents",
+        F.col("w.processed_at").alias("processed_at"),
+    )
 
 
 def gateway_payments(ledger: DataFrame, start: Column, end: Column, zone: str) -> DataFrame:
     """Per gateway its cents and legs in a half-open window, and the local days of the window that have any payment."""
     inside = ledger.where((F.col("processed_at") >= start) & (F.col("processed_at") < end))
     days = inside.select(F.countDistinct(S.local_day(F.col("processed_at"), zone)).alias("covered_days"))
-    per_gateway = inside.groupBy("gateway_raw").agg(total("amount_cents").alias("amount_cents"), total("transaction_count").alias("transaction_count"))
+    per_gateway = inside.groupBy("gateway_raw").agg(
+        total("amount_cents").alias("amount_cents"),
+        total("transaction_count").alias("transaction_count"),
+    )
     return per_gateway.join(days, F.lit(True), "left")  # the right side is one row
 
 
 def ledger_day(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("gateway_raw").agg(total("amount_cents").alias("amount_cents"), total("transaction_count").alias("transaction_count"), F.countDistinct("external_order_id").alias("orders"))
+    return ledger.groupBy("gateway_raw").agg(
+        total("amount_cents").alias("amount_cents"),
+        total("transaction_count").alias("transaction_count"),
+        F.countDistinct("external_order_id").alias("orders"),
+    )
 
 
 def tender_totals(tenders: DataFrame) -> DataFrame:
     """Per order the sum of its positive tenders, tests left out; negative ones are only counted."""
     real = tenders.where(~F.col("test"))
-    return real.groupBy("external_order_id").agg(sum_if(F.col("amount_cents") > 0, "amount_cents").alias("tender_cents"), F.count_if(F.col("amount_cents") < 0).alias("negative_entries"), F.count_if(F.col("amount_cents") > 0).alias("positive_entries")).where("positive_entries > 0").drop("positive_entries")
+    return real.groupBy("external_order_id").agg(
+        sum_if(F.col("amount_cents") > 0, "amount_cents").alias("tender_cents"),
+        F.count_if(F.col("amount_cents") < 0).alias("negative_entries"),
+        F.count_if(F.col("amount_cents") > 0).alias("positive_entries"),
+    ).where("positive_entries > 0").drop("positive_entries")
 
 
 def entries_by_type(entries: DataFrame) -> DataFrame:
@@ -76,7 +120,13 @@ def entries_by_type(entries: DataFrame) -> DataFrame:
 
 def entries_totals(entries: DataFrame) -> DataFrame:
     income, expense = F.col("type") == "income", F.col("type") == "expense"
-    sums = entries.agg(sum_if(income, "amount_cents").alias("income_cents"), sum_if(expense, "amount_cents").alias("expense_cents"), F.count_if(income).alias("income_n"), F.count_if(expense).alias("expense_n"), F.count_if(F.col("type") == "transfer").alias("transfer_n"))
+    sums = entries.agg(
+        sum_if(income, "amount_cents").alias("income_cents"),
+        sum_if(expense, "amount_cents").alias("expense_cents"),
+        F.count_if(income).alias("income_n"),
+        F.count_if(expense).alias("expense_n"),
+        F.count_if(F.col("type") == "transfer").alias("transfer_n"),
+    )
     return sums.withColumn("balance_cents", F.col("income_cents") - F.col("expense_cents"))
 
 
@@ -85,19 +135,35 @@ def entries_by_category(entries: DataFrame, categories: DataFrame) -> DataFrame:
     sums = entries.groupBy("type", "category_id").agg(total("amount_cents").alias("total_cents"), F.count("*").alias("n"))
     share = F.col("total_cents") / F.nullif(F.sum("total_cents").over(W.partitionBy("type")), F.lit(0)) * 100
     named = sums.withColumn("share_percent", share).join(categories.select(F.col("id").alias("category_id"), "name"), "category_id", "left")
-    return named.withColumn("name", F.when(F.col("category_id").isNull(), "Sem categoria").otherwise(F.coalesce("name", F.lit("Categoria removida"))))
+    return named.withColumn(
+        "name",
+        F.when(F.col("category_id").isNull(), "Sem categoria").otherwise(F.coalesce("name", F.lit("Categoria removida"))),
+    )
 
 
 def materialized_lag(orders: DataFrame, as_of: Column) -> DataFrame:
     recent = F.col("materialized_at") >= as_of - F.expr("INTERVAL 7 DAYS")
-    return orders.agg(F.max("materialized_at").alias("max_materialized_at"), F.max("occurred_at").alias("max_occurred_at"), F.count_if(recent).alias("recent"))
+    return orders.agg(
+        F.max("materialized_at").alias("max_materialized_at"),
+        F.max("occurred_at").alias("max_occurred_at"),
+        F.count_if(recent).alias("recent"),
+    )
 
 
 def pipeline_by_day(orders: DataFrame, ledger: DataFrame, resolutions: DataFrame, zone: str) -> DataFrame:
     """Per local day of an order: orders, last materialisation, and orders without ledger or resolution."""
     has = lambda t, name: t.select("external_order_id").distinct().withColumn(name, F.lit(True))
-    flagged = orders.join(has(ledger, "in_ledger"), "external_order_id", "left").join(has(resolutions, "resolved"), "external_order_id", "left")
-    return flagged.groupBy(S.local_day(F.col("occurred_at"), zone).alias("day")).agg(F.count("*").alias("orders"), F.max("materialized_at").alias("last_materialized_at"), F.count_if(F.col("in_ledger").isNull()).alias("without_ledger"), F.count_if(F.col("resolved").isNull()).alias("without_resolution"))
+    flagged = orders.join(has(ledger, "in_ledger"), "external_order_id", "left").join(
+        has(resolutions, "resolved"),
+        "external_order_id",
+        "left",
+    )
+    return flagged.groupBy(S.local_day(F.col("occurred_at"), zone).alias("day")).agg(
+        F.count("*").alias("orders"),
+        F.max("materialized_at").alias("last_materialized_at"),
+        F.count_if(F.col("in_ledger").isNull()).alias("without_ledger"),
+        F.count_if(F.col("resolved").isNull()).alias("without_resolution"),
+    )
 
 
 def job_run_report(runs: DataFrame, as_of: Column, stuck_minutes: int, per_day: Column, days: int) -> DataFrame:
@@ -117,7 +183,10 @@ def job_run_report(runs: DataFrame, as_of: Column, stuck_minutes: int, per_day:
         F.max("duration_ms").alias("max_ms"),
         F.max("started_at").alias("last_started_at"),
     )
-    gaps = largest_gaps(runs, "job_name", "started_at").select("job_name", F.round(F.col("gap_micros") / 60e6, 6).alias("largest_gap_minutes"))
+    gaps = largest_gaps(runs, "job_name", "started_at").select(
+        "job_name",
+        F.round(F.col("gap_micros") / 60e6, 6).alias("largest_gap_minutes"),
+    )
     report = report.join(gaps, "job_name", "left")
     return report.withColumn("coverage_percent", F.round(F.col("scheduled") / (per_day * days) * 100, 6))
 
@@ -131,18 +200,28 @@ def with_shares(grouped: DataFrame, **shares: str) -> DataFrame:
     """Percentages of grand totals; the totals are one row of sums."""
     sums = grouped.agg(*[F.sum(c).alias(f"_{name}") for name, c in shares.items()])
     joined = grouped.join(sums, F.lit(True))  # the right side is one row
-    return joined.withColumns({name: F.col(c) / F.nullif(F.col(f"_{name}"), F.lit(0)) * 100 for name, c in shares.items()}).drop(*[f"_{name}" for name in shares])
+    return joined.withColumns(
+        {name: F.col(c) / F.nullif(F.col(f"_{name}"), F.lit(0)) * 100 for name, c in shares.items()}
+    ).drop(*[f"_{name}" for name in shares])
 
 
 def status_mix(canonical: DataFrame) -> DataFrame:
-    return with_shares(canonical.groupBy("status").agg(F.count("*").alias("orders"), total("total_cents").alias("total_cents")), orders_percent="orders", money_percent="total_cents")
+    return with_shares(
+        canonical.groupBy("status").agg(F.count("*").alias("orders"), total("total_cents").alias("total_cents")),
+        orders_percent="orders",
+        money_percent="total_cents",
+    )
 
 
 def misattribution(split: DataFrame, dominant: DataFrame) -> DataFrame:
     """Money that dominant gateways get credit for but others took."""
     joined = split.join(dominant.select("external_order_id", F.col("gateway_raw").alias("winner")), "external_order_id")
     other = F.col("gateway_raw") != F.col("winner")
-    sums = joined.agg(total("amount_cents").alias("total_cents"), sum_if(other, "amount_cents").alias("misattributed_cents"), F.countDistinct(F.when(other, F.col("external_order_id"))).alias("split_orders"))
+    sums = joined.agg(
+        total("amount_cents").alias("total_cents"),
+        sum_if(other, "amount_cents").alias("misattributed_cents"),
+        F.countDistinct(F.when(other, F.col("external_order_id"))).alias("split_orders"),
+    )
     return sums.withColumn("misattributed_percent", F.col("misattributed_cents") / F.nullif(F.col("total_cents"), F.lit(0)) * 100)
 
 
@@ -150,21 +229,34 @@ def gateway_inflation(split: DataFrame, dominant: DataFrame) -> DataFrame:
     """Per gateway: what it took, what the dominant rule credits it with, and by how much that is too high."""
     own = split.groupBy("gateway_raw").agg(total("amount_cents").alias("own_cents"))
     credited = dominant.groupBy("gateway_raw").agg(total("total_amount_cents").alias("credited_cents"))
-    both = own.join(credited, "gateway_raw", "full_outer").select("gateway_raw", S.zero(F.col("own_cents")).alias("own_cents"), S.zero(F.col("credited_cents")).alias("credited_cents"))
-    return both.withColumn("inflation_percent", (F.col("credited_cents") - F.col("own_cents")) / F.nullif(F.col("own_cents"), F.lit(0)) * 100)
+    both = own.join(credited, "gateway_raw", "full_outer").select(
+        "gateway_raw",
+        S.zero(F.col("own_cents")).alias("own_cents"),
+        S.zero(F.col("credited_cents")).alias("credited_cents"),
+    )
+    return both.withColumn(
+        "inflation_percent",
+        (F.col("credited_cents") - F.col("own_cents")) / F.nullif(F.col("own_cents"), F.lit(0)) * 100,
+    )
 
 
 def value_parity(orders: DataFrame, resolutions: DataFrame, tolerance: int = 1) -> DataFrame:
     difference = F.col("amount_cents") - F.col("total_amount_cents")
     kind = F.when(F.abs(difference) <= tolerance, "equal").when(difference > 0, "above").otherwise("below")
-    return orders.join(resolutions, "external_order_id").groupBy(kind.alias("parity")).agg(F.count("*").alias("orders"), total(difference).alias("difference_cents"))
+    return orders.join(resolutions, "external_order_id").groupBy(kind.alias("parity")).agg(
+        F.count("*").alias("orders"),
+        total(difference).alias("difference_cents"),
+    )
 
 
 def date_basis(orders: DataFrame, resolutions: DataFrame, zone: str) -> DataFrame:
     """Whether orders were paid on the day they were made, with shares of the money."""
     made, paid = S.local_day(F.col("occurred_at"), zone), S.local_day(F.col("processed_at"), zone)
     kind = F.when(made == paid, "same_day").when(paid == F.date_add(made, 1), "next_day").when(paid > made, "later").otherwise("earlier")
-    grouped = orders.join(resolutions, "external_order_id").groupBy(kind.alias("basis")).agg(F.count("*").alias("orders"), total("total_amount_cents").alias("total_cents"))
+    grouped = orders.join(resolutions, "external_order_id").groupBy(kind.alias("basis")).agg(
+        F.count("*").alias("orders"),
+        total("total_amount_cents").alias("total_cents"),
+    )
     return with_shares(grouped, money_percent="total_cents")
 
 
@@ -172,7 +264,12 @@ def transactions_by_gateway(legs: DataFrame) -> DataFrame:
     """Per gateway the successful gross, refunds, net, legs and orders."""
     ok = legs.where("status = 'success'")
     paying, back = F.col("kind").isin(PAID_KINDS), F.col("kind") == "refund"
-    sums = ok.groupBy("gateway_raw").agg(sum_if(paying, "amount_cents").alias("gross_cents"), sum_if(back, "amount_cents").alias("refund_cents"), F.count("*").alias("legs"), F.countDistinct("external_order_id").alias("orders"))
+    sums = ok.groupBy("gateway_raw").agg(
+        sum_if(paying, "amount_cents").alias("gross_cents"),
+        sum_if(back, "amount_cents").alias("refund_cents"),
+        F.count("*").alias("legs"),
+        F.countDistinct("external_order_id").alias("orders"),
+    )
     return sums.withColumn("net_cents", F.col("gross_cents") - F.col("refund_cents"))
 
 
@@ -222,7 +319,12 @@ def primary_gateways(latest: DataFrame) -> DataFrame:
         S.money_locale(p["total_line_items_price"]).alias("items_cents"),
         (F.size(names) > 1).alias("is_split"),
     )
-    return rows.groupBy("gateway").agg(F.count("*").alias("orders"), total("paid_cents").alias("gross_cents"), total("items_cents").alias("items_cents"), F.count_if("is_split").alias("split_orders"))
+    return rows.groupBy("gateway").agg(
+        F.count("*").alias("orders"),
+        total("paid_cents").alias("gross_cents"),
+        total("items_cents").alias("items_cents"),
+        F.count_if("is_split").alias("split_orders"),
+    )
 
 
 def storefront(rows: DataFrame) -> DataFrame:

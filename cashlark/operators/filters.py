@@ -31,7 +31,20 @@ def search(term: str, column: str = "search_text") -> Column:
     return F.coalesce(F.col(column).contains(term.strip().lower()), F.lit(False))
 
 
-def transactions(rows: DataFrame, *, type=None, source=None, sources=None, status=None, marketplace=None, category=None, payment=None, start=None, end=None, term=None) -> DataFrame:
+def transactions(
+    rows: DataFrame,
+    *,
+    type=None,
+    source=None,
+    sources=None,
+    status=None,
+    marketplace=None,
+    category=None,
+    payment=None,
+    start=None,
+    end=None,
+    term=None,
+) -> DataFrame:
     """Ten optional conditions; the period is half-open."""
     eq = lambda c, v: None if v is None else F.col(c) == F.lit(v)
     return rows.where(
@@ -63,7 +76,13 @@ def orders_for(rows: DataFrame, **conditions) -> DataFrame:
 def entries(rows: DataFrame, start=None, end=None, category=None, type=None) -> DataFrame:
     """Manual and imported entries that count: not deleted, approved or applied."""
     live = F.col("deleted_at").isNull() if "deleted_at" in rows.columns else F.lit(True)
-    return transactions(rows.where(live & F.col("source").isin(ENTRY_SOURCES) & F.col("status").isin(ENTRY_STATES)), start=start, end=end, category=category, type=type)
+    return transactions(
+        rows.where(live & F.col("source").isin(ENTRY_SOURCES) & F.col("status").isin(ENTRY_STATES)),
+        start=start,
+        end=end,
+        category=category,
+        type=type,
+    )
 
 
 def coverage(periods: DataFrame, floor: datetime) -> DataFrame:

@@ -13,7 +13,11 @@ ORDER = "external_order_id"
 
 def events_with_resolution(events: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Events with the resolved gateway of their order, for the storefront only."""
-    r = resolutions.select(F.col(ORDER).alias("_order"), F.col("gateway_raw").alias("resolved_gateway_raw"), F.col("processed_at").alias("resolved_transaction_processed_at"))
+    r = resolutions.select(
+        F.col(ORDER).alias("_order"),
+        F.col("gateway_raw").alias("resolved_gateway_raw"),
+        F.col("processed_at").alias("resolved_transaction_processed_at"),
+    )
     return events.join(r, (F.col(ORDER) == F.col("_order")) & (F.col("source") == STOREFRONT), "left").drop("_order")
 
 
@@ -35,7 +39,9 @@ def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def ledger_vs_tender(tenders: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
     """Per order with tenders, tender minus ledger without store credit, where they differ."""
-    comparable = ledger.where(S.classify_payment(F.col("gateway_raw")) != "store_credit").groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("ledger_cents"))
+    comparable = ledger.where(
+        S.classify_payment(F.col("gateway_raw")) != "store_credit"
+    ).groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("ledger_cents"))
     both = tenders.join(comparable, ORDER, "left").withColumn("ledger_cents", S.zero(F.col("ledger_cents")))
     return both.withColumn("delta_cents", F.col("tender_cents") - F.col("ledger_cents")).where(F.abs("delta_cents") > tolerance)
 
@@ -50,12 +56,24 @@ def diff_read_models(left: DataFrame, right: DataFrame, keys: list[str], fields:
     return both.where("difference is not null").select(*keys, "difference", "fields")
 
 
-def explain_difference(tenders: DataFrame, ledger: DataFrame, events: DataFrame, orders: DataFrame, day: Column, zone: str, end: Column) -> DataFrame:
+def explain_difference(
+    tenders: DataFrame,
+    ledger: DataFrame,
+    events: DataFrame,
+    orders: DataFrame,
+    day: Column,
+    zone: str,
+    end: Column,
+) -> DataFrame:
     """Each order's difference between tenders and ledger with its first cause."""
     t = tenders.groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("external_cents"), F.max("processed_at").alias("tendered_at"))
     own = ledger.groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("system_cents"))
     flag = lambda rows, name: rows.select(ORDER).distinct().withColumn(name, F.lit(True))
-    both = t.join(own, ORDER, "full_outer").join(flag(events, "mirrored"), ORDER, "left").join(orders.select(ORDER, "occurred_at"), ORDER, "left")
+    both = t.join(own, ORDER, "full_outer").join(flag(events, "mirrored"), ORDER, "left").join(
+        orders.select(ORDER, "occurred_at"),
+        ORDER,
+        "left",
+    )
     difference = S.zero(F.col("external_cents")) - S.zero(F.col("system_cents"))
     cause = (
         F.when(F.col("external_cents").isNull(), "system_only")
@@ -84,4 +102,9 @@ def parity_counts(**tables: DataFrame) -> DataFrame:
         counts = one if counts is None else counts.unionByName(one)
     first = counts.where("place = 0").select(F.col("n").alias("_first"))
     joined = counts.join(first, F.lit(True))  # the right side is one row
-    return joined.select("table_name", "n", (F.col("n") - F.col("_first")).alias("difference"), F.when(F.col("n") < F.col("_first"), "missing_rows").when(F.col("n") > F.col("_first"), "extra_rows").alias("problem"))
+    return joined.select(
+        "table_name",
+        "n",
+        (F.col("n") - F.col("_first")).alias("difference"),
+        F.when(F.col("n") < F.col("_first"), "missing_rows").when(F.col("n") > F.col("_first"), "extra_rows").alias("problem"),
+    )

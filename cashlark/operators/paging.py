@@ -40,7 +40,11 @@ def open_by_size(rows: DataFrame, states: list[str], limit: int) -> DataFrame:
 
 def retry_queue(rows: DataFrame, states: list[str], as_of: Column, most_attempts: int, limit: int) -> DataFrame:
     """Open rows that are due, largest first, with the number of all that are."""
-    due = rows.where(F.col("status").isin(states) & (F.col("attempts") < most_attempts) & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= as_of)))
+    due = rows.where(
+        F.col("status").isin(states) & (F.col("attempts") < most_attempts) & (
+            F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= as_of)
+        )
+    )
     return page(due, [F.abs("delta_cents").desc(), F.col("external_order_id")], limit).withColumnRenamed("total", "eligible")
 
 

@@ -41,7 +41,11 @@ def largest_gaps(rows: DataFrame, group: str, instant: str, width: str = "1 day"
     first and last instant and the largest gap inside, stand in for it.
     """
     micros = F.unix_micros(F.col(instant).cast("timestamp"))
-    timed = rows.where(F.col(instant).isNotNull()).select(group, micros.alias("_t"), F.window(F.col(instant).cast("timestamp"), width)["start"].alias("_w"))
+    timed = rows.where(F.col(instant).isNotNull()).select(
+        group,
+        micros.alias("_t"),
+        F.window(F.col(instant).cast("timestamp"), width)["start"].alias("_w"),
+    )
     inner = timed.withColumn("_gap", F.col("_t") - F.lag("_t").over(W.partitionBy(group, "_w").orderBy("_t")))
     windows = inner.groupBy(group, "_w").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max("_gap").alias("_gap"))
     between = F.col("_first") - F.lag("_last").over(W.partitionBy(group).orderBy("_w"))

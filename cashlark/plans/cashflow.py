@@ -15,7 +15,13 @@ from ..operators import filters
 PRESETS = {"today": (0, 0), "yesterday": (1, 1), "d7": (6, 0), "d14": (13, 0), "d30": (29, 0), "d60": (59, 0), "d90": (89, 0)}
 
 
-def period_range(as_of: datetime, preset: str | None = None, start: datetime | None = None, end: datetime | None = None, days: int = 30) -> tuple[datetime, datetime]:
+def period_range(
+    as_of: datetime,
+    preset: str | None = None,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    days: int = 30,
+) -> tuple[datetime, datetime]:
     """Half-open days: explicit dates before a preset before the last ``days`` days."""
     today = datetime(as_of.year, as_of.month, as_of.day)
     if start and end:
@@ -70,7 +76,10 @@ def compared(summed: DataFrame) -> DataFrame:
     now, then = F.col("period") == "current", F.col("period") == "previous"
     sums = [F.coalesce(F.sum(F.when(now, F.col(c))), F.lit(0)).cast("long").alias(f"current_{c}") for c in fields]
     sums += [F.sum(F.when(then, F.col(c))).cast("long").alias(f"previous_{c}") for c in fields]
-    return summed.agg(*sums).withColumn("income_delta_percent", S.delta_percent(F.col("current_income_cents"), F.col("previous_income_cents")))
+    return summed.agg(*sums).withColumn(
+        "income_delta_percent",
+        S.delta_percent(F.col("current_income_cents"), F.col("previous_income_cents")),
+    )
 
 
 def period_totals(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
@@ -88,15 +97,25 @@ def period_totals(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 def marketplace_net(sources: DataFrame) -> DataFrame:
     """Gross minus expense of each source that has income."""
-    return sources.where("gross_cents > 0").select(S.origin_label(F.col("source_bucket")).alias("label"), "source_bucket", "gross_cents", (F.col("gross_cents") - F.col("expense_cents")).alias("net_cents"))
+    return sources.where("gross_cents > 0").select(
+        S.origin_label(F.col("source_bucket")).alias("label"),
+        "source_bucket",
+        "gross_cents",
+        (F.col("gross_cents") - F.col("expense_cents")).alias("net_cents"),
+    )
 
 
 def payments_basis(orders: DataFrame, ledger: DataFrame, start: datetime, end: datetime, zone: str) -> DataFrame:
     """Income by method of the storefront: by its payments where these cover every day of the period, else by its orders."""
     days = (end - start).days
     paid = A.gateway_payments(ledger, F.lit(start), F.lit(end), zone)
-    by_payment = paid.groupBy(S.classify_payment(F.col("gateway_raw")).alias("payment_method"), "covered_days").agg(A.total("amount_cents").alias("gross_cents"), A.total("transaction_count").alias("n"))
-    inside = orders.where((F.col("source") == STOREFRONT) & (F.col("type") == "income") & (F.col("occurred_at") >= F.lit(start)) & (F.col("occurred_at") < F.lit(end)))
+    by_payment = paid.groupBy(S.classify_payment(F.col("gateway_raw")).alias("payment_method"), "covered_days").agg(
+        A.total("amount_cents").alias("gross_cents"),
+        A.total("transaction_count").alias("n"),
+    )
+    inside = orders.where(
+        (F.col("source") == STOREFRONT) & (F.col("type") == "income") & (F.col("occurred_at") >= F.lit(start)) & (F.col("occurred_at") < F.lit(end))
+    )
     by_order = inside.groupBy("payment_method").agg(A.total("amount_cents").alias("gross_cents"), F.count("*").alias("n"))
     covered = paid.agg((F.coalesce(F.max("covered_days"), F.lit(0)) >= days).alias("covered"))
     both = by_payment.drop("covered_days").withColumn("basis", F.lit("payments")).unionByName(by_order.withColumn("basis", F.lit("orders")))
@@ -107,7 +126,9 @@ def entries_summary(entries: DataFrame, start: datetime, end: datetime) -> DataF
     """Totals of entries that count in both periods; no row for a period without any."""
     income, expense = F.col("type") == "income", F.col("type") == "expense"
     return tagged(filters.entries(entries), start, end).groupBy("period").agg(
-        A.sum_if(income, "amount_cents").alias("income_cents"), A.sum_if(expense, "amount_cents").alias("expense_cents"), (A.sum_if(income, "amount_cents") - A.sum_if(expense, "amount_cents")).alias("balance_cents"), F.count_if(F.col("type") == "transfer").alias("transfers")
+        A.sum_if(income, "amount_cents").alias("income_cents"), A.sum_if(expense, "amount_cents").alias("expense_cents"), (
+            A.sum_if(income, "amount_cents") - A.sum_if(expense, "amount_cents")
+        ).alias("balance_cents"), F.count_if(F.col("type") == "transfer").alias("transfers")
     )
 
 
@@ -116,7 +137,10 @@ def entries_compared(entries: DataFrame, start: datetime, end: datetime) -> Data
     sums = entries_summary(entries, start, end)
     fields = ["income_cents", "expense_cents", "balance_cents", "transfers"]
     of = lambda period, c: F.sum(F.when(F.col("period") == period, F.col(c))).cast("long")
-    return sums.agg(*[F.coalesce(of("current", c), F.lit(0)).cast("long").alias(f"current_{c}") for c in fields], *[of("previous", c).alias(f"previous_{c}") for c in fields])
+    return sums.agg(
+        *[F.coalesce(of("current", c), F.lit(0)).cast("long").alias(f"current_{c}") for c in fields],
+        *[of("previous", c).alias(f"previous_{c}") for c in fields],
+    )
 
 
 def parity(live: DataFrame, stored: DataFrame, cases: dict[str, Column], fields: list[str], start: datetime, end: datetime) -> DataFrame:
@@ -133,7 +157,11 @@ def parity(live: DataFrame, stored: DataFrame, cases: dict[str, Column], fields:
 
     keys = ["filter_case", "source", "order_key"]
     both = side(live).withColumnRenamed("row", "a").join(side(stored).withColumnRenamed("row", "b"), keys, "full_outer")
-    return both.groupBy("filter_case").agg(F.count("a").alias("live_rows"), F.count("b").alias("stored_rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differences"))
+    return both.groupBy("filter_case").agg(
+        F.count("a").alias("live_rows"),
+        F.count("b").alias("stored_rows"),
+        F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differences"),
+    )
 
 
 # Headings of an export in their order, and the mark that opens its file.
@@ -158,7 +186,10 @@ def export_rows(rows: DataFrame, zone: str = "UTC") -> DataFrame:
 
 def csv_line(columns: list[Column]) -> Column:
     """Values between semicolons; quoted only where one holds a semicolon, a quote or a line end."""
-    quoted = [F.when(c.rlike(r'[";\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in columns]
+    quoted = [
+        F.when(c.rlike(r'[";\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+        for c in columns
+    ]
     return F.concat_ws(";", *quoted)
 
 

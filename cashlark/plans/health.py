@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.values import RUN_WINDOW_MINUTES, SCHEDULED_PREFIX, STUCK_FACTOR
 
 # Verdicts from worst to best, with their severity.
-SEVERITIES = {"falhou": "crit", "travado": "crit", "atrasado": "crit", "poucas_execucoes": "warn", "falhas_recentes": "warn", "sem_registro": "unknown", "rodando": "ok", "ok": "ok"}
+SEVERITIES = {
+    "falhou": "crit",
+    "travado": "crit",
+    "atrasado": "crit",
+    "poucas_execucoes": "warn",
+    "falhas_recentes": "warn",
+    "sem_registro": "unknown",
+    "rodando": "ok",
+    "ok": "ok",
+}
 RANKS = {"crit": 3, "warn": 2, "unknown": 1, "ok": 0}
 
 
@@ -24,14 +33,21 @@ def job_health(runs: DataFrame, expectations: DataFrame, as_of: Column) -> DataF
 
     ``expectations``: job_name, stale_minutes, per_day, max_seconds.
     """
-    age = F.greatest(F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 60_000_000), F.lit(0))
+    age = F.greatest(
+        F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 60_000_000),
+        F.lit(0),
+    )
     own = runs.where(F.coalesce(F.col("request_id").startswith(SCHEDULED_PREFIX), F.lit(False)) & F.col("started_at").isNotNull())
     own = own.join(expectations, "job_name").withColumn("age", age)
     limit = F.ceil(F.col("max_seconds") * STUCK_FACTOR / 60)
     own = own.withColumn("dead", (F.col("status") == "failed") | ((F.col("status") == "running") & (F.col("age") > limit)))
     inside = F.col("age") <= RUN_WINDOW_MINUTES
     newest = F.max_by(F.struct("status", "age", "dead"), F.struct("started_at", "id"))
-    facts = own.groupBy("job_name").agg(newest.alias("last"), F.count_if(inside).alias("runs_in_window"), F.count_if(inside & F.col("dead")).alias("failures"))
+    facts = own.groupBy("job_name").agg(
+        newest.alias("last"),
+        F.count_if(inside).alias("runs_in_window"),
+        F.count_if(inside & F.col("dead")).alias("failures"),
+    )
     # The newest run is judged on its own.
     of_last = F.when((F.col("last.age") <= RUN_WINDOW_MINUTES) & F.col("last.dead"), 1).otherwise(0)
     facts = facts.withColumn("recent_failures", F.col("failures") - of_last)
@@ -47,7 +63,13 @@ def job_health(runs: DataFrame, expectations: DataFrame, as_of: Column) -> DataF
         .otherwise("ok")
     )
     counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("runs_in_window", "recent_failures")}
-    return both.withColumn("verdict", verdict).select("job_name", "verdict", _picked(F.col("verdict"), SEVERITIES).alias("severity"), F.col("last.age").alias("minutes_since_last"), *[c.alias(n) for n, c in counts.items()])
+    return both.withColumn("verdict", verdict).select(
+        "job_name",
+        "verdict",
+        _picked(F.col("verdict"), SEVERITIES).alias("severity"),
+        F.col("last.age").alias("minutes_since_last"),
+        *[c.alias(n) for n, c in counts.items()],
+    )
 
 
 def pipeline_health(jobs: DataFrame) -> DataFrame:
@@ -55,7 +77,10 @@ def pipeline_health(jobs: DataFrame) -> DataFrame:
     rank = _picked(F.col("severity"), RANKS)
     problems = F.sort_array(F.collect_list(F.when(rank > 0, F.struct((-rank).alias("r"), F.col("job_name")))))
     return jobs.agg(F.max(rank).alias("worst"), problems.alias("problems"), F.count_if(F.col("severity") == "crit").alias("critical")).select(
-        _picked(F.col("worst"), {v: k for k, v in RANKS.items()}).alias("severity"), F.array_join(F.transform("problems", lambda p: p["job_name"]), ",").alias("problems"), "critical"
+        _picked(F.col("worst"), {v: k for k, v in RANKS.items()}).alias("severity"), F.array_join(
+            F.transform("problems", lambda p: p["job_name"]),
+            ",",
+        ).alias("problems"), "critical"
     )
 
 
@@ -71,7 +96,10 @@ def freshness(periods: DataFrame, lag: DataFrame, as_of: Column) -> DataFrame:
         .when(F.col("end") <= as_of, "incomplete")
         .otherwise("trailing")
     )
-    return both.withColumn("freshness", status).withColumn("can_show_totals", F.col("freshness") != "not_yet").select("start", "end", "freshness", "can_show_totals")
+    return both.withColumn("freshness", status).withColumn(
+        "can_show_totals",
+        F.col("freshness") != "not_yet",
+    ).select("start", "end", "freshness", "can_show_totals")
 
 
 def mark_stale(runs: DataFrame, as_of: Column, minutes: int) -> DataFrame:
@@ -90,7 +118,11 @@ def sweep_status(cycles: DataFrame, queue: DataFrame, cursors: DataFrame, as_of:
     next_block, lap_end_block, lap_number.
     """
     good = F.col("status").isin("ok", "deadline") & (F.col("started_at") > as_of - F.expr("INTERVAL 24 HOURS"))
-    found = cycles.agg(F.max("started_at").alias("last_cycle_at"), F.count_if(good).alias("ok_24h"), F.count_if(F.col("status") == "failed").alias("failed"))
+    found = cycles.agg(
+        F.max("started_at").alias("last_cycle_at"),
+        F.count_if(good).alias("ok_24h"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+    )
     audit = cursors.where(F.col("pass") == "audit")
     share = F.round(F.col("next_block") / F.nullif(F.col("lap_end_block"), F.lit(0)) * 100, 1)
     audit = audit.agg(F.max(share).alias("audit_percent"), F.coalesce(F.max("lap_number") >= 2, F.lit(False)).alias("is_complete"))
@@ -102,4 +134,6 @@ def retry_schedule(rows: DataFrame, as_of: Column, delays: list[int]) -> DataFra
     """Failed changes by attempts made: due again after a growing delay, or dead after the last."""
     delay = F.element_at(F.array(*map(F.lit, delays)), F.least(F.col("attempts") + 1, F.lit(len(delays))).cast("int"))
     dead = F.col("attempts") >= len(delays)
-    return rows.withColumns({"outcome": F.when(dead, "dead_letter").otherwise("retry"), "next_attempt_at": F.when(~dead, as_of + F.make_interval(secs=delay))})
+    return rows.withColumns(
+        {"outcome": F.when(dead, "dead_letter").otherwise("retry"), "next_attempt_at": F.when(~dead, as_of + F.make_interval(secs=delay))}
+    )

@@ -19,7 +19,10 @@ def cells(line: Column) -> Column:
 
 def _date(text: Column) -> Column:
     day = F.regexp_extract(text, r"^(\d{2})/(\d{2})/(\d{4})$", 0)
-    iso = F.when(day != "", F.concat(F.substring(text, 7, 4), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 1, 2))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
+    iso = F.when(
+        day != "",
+        F.concat(F.substring(text, 7, 4), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 1, 2)),
+    ).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
     return iso.try_cast("date")
 
 
@@ -42,14 +45,45 @@ def parse(files: DataFrame) -> DataFrame:
     text = F.regexp_replace("content", r"\r\n?", "\n")
     lines = files.select("path", F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "").alias("lines"))
     header = F.transform(cells(F.get("lines", F.lit(0))), S.folded)
-    rows = lines.where(F.size("lines") > 1).select("path", header.alias("header"), F.posexplode("lines").alias("row_index", "line")).where("row_index > 0")
+    rows = lines.where(F.size("lines") > 1).select(
+        "path",
+        header.alias("header"),
+        F.posexplode("lines").alias("row_index", "line"),
+    ).where("row_index > 0")
     rows = rows.withColumn("cells", cells(F.col("line")))
     cell = lambda name: F.when(F.array_position("header", name) > 0, F.get("cells", F.array_position("header", name).cast("int") - 1))
-    raw = rows.select("path", "row_index", *[F.coalesce(cell(n), cell("source") if n == "origem" else F.lit(None), F.lit("")).alias(n) for n in FIELDS])
-    typed = raw.select("path", "row_index", _date(F.trim("data")).alias("occurred_on"), _type(F.col("tipo")).alias("type"), _amount(F.col("valor")).alias("amount_cents"), S.clean(F.col("descricao")).alias("description"), S.clean(F.col("categoria")).alias("category"), S.clean(F.col("origem")).alias("origin"), "data", "tipo", "valor")
-    wrong = lambda column, label, text: F.when(column.isNull(), F.concat(F.lit(f"{label} inválid{'a' if label == 'data' else 'o'}: \""), text, F.lit('"')))
-    problems = F.concat_ws("; ", wrong(F.col("occurred_on"), "data", F.col("data")), wrong(F.col("type"), "tipo", F.col("tipo")), wrong(F.col("amount_cents"), "valor", F.col("valor")))
-    return typed.withColumn("error_message", F.nullif(problems, F.lit(""))).withColumn("status", F.when(F.col("error_message").isNull(), "pending").otherwise("error")).drop("data", "tipo", "valor")
+    raw = rows.select(
+        "path",
+        "row_index",
+        *[F.coalesce(cell(n), cell("source") if n == "origem" else F.lit(None), F.lit("")).alias(n) for n in FIELDS],
+    )
+    typed = raw.select(
+        "path",
+        "row_index",
+        _date(F.trim("data")).alias("occurred_on"),
+        _type(F.col("tipo")).alias("type"),
+        _amount(F.col("valor")).alias("amount_cents"),
+        S.clean(F.col("descricao")).alias("description"),
+        S.clean(F.col("categoria")).alias("category"),
+        S.clean(F.col("origem")).alias("origin"),
+        "data",
+        "tipo",
+        "valor",
+    )
+    wrong = lambda column, label, text: F.when(
+        column.isNull(),
+        F.concat(F.lit(f"{label} inválid{'a' if label == 'data' else 'o'}: \""), text, F.lit('"')),
+    )
+    problems = F.concat_ws(
+        "; ",
+        wrong(F.col("occurred_on"), "data", F.col("data")),
+        wrong(F.col("type"), "tipo", F.col("tipo")),
+        wrong(F.col("amount_cents"), "valor", F.col("valor")),
+    )
+    return typed.withColumn("error_message", F.nullif(problems, F.lit(""))).withColumn(
+        "status",
+        F.when(F.col("error_message").isNull(), "pending").otherwise("error"),
+    ).drop("data", "tipo", "valor")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +95,13 @@ def preview(files: DataFrame, batches: DataFrame) -> DataFrame:
     hashed = files.select("path", F.sha2("content", 256).alias("file_hash"))
     counts = parse(files).groupBy("path").agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "error").alias("errors"))
     known = batches.select("file_hash").distinct().withColumn("duplicate", F.lit(True))
-    return hashed.join(counts, "path", "left").join(known, "file_hash", "left").select("path", "file_hash", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
+    return hashed.join(counts, "path", "left").join(known, "file_hash", "left").select(
+        "path",
+        "file_hash",
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.coalesce("errors", F.lit(0)).alias("errors"),
+        F.coalesce("duplicate", F.lit(False)).alias("duplicate"),
+    )
 
 
 def commit(rows: DataFrame, batch: str = "path") -> DataFrame:

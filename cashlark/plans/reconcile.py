@@ -20,7 +20,13 @@ def detect(tenders: DataFrame, ledger: DataFrame, first: Column, end: Column, zo
     inside = tenders.where(~F.col("test") & (F.col("processed_at") >= first) & (F.col("processed_at") < end))
     days = inside.groupBy(ORDER).agg(F.max(S.local_day(F.col("processed_at"), zone)).alias("day"))
     whole = A.tender_totals(tenders.join(days, ORDER, "left_semi"))
-    return joins.ledger_vs_tender(whole, ledger, tolerance).join(days, ORDER).select(ORDER, "day", "tender_cents", "ledger_cents", "delta_cents")
+    return joins.ledger_vs_tender(whole, ledger, tolerance).join(days, ORDER).select(
+        ORDER,
+        "day",
+        "tender_cents",
+        "ledger_cents",
+        "delta_cents",
+    )
 
 
 def record(current: DataFrame, detected: DataFrame, as_of: Column) -> DataFrame:
@@ -43,10 +49,15 @@ def recheck_open(current: DataFrame, tenders: DataFrame, ledger: DataFrame) -> D
     """Open rows measured again by fresh tenders, else by the stored ones; small differences are closed."""
     rows = current.where(F.col("status").isin(OPEN_STATES))
     fresh = tenders.select(ORDER, F.col("tender_cents").alias("_fresh"))
-    own = ledger.where(S.classify_payment(F.col("gateway_raw")) != "store_credit").groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("_ledger"))
+    own = ledger.where(
+        S.classify_payment(F.col("gateway_raw")) != "store_credit"
+    ).groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("_ledger"))
     both = rows.join(fresh, ORDER, "left").join(own, ORDER, "left")
     delta = F.coalesce("_fresh", "tender_cents") - S.zero(F.col("_ledger"))
-    return both.withColumns({"delta_cents": delta, "ledger_cents_after": S.zero(F.col("_ledger"))}).withColumn("status", F.when(F.abs("delta_cents") <= 1, "corrigido").otherwise(F.col("status"))).drop("_fresh", "_ledger")
+    return both.withColumns({"delta_cents": delta, "ledger_cents_after": S.zero(F.col("_ledger"))}).withColumn(
+        "status",
+        F.when(F.abs("delta_cents") <= 1, "corrigido").otherwise(F.col("status")),
+    ).drop("_fresh", "_ledger")
 
 
 def retry_outcome(queue: DataFrame, as_of: Column, still: Column) -> DataFrame:
@@ -54,7 +65,10 @@ def retry_outcome(queue: DataFrame, as_of: Column, still: Column) -> DataFrame:
     made = F.col("attempts") + 1
     days = reduce(lambda c, kv: c.when(made == kv[0], kv[1]), enumerate(RETRY_DAYS, 1), F.when(F.lit(False), None))
     again = as_of + F.make_interval(days=days)
-    status = F.when(~still, "corrigido").when(days.isNull(), "sem_correcao").when(F.col("status") == "persistente", "persistente").otherwise("pendente")
+    status = F.when(~still, "corrigido").when(days.isNull(), "sem_correcao").when(
+        F.col("status") == "persistente",
+        "persistente",
+    ).otherwise("pendente")
     return queue.withColumns({"status": status, "next_attempt_at": F.when(still & days.isNotNull(), again), "attempts": made})
 
 
@@ -94,7 +108,13 @@ def run_summary(detected: DataFrame, eligible: DataFrame, attempted: DataFrame,
         detected.agg(F.count("*").alias("detected"), A.total(F.abs("delta_cents")).alias("drift_cents")),
         rechecked.agg(F.count_if(F.col("status") == "corrigido").alias("reconferred")),
         eligible.agg(F.count("*").alias("queued")),
-        attempted.agg(is_("corrected").alias("corrected"), is_("diverging").alias("still_diverging"), is_("failed").alias("failed"), is_("exhausted").alias("exhausted"), F.count("*").alias("_tried")),
+        attempted.agg(
+            is_("corrected").alias("corrected"),
+            is_("diverging").alias("still_diverging"),
+            is_("failed").alias("failed"),
+            is_("exhausted").alias("exhausted"),
+            F.count("*").alias("_tried"),
+        ),
     ]
     both = reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # each is one row
     return both.withColumn("deferred", F.greatest(F.col("queued") - F.col("_tried"), F.lit(0))).drop("_tried")
@@ -102,17 +122,31 @@ def run_summary(detected: DataFrame, eligible: DataFrame, attempted: DataFrame,
 
 def metrics(system: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
     """Per method the system's income beside the ledger's: difference, percent and whether it diverges."""
-    own = ledger.groupBy(S.classify_payment(F.col("gateway_raw")).alias("payment_method")).agg(A.total("amount_cents").alias("ledger_cents"))
-    both = system.join(own, "payment_method", "full_outer").select("payment_method", S.zero(F.col("gross_cents")).alias("system_cents"), S.zero(F.col("ledger_cents")).alias("ledger_cents"))
+    own = ledger.groupBy(
+        S.classify_payment(F.col("gateway_raw")).alias("payment_method")
+    ).agg(A.total("amount_cents").alias("ledger_cents"))
+    both = system.join(own, "payment_method", "full_outer").select(
+        "payment_method",
+        S.zero(F.col("gross_cents")).alias("system_cents"),
+        S.zero(F.col("ledger_cents")).alias("ledger_cents"),
+    )
     difference = F.col("system_cents") - F.col("ledger_cents")
-    return both.withColumns({"difference_cents": difference, "difference_percent": S.difference_percent(F.col("system_cents"), F.col("ledger_cents")), "diverges": F.abs(difference) > tolerance})
+    return both.withColumns(
+        {
+            "difference_cents": difference,
+            "difference_percent": S.difference_percent(F.col("system_cents"), F.col("ledger_cents")),
+            "diverges": F.abs(difference) > tolerance,
+        }
+    )
 
 
 def maturity(days: DataFrame, zone: str) -> DataFrame:
     """A day is mature if nothing is unresolved or without ledger and the orders were materialised after it ended."""
     end = S.day_start(F.date_add("day", 1), zone)
     after = F.coalesce(F.col("last_materialized_at").cast("timestamp") >= end, F.lit(False))
-    return days.withColumns({"materialized_after": after, "is_mature": (F.col("without_resolution") == 0) & (F.col("without_ledger") == 0) & after})
+    return days.withColumns(
+        {"materialized_after": after, "is_mature": (F.col("without_resolution") == 0) & (F.col("without_ledger") == 0) & after}
+    )
 
 
 RUN_RESULT = "metrics array<struct<label:string,diverges:boolean>>, maturity struct<isMature:boolean,unresolvedOrders:bigint,ordersWithoutLedger:bigint,materializedAfterWindow:boolean>, ledgerVsShopify struct<driftCents:bigint>"

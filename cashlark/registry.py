@@ -56,7 +56,10 @@ def ntz(moment: datetime) -> Column:
 
 def as_order_rows(t: Tables) -> DataFrame:
     """Orders with their classified method, as cash-flow rows."""
-    return t.orders_fx.withColumn("payment_method", S.classify_payment(F.col("payment_method_raw"))).withColumn("source_bucket", S.source_bucket(F.col("marketplace"), F.col("external_source"), F.col("source")))
+    return t.orders_fx.withColumn("payment_method", S.classify_payment(F.col("payment_method_raw"))).withColumn(
+        "source_bucket",
+        S.source_bucket(F.col("marketplace"), F.col("external_source"), F.col("source")),
+    )
 
 
 def as_entry_rows(t: Tables) -> DataFrame:
@@ -64,13 +67,20 @@ def as_entry_rows(t: Tables) -> DataFrame:
     return rows.withColumns({c: F.lit(0).cast("long") for c in ("discount_cents", "shipping_cents", "tax_cents", "fee_cents")})
 
 
-METHOD_SQL = "CASE payment_method_raw WHEN 'Pix (3% de desconto)' THEN 'pix' WHEN 'Appmax - Cartão de Crédito' THEN 'credit_card' WHEN 'boleto' THEN 'boleto' WHEN 'shopify_store_credit' THEN 'store_credit' ELSE 'other' END"
+METHOD_SQL = """CASE payment_method_raw WHEN 'Pix (3% de desconto)' THEN 'pix' WHEN 'Appmax - Cartão de Crédito' THEN 'credit_card'
+    WHEN 'boleto' THEN 'boleto' WHEN 'shopify_store_credit' THEN 'store_credit' ELSE 'other' END"""
 GATEWAY_METHOD_SQL = "CASE gateway_raw WHEN 'pix' THEN 'pix' WHEN 'appmax' THEN 'credit_card' ELSE 'store_credit' END"
 LIVE = "status IN ('approved', 'applied')"
-SPLIT_SQL = "split AS (SELECT external_order_id, gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents, count(*) AS transaction_count, max(processed_at) AS processed_at FROM payment_tx_fx WHERE status = 'success' AND kind IN ('sale', 'capture', 'change') GROUP BY 1, 2)"
-RANKED_SQL = "ranked AS (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY amount_cents DESC, CASE gateway_raw WHEN 'shopify_store_credit' THEN 1 WHEN 'pix' THEN 2 ELSE 5 END, gateway_raw) AS nth, sum(amount_cents) OVER (PARTITION BY external_order_id) AS whole FROM split)"
-DOMINANT_SQL = f"{SPLIT_SQL}, {RANKED_SQL}, dominant AS (SELECT external_order_id, gateway_raw, amount_cents AS dominant_amount_cents, CAST(whole AS BIGINT) AS total_amount_cents, processed_at FROM ranked WHERE nth = 1)"
-CANONICAL_SQL = "canonical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY CASE status WHEN 'paid' THEN 0 ELSE 1 END, received_at DESC NULLS LAST, id DESC) AS nth FROM raw_events_fx) WHERE nth = 1)"
+SPLIT_SQL = """split AS (SELECT external_order_id, gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents,
+    count(*) AS transaction_count, max(processed_at) AS processed_at FROM payment_tx_fx WHERE status = 'success' AND kind IN ('sale',
+    'capture', 'change') GROUP BY 1, 2)"""
+RANKED_SQL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY amount_cents DESC, CASE gateway_raw
+    WHEN 'shopify_store_credit' THEN 1 WHEN 'pix' THEN 2 ELSE 5 END, gateway_raw) AS nth,
+    sum(amount_cents) OVER (PARTITION BY external_order_id) AS whole FROM split)"""
+DOMINANT_SQL = f"""{SPLIT_SQL}, {RANKED_SQL}, dominant AS (SELECT external_order_id, gateway_raw, amount_cents AS dominant_amount_cents,
+    CAST(whole AS BIGINT) AS total_amount_cents, processed_at FROM ranked WHERE nth = 1)"""
+CANONICAL_SQL = """canonical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY CASE status
+    WHEN 'paid' THEN 0 ELSE 1 END, received_at DESC NULLS LAST, id DESC) AS nth FROM raw_events_fx) WHERE nth = 1)"""
 IN_PERIOD = "occurred_at >= TIMESTAMP '1998-01-01' AND occurred_at < TIMESTAMP '1998-07-01'"
 
 
@@ -90,16 +100,26 @@ def dominant(t: Tables) -> DataFrame:
 # ---- scans and filters
 
 
-@query("SELECT id, source, external_order_id, received_at FROM raw_events_fx WHERE received_at >= TIMESTAMP '2024-01-05' AND received_at < TIMESTAMP '2024-01-12'")
+@query(
+    """SELECT id, source, external_order_id, received_at FROM raw_events_fx
+        WHERE received_at >= TIMESTAMP '2024-01-05' AND received_at < TIMESTAMP '2024-01-12'"""
+)
 def src1_scan_raw_events(t: Tables) -> DataFrame:
     inside = (F.col("received_at") >= ntz(datetime(2024, 1, 5))) & (F.col("received_at") < ntz(datetime(2024, 1, 12)))
-    return t.raw_events_fx.where(inside & F.col("source").isin(V.STOREFRONT, V.HUB)).select("id", "source", "external_order_id", "received_at")
+    return t.raw_events_fx.where(
+        inside & F.col("source").isin(V.STOREFRONT, V.HUB)
+    ).select("id", "source", "external_order_id", "received_at")
 
 
-@query("SELECT id, external_order_id FROM raw_events_fx WHERE received_at >= TIMESTAMP '2024-01-10' AND received_at < least(TIMESTAMP '2024-01-12' + INTERVAL '21' DAY, TIMESTAMP '2024-01-31')")
+@query(
+    """SELECT id, external_order_id FROM raw_events_fx WHERE received_at >= TIMESTAMP '2024-01-10'
+        AND received_at < least(TIMESTAMP '2024-01-12' + INTERVAL '21' DAY, TIMESTAMP '2024-01-31')"""
+)
 def src2_scan_events_for_period(t: Tables) -> DataFrame:
     end = F.least(ntz(datetime(2024, 1, 12)) + F.expr("INTERVAL 21 DAYS"), ntz(EVENTS_AS_OF))
-    return t.raw_events_fx.where((F.col("received_at") >= ntz(datetime(2024, 1, 10))) & (F.col("received_at") < end)).select("id", "external_order_id")
+    return t.raw_events_fx.where(
+        (F.col("received_at") >= ntz(datetime(2024, 1, 10))) & (F.col("received_at") < end)
+    ).select("id", "external_order_id")
 
 
 @query(f"SELECT id, type, source, amount_cents FROM entries_fx WHERE {LIVE} AND {IN_PERIOD} AND type = 'income'")
@@ -107,16 +127,35 @@ def src3_scan_entries(t: Tables) -> DataFrame:
     return filters.entries(t.entries_fx, *map(ntz, PERIOD), type="income").select("id", "type", "source", "amount_cents")
 
 
-@query(f"SELECT id, type, status, coalesce(amount_cents, 0) AS amount_cents, greatest(0, coalesce(amount_cents, 0)) AS liquid_cents FROM entries_fx WHERE {IN_PERIOD}")
+@query(
+    f"""SELECT id, type, status, coalesce(amount_cents, 0) AS amount_cents, greatest(0, coalesce(amount_cents, 0)) AS liquid_cents
+        FROM entries_fx WHERE {IN_PERIOD}"""
+)
 def src4_scan_entries_for_read_model(t: Tables) -> DataFrame:
     amount = S.zero(F.col("amount_cents"))
-    return filters.transactions(t.entries_fx, start=ntz(PERIOD[0]), end=ntz(PERIOD[1])).select("id", "type", "status", amount.alias("amount_cents"), S.liquid_cents(amount).alias("liquid_cents"))
+    return filters.transactions(t.entries_fx, start=ntz(PERIOD[0]), end=ntz(PERIOD[1])).select(
+        "id",
+        "type",
+        "status",
+        amount.alias("amount_cents"),
+        S.liquid_cents(amount).alias("liquid_cents"),
+    )
 
 
-@query("SELECT order_key, source, amount_cents FROM orders_fx WHERE status = 'approved' AND source = 'shopify' AND marketplace = 'BUILDING' AND payment_method_raw = 'boleto' AND " + IN_PERIOD)
+@query(
+    "SELECT order_key, source, amount_cents FROM orders_fx WHERE status = 'approved' AND source = 'shopify' AND marketplace = 'BUILDING' AND payment_method_raw = 'boleto' AND " + IN_PERIOD
+)
 def flt1_filter_transactions(t: Tables) -> DataFrame:
     rows = t.orders_fx.withColumn("payment_method_normalized", S.classify_payment(F.col("payment_method_raw")))
-    return filters.transactions(rows, status="approved", source="shopify", marketplace="building", payment="boleto", start=ntz(PERIOD[0]), end=ntz(PERIOD[1])).select("order_key", "source", "amount_cents")
+    return filters.transactions(
+        rows,
+        status="approved",
+        source="shopify",
+        marketplace="building",
+        payment="boleto",
+        start=ntz(PERIOD[0]),
+        end=ntz(PERIOD[1]),
+    ).select("order_key", "source", "amount_cents")
 
 
 @query("SELECT order_key FROM orders_fx WHERE source = 'anymarket' OR lower(marketplace) = 'anymarket'")
@@ -139,18 +178,30 @@ def flt5_cannot_contribute(t: Tables) -> DataFrame:
     return filters.orders_for(t.orders_fx, type="expense", start=ntz(PERIOD[0])).select("order_key")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderdate - INTERVAL '30' DAY >= TIMESTAMP '1996-01-01' THEN 'full' WHEN o_orderdate > TIMESTAMP '1996-01-01' THEN 'partial' ELSE 'none' END AS coverage, greatest(o_orderdate - INTERVAL '30' DAY, TIMESTAMP '1996-01-01') AS clipped_start FROM orders")
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderdate - INTERVAL '30' DAY >= TIMESTAMP '1996-01-01' THEN 'full'
+        WHEN o_orderdate > TIMESTAMP '1996-01-01' THEN 'partial' ELSE 'none' END AS coverage, greatest(o_orderdate - INTERVAL '30' DAY,
+        TIMESTAMP '1996-01-01') AS clipped_start FROM orders"""
+)
 def flt6_coverage_clip(t: Tables) -> DataFrame:
-    periods = t.orders.select("o_orderkey", (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("start"), F.col("o_orderdate").alias("end"))
+    periods = t.orders.select(
+        "o_orderkey",
+        (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("start"),
+        F.col("o_orderdate").alias("end"),
+    )
     return filters.coverage(periods, ntz(FLOOR)).select("o_orderkey", "coverage", "clipped_start")
 
 
-@query("SELECT CASE WHEN mirror_updated_at IS NULL THEN 'undated' WHEN mirror_updated_at < TIMESTAMP '2024-01-10' THEN 'below_floor' ELSE 'eligible' END AS floor_class, count(*) AS n FROM raw_events_fx GROUP BY 1")
+@query(
+    """SELECT CASE WHEN mirror_updated_at IS NULL THEN 'undated' WHEN mirror_updated_at < TIMESTAMP '2024-01-10' THEN 'below_floor'
+        ELSE 'eligible' END AS floor_class, count(*) AS n FROM raw_events_fx GROUP BY 1"""
+)
 def flt7_floor_partition(t: Tables) -> DataFrame:
     return filters.floor_partition(t.raw_events_fx, ntz(datetime(2024, 1, 10)), "mirror_updated_at", "mirror_updated_at")
 
 
-CHANGE_SQL = "CASE WHEN record_id IS NULL THEN 'missing_record_id' WHEN operation IN ('INSERT', 'UPDATE') AND payload IS NULL THEN 'missing_payload' WHEN table_name <> 'raw_payloads' THEN 'unsupported_table' END"
+CHANGE_SQL = """CASE WHEN record_id IS NULL THEN 'missing_record_id' WHEN operation IN ('INSERT',
+    'UPDATE') AND payload IS NULL THEN 'missing_payload' WHEN table_name <> 'raw_payloads' THEN 'unsupported_table' END"""
 
 
 @query(f"SELECT event_id, {CHANGE_SQL} AS problem FROM changes_fx")
@@ -158,15 +209,25 @@ def flt8_validate_change_event(t: Tables) -> DataFrame:
     return t.changes_fx.select("event_id", filters.change_problem(["raw_payloads"]).alias("problem"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 OR event_type NOT IN ('purchase', 'refund', 'click') THEN 'skipped' WHEN event_id % 9 = 0 THEN 'failed' ELSE 'processed' END AS notification_status FROM events")
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 OR event_type NOT IN ('purchase', 'refund', 'click') THEN 'skipped'
+        WHEN event_id % 9 = 0 THEN 'failed' ELSE 'processed' END AS notification_status FROM events"""
+)
 def flt9_gate_notifications(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", F.col("event_type").alias("topic"), F.when(F.col("event_id") % 9 != 0, F.col("user_id")).alias("order_id"))
+    rows = t.events.select(
+        "event_id",
+        F.col("event_type").alias("topic"),
+        F.when(F.col("event_id") % 9 != 0, F.col("user_id")).alias("order_id"),
+    )
     seen = t.events.where("event_id % 4 = 0").select("event_id")
     return filters.notification_status(["purchase", "refund", "click"], ["order_id"], seen, rows).select("event_id", "notification_status")
 
 
-@query("""SELECT e.id, CASE WHEN e.type = 'transfer' AND e.category_id IS NOT NULL THEN 'category_forbidden' WHEN e.type <> 'transfer' AND e.category_id IS NULL THEN 'category_required'
-    WHEN e.type <> 'transfer' AND c.direction IS NULL THEN 'category_unknown' WHEN e.type <> 'transfer' AND c.direction <> e.type THEN 'direction_mismatch' END AS violation FROM entries_fx e LEFT JOIN categories_fx c ON c.id = e.category_id""")
+@query("""SELECT e.id, CASE WHEN e.type = 'transfer' AND e.category_id IS NOT NULL THEN 'category_forbidden'
+    WHEN e.type <> 'transfer' AND e.category_id IS NULL THEN 'category_required'
+    WHEN e.type <> 'transfer' AND c.direction IS NULL THEN 'category_unknown'
+    WHEN e.type <> 'transfer' AND c.direction <> e.type THEN 'direction_mismatch' END AS violation FROM entries_fx e LEFT
+    JOIN categories_fx c ON c.id = e.category_id""")
 def flt10_entry_rules(t: Tables) -> DataFrame:
     return filters.entry_violations(t.entries_fx, t.categories_fx).select("id", "violation")
 
@@ -180,10 +241,20 @@ def resolved(t: Tables) -> DataFrame:
 
 def order_events(t: Tables) -> DataFrame:
     """Orders seen as one paid event each."""
-    return t.orders_fx.select(F.col("order_key").alias("id"), "external_order_id", "source", F.when(F.col("status") == "rejected", "pending").otherwise("paid").alias("status"), F.col("occurred_at").alias("received_at"), F.col("materialized_at").alias("mirror_updated_at"))
+    return t.orders_fx.select(
+        F.col("order_key").alias("id"),
+        "external_order_id",
+        "source",
+        F.when(F.col("status") == "rejected", "pending").otherwise("paid").alias("status"),
+        F.col("occurred_at").alias("received_at"),
+        F.col("materialized_at").alias("mirror_updated_at"),
+    )
 
 
-@query(f"WITH {RESOLVED_SQL} SELECT o.external_order_id FROM orders_fx o LEFT JOIN resolved r ON r.external_order_id = o.external_order_id WHERE o.status <> 'rejected' AND o.source = 'shopify' AND (r.resolved_at IS NULL OR o.materialized_at > r.resolved_at)")
+@query(
+    f"""WITH {RESOLVED_SQL} SELECT o.external_order_id FROM orders_fx o LEFT JOIN resolved r ON r.external_order_id = o.external_order_id
+        WHERE o.status <> 'rejected' AND o.source = 'shopify' AND (r.resolved_at IS NULL OR o.materialized_at > r.resolved_at)"""
+)
 def flt11_resolution_candidates(t: Tables) -> DataFrame:
     return payments.resolution_candidates(order_events(t), resolved(t)).select("external_order_id")
 
@@ -191,10 +262,15 @@ def flt11_resolution_candidates(t: Tables) -> DataFrame:
 # ---- dedup and windows
 
 
-@query("""SELECT id, external_order_id, source, status FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id, source ORDER BY CASE status WHEN 'paid' THEN 0 ELSE 1 END,
+@query("""SELECT id, external_order_id, source, status FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id, source ORDER BY
+    CASE status WHEN 'paid' THEN 0 ELSE 1 END,
     coalesce(mirror_updated_at, received_at) DESC NULLS LAST, id DESC) AS nth FROM raw_events_fx) WHERE nth = 1""")
 def ded1_dedup_events(t: Tables) -> DataFrame:
-    return dedup.dedup_events(t.raw_events_fx, F.col("status") == "paid", F.coalesce("mirror_updated_at", "received_at")).select("id", "external_order_id", "source", "status")
+    return dedup.dedup_events(
+        t.raw_events_fx,
+        F.col("status") == "paid",
+        F.coalesce("mirror_updated_at", "received_at"),
+    ).select("id", "external_order_id", "source", "status")
 
 
 @query(f"WITH {CANONICAL_SQL} SELECT id, external_order_id, status FROM canonical")
@@ -202,29 +278,42 @@ def ded2_canonical_order(t: Tables) -> DataFrame:
     return dedup.canonical_orders(t.raw_events_fx).select("id", "external_order_id", "status")
 
 
-@query("SELECT id, external_order_id FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY received_at DESC, id DESC) AS nth FROM raw_events_fx WHERE status = 'paid') WHERE nth = 1")
+@query(
+    """SELECT id, external_order_id FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY received_at DESC,
+        id DESC) AS nth FROM raw_events_fx WHERE status = 'paid') WHERE nth = 1"""
+)
 def ded3_latest_paid_event(t: Tables) -> DataFrame:
     return dedup.latest_paid(t.raw_events_fx).select("id", "external_order_id")
 
 
-@query("SELECT id, total FROM (SELECT id, occurred_at, count(*) OVER () AS total FROM entries_fx) ORDER BY occurred_at DESC, id DESC LIMIT 50")
+@query(
+    "SELECT id, total FROM (SELECT id, occurred_at, count(*) OVER () AS total FROM entries_fx) ORDER BY occurred_at DESC, id DESC LIMIT 50"
+)
 def win1_count_over(t: Tables) -> DataFrame:
     return paging.page(t.entries_fx.select("id", "occurred_at"), [F.desc("occurred_at"), F.desc("id")], 50).select("id", "total")
 
 
-@query("SELECT job_name, max(date_diff('microsecond', prior, started_at)) AS largest_gap_micros FROM (SELECT *, lag(started_at) OVER (PARTITION BY job_name ORDER BY started_at, id) AS prior FROM job_runs_fx) GROUP BY 1")
+@query(
+    """SELECT job_name, max(date_diff('microsecond', prior, started_at)) AS largest_gap_micros FROM (SELECT *,
+        lag(started_at) OVER (PARTITION BY job_name ORDER BY started_at, id) AS prior FROM job_runs_fx) GROUP BY 1"""
+)
 def win2_run_gap(t: Tables) -> DataFrame:
     return largest_gaps(t.job_runs_fx, "job_name", "started_at").withColumnRenamed("gap_micros", "largest_gap_micros")
 
 
-@query("SELECT marketplace, CAST(sum(amount_cents) AS BIGINT) AS total_cents, round(sum(amount_cents) * 100.0 / sum(sum(amount_cents)) OVER (), 6) AS percent FROM orders_fx GROUP BY 1")
+@query(
+    """SELECT marketplace, CAST(sum(amount_cents) AS BIGINT) AS total_cents,
+        round(sum(amount_cents) * 100.0 / sum(sum(amount_cents)) OVER (), 6) AS percent FROM orders_fx GROUP BY 1"""
+)
 def win3_percent_of_total(t: Tables) -> DataFrame:
     grouped = t.orders_fx.groupBy("marketplace").agg(A.total("amount_cents").alias("total_cents"))
     return A.with_shares(grouped, percent="total_cents").withColumn("percent", F.round("percent", 6))
 
 
-@query("""WITH placed AS (SELECT source, order_key, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY order_key) - 1 AS j FROM orders_fx),
-    wanted AS (SELECT DISTINCT source, CAST(floor(i * n / 40) AS BIGINT) AS j FROM (SELECT DISTINCT source, n FROM placed), range(40) AS r(i))
+@query("""WITH placed AS (SELECT source, order_key, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source
+    ORDER BY order_key) - 1 AS j FROM orders_fx),
+    wanted AS (SELECT DISTINCT source, CAST(floor(i * n / 40) AS BIGINT) AS j FROM (SELECT DISTINCT source, n FROM placed),
+    range(40) AS r(i))
     SELECT p.source, p.order_key FROM placed p JOIN wanted w ON w.source = p.source AND w.j = p.j""")
 def win4_stratified_sample(t: Tables) -> DataFrame:
     return dedup.stratified_sample(t.orders_fx.select("source", "order_key"), "source", "order_key", 40)
@@ -233,20 +322,28 @@ def win4_stratified_sample(t: Tables) -> DataFrame:
 # ---- joins
 
 
-@query(f"WITH {DOMINANT_SQL} SELECT o.external_order_id, d.gateway_raw AS resolved_gateway_raw FROM orders_fx o LEFT JOIN dominant d ON d.external_order_id = o.external_order_id AND o.source = 'shopify'")
+@query(
+    f"""WITH {DOMINANT_SQL} SELECT o.external_order_id, d.gateway_raw AS resolved_gateway_raw FROM orders_fx o LEFT
+        JOIN dominant d ON d.external_order_id = o.external_order_id AND o.source = 'shopify'"""
+)
 def jn1_events_with_resolution(t: Tables) -> DataFrame:
     return joins.events_with_resolution(order_events(t), dominant(t)).select("external_order_id", "resolved_gateway_raw")
 
 
-@query("""WITH keys AS (SELECT DISTINCT source, external_order_id FROM raw_events_fx WHERE received_at >= TIMESTAMP '2024-01-20' AND received_at < TIMESTAMP '2024-01-21')
-    SELECT e.id, e.source, e.external_order_id FROM raw_events_fx e JOIN keys k ON k.source = e.source AND k.external_order_id = e.external_order_id""")
+@query("""WITH keys AS (SELECT DISTINCT source, external_order_id FROM raw_events_fx
+    WHERE received_at >= TIMESTAMP '2024-01-20' AND received_at < TIMESTAMP '2024-01-21')
+    SELECT e.id, e.source, e.external_order_id FROM raw_events_fx e JOIN keys k ON k.source = e.source
+    AND k.external_order_id = e.external_order_id""")
 def jn2_events_for_keys(t: Tables) -> DataFrame:
     day = (F.col("received_at") >= ntz(datetime(2024, 1, 20))) & (F.col("received_at") < ntz(datetime(2024, 1, 21)))
     keys = t.raw_events_fx.where(day).select("source", dedup.order_key().alias("order_key"))
     return joins.events_for_keys(t.raw_events_fx, keys).select("id", "source", "external_order_id")
 
 
-@query(f"WITH {RESOLVED_SQL} SELECT o.external_order_id FROM orders_fx o JOIN resolved r ON r.external_order_id = o.external_order_id WHERE r.resolved_at > o.materialized_at ORDER BY r.resolved_at, o.external_order_id LIMIT 500")
+@query(
+    f"""WITH {RESOLVED_SQL} SELECT o.external_order_id FROM orders_fx o JOIN resolved r ON r.external_order_id = o.external_order_id
+        WHERE r.resolved_at > o.materialized_at ORDER BY r.resolved_at, o.external_order_id LIMIT 500"""
+)
 def jn3_stale_resolution(t: Tables) -> DataFrame:
     return joins.stale_resolution(t.orders_fx, resolved(t), 500).select("external_order_id")
 
@@ -257,62 +354,111 @@ def jn4_missing_events(t: Tables) -> DataFrame:
     return joins.missing(t.orders_fx, legs, "order_key").select("order_key")
 
 
-TENDER_SQL = "tender AS (SELECT external_order_id, CAST(coalesce(sum(CASE WHEN amount_cents > 0 THEN amount_cents END), 0) AS BIGINT) AS tender_cents, count(CASE WHEN amount_cents < 0 THEN 1 END) AS negative_entries FROM tenders_fx WHERE NOT test GROUP BY 1 HAVING count(CASE WHEN amount_cents > 0 THEN 1 END) > 0)"
-DELTA_SQL = f"{SPLIT_SQL}, {TENDER_SQL}, own AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS ledger_cents FROM split WHERE gateway_raw <> 'shopify_store_credit' GROUP BY 1), delta AS (SELECT t.external_order_id, tender_cents, coalesce(ledger_cents, 0) AS ledger_cents, tender_cents - coalesce(ledger_cents, 0) AS delta_cents FROM tender t LEFT JOIN own USING (external_order_id))"
+TENDER_SQL = """tender AS (SELECT external_order_id, CAST(coalesce(sum(CASE WHEN amount_cents > 0 THEN amount_cents END),
+    0) AS BIGINT) AS tender_cents, count(CASE WHEN amount_cents < 0 THEN 1 END) AS negative_entries FROM tenders_fx WHERE NOT test
+    GROUP BY 1 HAVING count(CASE WHEN amount_cents > 0 THEN 1 END) > 0)"""
+DELTA_SQL = f"""{SPLIT_SQL}, {TENDER_SQL}, own AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS ledger_cents FROM split
+    WHERE gateway_raw <> 'shopify_store_credit' GROUP BY 1), delta AS (SELECT t.external_order_id, tender_cents, coalesce(ledger_cents,
+    0) AS ledger_cents, tender_cents - coalesce(ledger_cents, 0) AS delta_cents FROM tender t LEFT JOIN own USING (external_order_id))"""
 
 
 @query(f"WITH {DELTA_SQL} SELECT * FROM delta WHERE abs(delta_cents) > 1")
 def jn5_ledger_vs_tender(t: Tables) -> DataFrame:
-    return joins.ledger_vs_tender(A.tender_totals(t.tenders_fx), split(t)).select("external_order_id", "tender_cents", "ledger_cents", "delta_cents")
+    return joins.ledger_vs_tender(A.tender_totals(t.tenders_fx), split(t)).select(
+        "external_order_id",
+        "tender_cents",
+        "ledger_cents",
+        "delta_cents",
+    )
 
 
-@query(f"WITH {SPLIT_SQL}, {TENDER_SQL} SELECT count(DISTINCT external_order_id) AS n FROM split WHERE external_order_id NOT IN (SELECT external_order_id FROM tender)")
+@query(
+    f"""WITH {SPLIT_SQL}, {TENDER_SQL} SELECT count(DISTINCT external_order_id) AS n FROM split
+        WHERE external_order_id NOT IN (SELECT external_order_id FROM tender)"""
+)
 def jn6_orders_only_in_ledger(t: Tables) -> DataFrame:
-    return joins.missing(split(t).select("external_order_id").distinct(), A.tender_totals(t.tenders_fx), "external_order_id").agg(F.count("*").alias("n"))
+    return joins.missing(
+        split(t).select("external_order_id").distinct(),
+        A.tender_totals(t.tenders_fx),
+        "external_order_id",
+    ).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {DOMINANT_SQL} SELECT external_order_id FROM (SELECT DISTINCT external_order_id FROM orders_fx WHERE source = 'shopify') o WHERE external_order_id NOT IN (SELECT external_order_id FROM split)")
+@query(
+    f"""WITH {DOMINANT_SQL} SELECT external_order_id FROM (SELECT DISTINCT external_order_id FROM orders_fx WHERE source = 'shopify') o
+        WHERE external_order_id NOT IN (SELECT external_order_id FROM split)"""
+)
 def jn8_orders_missing_split(t: Tables) -> DataFrame:
     return joins.orders_missing_split(order_events(t), dominant(t), split(t))
 
 
-@query("""SELECT order_key, CASE WHEN CAST(order_key AS BIGINT) % 50 = 0 THEN 'only_left' WHEN CAST(order_key AS BIGINT) % 50 = 1 THEN 'only_right' ELSE 'different' END AS difference,
-    CASE WHEN CAST(order_key AS BIGINT) % 50 = 2 THEN 'amount_cents' WHEN CAST(order_key AS BIGINT) % 50 = 3 THEN 'marketplace,amount_cents' END AS fields FROM orders_fx WHERE CAST(order_key AS BIGINT) % 50 < 4""")
+@query("""SELECT order_key, CASE WHEN CAST(order_key AS BIGINT) % 50 = 0 THEN 'only_left'
+    WHEN CAST(order_key AS BIGINT) % 50 = 1 THEN 'only_right' ELSE 'different' END AS difference,
+    CASE WHEN CAST(order_key AS BIGINT) % 50 = 2 THEN 'amount_cents' WHEN CAST(order_key AS BIGINT) % 50 = 3
+    THEN 'marketplace,amount_cents' END AS fields FROM orders_fx WHERE CAST(order_key AS BIGINT) % 50 < 4""")
 def jn9_diff_read_models(t: Tables) -> DataFrame:
     slot = F.col("order_key").cast("long") % 50
     fields = ["marketplace", "amount_cents", "shipping_cents", "status"]
     left = t.orders_fx.where(slot != 1)
-    right = t.orders_fx.where(slot != 0).withColumns({"amount_cents": F.col("amount_cents") + slot.isin(2, 3).cast("int"), "marketplace": F.when(slot == 3, F.lower("marketplace")).otherwise(F.col("marketplace"))})
+    right = t.orders_fx.where(slot != 0).withColumns(
+        {
+            "amount_cents": F.col("amount_cents") + slot.isin(2, 3).cast("int"),
+            "marketplace": F.when(slot == 3, F.lower("marketplace")).otherwise(F.col("marketplace")),
+        }
+    )
     return joins.diff_read_models(left, right, ["order_key"], fields)
 
 
-@query("SELECT e.id, CASE WHEN e.category_id IS NULL THEN 'Sem categoria' ELSE coalesce(c.name, 'Categoria removida') END AS name FROM entries_fx e LEFT JOIN categories_fx c ON c.id = e.category_id")
+@query(
+    """SELECT e.id, CASE WHEN e.category_id IS NULL THEN 'Sem categoria' ELSE coalesce(c.name, 'Categoria removida') END AS name
+        FROM entries_fx e LEFT JOIN categories_fx c ON c.id = e.category_id"""
+)
 def jn10_category_lookup(t: Tables) -> DataFrame:
     named = t.entries_fx.join(t.categories_fx.select(F.col("id").alias("category_id"), "name"), "category_id", "left")
-    return named.select("id", F.when(F.col("category_id").isNull(), "Sem categoria").otherwise(F.coalesce("name", F.lit("Categoria removida"))).alias("name"))
+    return named.select(
+        "id",
+        F.when(F.col("category_id").isNull(), "Sem categoria").otherwise(F.coalesce("name", F.lit("Categoria removida"))).alias("name"),
+    )
 
 
-@query(f"""WITH {SPLIT_SQL}, t AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS ext, max(processed_at) AS tendered_at FROM tenders_fx GROUP BY 1), s AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS sys FROM split GROUP BY 1),
-    j AS (SELECT coalesce(t.external_order_id, s.external_order_id) AS external_order_id, ext, sys, tendered_at FROM t FULL OUTER JOIN s ON s.external_order_id = t.external_order_id)
-    SELECT cause, count(*) AS n, CAST(sum(d) AS BIGINT) AS difference_cents FROM (SELECT coalesce(ext, 0) - coalesce(sys, 0) AS d, CASE WHEN ext IS NULL THEN 'system_only' WHEN CAST(j.external_order_id AS BIGINT) % 11 = 0 THEN 'absent_from_mirror'
-    WHEN o.status = 'rejected' OR o.status IS NULL THEN 'not_materialized' WHEN {local('o.occurred_at')} <> {local('tendered_at')} THEN 'different_date' WHEN tendered_at >= TIMESTAMP '2001-08-02' THEN 'leg_outside_window' ELSE 'same_day' END AS cause
+@query(f"""WITH {SPLIT_SQL}, t AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS ext, max(processed_at) AS tendered_at
+    FROM tenders_fx GROUP BY 1), s AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS sys FROM split GROUP BY 1),
+    j AS (SELECT coalesce(t.external_order_id, s.external_order_id) AS external_order_id, ext, sys, tendered_at FROM t FULL OUTER
+    JOIN s ON s.external_order_id = t.external_order_id)
+    SELECT cause, count(*) AS n, CAST(sum(d) AS BIGINT) AS difference_cents FROM (SELECT coalesce(ext, 0) - coalesce(sys, 0) AS d, CASE
+    WHEN ext IS NULL THEN 'system_only' WHEN CAST(j.external_order_id AS BIGINT) % 11 = 0 THEN 'absent_from_mirror'
+    WHEN o.status = 'rejected' OR o.status IS NULL THEN 'not_materialized'
+    WHEN {local('o.occurred_at')} <> {local('tendered_at')} THEN 'different_date'
+    WHEN tendered_at >= TIMESTAMP '2001-08-02' THEN 'leg_outside_window' ELSE 'same_day' END AS cause
     FROM j LEFT JOIN orders_fx o ON o.external_order_id = j.external_order_id) WHERE d <> 0 GROUP BY 1""")
 def jn11_explain_difference(t: Tables) -> DataFrame:
     events = t.orders_fx.where(F.col("order_key").cast("long") % 11 != 0)
-    found = joins.explain_difference(t.tenders_fx, split(t), events, t.orders_fx.where("status <> 'rejected'"), F.lit(None), ZONE, ntz(ORDERS_AS_OF))
+    found = joins.explain_difference(
+        t.tenders_fx,
+        split(t),
+        events,
+        t.orders_fx.where("status <> 'rejected'"),
+        F.lit(None),
+        ZONE,
+        ntz(ORDERS_AS_OF),
+    )
     return found.groupBy("cause").agg(F.count("*").alias("n"), A.total("difference_cents").alias("difference_cents"))
 
 
-@query("""WITH c AS (SELECT 'source' AS table_name, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'mirror', (SELECT count(*) FROM orders_fx WHERE status <> 'rejected')
+@query("""WITH c AS (SELECT 'source' AS table_name, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'mirror', (SELECT count(*)
+    FROM orders_fx WHERE status <> 'rejected')
         UNION ALL SELECT 'queue', (SELECT count(*) FROM changes_fx) UNION ALL SELECT 'audit', (SELECT count(*) FROM lineitem))
     SELECT table_name, n, n - (SELECT count(*) FROM orders) AS difference,
-        CASE WHEN n < (SELECT count(*) FROM orders) THEN 'missing_rows' WHEN n > (SELECT count(*) FROM orders) THEN 'extra_rows' END AS problem FROM c""")
+        CASE WHEN n < (SELECT count(*) FROM orders) THEN 'missing_rows' WHEN n > (SELECT count(*)
+        FROM orders) THEN 'extra_rows' END AS problem FROM c""")
 def jn12_parity_counts(t: Tables) -> DataFrame:
     return joins.parity_counts(source=t.orders, mirror=t.orders_fx.where("status <> 'rejected'"), queue=t.changes_fx, audit=t.lineitem)
 
 
-@query(f"""WITH {SPLIT_SQL} SELECT external_order_id, 'ledger' AS missing FROM orders_fx WHERE external_order_id NOT IN (SELECT external_order_id FROM split)
-    UNION ALL SELECT external_order_id, 'resolution' FROM orders_fx WHERE external_order_id NOT IN (SELECT external_order_id FROM split WHERE gateway_raw = 'pix')""")
+@query(f"""WITH {SPLIT_SQL} SELECT external_order_id, 'ledger' AS missing FROM orders_fx
+    WHERE external_order_id NOT IN (SELECT external_order_id FROM split)
+    UNION ALL SELECT external_order_id, 'resolution' FROM orders_fx WHERE external_order_id NOT IN (SELECT external_order_id FROM split
+    WHERE gateway_raw = 'pix')""")
 def jn7_orders_without_ledger(t: Tables) -> DataFrame:
     """Orders of which the ledger, or the resolutions, know nothing; here only one gateway is resolved."""
     lacking = lambda others, name: A.without(t.orders_fx, others).select("external_order_id", F.lit(name).alias("missing"))
@@ -321,7 +467,8 @@ def jn7_orders_without_ledger(t: Tables) -> DataFrame:
 
 # ---- aggregates
 
-AGG1_SQL = f"SELECT coalesce(nullif(marketplace, ''), external_source, source) AS source_bucket, {METHOD_SQL} AS payment_method, type, CAST(sum(amount_cents) AS BIGINT) AS total_cents, count(*) AS n FROM orders_fx WHERE {LIVE} GROUP BY 1, 2, 3"
+AGG1_SQL = f"""SELECT coalesce(nullif(marketplace, ''), external_source, source) AS source_bucket, {METHOD_SQL} AS payment_method, type,
+    CAST(sum(amount_cents) AS BIGINT) AS total_cents, count(*) AS n FROM orders_fx WHERE {LIVE} GROUP BY 1, 2, 3"""
 
 
 def grouped_orders(t: Tables) -> DataFrame:
@@ -333,25 +480,45 @@ def agg1_cash_flow_by_source_method_type(t: Tables) -> DataFrame:
     return grouped_orders(t)
 
 
-@query(f"SELECT CAST(coalesce(sum(discount_cents), 0) AS BIGINT) AS discount_cents, CAST(coalesce(sum(shipping_cents), 0) AS BIGINT) AS shipping_cents, CAST(coalesce(sum(tax_cents) + sum(fee_cents), 0) AS BIGINT) AS tax_fee_cents FROM orders_fx WHERE {LIVE}")
+@query(
+    f"""SELECT CAST(coalesce(sum(discount_cents), 0) AS BIGINT) AS discount_cents, CAST(coalesce(sum(shipping_cents),
+        0) AS BIGINT) AS shipping_cents, CAST(coalesce(sum(tax_cents) + sum(fee_cents), 0) AS BIGINT) AS tax_fee_cents FROM orders_fx
+        WHERE {LIVE}"""
+)
 def agg2_breakdown(t: Tables) -> DataFrame:
     return A.breakdown(t.orders_fx.where(LIVE))
 
 
-@query("SELECT source AS source_bucket, CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount_cents END), 0) AS BIGINT) AS gross_cents, CAST(coalesce(sum(CASE WHEN type = 'expense' THEN amount_cents END), 0) AS BIGINT) AS expense_cents, count(CASE WHEN type IN ('income', 'expense') THEN 1 END) AS n FROM entries_fx GROUP BY 1")
+@query(
+    """SELECT source AS source_bucket, CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount_cents END), 0) AS BIGINT) AS gross_cents,
+        CAST(coalesce(sum(CASE WHEN type = 'expense' THEN amount_cents END), 0) AS BIGINT) AS expense_cents, count(CASE
+        WHEN type IN ('income', 'expense') THEN 1 END) AS n FROM entries_fx GROUP BY 1"""
+)
 def agg3_source_totals(t: Tables) -> DataFrame:
-    rows = t.entries_fx.withColumns({"marketplace": F.lit(None).cast("string"), "external_source": F.lit(None).cast("string"), "payment_method": F.lit(None).cast("string")})
+    rows = t.entries_fx.withColumns(
+        {
+            "marketplace": F.lit(None).cast("string"),
+            "external_source": F.lit(None).cast("string"),
+            "payment_method": F.lit(None).cast("string"),
+        }
+    )
     return A.source_totals(A.by_source_method_type(rows))
 
 
-@query(f"SELECT {METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS gross_cents, count(*) AS n FROM orders_fx WHERE {LIVE} GROUP BY 1")
+@query(
+    f"""SELECT {METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS gross_cents, count(*) AS n FROM orders_fx WHERE {LIVE}
+        GROUP BY 1"""
+)
 def agg4_payment_method_totals(t: Tables) -> DataFrame:
     return A.method_totals(grouped_orders(t))
 
 
-UNIFIED_SQL = f"""u AS (SELECT marketplace AS source_bucket, {METHOD_SQL} AS payment_method, type, amount_cents, coalesce(discount_cents, 0) AS discount_cents, coalesce(shipping_cents, 0) AS shipping_cents,
-        tax_cents, fee_cents, occurred_at FROM orders_fx WHERE {LIVE} UNION ALL SELECT source, 'other', type, amount_cents, 0, 0, 0, 0, occurred_at FROM entries_fx WHERE {LIVE})"""
-SUMMARY_SQL = """CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount_cents END), 0) AS BIGINT) AS income_cents, CAST(coalesce(sum(CASE WHEN type = 'expense' THEN amount_cents END), 0) AS BIGINT) AS expense_cents,
+UNIFIED_SQL = f"""u AS (SELECT marketplace AS source_bucket, {METHOD_SQL} AS payment_method, type, amount_cents, coalesce(discount_cents,
+    0) AS discount_cents, coalesce(shipping_cents, 0) AS shipping_cents,
+        tax_cents, fee_cents, occurred_at FROM orders_fx WHERE {LIVE} UNION ALL SELECT source, 'other', type, amount_cents, 0, 0, 0, 0,
+        occurred_at FROM entries_fx WHERE {LIVE})"""
+SUMMARY_SQL = """CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount_cents END), 0) AS BIGINT) AS income_cents, CAST(coalesce(sum(CASE
+    WHEN type = 'expense' THEN amount_cents END), 0) AS BIGINT) AS expense_cents,
     CAST(sum(discount_cents) AS BIGINT) AS discount_cents, CAST(sum(shipping_cents) AS BIGINT) AS shipping_cents, count(*) AS n"""
 TAX_FEE_SQL = "CAST(coalesce(sum(tax_cents) + sum(fee_cents), 0) AS BIGINT) AS tax_fee_cents"
 TAGGED_SQL = "CASE WHEN occurred_at >= TIMESTAMP '1998-01-01' THEN 'current' ELSE 'previous' END"
@@ -359,7 +526,17 @@ BOTH_PERIODS = "occurred_at >= TIMESTAMP '1997-07-04' AND occurred_at < TIMESTAM
 
 
 def all_rows(t: Tables) -> DataFrame:
-    columns = ["source_bucket", "payment_method", "type", "amount_cents", "discount_cents", "shipping_cents", "tax_cents", "fee_cents", "occurred_at"]
+    columns = [
+        "source_bucket",
+        "payment_method",
+        "type",
+        "amount_cents",
+        "discount_cents",
+        "shipping_cents",
+        "tax_cents",
+        "fee_cents",
+        "occurred_at",
+    ]
     return cashflow.unified(as_order_rows(t).where(LIVE).select(columns), as_entry_rows(t).where(LIVE).select(columns))
 
 
@@ -368,21 +545,31 @@ def agg5_summarize_transactions(t: Tables) -> DataFrame:
     return cashflow.summary(all_rows(t), *PERIOD).where("period = 'current'").drop("period")
 
 
-@query(f"""WITH {SPLIT_SQL}, w AS (SELECT * FROM split WHERE processed_at >= TIMESTAMP '1998-01-01' AND processed_at < TIMESTAMP '1998-07-01') SELECT gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents, CAST(sum(transaction_count) AS BIGINT) AS transaction_count,
+@query(f"""WITH {SPLIT_SQL}, w AS (SELECT * FROM split WHERE processed_at >= TIMESTAMP '1998-01-01'
+    AND processed_at < TIMESTAMP '1998-07-01') SELECT gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents,
+    CAST(sum(transaction_count) AS BIGINT) AS transaction_count,
     (SELECT count(DISTINCT {local('processed_at')}) FROM w) AS covered_days FROM w GROUP BY 1""")
 def agg6_gateway_payments_in_window(t: Tables) -> DataFrame:
     return A.gateway_payments(split(t), *map(ntz, PERIOD), ZONE)
 
 
-@query(f"WITH {SPLIT_SQL} SELECT gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents, CAST(sum(transaction_count) AS BIGINT) AS transaction_count, count(DISTINCT external_order_id) AS orders FROM split GROUP BY 1")
+@query(
+    f"""WITH {SPLIT_SQL} SELECT gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents,
+        CAST(sum(transaction_count) AS BIGINT) AS transaction_count, count(DISTINCT external_order_id) AS orders FROM split GROUP BY 1"""
+)
 def agg7_ledger_day_summary(t: Tables) -> DataFrame:
     return A.ledger_day(split(t))
 
 
-@query(f"WITH {SPLIT_SQL} SELECT external_order_id, gateway_raw, amount_cents FROM split WHERE external_order_id IN (SELECT order_key FROM orders_fx WHERE marketplace = 'BUILDING')")
+@query(
+    f"""WITH {SPLIT_SQL} SELECT external_order_id, gateway_raw, amount_cents FROM split WHERE external_order_id IN (SELECT order_key
+        FROM orders_fx WHERE marketplace = 'BUILDING')"""
+)
 def agg8_ledger_totals_by_order(t: Tables) -> DataFrame:
     keys = t.orders_fx.where("marketplace = 'BUILDING'").select("external_order_id")
-    return split(t).join(keys, "external_order_id", "left_semi").groupBy("external_order_id", "gateway_raw").agg(A.total("amount_cents").alias("amount_cents"))
+    return split(t).join(keys, "external_order_id", "left_semi").groupBy("external_order_id", "gateway_raw").agg(
+        A.total("amount_cents").alias("amount_cents")
+    )
 
 
 @query(f"WITH {TENDER_SQL} SELECT * FROM tender")
@@ -405,26 +592,42 @@ def agg12_entries_by_type(t: Tables) -> DataFrame:
     return A.entries_by_type(t.entries_fx)
 
 
-@query("""SELECT CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents, CAST(sum(CASE WHEN type = 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, count(CASE WHEN type = 'income' THEN 1 END) AS income_n,
-    count(CASE WHEN type = 'expense' THEN 1 END) AS expense_n, count(CASE WHEN type = 'transfer' THEN 1 END) AS transfer_n, CAST(sum(CASE type WHEN 'income' THEN amount_cents WHEN 'expense' THEN -amount_cents ELSE 0 END) AS BIGINT) AS balance_cents FROM entries_fx""")
+@query("""SELECT CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents, CAST(sum(CASE
+    WHEN type = 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, count(CASE
+    WHEN type = 'income' THEN 1 END) AS income_n,
+    count(CASE WHEN type = 'expense' THEN 1 END) AS expense_n, count(CASE WHEN type = 'transfer' THEN 1 END) AS transfer_n,
+    CAST(sum(CASE type WHEN 'income' THEN amount_cents WHEN 'expense' THEN -amount_cents ELSE 0 END) AS BIGINT) AS balance_cents
+    FROM entries_fx""")
 def agg13_entries_totals(t: Tables) -> DataFrame:
     return A.entries_totals(t.entries_fx)
 
 
-@query("""SELECT s.type, s.category_id, s.total_cents, s.n, round(s.total_cents * 100.0 / sum(s.total_cents) OVER (PARTITION BY s.type), 6) AS share_percent, CASE WHEN s.category_id IS NULL THEN 'Sem categoria' ELSE coalesce(c.name, 'Categoria removida') END AS name
-    FROM (SELECT type, category_id, CAST(sum(amount_cents) AS BIGINT) AS total_cents, count(*) AS n FROM entries_fx GROUP BY 1, 2) s LEFT JOIN categories_fx c ON c.id = s.category_id""")
+@query("""SELECT s.type, s.category_id, s.total_cents, s.n, round(s.total_cents * 100.0 / sum(s.total_cents) OVER (PARTITION BY s.type),
+    6) AS share_percent, CASE WHEN s.category_id IS NULL THEN 'Sem categoria' ELSE coalesce(c.name, 'Categoria removida') END AS name
+    FROM (SELECT type, category_id, CAST(sum(amount_cents) AS BIGINT) AS total_cents, count(*) AS n FROM entries_fx GROUP BY 1, 2) s LEFT
+    JOIN categories_fx c ON c.id = s.category_id""")
 def agg14_entries_by_category(t: Tables) -> DataFrame:
     found = A.entries_by_category(t.entries_fx, t.categories_fx)
-    return found.withColumn("share_percent", F.round("share_percent", 6)).orderBy(F.col("category_id").isNull(), F.desc("total_cents"), "name")
+    return found.withColumn("share_percent", F.round("share_percent", 6)).orderBy(
+        F.col("category_id").isNull(),
+        F.desc("total_cents"),
+        "name",
+    )
 
 
-@query("SELECT max(materialized_at) AS max_materialized_at, max(occurred_at) AS max_occurred_at, count(CASE WHEN materialized_at >= TIMESTAMP '2001-07-26' THEN 1 END) AS recent FROM orders_fx")
+@query(
+    """SELECT max(materialized_at) AS max_materialized_at, max(occurred_at) AS max_occurred_at, count(CASE
+        WHEN materialized_at >= TIMESTAMP '2001-07-26' THEN 1 END) AS recent FROM orders_fx"""
+)
 def agg15_materialized_lag(t: Tables) -> DataFrame:
     return A.materialized_lag(t.orders_fx, ntz(ORDERS_AS_OF))
 
 
-PIPELINE_SQL = f"""{SPLIT_SQL}, days AS (SELECT {local('occurred_at')} AS day, count(*) AS orders, max(materialized_at) AS last_materialized_at, count(CASE WHEN external_order_id NOT IN (SELECT external_order_id FROM split) THEN 1 END) AS without_ledger,
-    count(CASE WHEN external_order_id NOT IN (SELECT external_order_id FROM split) THEN 1 END) AS without_resolution FROM orders_fx GROUP BY 1)"""
+PIPELINE_SQL = f"""{SPLIT_SQL}, days AS (SELECT {local('occurred_at')} AS day, count(*) AS orders,
+    max(materialized_at) AS last_materialized_at, count(CASE WHEN external_order_id NOT IN (SELECT external_order_id
+    FROM split) THEN 1 END) AS without_ledger,
+    count(CASE WHEN external_order_id NOT IN (SELECT external_order_id FROM split) THEN 1 END) AS without_resolution FROM orders_fx
+    GROUP BY 1)"""
 
 
 def pipeline_days(t: Tables) -> DataFrame:
@@ -441,123 +644,206 @@ def agg16_ledger_pulse(t: Tables) -> DataFrame:
     return A.ledger_pulse(resolved(t))
 
 
-@query("""SELECT CASE id % 50 WHEN 0 THEN 'timeout' WHEN 10 THEN 'invalid_date' WHEN 20 THEN 'database_error' WHEN 30 THEN 'constraint_error' ELSE 'unknown_error' END AS reason,
+@query("""SELECT CASE id % 50 WHEN 0 THEN 'timeout' WHEN 10 THEN 'invalid_date' WHEN 20 THEN 'database_error'
+    WHEN 30 THEN 'constraint_error' ELSE 'unknown_error' END AS reason,
     count(*) AS n FROM job_runs_fx WHERE status = 'failed' GROUP BY 1""")
 def agg17_failure_reasons(t: Tables) -> DataFrame:
-    return t.job_runs_fx.where("status = 'failed'").groupBy(S.failure_reason(F.col("error_message")).alias("reason")).agg(F.count("*").alias("n"))
+    return t.job_runs_fx.where("status = 'failed'").groupBy(
+        S.failure_reason(F.col("error_message")).alias("reason")
+    ).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {DOMINANT_SQL} SELECT count(DISTINCT external_order_id) AS created, count(DISTINCT CASE WHEN external_order_id NOT IN (SELECT external_order_id FROM dominant) THEN external_order_id END) AS unresolved FROM orders_fx WHERE {IN_PERIOD} AND source = 'shopify'")
+@query(
+    f"""WITH {DOMINANT_SQL} SELECT count(DISTINCT external_order_id) AS created, count(DISTINCT CASE
+        WHEN external_order_id NOT IN (SELECT external_order_id FROM dominant) THEN external_order_id END) AS unresolved FROM orders_fx
+        WHERE {IN_PERIOD} AND source = 'shopify'"""
+)
 def agg18_sync_freshness(t: Tables) -> DataFrame:
-    inside = filters.transactions(A.storefront(t.orders_fx), start=ntz(PERIOD[0]), end=ntz(PERIOD[1])).select("external_order_id").distinct()
+    inside = filters.transactions(
+        A.storefront(t.orders_fx),
+        start=ntz(PERIOD[0]),
+        end=ntz(PERIOD[1]),
+    ).select("external_order_id").distinct()
     flagged = inside.join(dominant(t).select("external_order_id", F.lit(True).alias("resolved")), "external_order_id", "left")
     return flagged.agg(F.count("*").alias("created"), F.count_if(F.col("resolved").isNull()).alias("unresolved"))
 
 
-@query("SELECT s.status, count(d.status) AS n FROM (VALUES ('pendente'), ('persistente'), ('corrigido'), ('sem_correcao'), ('aceito'), ('ignorado')) AS s(status) LEFT JOIN divergences_fx d ON d.status = s.status GROUP BY 1")
+@query(
+    """SELECT s.status, count(d.status) AS n FROM (VALUES ('pendente'), ('persistente'), ('corrigido'), ('sem_correcao'), ('aceito'),
+        ('ignorado')) AS s(status) LEFT JOIN divergences_fx d ON d.status = s.status GROUP BY 1"""
+)
 def agg19_divergences_by_status(t: Tables) -> DataFrame:
     return A.counts_by_state(t.divergences_fx, "status", V.DIVERGENCE_STATES)
 
 
 @query("SELECT coalesce(source, 'sem_source') AS source, count(*) AS n, max(received_at) AS last_received_at FROM raw_events_fx GROUP BY 1")
 def agg20_mirror_by_source(t: Tables) -> DataFrame:
-    return t.raw_events_fx.groupBy(F.coalesce("source", F.lit("sem_source")).alias("source")).agg(F.count("*").alias("n"), F.max("received_at").alias("last_received_at"))
+    return t.raw_events_fx.groupBy(F.coalesce("source", F.lit("sem_source")).alias("source")).agg(
+        F.count("*").alias("n"),
+        F.max("received_at").alias("last_received_at"),
+    )
 
 
-@query("""SELECT max(started_at) AS last_cycle_at, count(CASE WHEN status = 'ok' AND started_at > TIMESTAMP '2024-01-30' THEN 1 END) AS ok_24h, count(CASE WHEN status = 'failed' THEN 1 END) AS failed,
-    (SELECT count(*) FROM divergences_fx WHERE status IN ('pendente', 'persistente')) AS pending_repairs, round(count(CASE WHEN status = 'ok' THEN 1 END) * 100.0 / count(*), 1) AS audit_percent, count(DISTINCT job_name) >= 2 AS is_complete FROM job_runs_fx""")
+@query("""SELECT max(started_at) AS last_cycle_at, count(CASE WHEN status = 'ok' AND started_at > TIMESTAMP '2024-01-30' THEN 1 END)
+    AS ok_24h, count(CASE WHEN status = 'failed' THEN 1 END) AS failed,
+    (SELECT count(*) FROM divergences_fx WHERE status IN ('pendente', 'persistente')) AS pending_repairs, round(count(CASE
+    WHEN status = 'ok' THEN 1 END) * 100.0 / count(*), 1) AS audit_percent, count(DISTINCT job_name) >= 2 AS is_complete
+    FROM job_runs_fx""")
 def agg21_sweep_status(t: Tables) -> DataFrame:
     """Laps of the audit are read off the runs: its blocks are all runs, of which the good ones are behind it."""
-    lap = t.job_runs_fx.agg(F.lit("audit").alias("pass"), F.count_if(F.col("status") == "ok").alias("next_block"), F.count("*").alias("lap_end_block"), F.countDistinct("job_name").alias("lap_number"))
+    lap = t.job_runs_fx.agg(
+        F.lit("audit").alias("pass"),
+        F.count_if(F.col("status") == "ok").alias("next_block"),
+        F.count("*").alias("lap_end_block"),
+        F.countDistinct("job_name").alias("lap_number"),
+    )
     other = lap.withColumns({"pass": F.lit("sweep"), "next_block": F.lit(0), "lap_number": F.lit(9)})
-    return health.sweep_status(t.job_runs_fx, t.divergences_fx.where(F.col("status").isin(V.OPEN_STATES)), lap.unionByName(other), ntz(EVENTS_AS_OF))
+    return health.sweep_status(
+        t.job_runs_fx,
+        t.divergences_fx.where(F.col("status").isin(V.OPEN_STATES)),
+        lap.unionByName(other),
+        ntz(EVENTS_AS_OF),
+    )
 
 
-@query("""SELECT job_name, count(*) AS runs, count(CASE WHEN status = 'ok' THEN 1 END) AS ok, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, count(CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-31' - INTERVAL '10' MINUTE THEN 1 END) AS stuck,
-    count(CASE WHEN request_id LIKE 'cf-cron-%' THEN 1 END) AS scheduled, count(CASE WHEN request_id NOT LIKE 'cf-cron-%' THEN 1 END) AS manual, round(avg(CASE WHEN status = 'ok' THEN duration_ms END), 6) AS avg_ms,
-    CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms) FILTER (WHERE status = 'ok') AS BIGINT) AS p95_ms, max(duration_ms) AS max_ms, round(max(date_diff('microsecond', prior, started_at)) / 60e6, 6) AS largest_gap_minutes,
-    max(started_at) AS last_started_at, round(count(CASE WHEN request_id LIKE 'cf-cron-%' THEN 1 END) * 100.0 / (8 * 30), 6) AS coverage_percent
+@query("""SELECT job_name, count(*) AS runs, count(CASE WHEN status = 'ok' THEN 1 END) AS ok, count(CASE
+    WHEN status = 'failed' THEN 1 END) AS failed, count(CASE WHEN status = 'running'
+    AND started_at < TIMESTAMP '2024-01-31' - INTERVAL '10' MINUTE THEN 1 END) AS stuck,
+    count(CASE WHEN request_id LIKE 'cf-cron-%' THEN 1 END) AS scheduled, count(CASE
+    WHEN request_id NOT LIKE 'cf-cron-%' THEN 1 END) AS manual, round(avg(CASE WHEN status = 'ok' THEN duration_ms END), 6) AS avg_ms,
+    CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms) FILTER (WHERE status = 'ok') AS BIGINT) AS p95_ms,
+    max(duration_ms) AS max_ms, round(max(date_diff('microsecond', prior, started_at)) / 60e6, 6) AS largest_gap_minutes,
+    max(started_at) AS last_started_at, round(count(CASE WHEN request_id LIKE 'cf-cron-%' THEN 1 END) * 100.0 / (8 * 30),
+    6) AS coverage_percent
     FROM (SELECT *, lag(started_at) OVER (PARTITION BY job_name ORDER BY started_at, id) AS prior FROM job_runs_fx) GROUP BY 1""")
 def agg22_job_run_report(t: Tables) -> DataFrame:
     return A.job_run_report(t.job_runs_fx, ntz(EVENTS_AS_OF), 10, F.lit(8), 30)
 
 
-@query("SELECT CAST(received_at AS DATE) AS day, event_type, count(*) AS events, count(DISTINCT external_order_id) AS orders, round(count(*) * 1.0 / count(DISTINCT external_order_id), 6) AS events_per_order FROM raw_events_fx GROUP BY 1, 2")
+@query(
+    """SELECT CAST(received_at AS DATE) AS day, event_type, count(*) AS events, count(DISTINCT external_order_id) AS orders,
+        round(count(*) * 1.0 / count(DISTINCT external_order_id), 6) AS events_per_order FROM raw_events_fx GROUP BY 1, 2"""
+)
 def agg23_event_amplification(t: Tables) -> DataFrame:
     found = A.event_amplification(t.raw_events_fx, F.to_date("received_at").alias("day"), "event_type")
     return found.withColumn("events_per_order", F.round("events_per_order", 6))
 
 
-@query(f"WITH {CANONICAL_SQL} SELECT status, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS total_cents, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS orders_percent, round(sum(total_cents) * 100.0 / sum(sum(total_cents)) OVER (), 6) AS money_percent FROM canonical GROUP BY 1")
+@query(
+    f"""WITH {CANONICAL_SQL} SELECT status, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS total_cents,
+        round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS orders_percent,
+        round(sum(total_cents) * 100.0 / sum(sum(total_cents)) OVER (), 6) AS money_percent FROM canonical GROUP BY 1"""
+)
 def agg24_financial_status_mix(t: Tables) -> DataFrame:
-    return A.status_mix(dedup.canonical_orders(t.raw_events_fx)).withColumns({c: F.round(c, 6) for c in ("orders_percent", "money_percent")})
+    return A.status_mix(dedup.canonical_orders(t.raw_events_fx)).withColumns(
+        {c: F.round(c, 6) for c in ("orders_percent", "money_percent")}
+    )
 
 
-@query("SELECT lower(status) AS status, count(DISTINCT external_order_id) AS orders FROM raw_events_fx WHERE source = 'shopify' AND received_at >= TIMESTAMP '2024-01-05' GROUP BY 1")
+@query(
+    """SELECT lower(status) AS status, count(DISTINCT external_order_id) AS orders FROM raw_events_fx
+        WHERE source = 'shopify' AND received_at >= TIMESTAMP '2024-01-05' GROUP BY 1"""
+)
 def agg25_status_on_any_event(t: Tables) -> DataFrame:
     """Storefront orders with each status on any of their events, so that one order can count under several."""
     events = A.storefront(t.raw_events_fx).where(F.col("received_at") >= ntz(datetime(2024, 1, 5)))
     return events.groupBy(F.lower("status").alias("status")).agg(F.countDistinct("external_order_id").alias("orders"))
 
 
-@query(f"""WITH {DOMINANT_SQL} SELECT CAST(sum(s.amount_cents) AS BIGINT) AS total_cents, CAST(coalesce(sum(CASE WHEN s.gateway_raw <> d.gateway_raw THEN s.amount_cents END), 0) AS BIGINT) AS misattributed_cents, count(DISTINCT CASE WHEN s.gateway_raw <> d.gateway_raw THEN s.external_order_id END) AS split_orders,
-    round(coalesce(sum(CASE WHEN s.gateway_raw <> d.gateway_raw THEN s.amount_cents END), 0) * 100.0 / sum(s.amount_cents), 6) AS misattributed_percent FROM split s JOIN dominant d USING (external_order_id)""")
+@query(f"""WITH {DOMINANT_SQL} SELECT CAST(sum(s.amount_cents) AS BIGINT) AS total_cents, CAST(coalesce(sum(CASE
+    WHEN s.gateway_raw <> d.gateway_raw THEN s.amount_cents END), 0) AS BIGINT) AS misattributed_cents, count(DISTINCT CASE
+    WHEN s.gateway_raw <> d.gateway_raw THEN s.external_order_id END) AS split_orders,
+    round(coalesce(sum(CASE WHEN s.gateway_raw <> d.gateway_raw THEN s.amount_cents END), 0) * 100.0 / sum(s.amount_cents),
+    6) AS misattributed_percent FROM split s JOIN dominant d USING (external_order_id)""")
 def agg26_split_misattribution(t: Tables) -> DataFrame:
     return A.misattribution(split(t), dominant(t)).withColumn("misattributed_percent", F.round("misattributed_percent", 6))
 
 
-@query(f"""WITH {DOMINANT_SQL}, o AS (SELECT gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS own_cents FROM split GROUP BY 1), c AS (SELECT gateway_raw, CAST(sum(total_amount_cents) AS BIGINT) AS credited_cents FROM dominant GROUP BY 1)
-    SELECT o.gateway_raw, own_cents, coalesce(credited_cents, 0) AS credited_cents, round((coalesce(credited_cents, 0) - own_cents) * 100.0 / own_cents, 6) AS inflation_percent FROM o LEFT JOIN c USING (gateway_raw)""")
+@query(f"""WITH {DOMINANT_SQL}, o AS (SELECT gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS own_cents FROM split GROUP BY 1),
+    c AS (SELECT gateway_raw, CAST(sum(total_amount_cents) AS BIGINT) AS credited_cents FROM dominant GROUP BY 1)
+    SELECT o.gateway_raw, own_cents, coalesce(credited_cents, 0) AS credited_cents, round((coalesce(credited_cents,
+    0) - own_cents) * 100.0 / own_cents, 6) AS inflation_percent FROM o LEFT JOIN c USING (gateway_raw)""")
 def agg26_gateway_inflation(t: Tables) -> DataFrame:
     return A.gateway_inflation(split(t), dominant(t)).withColumn("inflation_percent", F.round("inflation_percent", 6))
 
 
-@query(f"""WITH {DOMINANT_SQL} SELECT CASE WHEN abs(amount_cents - total_amount_cents) <= 1 THEN 'equal' WHEN amount_cents > total_amount_cents THEN 'above' ELSE 'below' END AS parity, count(*) AS orders, CAST(sum(amount_cents - total_amount_cents) AS BIGINT) AS difference_cents
+@query(f"""WITH {DOMINANT_SQL} SELECT CASE WHEN abs(amount_cents - total_amount_cents) <= 1 THEN 'equal'
+    WHEN amount_cents > total_amount_cents THEN 'above' ELSE 'below' END AS parity, count(*) AS orders,
+    CAST(sum(amount_cents - total_amount_cents) AS BIGINT) AS difference_cents
     FROM orders_fx o JOIN dominant d ON d.external_order_id = o.external_order_id GROUP BY 1""")
 def agg27_value_parity(t: Tables) -> DataFrame:
     return A.value_parity(t.orders_fx, dominant(t))
 
 
-@query(f"""WITH {DOMINANT_SQL}, d2 AS (SELECT {local('o.occurred_at')} AS made, {local('d.processed_at')} AS paid, total_amount_cents FROM orders_fx o JOIN dominant d ON d.external_order_id = o.external_order_id),
-    g AS (SELECT CASE WHEN made = paid THEN 'same_day' WHEN paid = made + 1 THEN 'next_day' WHEN paid > made THEN 'later' ELSE 'earlier' END AS basis, count(*) AS orders, CAST(sum(total_amount_cents) AS BIGINT) AS total_cents FROM d2 GROUP BY 1)
+@query(f"""WITH {DOMINANT_SQL}, d2 AS (SELECT {local('o.occurred_at')} AS made, {local('d.processed_at')} AS paid, total_amount_cents
+    FROM orders_fx o JOIN dominant d ON d.external_order_id = o.external_order_id),
+    g AS (SELECT CASE WHEN made = paid THEN 'same_day' WHEN paid = made + 1 THEN 'next_day' WHEN paid > made THEN 'later'
+    ELSE 'earlier' END AS basis, count(*) AS orders, CAST(sum(total_amount_cents) AS BIGINT) AS total_cents FROM d2 GROUP BY 1)
     SELECT basis, orders, total_cents, round(total_cents * 100.0 / sum(total_cents) OVER (), 6) AS money_percent FROM g""")
 def agg28_date_basis(t: Tables) -> DataFrame:
     return A.date_basis(t.orders_fx, dominant(t), ZONE).withColumn("money_percent", F.round("money_percent", 6))
 
 
-@query("SELECT CAST(received_at AS DATE) AS day, count(*) AS n, count(DISTINCT external_order_id) AS orders, min(received_at) AS oldest, max(received_at) AS newest FROM raw_events_fx GROUP BY 1")
+@query(
+    """SELECT CAST(received_at AS DATE) AS day, count(*) AS n, count(DISTINCT external_order_id) AS orders, min(received_at) AS oldest,
+        max(received_at) AS newest FROM raw_events_fx GROUP BY 1"""
+)
 def agg29_received_by_day(t: Tables) -> DataFrame:
-    return t.raw_events_fx.groupBy(F.to_date("received_at").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("external_order_id").alias("orders"), F.min("received_at").alias("oldest"), F.max("received_at").alias("newest"))
+    return t.raw_events_fx.groupBy(F.to_date("received_at").alias("day")).agg(
+        F.count("*").alias("n"),
+        F.countDistinct("external_order_id").alias("orders"),
+        F.min("received_at").alias("oldest"),
+        F.max("received_at").alias("newest"),
+    )
 
 
-@query("SELECT CAST(received_at AS DATE) AS day, count(*) AS n, count(DISTINCT external_order_id) AS orders FROM raw_events_fx WHERE received_at > TIMESTAMP '2024-01-15' GROUP BY 1")
+@query(
+    """SELECT CAST(received_at AS DATE) AS day, count(*) AS n, count(DISTINCT external_order_id) AS orders FROM raw_events_fx
+        WHERE received_at > TIMESTAMP '2024-01-15' GROUP BY 1"""
+)
 def agg30_backlog_by_day(t: Tables) -> DataFrame:
     beyond = t.raw_events_fx.where(F.col("received_at") > ntz(datetime(2024, 1, 15)))
-    return beyond.groupBy(F.to_date("received_at").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("external_order_id").alias("orders"))
+    return beyond.groupBy(F.to_date("received_at").alias("day")).agg(
+        F.count("*").alias("n"),
+        F.countDistinct("external_order_id").alias("orders"),
+    )
 
 
-@query(f"WITH {CANONICAL_SQL.replace('FROM raw_events_fx', 'FROM raw_events_fx WHERE received_at > TIMESTAMP ' + chr(39) + '2024-01-15' + chr(39))} SELECT status, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS total_cents FROM canonical GROUP BY 1")
+@query(
+    f"""WITH {CANONICAL_SQL.replace('FROM raw_events_fx', 'FROM raw_events_fx WHERE received_at > TIMESTAMP ' + chr(39) + '2024-01-15' + chr(39))}
+        SELECT status, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS total_cents FROM canonical GROUP BY 1"""
+)
 def agg30_backlog_money_by_status(t: Tables) -> DataFrame:
     beyond = dedup.canonical_orders(t.raw_events_fx.where(F.col("received_at") > ntz(datetime(2024, 1, 15))))
     return beyond.groupBy("status").agg(F.count("*").alias("orders"), A.total("total_cents").alias("total_cents"))
 
 
-@query("""SELECT CASE WHEN CAST(external_order_id AS BIGINT) % 5 = 0 THEN 'sem_gateway' WHEN event_type = 'purchase' THEN 'pix' ELSE 'appmax' END AS gateway, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS gross_cents,
-    CAST(sum(total_cents // 2) AS BIGINT) AS items_cents, count(CASE WHEN CAST(external_order_id AS BIGINT) % 5 > 2 THEN 1 END) AS split_orders
-    FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY received_at DESC, id DESC) AS nth FROM raw_events_fx WHERE status = 'paid') WHERE nth = 1 GROUP BY 1""")
+@query("""SELECT CASE WHEN CAST(external_order_id AS BIGINT) % 5 = 0 THEN 'sem_gateway' WHEN event_type = 'purchase' THEN 'pix'
+    ELSE 'appmax' END AS gateway, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS gross_cents,
+    CAST(sum(total_cents // 2) AS BIGINT) AS items_cents, count(CASE WHEN CAST(external_order_id AS BIGINT) % 5 > 2 THEN 1 END)
+    AS split_orders
+    FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY received_at DESC, id DESC) AS nth FROM raw_events_fx
+    WHERE status = 'paid') WHERE nth = 1 GROUP BY 1""")
 def agg31_primary_gateway_report(t: Tables) -> DataFrame:
     k = F.col("external_order_id").cast("long") % 5
     money = lambda c: F.format_string("%d.%02d", F.floor(c / 100).cast("long"), F.pmod(c, F.lit(100)))
     first = F.when(F.col("event_type") == "purchase", "pix").otherwise("appmax")
     names = F.when(k == 0, F.array().cast("array<string>")).when(k > 2, F.array(first, F.lit("extra"))).otherwise(F.array(first))
     total = F.col("total_cents")
-    payload = F.struct(names.alias("payment_gateway_names"), money(total).alias("total_price"), money(F.floor(total / 2).cast("long")).alias("total_line_items_price"))
+    payload = F.struct(
+        names.alias("payment_gateway_names"),
+        money(total).alias("total_price"),
+        money(F.floor(total / 2).cast("long")).alias("total_line_items_price"),
+    )
     latest = dedup.latest_paid(t.raw_events_fx.withColumn("payload_json", F.to_json(payload)))
     return A.primary_gateways(latest.withColumn("p", order_payload(F.col("payload_json"))))
 
 
-BY_GATEWAY_SQL = """SELECT gateway_raw, CAST(sum(CASE WHEN kind IN ('sale', 'capture', 'change') THEN amount_cents ELSE 0 END) AS BIGINT) AS gross_cents, CAST(sum(CASE WHEN kind = 'refund' THEN amount_cents ELSE 0 END) AS BIGINT) AS refund_cents, count(*) AS legs, count(DISTINCT external_order_id) AS orders,
-    CAST(sum(CASE WHEN kind IN ('sale', 'capture', 'change') THEN amount_cents WHEN kind = 'refund' THEN -amount_cents ELSE 0 END) AS BIGINT) AS net_cents FROM payment_tx_fx WHERE status = 'success'"""
+BY_GATEWAY_SQL = """SELECT gateway_raw, CAST(sum(CASE WHEN kind IN ('sale', 'capture', 'change') THEN amount_cents
+    ELSE 0 END) AS BIGINT) AS gross_cents, CAST(sum(CASE WHEN kind = 'refund' THEN amount_cents ELSE 0 END) AS BIGINT) AS refund_cents,
+    count(*) AS legs, count(DISTINCT external_order_id) AS orders,
+    CAST(sum(CASE WHEN kind IN ('sale', 'capture', 'change') THEN amount_cents WHEN kind = 'refund' THEN -amount_cents
+    ELSE 0 END) AS BIGINT) AS net_cents FROM payment_tx_fx WHERE status = 'success'"""
 
 
 @query(f"{BY_GATEWAY_SQL} GROUP BY 1")
@@ -571,44 +857,83 @@ def agg32_transactions_by_gateway_paid(t: Tables) -> DataFrame:
     return A.transactions_by_gateway(t.payment_tx_fx.join(paid, "external_order_id", "left_semi"))
 
 
-@query(f"WITH {SPLIT_SQL} SELECT gateway_raw, CAST(sum(transaction_count) AS BIGINT) AS legs, count(*) AS pairs, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM split WHERE {local('processed_at')} = DATE '1998-03-05' GROUP BY 1")
+@query(
+    f"""WITH {SPLIT_SQL} SELECT gateway_raw, CAST(sum(transaction_count) AS BIGINT) AS legs, count(*) AS pairs,
+        CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM split WHERE {local('processed_at')} = DATE '1998-03-05' GROUP BY 1"""
+)
 def agg33_day_payments_by_gateway(t: Tables) -> DataFrame:
     day = split(t).where(S.local_day(F.col("processed_at"), ZONE) == F.lit(date(1998, 3, 5)))
-    return day.groupBy("gateway_raw").agg(A.total("transaction_count").alias("legs"), F.count("*").alias("pairs"), A.total("amount_cents").alias("amount_cents")).orderBy(F.desc("amount_cents"), "gateway_raw")
-
-
-@query("""SELECT count(*) AS n, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents, CAST(sum(CASE WHEN type <> 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS outcome_cents, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE -amount_cents END) AS BIGINT) AS balance_cents,
-    count(CASE WHEN occurred_at >= TIMESTAMP '1998-05-02' THEN 1 END) AS last_30_days, CAST(coalesce(sum(CASE WHEN type = 'income' AND occurred_at >= TIMESTAMP '1998-05-02' THEN amount_cents END), 0) AS BIGINT) AS last_30_days_income_cents,
-    CAST(coalesce(sum(CASE WHEN type <> 'income' AND occurred_at >= TIMESTAMP '1998-05-02' THEN amount_cents END), 0) AS BIGINT) AS last_30_days_outcome_cents, (SELECT count(*) FROM job_runs_fx WHERE job_name = 'purchase') AS total_batches,
+    return day.groupBy("gateway_raw").agg(
+        A.total("transaction_count").alias("legs"),
+        F.count("*").alias("pairs"),
+        A.total("amount_cents").alias("amount_cents"),
+    ).orderBy(F.desc("amount_cents"), "gateway_raw")
+
+
+@query("""SELECT count(*) AS n, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents, CAST(sum(CASE
+    WHEN type <> 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS outcome_cents, CAST(sum(CASE WHEN type = 'income' THEN amount_cents
+    ELSE -amount_cents END) AS BIGINT) AS balance_cents,
+    count(CASE WHEN occurred_at >= TIMESTAMP '1998-05-02' THEN 1 END) AS last_30_days, CAST(coalesce(sum(CASE
+    WHEN type = 'income' AND occurred_at >= TIMESTAMP '1998-05-02' THEN amount_cents END), 0) AS BIGINT) AS last_30_days_income_cents,
+    CAST(coalesce(sum(CASE WHEN type <> 'income' AND occurred_at >= TIMESTAMP '1998-05-02' THEN amount_cents END),
+    0) AS BIGINT) AS last_30_days_outcome_cents, (SELECT count(*) FROM job_runs_fx WHERE job_name = 'purchase') AS total_batches,
     (SELECT count(*) FROM changes_fx) AS total_notifications, (SELECT count(*) FROM raw_events_fx) AS total_raw FROM entries_fx""")
 def agg34_business_baseline(t: Tables) -> DataFrame:
-    return A.business_baseline(t.entries_fx, ntz(datetime(1998, 6, 1)), batches=t.job_runs_fx.where("job_name = 'purchase'"), notifications=t.changes_fx, raw=t.raw_events_fx)
+    return A.business_baseline(
+        t.entries_fx,
+        ntz(datetime(1998, 6, 1)),
+        batches=t.job_runs_fx.where("job_name = 'purchase'"),
+        notifications=t.changes_fx,
+        raw=t.raw_events_fx,
+    )
 
 
 @query("SELECT c.id, c.name, count(e.id) AS n FROM categories_fx c LEFT JOIN entries_fx e ON e.category_id = c.id GROUP BY 1, 2")
 def agg35_category_usage(t: Tables) -> DataFrame:
     used = t.entries_fx.groupBy("category_id").agg(F.count("*").alias("n"))
-    return t.categories_fx.join(used, F.col("id") == F.col("category_id"), "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    return t.categories_fx.join(used, F.col("id") == F.col("category_id"), "left").select(
+        "id",
+        "name",
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
 
 
 # ---- paging and sets
 
 
-@query(f"""WITH f AS (SELECT *, count(*) OVER () AS total FROM orders_fx WHERE type = 'income' AND source IN ('shopify', 'anymarket') AND status = 'approved' AND {IN_PERIOD} AND {METHOD_SQL} = 'pix')
+@query(f"""WITH f AS (SELECT *, count(*) OVER () AS total FROM orders_fx WHERE type = 'income' AND source IN ('shopify',
+    'anymarket') AND status = 'approved' AND {IN_PERIOD} AND {METHOD_SQL} = 'pix')
     SELECT order_key, source, occurred_at, total FROM f ORDER BY occurred_at DESC, source, order_key LIMIT 5 OFFSET 5""")
 def top1_list_orders_page(t: Tables) -> DataFrame:
     rows = as_order_rows(t).withColumn("payment_method_normalized", F.col("payment_method"))
-    found = filters.transactions(rows, type="income", sources=[V.STOREFRONT, V.HUB], status="approved", payment="pix", start=ntz(PERIOD[0]), end=ntz(PERIOD[1]))
+    found = filters.transactions(
+        rows,
+        type="income",
+        sources=[V.STOREFRONT, V.HUB],
+        status="approved",
+        payment="pix",
+        start=ntz(PERIOD[0]),
+        end=ntz(PERIOD[1]),
+    )
     return paging.page(found, paging.orders_order(), 5, 5).select("order_key", "source", "occurred_at", "total")
 
 
-@query("WITH m AS (SELECT occurred_at, 'order' AS kind, order_key AS key FROM orders_fx UNION ALL SELECT occurred_at, 'entry', CAST(id AS VARCHAR) FROM entries_fx) SELECT kind, key, (SELECT count(*) FROM m) AS total FROM m ORDER BY occurred_at DESC, kind, key LIMIT 25 OFFSET 50")
+@query(
+    """WITH m AS (SELECT occurred_at, 'order' AS kind, order_key AS key FROM orders_fx UNION ALL SELECT occurred_at, 'entry',
+        CAST(id AS VARCHAR) FROM entries_fx) SELECT kind, key, (SELECT count(*) FROM m) AS total FROM m ORDER BY occurred_at DESC, kind, key
+        LIMIT 25 OFFSET 50"""
+)
 def top2_merged_page(t: Tables) -> DataFrame:
-    both = t.orders_fx.select("occurred_at", F.lit("order").alias("kind"), F.col("order_key").alias("key")).unionByName(t.entries_fx.select("occurred_at", F.lit("entry").alias("kind"), F.col("id").cast("string").alias("key")))
+    both = t.orders_fx.select("occurred_at", F.lit("order").alias("kind"), F.col("order_key").alias("key")).unionByName(
+        t.entries_fx.select("occurred_at", F.lit("entry").alias("kind"), F.col("id").cast("string").alias("key"))
+    )
     return paging.page(both, [F.desc("occurred_at"), F.col("kind"), F.col("key")], 25, 50).select("kind", "key", "total")
 
 
-@query("SELECT order_key FROM orders_fx WHERE type = 'income' AND source IN ('shopify', 'anymarket') AND lower(marketplace) = 'machinery' ORDER BY occurred_at DESC, source, order_key LIMIT 50")
+@query(
+    """SELECT order_key FROM orders_fx WHERE type = 'income' AND source IN ('shopify', 'anymarket') AND lower(marketplace) = 'machinery'
+        ORDER BY occurred_at DESC, source, order_key LIMIT 50"""
+)
 def top3_marketplace_page(t: Tables) -> DataFrame:
     rows = filters.transactions(t.orders_fx, type="income", sources=[V.STOREFRONT, V.HUB], marketplace="machinery")
     return paging.page(rows, paging.orders_order(), 50).select("order_key")
@@ -619,7 +944,10 @@ def top4_entries_page(t: Tables) -> DataFrame:
     return paging.page(t.entries_fx, [F.desc("occurred_at"), F.desc("id")], 25, 25).select("id")
 
 
-@query("SELECT external_order_id, delta_cents FROM divergences_fx WHERE status IN ('pendente', 'persistente') ORDER BY abs(delta_cents) DESC, external_order_id LIMIT 1000")
+@query(
+    """SELECT external_order_id, delta_cents FROM divergences_fx WHERE status IN ('pendente', 'persistente') ORDER BY abs(delta_cents) DESC,
+        external_order_id LIMIT 1000"""
+)
 def top5_open_divergences(t: Tables) -> DataFrame:
     return paging.open_by_size(t.divergences_fx, V.OPEN_STATES, 1000).select("external_order_id", "delta_cents")
 
@@ -627,12 +955,18 @@ def top5_open_divergences(t: Tables) -> DataFrame:
 DUE_SQL = "divergences_fx WHERE status IN ('pendente', 'persistente') AND attempts < 5 AND next_attempt_at <= TIMESTAMP '1999-01-01'"
 
 
-@query(f"SELECT external_order_id, (SELECT count(*) FROM {DUE_SQL}) AS eligible FROM {DUE_SQL} ORDER BY abs(delta_cents) DESC, external_order_id LIMIT 200")
+@query(
+    f"""SELECT external_order_id, (SELECT count(*) FROM {DUE_SQL}) AS eligible FROM {DUE_SQL} ORDER BY abs(delta_cents) DESC,
+        external_order_id LIMIT 200"""
+)
 def top6_retry_queue(t: Tables) -> DataFrame:
     return paging.retry_queue(t.divergences_fx, V.OPEN_STATES, ntz(datetime(1999, 1, 1)), 5, 200).select("external_order_id", "eligible")
 
 
-@query("SELECT external_order_id, attempts FROM divergences_fx WHERE next_attempt_at <= TIMESTAMP '1999-01-01' ORDER BY attempts DESC, external_order_id LIMIT 300")
+@query(
+    """SELECT external_order_id, attempts FROM divergences_fx WHERE next_attempt_at <= TIMESTAMP '1999-01-01' ORDER BY attempts DESC,
+        external_order_id LIMIT 300"""
+)
 def top7_pending_changes(t: Tables) -> DataFrame:
     due = t.divergences_fx.where(F.col("next_attempt_at") <= ntz(datetime(1999, 1, 1)))
     return due.orderBy(F.desc("attempts"), "external_order_id").limit(300).select("external_order_id", "attempts")
@@ -645,30 +979,48 @@ def top8_incremental_batch(t: Tables) -> DataFrame:
 
 @query("SELECT id, received_at FROM raw_events_fx WHERE source = 'shopify' AND status = 'paid' ORDER BY received_at DESC, id DESC LIMIT 40")
 def top9_notifications_page(t: Tables) -> DataFrame:
-    return paging.page(t.raw_events_fx.where("source = 'shopify' and status = 'paid'"), [F.desc("received_at"), F.desc("id")], 40).select("id", "received_at")
+    return paging.page(
+        t.raw_events_fx.where("source = 'shopify' and status = 'paid'"),
+        [F.desc("received_at"), F.desc("id")],
+        40,
+    ).select("id", "received_at")
 
 
-@query("SELECT order_key FROM orders_fx WHERE payment_method_raw LIKE 'Appmax%' AND (lower(marketplace) LIKE '%furn%' OR lower(order_key) LIKE '%furn%') ORDER BY occurred_at DESC, order_key LIMIT 50")
+@query(
+    """SELECT order_key FROM orders_fx WHERE payment_method_raw LIKE 'Appmax%' AND (lower(marketplace) LIKE '%furn%'
+        OR lower(order_key) LIKE '%furn%') ORDER BY occurred_at DESC, order_key LIMIT 50"""
+)
 def top10_entries_legacy_page(t: Tables) -> DataFrame:
     found = F.lower("marketplace").contains("furn") | F.lower("order_key").contains("furn")
     rows = t.orders_fx.where(S.names_method(F.col("payment_method_raw"), "credit_card") & found)
     return paging.page(rows, [F.desc("occurred_at"), F.col("order_key")], 50).select("order_key")
 
 
-@query("SELECT job_name, id, nth FROM (SELECT job_name, id, row_number() OVER (PARTITION BY job_name ORDER BY started_at DESC, id DESC) AS nth FROM job_runs_fx) WHERE nth <= 20")
+@query(
+    """SELECT job_name, id, nth FROM (SELECT job_name, id, row_number() OVER (PARTITION BY job_name ORDER BY started_at DESC,
+        id DESC) AS nth FROM job_runs_fx) WHERE nth <= 20"""
+)
 def top11_latest_runs_per_job(t: Tables) -> DataFrame:
     return paging.newest_per_job(t.job_runs_fx, F.lit(8)).select("job_name", "id", "nth")
 
 
-@query(f"WITH {UNIFIED_SQL} SELECT source_bucket, type, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS total_cents FROM u GROUP BY 1, 2")
+@query(
+    f"WITH {UNIFIED_SQL} SELECT source_bucket, type, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS total_cents FROM u GROUP BY 1, 2"
+)
 def set1_unified_read_model(t: Tables) -> DataFrame:
     return all_rows(t).groupBy("source_bucket", "type").agg(F.count("*").alias("n"), A.total("amount_cents").alias("total_cents"))
 
 
-@query(f"WITH {RESOLVED_SQL} SELECT external_order_id FROM orders_fx WHERE {IN_PERIOD} UNION SELECT o.external_order_id FROM orders_fx o JOIN resolved r ON r.external_order_id = o.external_order_id WHERE r.resolved_at > o.materialized_at")
+@query(
+    f"""WITH {RESOLVED_SQL} SELECT external_order_id FROM orders_fx WHERE {IN_PERIOD} UNION SELECT o.external_order_id FROM orders_fx o
+        JOIN resolved r ON r.external_order_id = o.external_order_id WHERE r.resolved_at > o.materialized_at"""
+)
 def set2_candidate_union(t: Tables) -> DataFrame:
     inside = filters.transactions(t.orders_fx, start=ntz(PERIOD[0]), end=ntz(PERIOD[1])).select("external_order_id")
-    stale = t.orders_fx.join(resolved(t).select("external_order_id", "resolved_at"), "external_order_id").where("resolved_at > materialized_at").select("external_order_id")
+    stale = t.orders_fx.join(
+        resolved(t).select("external_order_id", "resolved_at"),
+        "external_order_id",
+    ).where("resolved_at > materialized_at").select("external_order_id")
     return inside.union(stale).distinct()
 
 
@@ -679,10 +1031,17 @@ def set3_keys_to_delete(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT source, external_order_id AS order_key, true AS is_external FROM raw_events_fx")
 def set4_distinct_candidates(t: Tables) -> DataFrame:
-    return t.raw_events_fx.select("source", dedup.order_key().alias("order_key"), F.col("external_order_id").isNotNull().alias("is_external")).distinct()
+    return t.raw_events_fx.select(
+        "source",
+        dedup.order_key().alias("order_key"),
+        F.col("external_order_id").isNotNull().alias("is_external"),
+    ).distinct()
 
 
-@query(f"SELECT external_order_id FROM tenders_fx UNION SELECT external_order_id FROM orders_fx WHERE status = 'approved' UNION SELECT external_order_id FROM orders_fx WHERE {IN_PERIOD}")
+@query(
+    f"""SELECT external_order_id FROM tenders_fx UNION SELECT external_order_id FROM orders_fx WHERE status = 'approved' UNION
+        SELECT external_order_id FROM orders_fx WHERE {IN_PERIOD}"""
+)
 def set5_candidate_order_ids(t: Tables) -> DataFrame:
     created = filters.transactions(t.orders_fx, start=ntz(PERIOD[0]), end=ntz(PERIOD[1]))
     ids = [x.select("external_order_id") for x in (t.tenders_fx, t.orders_fx.where("status = 'approved'"), created)]
@@ -692,7 +1051,8 @@ def set5_candidate_order_ids(t: Tables) -> DataFrame:
 # ---- cash flow
 
 
-CF1_SQL = f"{UNIFIED_SQL}, s AS (SELECT {TAGGED_SQL} AS period, source_bucket, payment_method, {SUMMARY_SQL}, {TAX_FEE_SQL} FROM u WHERE {BOTH_PERIODS} GROUP BY 1, 2, 3)"
+CF1_SQL = f"""{UNIFIED_SQL}, s AS (SELECT {TAGGED_SQL} AS period, source_bucket, payment_method, {SUMMARY_SQL}, {TAX_FEE_SQL} FROM u
+    WHERE {BOTH_PERIODS} GROUP BY 1, 2, 3)"""
 
 
 @query(f"WITH {CF1_SQL} SELECT * FROM s")
@@ -700,7 +1060,9 @@ def cf1_cash_flow_summary(t: Tables) -> DataFrame:
     return cashflow.summary(all_rows(t), *PERIOD, floor=FLOOR)
 
 
-@query(f"""WITH {CF1_SQL}, b AS (SELECT source_bucket, CAST(sum(CASE period WHEN 'current' THEN income_cents ELSE 0 END) AS BIGINT) AS current_cents, CAST(sum(CASE period WHEN 'previous' THEN income_cents ELSE 0 END) AS BIGINT) AS previous_cents FROM s GROUP BY 1)
+@query(f"""WITH {CF1_SQL}, b AS (SELECT source_bucket, CAST(sum(CASE period WHEN 'current' THEN income_cents
+    ELSE 0 END) AS BIGINT) AS current_cents, CAST(sum(CASE period WHEN 'previous' THEN income_cents ELSE 0 END) AS BIGINT) AS previous_cents
+    FROM s GROUP BY 1)
     SELECT *, round((current_cents - previous_cents) * 100.0 / nullif(abs(previous_cents), 0), 6) AS delta_percent FROM b""")
 def cf1_by_source(t: Tables) -> DataFrame:
     return cashflow.by_source(cashflow.summary(all_rows(t), *PERIOD, floor=FLOOR)).withColumn("delta_percent", F.round("delta_percent", 6))
@@ -715,12 +1077,17 @@ def of_period_sql(period: str, column: str) -> str:
 
 
 @query(f"""WITH {CF1_SQL}, c AS (SELECT {', '.join(of_period_sql(p, c) for p in ('current', 'previous') for c in COMPARED)} FROM s)
-    SELECT *, round((current_income_cents - previous_income_cents) * 100.0 / abs(previous_income_cents), 6) AS income_delta_percent FROM c""")
+    SELECT *, round((current_income_cents - previous_income_cents) * 100.0 / abs(previous_income_cents), 6) AS income_delta_percent
+    FROM c""")
 def cf1_periods_compared(t: Tables) -> DataFrame:
-    return cashflow.compared(cashflow.summary(all_rows(t), *PERIOD, floor=FLOOR)).withColumn("income_delta_percent", F.round("income_delta_percent", 6))
+    return cashflow.compared(cashflow.summary(all_rows(t), *PERIOD, floor=FLOOR)).withColumn(
+        "income_delta_percent",
+        F.round("income_delta_percent", 6),
+    )
 
 
-@query(f"""WITH {UNIFIED_SQL} SELECT {', '.join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS current_{c}" for c in ('income_cents', 'n'))}, CAST(NULL AS BIGINT) AS previous_income_cents
+@query(f"""WITH {UNIFIED_SQL} SELECT {', '.join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS current_{c}" for c in ('income_cents', 'n'))},
+    CAST(NULL AS BIGINT) AS previous_income_cents
     FROM (SELECT CASE WHEN type = 'income' THEN amount_cents ELSE 0 END AS income_cents, 1 AS n FROM u WHERE {IN_PERIOD})""")
 def cf1_uncovered_before(t: Tables) -> DataFrame:
     """The floor of the data lies inside the period before, so that it is not compared."""
@@ -728,34 +1095,49 @@ def cf1_uncovered_before(t: Tables) -> DataFrame:
     return found.select("current_income_cents", "current_n", "previous_income_cents")
 
 
-@query(f"""SELECT {TAGGED_SQL} AS period, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents, CAST(sum(CASE WHEN type = 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, CAST(0 AS BIGINT) AS discount_cents, CAST(0 AS BIGINT) AS shipping_cents, CAST(0 AS BIGINT) AS tax_fee_cents, count(*) AS n
+@query(f"""SELECT {TAGGED_SQL} AS period, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents,
+    CAST(sum(CASE WHEN type = 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, CAST(0 AS BIGINT) AS discount_cents,
+    CAST(0 AS BIGINT) AS shipping_cents, CAST(0 AS BIGINT) AS tax_fee_cents, count(*) AS n
     FROM entries_fx WHERE {LIVE} AND {BOTH_PERIODS} GROUP BY 1""")
 def cf2_cash_flow_sql_path(t: Tables) -> DataFrame:
     return cashflow.period_totals(filters.entries(as_entry_rows(t)), *PERIOD)
 
 
-@query(f"WITH g AS ({AGG1_SQL}) SELECT upper(substr(source_bucket, 1, 1)) || lower(substr(source_bucket, 2)) AS label, source_bucket, CAST(sum(total_cents) AS BIGINT) AS gross_cents, CAST(sum(total_cents) AS BIGINT) AS net_cents FROM g GROUP BY 1, 2")
+@query(
+    f"""WITH g AS ({AGG1_SQL}) SELECT upper(substr(source_bucket, 1, 1)) || lower(substr(source_bucket, 2)) AS label, source_bucket,
+        CAST(sum(total_cents) AS BIGINT) AS gross_cents, CAST(sum(total_cents) AS BIGINT) AS net_cents FROM g GROUP BY 1, 2"""
+)
 def cf3_marketplace_net(t: Tables) -> DataFrame:
     return cashflow.marketplace_net(A.source_totals(grouped_orders(t))).orderBy(F.desc("gross_cents"), "source_bucket")
 
 
-@query(f"""WITH {SPLIT_SQL}, w AS (SELECT * FROM split WHERE processed_at >= TIMESTAMP '1998-01-01' AND processed_at < TIMESTAMP '1998-01-11'), c AS (SELECT count(DISTINCT {local('processed_at')}) >= 10 AS covered FROM w)
-    SELECT {GATEWAY_METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS gross_cents, CAST(sum(transaction_count) AS BIGINT) AS n, 'payments' AS basis FROM w, c WHERE covered GROUP BY 1
-    UNION ALL SELECT {METHOD_SQL}, CAST(sum(amount_cents) AS BIGINT), count(*), 'orders' FROM orders_fx, c WHERE NOT covered AND source = 'shopify' AND occurred_at >= TIMESTAMP '1998-01-01' AND occurred_at < TIMESTAMP '1998-01-11' GROUP BY 1""")
+@query(f"""WITH {SPLIT_SQL}, w AS (SELECT * FROM split WHERE processed_at >= TIMESTAMP '1998-01-01'
+    AND processed_at < TIMESTAMP '1998-01-11'), c AS (SELECT count(DISTINCT {local('processed_at')}) >= 10 AS covered FROM w)
+    SELECT {GATEWAY_METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS gross_cents,
+    CAST(sum(transaction_count) AS BIGINT) AS n, 'payments' AS basis FROM w, c WHERE covered GROUP BY 1
+    UNION ALL SELECT {METHOD_SQL}, CAST(sum(amount_cents) AS BIGINT), count(*), 'orders' FROM orders_fx, c
+    WHERE NOT covered AND source = 'shopify' AND occurred_at >= TIMESTAMP '1998-01-01' AND occurred_at < TIMESTAMP '1998-01-11'
+    GROUP BY 1""")
 def cf4_payments_basis_swap(t: Tables) -> DataFrame:
     return cashflow.payments_basis(as_order_rows(t), split(t), datetime(1998, 1, 1), datetime(1998, 1, 11), ZONE)
 
 
-@query(f"""SELECT {TAGGED_SQL} AS period, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents, CAST(sum(CASE WHEN type = 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, CAST(sum(CASE type WHEN 'income' THEN amount_cents WHEN 'expense' THEN -amount_cents ELSE 0 END) AS BIGINT) AS balance_cents,
+@query(f"""SELECT {TAGGED_SQL} AS period, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents,
+    CAST(sum(CASE WHEN type = 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, CAST(sum(CASE type
+    WHEN 'income' THEN amount_cents WHEN 'expense' THEN -amount_cents ELSE 0 END) AS BIGINT) AS balance_cents,
     count(CASE WHEN type = 'transfer' THEN 1 END) AS transfers FROM entries_fx WHERE {LIVE} AND {BOTH_PERIODS} GROUP BY 1""")
 def cf5_entries_summary(t: Tables) -> DataFrame:
     return cashflow.entries_summary(t.entries_fx, *PERIOD)
 
 
-ENTRIES_SQL = "CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount_cents END), 0) AS BIGINT) AS current_income_cents, CAST(coalesce(sum(CASE WHEN type = 'expense' THEN amount_cents END), 0) AS BIGINT) AS current_expense_cents, CAST(coalesce(sum(CASE type WHEN 'income' THEN amount_cents WHEN 'expense' THEN -amount_cents END), 0) AS BIGINT) AS current_balance_cents, count(CASE WHEN type = 'transfer' THEN 1 END) AS current_transfers"
+ENTRIES_SQL = """CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount_cents END), 0) AS BIGINT) AS current_income_cents,
+    CAST(coalesce(sum(CASE WHEN type = 'expense' THEN amount_cents END), 0) AS BIGINT) AS current_expense_cents, CAST(coalesce(sum(CASE type
+    WHEN 'income' THEN amount_cents WHEN 'expense' THEN -amount_cents END), 0) AS BIGINT) AS current_balance_cents, count(CASE
+    WHEN type = 'transfer' THEN 1 END) AS current_transfers"""
 
 
-@query(f"""SELECT {ENTRIES_SQL}, {', '.join(f'CAST(NULL AS BIGINT) AS previous_{c}' for c in ('income_cents', 'expense_cents', 'balance_cents', 'transfers'))}
+@query(f"""SELECT {ENTRIES_SQL},
+    {', '.join(f'CAST(NULL AS BIGINT) AS previous_{c}' for c in ('income_cents', 'expense_cents', 'balance_cents', 'transfers'))}
     FROM entries_fx WHERE {LIVE} AND occurred_at >= TIMESTAMP '1995-01-01' AND occurred_at < TIMESTAMP '1997-01-01'""")
 def cf5_entries_compared(t: Tables) -> DataFrame:
     """The first two years of the data against those before them, which have no entry."""
@@ -766,11 +1148,14 @@ def money_sql(column: str) -> str:
     return f"CAST(coalesce({column}, 0) // 100 AS VARCHAR) || '.' || lpad(CAST(coalesce({column}, 0) % 100 AS VARCHAR), 2, '0')"
 
 
-EXPORT_SQL = f"""export AS (SELECT CASE WHEN CAST(order_key AS BIGINT) % 11 = 0 THEN source WHEN CAST(order_key AS BIGINT) % 12 = 0 THEN 'Loja "A"; B' ELSE marketplace END AS marketplace,
+EXPORT_SQL = f"""export AS (SELECT CASE WHEN CAST(order_key AS BIGINT) % 11 = 0 THEN source
+    WHEN CAST(order_key AS BIGINT) % 12 = 0 THEN 'Loja "A"; B' ELSE marketplace END AS marketplace,
     CASE CAST(order_key AS BIGINT) % 6 WHEN 0 THEN '—' ELSE '#' || order_key END AS order_number, strftime(occurred_at, '%d/%m/%Y') AS date,
-    CASE CAST(order_key AS BIGINT) % 10 WHEN 0 THEN CASE {METHOD_SQL} WHEN 'pix' THEN 'Pix' WHEN 'credit_card' THEN 'Cartão de crédito' WHEN 'boleto' THEN 'Boleto'
+    CASE CAST(order_key AS BIGINT) % 10 WHEN 0 THEN CASE {METHOD_SQL} WHEN 'pix' THEN 'Pix' WHEN 'credit_card' THEN 'Cartão de crédito'
+    WHEN 'boleto' THEN 'Boleto'
         WHEN 'store_credit' THEN 'Crédito em loja' ELSE 'Outro' END ELSE payment_method_raw END AS payment_method,
-    {money_sql('shipping_cents')} AS shipping, {money_sql('discount_cents')} AS discounts, {money_sql('coalesce(tax_cents, 0) + coalesce(fee_cents, 0)')} AS fees, {money_sql('amount_cents')} AS amount
+    {money_sql('shipping_cents')} AS shipping, {money_sql('discount_cents')} AS discounts,
+    {money_sql('coalesce(tax_cents, 0) + coalesce(fee_cents, 0)')} AS fees, {money_sql('amount_cents')} AS amount
     FROM orders_fx WHERE {IN_PERIOD})"""
 
 
@@ -795,7 +1180,8 @@ def cf6_export_orders(t: Tables) -> DataFrame:
     return exported(t)
 
 
-@query(f"""WITH {EXPORT_SQL} SELECT CASE WHEN contains(marketplace, ';') THEN '"' || replace(marketplace, '"', '""') || '"' ELSE marketplace END || ';' || order_number || ';' || date || ';' || payment_method
+@query(f"""WITH {EXPORT_SQL} SELECT CASE WHEN contains(marketplace, ';') THEN '"' || replace(marketplace, '"', '""') || '"'
+    ELSE marketplace END || ';' || order_number || ';' || date || ';' || payment_method
     || ';' || shipping || ';' || discounts || ';' || fees || ';' || amount AS line FROM export""")
 def snk1_export_orders_csv(t: Tables) -> DataFrame:
     return cashflow.export_lines(exported(t))
@@ -847,40 +1233,76 @@ def payload_events(t: Tables) -> DataFrame:
     )
     # An older event in the same state with less money, and a newer one that is not paid, of some orders.
     money_of = r'("(?:total|total_price|current_total_price)":")\d+'
-    older = last.where(last.key % 2 == 0).withColumns({"id": F.concat(F.lit("old-"), "external_order_id"), "payload_json": F.regexp_replace("payload_json", money_of, "$13"), "received_at": F.col("received_at") - F.expr("INTERVAL 10 DAYS"), "mirror_updated_at": F.col("mirror_updated_at") - F.expr("INTERVAL 10 DAYS")})
-    newer = last.where(last.key % 5 == 0).withColumns({"id": F.concat(F.lit("new-"), "external_order_id"), "payload_json": F.lit('{"financial_status": "pending", "total_price": "1.00"}'), "received_at": F.col("received_at") + F.expr("INTERVAL 1 DAY"), "mirror_updated_at": F.lit(None).cast("timestamp_ntz")})
+    older = last.where(last.key % 2 == 0).withColumns(
+        {
+            "id": F.concat(F.lit("old-"), "external_order_id"),
+            "payload_json": F.regexp_replace("payload_json", money_of, "$13"),
+            "received_at": F.col("received_at") - F.expr("INTERVAL 10 DAYS"),
+            "mirror_updated_at": F.col("mirror_updated_at") - F.expr("INTERVAL 10 DAYS"),
+        }
+    )
+    newer = last.where(last.key % 5 == 0).withColumns(
+        {
+            "id": F.concat(F.lit("new-"), "external_order_id"),
+            "payload_json": F.lit('{"financial_status": "pending", "total_price": "1.00"}'),
+            "received_at": F.col("received_at") + F.expr("INTERVAL 1 DAY"),
+            "mirror_updated_at": F.lit(None).cast("timestamp_ntz"),
+        }
+    )
     return last.unionByName(older).unionByName(newer).drop("key")
 
 
 def no_resolution(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([], "external_order_id string, gateway_raw string, processed_at timestamp_ntz, resolved_at timestamp_ntz")
+    return t.spark.createDataFrame(
+        [],
+        "external_order_id string, gateway_raw string, processed_at timestamp_ntz, resolved_at timestamp_ntz",
+    )
 
 
 @query(f"""SELECT external_order_id, coalesce(discount_cents, 0) AS discount_cents, coalesce(shipping_cents, 0) AS shipping_cents, status <> 'rejected' AS paid FROM orders_fx WHERE source = 'shopify'""")
 def src5_read_order_payload(t: Tables) -> DataFrame:
     p = F.col("p")
     rows = orders.parsed(payload_events(t).where((F.col("source") == V.STOREFRONT) & F.col("id").startswith("ev-")))
-    return rows.select("external_order_id", S.discount_cents(p).alias("discount_cents"), S.shipping_cents(p).alias("shipping_cents"), "paid")
+    return rows.select(
+        "external_order_id",
+        S.discount_cents(p).alias("discount_cents"),
+        S.shipping_cents(p).alias("shipping_cents"),
+        "paid",
+    )
 
 
 #: How far an order is mapped with the resolution of its payment, and without.
-RESOLUTION_SQL = "resolution AS (SELECT external_order_id AS resolved_order, gateway_raw AS resolved_raw, processed_at AS resolved_for, processed_at + INTERVAL '1' DAY AS resolved_at FROM dominant)"
+RESOLUTION_SQL = """resolution AS (SELECT external_order_id AS resolved_order, gateway_raw AS resolved_raw, processed_at AS resolved_for,
+    processed_at + INTERVAL '1' DAY AS resolved_at FROM dominant)"""
 
 
 def mapped_sql(name: str, rows: str, is_resolved: str) -> str:
     """SQL of mapped orders: ``rows`` are orders, of which those under ``is_resolved`` take gateway and date of their resolution."""
     raw = f"CASE WHEN {is_resolved} THEN CASE resolved_raw WHEN 'shopify_store_credit' THEN 'Crédito em loja' ELSE resolved_raw END WHEN payment_method_raw = 'shopify_store_credit' AND source = 'shopify' THEN 'Crédito em loja' ELSE payment_method_raw END"
-    return f"""{name} AS (SELECT *, 'Pedido ' || order_number AS description, lower('Pedido ' || order_number || ' ' || external_id || ' ' || order_number || ' ' || marketplace) AS search_text,
-        CASE payment_method_raw WHEN 'pix' THEN 'pix' WHEN 'appmax' THEN 'credit_card' WHEN 'Crédito em loja' THEN 'store_credit' ELSE {METHOD_SQL} END AS payment_method_normalized,
-        lower(replace(marketplace, ' ', '_')) AS marketplace_key, source AS source_key, marketplace AS source_bucket, greatest(0, amount_cents - shipping_cents - discount_cents - tax_cents - fee_cents) AS liquid_cents
-    FROM (SELECT source, order_key, 'ev-' || order_key AS mirror_row_id, external_order_id AS external_id, order_key AS order_number, amount_cents, coalesce(shipping_cents, 0) AS shipping_cents, coalesce(discount_cents, 0) AS discount_cents,
-        CASE source WHEN 'shopify' THEN coalesce(tax_cents, 0) ELSE 0 END AS tax_cents, CASE source WHEN 'anymarket' THEN 150 ELSE 0 END AS fee_cents, CASE WHEN source = 'shopify' THEN 'Shopify' ELSE upper(substr(marketplace, 1, 1)) || lower(substr(marketplace, 2)) END AS marketplace,
-        {raw} AS payment_method_raw, CASE CAST(order_key AS BIGINT) % 13 WHEN 0 THEN 'rejected' ELSE 'approved' END AS status, CASE WHEN {is_resolved} THEN resolved_for ELSE CAST(occurred_at AS TIMESTAMP) END AS occurred_at, CAST(occurred_at AS TIMESTAMP) AS received_at,
-        'income' AS type, 'BRL' AS currency, CASE source WHEN 'shopify' THEN 'webhook' ELSE 'integration' END AS tx_source, CAST(NULL AS TIMESTAMP) AS source_updated_at FROM {rows} LEFT JOIN resolution ON resolved_order = external_order_id))"""
+    return f"""{name} AS (SELECT *, 'Pedido ' || order_number AS description, lower('Pedido ' || order_number || ' ' || external_id || ' '
+        || order_number || ' ' || marketplace) AS search_text,
+        CASE payment_method_raw WHEN 'pix' THEN 'pix' WHEN 'appmax' THEN 'credit_card' WHEN 'Crédito em loja' THEN 'store_credit'
+        ELSE {METHOD_SQL} END AS payment_method_normalized,
+        lower(replace(marketplace, ' ', '_')) AS marketplace_key, source AS source_key, marketplace AS source_bucket, greatest(0,
+        amount_cents - shipping_cents - discount_cents - tax_cents - fee_cents) AS liquid_cents
+    FROM (SELECT source, order_key, 'ev-' || order_key AS mirror_row_id, external_order_id AS external_id, order_key AS order_number,
+    amount_cents, coalesce(shipping_cents, 0) AS shipping_cents, coalesce(discount_cents, 0) AS discount_cents,
+        CASE source WHEN 'shopify' THEN coalesce(tax_cents, 0) ELSE 0 END AS tax_cents, CASE source WHEN 'anymarket' THEN 150
+        ELSE 0 END AS fee_cents, CASE WHEN source = 'shopify' THEN 'Shopify' ELSE upper(substr(marketplace, 1, 1))
+        || lower(substr(marketplace, 2)) END AS marketplace,
+        {raw} AS payment_method_raw, CASE CAST(order_key AS BIGINT) % 13 WHEN 0 THEN 'rejected' ELSE 'approved' END AS status, CASE
+        WHEN {is_resolved} THEN resolved_for ELSE CAST(occurred_at AS TIMESTAMP) END AS occurred_at,
+        CAST(occurred_at AS TIMESTAMP) AS received_at,
+        'income' AS type, 'BRL' AS currency, CASE source WHEN 'shopify' THEN 'webhook' ELSE 'integration' END AS tx_source,
+        CAST(NULL AS TIMESTAMP) AS source_updated_at FROM {rows} LEFT JOIN resolution ON resolved_order = external_order_id))"""
 
 
 RESOLVED_NOW = "source = 'shopify' AND resolved_raw IS NOT NULL"
-MAPPED_SQL = f"{DOMINANT_SQL}, {RESOLUTION_SQL}, " + mapped_sql("mapped", "(SELECT * FROM orders_fx WHERE status <> 'rejected')", RESOLVED_NOW)
+MAPPED_SQL = f"{DOMINANT_SQL}, {RESOLUTION_SQL}, " + mapped_sql(
+    "mapped",
+    "(SELECT * FROM orders_fx WHERE status <> 'rejected')",
+    RESOLVED_NOW,
+)
 HASHED_SQL = " || chr(31) || ".join(
     "strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%gZ')" if c == "occurred_at_text" else f"coalesce(CAST({c} AS VARCHAR), '')" for c in orders.HASHED
 )
@@ -895,18 +1317,27 @@ def mapped_events(events: DataFrame, resolutions: DataFrame) -> DataFrame:
     return joins.events_with_resolution(orders.newest_events(events), resolutions)
 
 
-@query(f"WITH {MAPPED_SQL} SELECT {', '.join(c for c in orders.ORDER_COLUMNS if c != 'content_hash')}, sha256({HASHED_SQL}) AS content_hash FROM mapped")
+@query(
+    f"""WITH {MAPPED_SQL} SELECT {', '.join(c for c in orders.ORDER_COLUMNS if c != 'content_hash')}, sha256({HASHED_SQL}) AS content_hash
+        FROM mapped"""
+)
 def mat1_map_orders(t: Tables) -> DataFrame:
     rows = orders.map_orders(mapped_events(landed(t), resolved(t)))
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("occurred_at", "received_at", "source_updated_at")})
 
 
-@query("""SELECT CASE WHEN CAST(order_key AS BIGINT) % 17 = 1 THEN 'sem_payload' WHEN CAST(order_key AS BIGINT) % 17 = 3 THEN 'sem_source' WHEN CAST(order_key AS BIGINT) % 17 = 2 THEN 'valor_nao_positivo' ELSE 'nao_pago' END AS reason, count(*) AS n
+@query("""SELECT CASE WHEN CAST(order_key AS BIGINT) % 17 = 1 THEN 'sem_payload' WHEN CAST(order_key AS BIGINT) % 17 = 3 THEN 'sem_source'
+    WHEN CAST(order_key AS BIGINT) % 17 = 2 THEN 'valor_nao_positivo' ELSE 'nao_pago' END AS reason, count(*) AS n
     FROM orders_fx WHERE status = 'rejected' OR CAST(order_key AS BIGINT) % 17 IN (1, 2, 3) GROUP BY 1""")
 def agg17_rejections(t: Tables) -> DataFrame:
     k = F.col("external_order_id").cast("long") % 17
     free = F.lit('{"financial_status": "paid", "paymentStatus": "paid", "total": "0", "total_price": "0"}')
-    events = payload_events(t).withColumns({"payload_json": F.when(k == 1, None).when(k == 2, free).otherwise(F.col("payload_json")), "source": F.when(k != 3, F.col("source"))})
+    events = payload_events(t).withColumns(
+        {
+            "payload_json": F.when(k == 1, None).when(k == 2, free).otherwise(F.col("payload_json")),
+            "source": F.when(k != 3, F.col("source")),
+        }
+    )
     return orders.rejections(joins.events_with_resolution(orders.newest_events(events), resolved(t)))
 
 
@@ -915,27 +1346,43 @@ def half_current(t: Tables, events: DataFrame) -> DataFrame:
     k = F.col("order_key").cast("long") % 10
     early = resolved(t).where(F.col("external_order_id").cast("long") % 10 != 3)
     rows = orders._mapped(mapped_events(events, early)).where((k != 0) & (F.col("paid") | (k == 2)))
-    rows = rows.withColumns({"content_hash": F.when(k == 1, F.lit("old")).otherwise(F.col("content_hash")), "amount_cents": F.col("amount_cents") - F.when(k == 1, 1).otherwise(0)})
-    return written(rows.select(*orders.ORDER_COLUMNS, (F.col("received_at") + F.expr("INTERVAL 3 DAYS")).alias("materialized_at")), "orders")
+    rows = rows.withColumns(
+        {
+            "content_hash": F.when(k == 1, F.lit("old")).otherwise(F.col("content_hash")),
+            "amount_cents": F.col("amount_cents") - F.when(k == 1, 1).otherwise(0),
+        }
+    )
+    return written(
+        rows.select(*orders.ORDER_COLUMNS, (F.col("received_at") + F.expr("INTERVAL 3 DAYS")).alias("materialized_at")),
+        "orders",
+    )
 
 
 def touched_sql(first: str, end: str) -> str:
     """SQL of every order with what ``half_current`` holds of it and whether a materialisation touches it: days of -03:00, two days of grace, half-open."""
     inside = lambda at: f"({at} >= TIMESTAMP '{first}' - INTERVAL '45' HOUR AND {at} < TIMESTAMP '{end}' + INTERVAL '51' HOUR)"
-    return f"""{DOMINANT_SQL}, {RESOLUTION_SQL}, state AS (SELECT *, CAST(order_key AS BIGINT) % 10 AS k, CAST(order_key AS BIGINT) % 10 <> 0 AND (status <> 'rejected' OR CAST(order_key AS BIGINT) % 10 = 2) AS stored,
-        {inside('occurred_at')} OR (CAST(order_key AS BIGINT) % 2 = 0 AND {inside("occurred_at - INTERVAL '10' DAY")}) OR (CAST(order_key AS BIGINT) % 5 = 0 AND {inside("occurred_at + INTERVAL '1' DAY")}) AS inside,
-        source = 'shopify' AND coalesce(resolved_at > materialized_at, false) AS late, source = 'shopify' AND resolved_raw IS NOT NULL AS has_resolution FROM orders_fx LEFT JOIN resolution ON resolved_order = external_order_id),
-    changes AS (SELECT *, CASE WHEN NOT stored AND status <> 'rejected' AND inside THEN 'inserted' WHEN NOT stored THEN NULL WHEN NOT (inside OR late) THEN 'unchanged' WHEN status = 'rejected' THEN 'deleted'
+    return f"""{DOMINANT_SQL}, {RESOLUTION_SQL}, state AS (SELECT *, CAST(order_key AS BIGINT) % 10 AS k,
+        CAST(order_key AS BIGINT) % 10 <> 0 AND (status <> 'rejected' OR CAST(order_key AS BIGINT) % 10 = 2) AS stored,
+        {inside('occurred_at')} OR (CAST(order_key AS BIGINT) % 2 = 0 AND {inside("occurred_at - INTERVAL '10' DAY")}) OR (CAST(order_key
+        AS BIGINT) % 5 = 0 AND {inside("occurred_at + INTERVAL '1' DAY")}) AS inside,
+        source = 'shopify' AND coalesce(resolved_at > materialized_at, false) AS late,
+        source = 'shopify' AND resolved_raw IS NOT NULL AS has_resolution FROM orders_fx LEFT
+        JOIN resolution ON resolved_order = external_order_id),
+    changes AS (SELECT *, CASE WHEN NOT stored AND status <> 'rejected' AND inside THEN 'inserted' WHEN NOT stored THEN NULL
+    WHEN NOT (inside OR late) THEN 'unchanged' WHEN status = 'rejected' THEN 'deleted'
         WHEN k = 1 OR (k = 3 AND has_resolution) THEN 'updated' ELSE 'unchanged' END AS change FROM state)"""
 
 
 @query(f"WITH {touched_sql('1998-01-01', '1998-02-01')} SELECT change, count(*) AS n FROM changes WHERE change IS NOT NULL GROUP BY 1")
 def mat3_materialize_range(t: Tables) -> DataFrame:
     events = landed(t)
-    return orders.change_counts(orders.materialize(half_current(t, events), events, resolved(t), date(1998, 1, 1), date(1998, 1, 31), ORDERS_AS_OF))
+    return orders.change_counts(
+        orders.materialize(half_current(t, events), events, resolved(t), date(1998, 1, 1), date(1998, 1, 31), ORDERS_AS_OF)
+    )
 
 
-@query(f"""WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key, change, CASE WHEN change IN ('inserted', 'updated') THEN TIMESTAMP '2001-08-02' ELSE CAST(occurred_at AS TIMESTAMP) + INTERVAL '3' DAY END AS materialized_at
+@query(f"""WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key, change, CASE WHEN change IN ('inserted',
+    'updated') THEN TIMESTAMP '2001-08-02' ELSE CAST(occurred_at AS TIMESTAMP) + INTERVAL '3' DAY END AS materialized_at
     FROM changes WHERE change IS NOT NULL""")
 def mat2_materialize_day(t: Tables) -> DataFrame:
     events = landed(t)
@@ -966,7 +1413,10 @@ PARITY_FIELDS = "external_id marketplace order_number payment_method_raw payment
 
 
 def parity_side_sql(name: str, rows: str) -> str:
-    cases = " UNION ALL ".join(f"SELECT '{case}' AS filter_case, * FROM {rows} WHERE {IN_PERIOD} AND {test}" for case, _, test in PARITY_CASES)
+    cases = " UNION ALL ".join(
+        f"SELECT '{case}' AS filter_case, * FROM {rows} WHERE {IN_PERIOD} AND {test}"
+        for case, _, test in PARITY_CASES
+    )
     return f"{name} AS ({cases})"
 
 
@@ -974,25 +1424,48 @@ STORED_SQL = f"""{touched_sql('1998-01-01', '1998-04-01')},
     {mapped_sql('live', "(SELECT * FROM orders_fx WHERE status <> 'rejected')", RESOLVED_NOW)},
     {mapped_sql('before', "(SELECT * FROM orders_fx WHERE CAST(order_key AS BIGINT) % 10 <> 0 AND (status <> 'rejected' OR CAST(order_key AS BIGINT) % 10 = 2))", "source = 'shopify' AND resolved_raw IS NOT NULL AND CAST(order_key AS BIGINT) % 10 <> 3")},
     stored_rows AS (SELECT l.* FROM live l JOIN changes c USING (source, order_key) WHERE c.change IN ('inserted', 'updated')
-        UNION ALL SELECT b.* REPLACE (b.amount_cents - CASE c.k WHEN 1 THEN 1 ELSE 0 END AS amount_cents) FROM before b JOIN changes c USING (source, order_key) WHERE c.change = 'unchanged')"""
+        UNION ALL SELECT b.* REPLACE (b.amount_cents - CASE c.k WHEN 1 THEN 1 ELSE 0 END AS amount_cents) FROM before b
+        JOIN changes c USING (source, order_key) WHERE c.change = 'unchanged')"""
 
 
 @query(f"""WITH {STORED_SQL}, {parity_side_sql('l', 'live')}, {parity_side_sql('r', 'stored_rows')}
-    SELECT filter_case, count(l.order_key) AS live_rows, count(r.order_key) AS stored_rows, count(CASE WHEN l.order_key IS NULL OR r.order_key IS NULL OR {' OR '.join(f'l.{c} IS DISTINCT FROM r.{c}' for c in PARITY_FIELDS)} THEN 1 END) AS differences
+    SELECT filter_case, count(l.order_key) AS live_rows, count(r.order_key) AS stored_rows, count(CASE
+    WHEN l.order_key IS NULL OR r.order_key IS NULL OR {' OR '.join(f'l.{c} IS DISTINCT FROM r.{c}' for c in PARITY_FIELDS)} THEN 1 END)
+    AS differences
     FROM l FULL JOIN r USING (filter_case, source, order_key) GROUP BY 1""")
 def cf7_read_model_parity(t: Tables) -> DataFrame:
     """Orders mapped from all events against the stored table, of which only a quarter is fresh, under nine filters."""
     events = landed(t)
-    stored = orders.materialize(half_current(t, events), events, resolved(t), date(1998, 1, 1), date(1998, 3, 31)).where("change <> 'deleted'")
-    return cashflow.parity(orders.map_orders(mapped_events(events, resolved(t))), stored, {name: test() for name, test, _ in PARITY_CASES}, PARITY_FIELDS, *PERIOD)
+    stored = orders.materialize(
+        half_current(t, events),
+        events,
+        resolved(t),
+        date(1998, 1, 1),
+        date(1998, 3, 31),
+    ).where("change <> 'deleted'")
+    return cashflow.parity(
+        orders.map_orders(mapped_events(events, resolved(t))),
+        stored,
+        {name: test() for name, test, _ in PARITY_CASES},
+        PARITY_FIELDS,
+        *PERIOD,
+    )
 
 
-@query(f"""WITH {MAPPED_SQL}, page AS (SELECT *, row_number() OVER (ORDER BY occurred_at DESC, source, order_key) AS nth FROM mapped WHERE {IN_PERIOD})
+@query(f"""WITH {MAPPED_SQL}, page AS (SELECT *, row_number() OVER (ORDER BY occurred_at DESC, source, order_key) AS nth FROM mapped
+    WHERE {IN_PERIOD})
     SELECT source, order_key, CAST(ceil(nth / 20) AS INT) AS page FROM page WHERE nth <= 40""")
 def cf7_parity_pages(t: Tables) -> DataFrame:
     """The first two pages of the period: no order on both, newest first."""
-    rows = filters.transactions(orders.map_orders(mapped_events(landed(t), resolved(t))), start=PERIOD[0], end=PERIOD[1]).select("source", "order_key", "occurred_at")
-    first, second = (paging.page(rows, paging.orders_order(), 20, 20 * (n - 1)).select("source", "order_key", F.lit(n).alias("page")) for n in (1, 2))
+    rows = filters.transactions(
+        orders.map_orders(mapped_events(landed(t), resolved(t))),
+        start=PERIOD[0],
+        end=PERIOD[1],
+    ).select("source", "order_key", "occurred_at")
+    first, second = (
+        paging.page(rows, paging.orders_order(), 20, 20 * (n - 1)).select("source", "order_key", F.lit(n).alias("page"))
+        for n in (1, 2)
+    )
     return first.unionByName(second)
 
 
@@ -1009,7 +1482,10 @@ def snk3_delete_orders(t: Tables) -> DataFrame:
     return state.delete_keys(t.orders_fx, t.orders_fx.where("status = 'rejected'"), ["source", "order_key"]).select("order_key")
 
 
-@query("SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 1 THEN TIMESTAMP '2024-02-01' ELSE mirror_updated_at END AS mirror_updated_at, CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'inserted' WHEN 1 THEN 'updated' ELSE 'unchanged' END AS change FROM raw_events_fx")
+@query(
+    """SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 1 THEN TIMESTAMP '2024-02-01' ELSE mirror_updated_at END AS mirror_updated_at,
+        CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'inserted' WHEN 1 THEN 'updated' ELSE 'unchanged' END AS change FROM raw_events_fx"""
+)
 def snk4_upsert_raw_events(t: Tables) -> DataFrame:
     rows = t.raw_events_fx.select("id", "event_type", "status", "total_cents", "mirror_updated_at")
     k = F.col("id").cast("long") % 4
@@ -1018,20 +1494,29 @@ def snk4_upsert_raw_events(t: Tables) -> DataFrame:
     return state.upsert_raw_events(old, fresh, ["event_type", "status", "total_cents"]).select("id", "mirror_updated_at", "change")
 
 
-@query(f"WITH {SPLIT_SQL} SELECT external_order_id, gateway_raw, CASE WHEN CAST(external_order_id AS BIGINT) % 2 = 0 THEN amount_cents + 1 ELSE amount_cents END AS amount_cents FROM split")
+@query(
+    f"""WITH {SPLIT_SQL} SELECT external_order_id, gateway_raw, CASE WHEN CAST(external_order_id AS BIGINT) % 2 = 0 THEN amount_cents + 1
+        ELSE amount_cents END AS amount_cents FROM split"""
+)
 def snk6_replace_gateway_split(t: Tables) -> DataFrame:
     ledger = split(t).select("external_order_id", "gateway_raw", "amount_cents")
     fresh = ledger.where(F.col("external_order_id").cast("long") % 2 == 0).withColumn("amount_cents", F.col("amount_cents") + 1)
     return state.replace_legs(ledger, fresh, ledger.select("external_order_id").where(F.col("external_order_id").cast("long") % 2 == 0))
 
 
-@query(f"WITH {DOMINANT_SQL} SELECT external_order_id, gateway_raw, total_amount_cents AS amount_cents FROM dominant WHERE dominant_amount_cents = total_amount_cents AND total_amount_cents > 0 AND CAST(external_order_id AS BIGINT) % 3 = 0")
+@query(
+    f"""WITH {DOMINANT_SQL} SELECT external_order_id, gateway_raw, total_amount_cents AS amount_cents FROM dominant
+        WHERE dominant_amount_cents = total_amount_cents AND total_amount_cents > 0 AND CAST(external_order_id AS BIGINT) % 3 = 0"""
+)
 def snk7_derive_split_from_resolution(t: Tables) -> DataFrame:
     ledger = split(t).where(F.col("external_order_id").cast("long") % 3 != 0)
     return payments.derived_legs(dominant(t), ledger).select("external_order_id", "gateway_raw", "amount_cents")
 
 
-@query("SELECT 'oms' AS source_system, table_name, record_id, count(*) AS n FROM (SELECT DISTINCT table_name, record_id FROM changes_fx WHERE record_id IS NOT NULL) GROUP BY 1, 2, 3")
+@query(
+    """SELECT 'oms' AS source_system, table_name, record_id, count(*) AS n FROM (SELECT DISTINCT table_name, record_id FROM changes_fx
+        WHERE record_id IS NOT NULL) GROUP BY 1, 2, 3"""
+)
 def snk8_migrate_history(t: Tables) -> DataFrame:
     rows = t.changes_fx.where("record_id is not null").select(F.lit("oms").alias("source_system"), "table_name", "record_id").distinct()
     audit = rows.where("record_id % 2 = 0")
@@ -1043,21 +1528,50 @@ def src6_read_payment_transactions(t: Tables) -> DataFrame:
     from .sources.payloads import payment_transactions
 
     cents_text = F.format_string("%d,%02d", F.floor(F.col("amount_cents") / 100).cast("long"), F.pmod(F.col("amount_cents"), F.lit(100)))
-    landed = t.payment_tx_fx.select(F.col("external_order_id").alias("order_id"), F.col("gateway_raw").alias("gateway"), "kind", "status", cents_text.alias("amount"), F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("processed_at"))
-    return payment_transactions(landed).select("external_order_id", "gateway_raw", "kind", "status", "amount_cents", F.date_format("processed_at", "yyyy-MM-dd").alias("day"))
+    landed = t.payment_tx_fx.select(
+        F.col("external_order_id").alias("order_id"),
+        F.col("gateway_raw").alias("gateway"),
+        "kind",
+        "status",
+        cents_text.alias("amount"),
+        F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("processed_at"),
+    )
+    return payment_transactions(landed).select(
+        "external_order_id",
+        "gateway_raw",
+        "kind",
+        "status",
+        "amount_cents",
+        F.date_format("processed_at", "yyyy-MM-dd").alias("day"),
+    )
 
 
-@query("SELECT external_order_id, amount_cents, test FROM tenders_fx WHERE amount_cents > 0 AND CAST(external_order_id AS BIGINT) % 10 <> 0")
+@query(
+    "SELECT external_order_id, amount_cents, test FROM tenders_fx WHERE amount_cents > 0 AND CAST(external_order_id AS BIGINT) % 10 <> 0"
+)
 def src7_read_tenders(t: Tables) -> DataFrame:
     from .sources.payloads import tenders
 
     rows = t.tenders_fx.where("amount_cents > 0")
     order = F.when(F.col("external_order_id").cast("long") % 10 != 0, F.col("external_order_id")).otherwise("  ")
-    landed = rows.select(order.alias("order_id"), F.format_string("%d.%02d", F.floor(F.col("amount_cents") / 100).cast("long"), F.pmod(F.col("amount_cents"), F.lit(100))).alias("amount"), F.date_format("processed_at", "yyyy-MM-dd").alias("processed_at"), F.col("test").cast("string").alias("test"))
+    landed = rows.select(
+        order.alias("order_id"),
+        F.format_string(
+            "%d.%02d",
+            F.floor(F.col("amount_cents") / 100).cast("long"),
+            F.pmod(F.col("amount_cents"), F.lit(100)),
+        ).alias("amount"),
+        F.date_format("processed_at", "yyyy-MM-dd").alias("processed_at"),
+        F.col("test").cast("string").alias("test"),
+    )
     return tenders(landed).select("external_order_id", "amount_cents", "test")
 
 
-@query(f"WITH {SPLIT_SQL}, {RANKED_SQL} SELECT o.external_order_id, r.gateway_raw, coalesce(r.amount_cents, 0) AS dominant_amount_cents, CAST(coalesce(r.whole, 0) AS BIGINT) AS total_amount_cents FROM orders_fx o LEFT JOIN ranked r ON r.external_order_id = o.external_order_id AND r.nth = 1")
+@query(
+    f"""WITH {SPLIT_SQL}, {RANKED_SQL} SELECT o.external_order_id, r.gateway_raw, coalesce(r.amount_cents, 0) AS dominant_amount_cents,
+        CAST(coalesce(r.whole, 0) AS BIGINT) AS total_amount_cents FROM orders_fx o LEFT
+        JOIN ranked r ON r.external_order_id = o.external_order_id AND r.nth = 1"""
+)
 def pay1_resolve_payments(t: Tables) -> DataFrame:
     return payments.resolve(t.orders_fx, t.payment_tx_fx).drop("processed_at")
 
@@ -1070,33 +1584,60 @@ def csv_files(t: Tables) -> DataFrame:
     k = F.col("o_orderkey") % 6
     amount = F.col("o_totalprice")
     whole, part = F.floor(amount).cast("long"), F.floor(F.pmod(F.floor(amount * 100 + 0.5), F.lit(100))).cast("long")
-    money = F.when(k == 1, F.format_string('"R$ %d,%02d"', whole, part)).when(k == 2, F.lit("zero")).otherwise(F.format_string("%d.%02d", whole, part))
-    day = F.when(k == 3, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 4, F.lit("2020-13-45")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    money = F.when(
+        k == 1,
+        F.format_string('"R$ %d,%02d"', whole, part),
+    ).when(k == 2, F.lit("zero")).otherwise(F.format_string("%d.%02d", whole, part))
+    day = F.when(
+        k == 3,
+        F.date_format("o_orderdate", "dd/MM/yyyy"),
+    ).when(k == 4, F.lit("2020-13-45")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     kind = F.when(F.col("o_orderkey") % 2 == 0, "Receita").otherwise("Saída")
     line = F.concat_ws(";", day, kind, money, F.concat(F.lit("Pedido "), F.col("o_orderkey")))
     lines = t.orders.select(F.col("o_custkey").cast("string").alias("path"), "o_orderkey", line.alias("line"))
-    return lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "line"))).alias("l")).select("path", F.concat(F.lit("Data;Tipo;Valor;Descrição\r\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\r\n")).alias("content"))
+    return lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "line"))).alias("l")).select(
+        "path",
+        F.concat(F.lit("Data;Tipo;Valor;Descrição\r\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\r\n")).alias("content"),
+    )
 
 
 WHOLE_SQL = "CAST(floor(o_totalprice) AS BIGINT) * 100 + CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) % 100"
-CSV_SQL = f"""csv AS (SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS row_index, CASE WHEN o_orderkey % 6 IN (2, 4) THEN 'error' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 6 <> 4 THEN CAST(o_orderdate AS DATE) END AS occurred_on,
-    CASE o_orderkey % 2 WHEN 0 THEN 'income' ELSE 'expense' END AS type, CASE WHEN o_orderkey % 6 <> 2 THEN {WHOLE_SQL} END AS amount_cents, 'Pedido ' || CAST(o_orderkey AS VARCHAR) AS description,
+CSV_SQL = f"""csv AS (SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY o_custkey
+    ORDER BY o_orderkey) AS INT) AS row_index, CASE WHEN o_orderkey % 6 IN (2, 4) THEN 'error' ELSE 'pending' END AS status, CASE
+    WHEN o_orderkey % 6 <> 4 THEN CAST(o_orderdate AS DATE) END AS occurred_on,
+    CASE o_orderkey % 2 WHEN 0 THEN 'income' ELSE 'expense' END AS type, CASE WHEN o_orderkey % 6 <> 2 THEN {WHOLE_SQL} END AS amount_cents,
+    'Pedido ' || CAST(o_orderkey AS VARCHAR) AS description,
     CASE o_orderkey % 6 WHEN 2 THEN 'valor inválido: "zero"' WHEN 4 THEN 'data inválida: "2020-13-45"' END AS error_message FROM orders)"""
 
 
 @query(f"WITH {CSV_SQL} SELECT * FROM csv")
 def src9_import_csv(t: Tables) -> DataFrame:
-    return imports.parse(csv_files(t)).select("path", "row_index", "status", "occurred_on", "type", "amount_cents", "description", "error_message")
+    return imports.parse(csv_files(t)).select(
+        "path",
+        "row_index",
+        "status",
+        "occurred_on",
+        "type",
+        "amount_cents",
+        "description",
+        "error_message",
+    )
 
 
-@query(f"WITH {CSV_SQL} SELECT path, count(*) AS rows, count(CASE WHEN status = 'error' THEN 1 END) AS errors, CAST(path AS BIGINT) % 4 = 0 AS duplicate FROM csv GROUP BY 1")
+@query(
+    f"""WITH {CSV_SQL} SELECT path, count(*) AS rows, count(CASE WHEN status = 'error' THEN 1 END) AS errors,
+        CAST(path AS BIGINT) % 4 = 0 AS duplicate FROM csv GROUP BY 1"""
+)
 def imp1_import_preview(t: Tables) -> DataFrame:
     files = csv_files(t)
     known = files.where(F.col("path").cast("long") % 4 == 0).select(F.sha2("content", 256).alias("file_hash"))
     return imports.preview(files, known).select("path", "rows", "errors", "duplicate")
 
 
-@query(f"WITH {CSV_SQL} SELECT 'import:' || path AS external_source, 'row:' || CAST(row_index AS VARCHAR) AS external_id, type, amount_cents FROM csv WHERE status = 'pending'")
+@query(
+    f"""WITH {CSV_SQL} SELECT 'import:' || path AS external_source, 'row:' || CAST(row_index AS VARCHAR) AS external_id, type, amount_cents
+        FROM csv WHERE status = 'pending'"""
+)
 def imp2_import_commit(t: Tables) -> DataFrame:
     return imports.commit(imports.parse(csv_files(t))).select("external_source", "external_id", "type", "amount_cents")
 
@@ -1108,7 +1649,10 @@ def imp3_import_rollback(t: Tables) -> DataFrame:
     return imports.rollback(entries, files.where(F.col("path").cast("long") % 2 == 0)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS path, max(o_orderdate) AS created_at FROM orders GROUP BY 1 ORDER BY created_at DESC, path LIMIT 50")
+@query(
+    """SELECT CAST(o_custkey AS VARCHAR) AS path, max(o_orderdate) AS created_at FROM orders GROUP BY 1 ORDER BY created_at DESC, path
+        LIMIT 50"""
+)
 def imp4_import_batches(t: Tables) -> DataFrame:
     batches = t.orders.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.max("o_orderdate").alias("created_at"))
     return batches.orderBy(F.desc("created_at"), "path").limit(50)
@@ -1117,53 +1661,98 @@ def imp4_import_batches(t: Tables) -> DataFrame:
 # ---- reconciliation
 
 
-@query(f"""WITH {DELTA_SQL}, days AS (SELECT external_order_id, max({local('processed_at', V.VERIFICATION_ZONE)}) AS day FROM tenders_fx WHERE NOT test AND processed_at >= TIMESTAMP '1998-01-01' AND processed_at < TIMESTAMP '1998-07-01' GROUP BY 1)
-    SELECT external_order_id, day, tender_cents, ledger_cents, delta_cents FROM delta JOIN days USING (external_order_id) WHERE abs(delta_cents) > 1""")
+@query(f"""WITH {DELTA_SQL}, days AS (SELECT external_order_id, max({local('processed_at', V.VERIFICATION_ZONE)}) AS day FROM tenders_fx
+    WHERE NOT test AND processed_at >= TIMESTAMP '1998-01-01' AND processed_at < TIMESTAMP '1998-07-01' GROUP BY 1)
+    SELECT external_order_id, day, tender_cents, ledger_cents, delta_cents FROM delta JOIN days USING (external_order_id)
+    WHERE abs(delta_cents) > 1""")
 def rec1_detect_divergences(t: Tables) -> DataFrame:
     return reconcile.detect(t.tenders_fx, split(t), *map(ntz, PERIOD), V.VERIFICATION_ZONE)
 
 
 def detected_again(t: Tables) -> DataFrame:
     k = F.col("external_order_id").cast("long")
-    return t.divergences_fx.where(k % 2 == 0).select("external_order_id", "day", "tender_cents", F.col("ledger_cents_before").alias("ledger_cents"), F.when(k % 12 == 4, F.col("delta_cents") + 5).otherwise(F.col("delta_cents")).alias("delta_cents"))
+    return t.divergences_fx.where(k % 2 == 0).select(
+        "external_order_id",
+        "day",
+        "tender_cents",
+        F.col("ledger_cents_before").alias("ledger_cents"),
+        F.when(k % 12 == 4, F.col("delta_cents") + 5).otherwise(F.col("delta_cents")).alias("delta_cents"),
+    )
 
 
-@query("""SELECT external_order_id, CASE WHEN k % 2 = 1 THEN status WHEN status = 'aceito' AND k % 12 <> 4 THEN 'aceito' WHEN status IN ('corrigido', 'sem_correcao', 'aceito') THEN 'persistente' ELSE 'pendente' END AS status,
-    CASE WHEN k % 2 = 0 AND status IN ('corrigido', 'sem_correcao', 'aceito') AND NOT (status = 'aceito' AND k % 12 <> 4) THEN 0 ELSE attempts END AS attempts, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS occurrences FROM (SELECT *, CAST(external_order_id AS BIGINT) AS k FROM divergences_fx)""")
+@query("""SELECT external_order_id, CASE WHEN k % 2 = 1 THEN status WHEN status = 'aceito' AND k % 12 <> 4 THEN 'aceito'
+    WHEN status IN ('corrigido', 'sem_correcao', 'aceito') THEN 'persistente' ELSE 'pendente' END AS status,
+    CASE WHEN k % 2 = 0 AND status IN ('corrigido', 'sem_correcao', 'aceito') AND NOT (status = 'aceito' AND k % 12 <> 4) THEN 0
+    ELSE attempts END AS attempts, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS occurrences FROM (SELECT *,
+    CAST(external_order_id AS BIGINT) AS k FROM divergences_fx)""")
 def rec2_record_divergences(t: Tables) -> DataFrame:
-    return reconcile.record(t.divergences_fx, detected_again(t), ntz(ORDERS_AS_OF)).select("external_order_id", "status", "attempts", "occurrences")
+    return reconcile.record(t.divergences_fx, detected_again(t), ntz(ORDERS_AS_OF)).select(
+        "external_order_id",
+        "status",
+        "attempts",
+        "occurrences",
+    )
 
 
-@query(f"""WITH {SPLIT_SQL}, {TENDER_SQL}, own AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS c FROM split WHERE gateway_raw <> 'shopify_store_credit' GROUP BY 1)
-    SELECT external_order_id, delta_cents, CASE WHEN abs(delta_cents) <= 1 THEN 'corrigido' ELSE status END AS status FROM (SELECT d.external_order_id, d.status, coalesce(t.tender_cents, d.tender_cents) - coalesce(c, 0) AS delta_cents FROM divergences_fx d LEFT JOIN tender t USING (external_order_id) LEFT JOIN own USING (external_order_id) WHERE d.status IN ('pendente', 'persistente'))""")
+@query(f"""WITH {SPLIT_SQL}, {TENDER_SQL}, own AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS c FROM split
+    WHERE gateway_raw <> 'shopify_store_credit' GROUP BY 1)
+    SELECT external_order_id, delta_cents, CASE WHEN abs(delta_cents) <= 1 THEN 'corrigido' ELSE status END AS status
+    FROM (SELECT d.external_order_id, d.status, coalesce(t.tender_cents, d.tender_cents) - coalesce(c, 0) AS delta_cents
+    FROM divergences_fx d LEFT JOIN tender t USING (external_order_id) LEFT JOIN own USING (external_order_id)
+    WHERE d.status IN ('pendente', 'persistente'))""")
 def rec3_reconfer_open(t: Tables) -> DataFrame:
-    return reconcile.recheck_open(t.divergences_fx, A.tender_totals(t.tenders_fx), split(t)).select("external_order_id", "delta_cents", "status")
-
-
-@query("""SELECT external_order_id, attempts + 1 AS attempts, CASE WHEN k % 5 = 0 THEN 'corrigido' WHEN attempts + 1 > 4 THEN 'sem_correcao' WHEN status = 'persistente' THEN 'persistente' ELSE 'pendente' END AS status,
-    CASE WHEN k % 5 <> 0 AND attempts + 1 <= 4 THEN TIMESTAMP '2001-08-02' + CASE attempts WHEN 0 THEN INTERVAL '1' DAY WHEN 1 THEN INTERVAL '2' DAY WHEN 2 THEN INTERVAL '4' DAY ELSE INTERVAL '8' DAY END END AS next_attempt_at FROM (SELECT *, CAST(external_order_id AS BIGINT) AS k FROM divergences_fx WHERE status IN ('pendente', 'persistente'))""")
+    return reconcile.recheck_open(
+        t.divergences_fx,
+        A.tender_totals(t.tenders_fx),
+        split(t),
+    ).select("external_order_id", "delta_cents", "status")
+
+
+@query("""SELECT external_order_id, attempts + 1 AS attempts, CASE WHEN k % 5 = 0 THEN 'corrigido' WHEN attempts + 1 > 4 THEN 'sem_correcao'
+    WHEN status = 'persistente' THEN 'persistente' ELSE 'pendente' END AS status,
+    CASE WHEN k % 5 <> 0 AND attempts + 1 <= 4 THEN TIMESTAMP '2001-08-02' + CASE attempts WHEN 0 THEN INTERVAL '1' DAY
+    WHEN 1 THEN INTERVAL '2' DAY WHEN 2 THEN INTERVAL '4' DAY ELSE INTERVAL '8' DAY END END AS next_attempt_at FROM (SELECT *,
+    CAST(external_order_id AS BIGINT) AS k FROM divergences_fx WHERE status IN ('pendente', 'persistente'))""")
 def rec4_retry_outcome(t: Tables) -> DataFrame:
     queue = t.divergences_fx.where(F.col("status").isin(V.OPEN_STATES))
-    return reconcile.retry_outcome(queue, ntz(ORDERS_AS_OF), F.col("external_order_id").cast("long") % 5 != 0).select("external_order_id", "attempts", "status", "next_attempt_at")
-
-
-@query(f"""WITH {SPLIT_SQL}, s AS (SELECT {METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS c FROM orders_fx WHERE {LIVE} GROUP BY 1), l AS (SELECT {GATEWAY_METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS c FROM split GROUP BY 1)
-    SELECT coalesce(s.payment_method, l.payment_method) AS payment_method, coalesce(s.c, 0) AS system_cents, coalesce(l.c, 0) AS ledger_cents, coalesce(s.c, 0) - coalesce(l.c, 0) AS difference_cents,
-    round(CASE WHEN coalesce(l.c, 0) <> 0 THEN (coalesce(s.c, 0) - l.c) * 100.0 / l.c WHEN coalesce(s.c, 0) = 0 THEN 0 ELSE 100 END, 6) AS difference_percent, abs(coalesce(s.c, 0) - coalesce(l.c, 0)) > 1 AS diverges FROM s FULL OUTER JOIN l ON l.payment_method = s.payment_method""")
+    return reconcile.retry_outcome(
+        queue,
+        ntz(ORDERS_AS_OF),
+        F.col("external_order_id").cast("long") % 5 != 0,
+    ).select("external_order_id", "attempts", "status", "next_attempt_at")
+
+
+@query(f"""WITH {SPLIT_SQL}, s AS (SELECT {METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS c FROM orders_fx WHERE {LIVE}
+    GROUP BY 1), l AS (SELECT {GATEWAY_METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS c FROM split GROUP BY 1)
+    SELECT coalesce(s.payment_method, l.payment_method) AS payment_method, coalesce(s.c, 0) AS system_cents, coalesce(l.c,
+    0) AS ledger_cents, coalesce(s.c, 0) - coalesce(l.c, 0) AS difference_cents,
+    round(CASE WHEN coalesce(l.c, 0) <> 0 THEN (coalesce(s.c, 0) - l.c) * 100.0 / l.c WHEN coalesce(s.c, 0) = 0 THEN 0 ELSE 100 END,
+    6) AS difference_percent, abs(coalesce(s.c, 0) - coalesce(l.c, 0)) > 1 AS diverges FROM s FULL OUTER
+    JOIN l ON l.payment_method = s.payment_method""")
 def rec5_verification_report(t: Tables) -> DataFrame:
-    return reconcile.metrics(A.method_totals(grouped_orders(t)), split(t)).withColumn("difference_percent", F.round("difference_percent", 6))
+    return reconcile.metrics(A.method_totals(grouped_orders(t)), split(t)).withColumn(
+        "difference_percent",
+        F.round("difference_percent", 6),
+    )
 
 
-@query(f"WITH {PIPELINE_SQL} SELECT day, without_ledger = 0 AND without_resolution = 0 AND last_materialized_at >= (CAST(day + 1 AS TIMESTAMP) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' AS is_mature FROM days")
+@query(
+    f"""WITH {PIPELINE_SQL} SELECT day, without_ledger = 0 AND without_resolution = 0 AND last_materialized_at >= (CAST(day + 1
+        AS TIMESTAMP) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' AS is_mature FROM days"""
+)
 def rec6_maturity(t: Tables) -> DataFrame:
     return reconcile.maturity(pipeline_days(t), ZONE).select("day", "is_mature")
 
 
-@query("""WITH runs AS (SELECT *, CAST(started_at AS DATE) AS day, id % 7 AS k, row_number() OVER (PARTITION BY CAST(started_at AS DATE) ORDER BY started_at DESC, id DESC) AS nth FROM job_runs_fx WHERE day(started_at) % 6 <> 0),
+@query("""WITH runs AS (SELECT *, CAST(started_at AS DATE) AS day, id % 7 AS k, row_number() OVER (PARTITION BY CAST(started_at AS DATE)
+    ORDER BY started_at DESC, id DESC) AS nth FROM job_runs_fx WHERE day(started_at) % 6 <> 0),
     days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
-    SELECT d.day, CASE WHEN r.id IS NULL THEN 'sem_registro' WHEN status = 'failed' THEN 'falhou' WHEN k = 0 THEN 'formato_desconhecido' WHEN k IN (1, 3, 4) THEN 'provisoria' WHEN k = 2 THEN 'divergente' ELSE 'conferido' END AS verdict,
-    CASE WHEN r.id IS NULL OR status = 'failed' THEN 'none' WHEN k = 2 THEN 'divergence' WHEN k = 3 THEN 'informational' ELSE 'none' END AS alert,
-    CASE WHEN r.id IS NULL OR status = 'failed' THEN '' WHEN k = 1 THEN 'sem_resolucao,sem_ledger,materializacao_antiga' WHEN k = 3 THEN 'resolucao_ilegivel,materializacao_antiga' WHEN k = 4 THEN 'sem_maturidade' ELSE '' END AS pending
+    SELECT d.day, CASE WHEN r.id IS NULL THEN 'sem_registro' WHEN status = 'failed' THEN 'falhou' WHEN k = 0 THEN 'formato_desconhecido'
+    WHEN k IN (1, 3, 4) THEN 'provisoria' WHEN k = 2 THEN 'divergente' ELSE 'conferido' END AS verdict,
+    CASE WHEN r.id IS NULL OR status = 'failed' THEN 'none' WHEN k = 2 THEN 'divergence' WHEN k = 3 THEN 'informational'
+    ELSE 'none' END AS alert,
+    CASE WHEN r.id IS NULL OR status = 'failed' THEN '' WHEN k = 1 THEN 'sem_resolucao,sem_ledger,materializacao_antiga'
+    WHEN k = 3 THEN 'resolucao_ilegivel,materializacao_antiga' WHEN k = 4 THEN 'sem_maturidade' ELSE '' END AS pending
     FROM days d LEFT JOIN runs r ON r.day = d.day AND nth = 1""")
 def rec7_verification_verdict(t: Tables) -> DataFrame:
     k = F.col("id") % 7
@@ -1173,17 +1762,27 @@ def rec7_verification_verdict(t: Tables) -> DataFrame:
         F.when(k == 1, 2).otherwise(0).alias("ordersWithoutLedger"),
         (~k.isin(1, 3)).alias("materializedAfterWindow"),
     )
-    result = F.struct(F.array(F.struct(F.lit("gross").alias("label"), k.isin(2, 3).alias("diverges"))).alias("metrics"), F.when(k != 4, maturity).alias("maturity"))
+    result = F.struct(
+        F.array(F.struct(F.lit("gross").alias("label"), k.isin(2, 3).alias("diverges"))).alias("metrics"),
+        F.when(k != 4, maturity).alias("maturity"),
+    )
     runs = t.job_runs_fx.where(F.dayofmonth("started_at") % 6 != 0)
     runs = runs.withColumns({"day": F.to_date("started_at"), "result": F.when(k == 0, "{}").otherwise(F.to_json(result))})
     return reconcile.verdict(runs, t.events.select(F.to_date("ts").alias("day")))
 
 
-@query("""SELECT external_order_id, CASE WHEN open AND k % 3 = 0 THEN 'aceito' ELSE status END AS status, CASE WHEN open AND k % 3 = 1 THEN least(attempts, 4) ELSE attempts END AS attempts, CASE WHEN open AND k % 3 = 0 THEN 'ana' END AS reviewed_by
+@query("""SELECT external_order_id, CASE WHEN open AND k % 3 = 0 THEN 'aceito' ELSE status END AS status, CASE
+    WHEN open AND k % 3 = 1 THEN least(attempts, 4) ELSE attempts END AS attempts, CASE
+    WHEN open AND k % 3 = 0 THEN 'ana' END AS reviewed_by
     FROM (SELECT *, CAST(external_order_id AS BIGINT) AS k, status IN ('pendente', 'persistente') AS open FROM divergences_fx)""")
 def rec8_review_actions(t: Tables) -> DataFrame:
     k = F.col("external_order_id").cast("long") % 3
-    decisions = t.divergences_fx.where(k != 2).select("external_order_id", F.when(k == 0, "accept").otherwise("requeue").alias("action"), F.lit("ana").alias("reviewer"), F.lit("ok").alias("note"))
+    decisions = t.divergences_fx.where(k != 2).select(
+        "external_order_id",
+        F.when(k == 0, "accept").otherwise("requeue").alias("action"),
+        F.lit("ana").alias("reviewer"),
+        F.lit("ok").alias("note"),
+    )
     return reconcile.review(t.divergences_fx, decisions).select("external_order_id", "status", "attempts", "reviewed_by")
 
 
@@ -1192,9 +1791,15 @@ def rec9_reconciliation_summary(t: Tables) -> DataFrame:
     return reconcile.summary(t.divergences_fx)
 
 
-@query("""WITH due AS (SELECT * FROM divergences_fx WHERE status IN ('pendente', 'persistente') AND next_attempt_at <= TIMESTAMP '1998-01-01'), tried AS (SELECT *, CAST(external_order_id AS BIGINT) % 4 AS k FROM due WHERE attempts < 3)
-    SELECT (SELECT count(*) FROM divergences_fx) AS detected, (SELECT CAST(sum(abs(delta_cents)) AS BIGINT) FROM divergences_fx) AS drift_cents, (SELECT count(*) FROM divergences_fx WHERE status = 'corrigido') AS reconferred, (SELECT count(*) FROM due) AS queued,
-    count(CASE WHEN k = 0 THEN 1 END) AS corrected, count(CASE WHEN k = 1 THEN 1 END) AS still_diverging, count(CASE WHEN k = 2 THEN 1 END) AS failed, count(CASE WHEN k = 3 THEN 1 END) AS exhausted, (SELECT count(*) FROM due) - count(*) AS deferred FROM tried""")
+@query("""WITH due AS (SELECT * FROM divergences_fx WHERE status IN ('pendente',
+    'persistente') AND next_attempt_at <= TIMESTAMP '1998-01-01'), tried AS (SELECT *, CAST(external_order_id AS BIGINT) % 4 AS k FROM due
+    WHERE attempts < 3)
+    SELECT (SELECT count(*) FROM divergences_fx) AS detected, (SELECT CAST(sum(abs(delta_cents)) AS BIGINT)
+    FROM divergences_fx) AS drift_cents, (SELECT count(*) FROM divergences_fx WHERE status = 'corrigido') AS reconferred, (SELECT count(*)
+    FROM due) AS queued,
+    count(CASE WHEN k = 0 THEN 1 END) AS corrected, count(CASE WHEN k = 1 THEN 1 END) AS still_diverging, count(CASE
+    WHEN k = 2 THEN 1 END) AS failed, count(CASE WHEN k = 3 THEN 1 END) AS exhausted, (SELECT count(*) FROM due) - count(*) AS deferred
+    FROM tried""")
 def rec9_correction_round(t: Tables) -> DataFrame:
     due = t.divergences_fx.where(F.col("status").isin(V.OPEN_STATES) & (F.col("next_attempt_at") <= ntz(datetime(1998, 1, 1))))
     outcomes = F.array(*map(F.lit, ("corrected", "diverging", "failed", "exhausted")))
@@ -1210,7 +1815,9 @@ def landed_orders(t: Tables) -> DataFrame:
     rows = payload_events(t).where((F.col("source") == V.STOREFRONT) & F.col("id").startswith("ev-"))
     body = F.regexp_replace("payload_json", r"^\{", '{"id":7,"total_tax":"1.25","currency":"BRL",')
     body = F.regexp_replace(body, '^\\{"id":7', F.concat(F.lit('{"id":'), F.col("external_order_id")))
-    pages = rows.groupBy(F.floor(F.col("external_order_id").cast("long") / 100).alias("page")).agg(F.array_join(F.collect_list(body), ",").alias("orders"))
+    pages = rows.groupBy(
+        F.floor(F.col("external_order_id").cast("long") / 100).alias("page")
+    ).agg(F.array_join(F.collect_list(body), ",").alias("orders"))
     path = scratch(t.spark, "landed-orders")
     pages.select(F.concat(F.lit('{"orders": [\n'), "orders", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return orders_extract(t.spark, path)
@@ -1222,8 +1829,12 @@ def src8_read_orders_extract(t: Tables) -> DataFrame:
     return landed_orders(t).select(p["id"].alias("external_id"), p["name"].alias("name"), S.paid_token(p["financial_status"]).alias("paid"))
 
 
-@query(f"""SELECT order_key AS external_id, '#' || order_key AS order_number, CASE WHEN payment_method_raw = 'shopify_store_credit' THEN 'Crédito em loja' ELSE payment_method_raw END AS payment_method_raw, {METHOD_SQL} AS payment_method_normalized,
-    coalesce(shipping_cents, 0) AS shipping_cents, coalesce(discount_cents, 0) AS discount_cents, CAST(125 AS BIGINT) AS tax_cents, CAST(0 AS BIGINT) AS fee_cents, CASE CAST(order_key AS BIGINT) % 5 WHEN 0 THEN 0 ELSE amount_cents END AS amount_cents, 'BRL' AS currency,
+@query(f"""SELECT order_key AS external_id, '#' || order_key AS order_number, CASE
+    WHEN payment_method_raw = 'shopify_store_credit' THEN 'Crédito em loja' ELSE payment_method_raw END AS payment_method_raw,
+    {METHOD_SQL} AS payment_method_normalized,
+    coalesce(shipping_cents, 0) AS shipping_cents, coalesce(discount_cents, 0) AS discount_cents, CAST(125 AS BIGINT) AS tax_cents,
+    CAST(0 AS BIGINT) AS fee_cents, CASE CAST(order_key AS BIGINT) % 5 WHEN 0 THEN 0 ELSE amount_cents END AS amount_cents,
+    'BRL' AS currency,
     CAST(occurred_at AS TIMESTAMP) AS occurred_at, 'Pedido #' || order_key AS description FROM orders_fx WHERE source = 'shopify'""")
 def mat4_map_orders_from_extract(t: Tables) -> DataFrame:
     return orders.map_extract(landed_orders(t)).withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
@@ -1238,29 +1849,45 @@ def snk5_snapshot_day(t: Tables) -> DataFrame:
     return sinks.read_snapshot(t.spark, date(1998, 3, 4), path).select("id", "type", "amount_cents")
 
 
-GAPPED_SQL = "gapped AS (SELECT * FROM raw_events_fx WHERE NOT (received_at >= TIMESTAMP '2024-01-10' AND received_at < TIMESTAMP '2024-01-14' AND CAST(id AS BIGINT) % 3 = 0))"
+GAPPED_SQL = """gapped AS (SELECT * FROM raw_events_fx WHERE NOT (received_at >= TIMESTAMP '2024-01-10'
+    AND received_at < TIMESTAMP '2024-01-14' AND CAST(id AS BIGINT) % 3 = 0))"""
 WINDOW_SQL = "received_at >= TIMESTAMP '2024-01-08' AND received_at < TIMESTAMP '2024-01-12'"
 
 
 def gapped(t: Tables) -> DataFrame:
     """The events without a third of those of some days."""
-    lost = (F.col("received_at") >= ntz(datetime(2024, 1, 10))) & (F.col("received_at") < ntz(datetime(2024, 1, 14))) & (F.col("id").cast("long") % 3 == 0)
+    lost = (
+        F.col("received_at") >= ntz(datetime(2024, 1, 10))
+    ) & (F.col("received_at") < ntz(datetime(2024, 1, 14))) & (F.col("id").cast("long") % 3 == 0)
     return t.raw_events_fx.where(~lost)
 
 
-@query(f"WITH {GAPPED_SQL} SELECT id, CASE WHEN id IN (SELECT id FROM gapped) THEN 'unchanged' ELSE 'inserted' END AS change FROM raw_events_fx WHERE id IN (SELECT id FROM gapped) OR ({WINDOW_SQL})")
+@query(
+    f"""WITH {GAPPED_SQL} SELECT id, CASE WHEN id IN (SELECT id FROM gapped) THEN 'unchanged' ELSE 'inserted' END AS change
+        FROM raw_events_fx WHERE id IN (SELECT id FROM gapped) OR ({WINDOW_SQL})"""
+)
 def snk9_backfill_window(t: Tables) -> DataFrame:
-    filled = sinks.backfill_window(gapped(t), t.raw_events_fx, datetime(2024, 1, 8), datetime(2024, 1, 12), datetime(2024, 1, 1), ["status", "total_cents"])
+    filled = sinks.backfill_window(
+        gapped(t),
+        t.raw_events_fx,
+        datetime(2024, 1, 8),
+        datetime(2024, 1, 12),
+        datetime(2024, 1, 1),
+        ["status", "total_cents"],
+    )
     return filled.select("id", "change")
 
 
-@query(f"""WITH {GAPPED_SQL}, m AS (SELECT source, count(*) AS n FROM gapped WHERE {WINDOW_SQL} GROUP BY 1), u AS (SELECT source, count(*) AS n FROM raw_events_fx WHERE {WINDOW_SQL} GROUP BY 1)
-    SELECT source, coalesce(m.n, 0) AS mirrored, coalesce(u.n, 0) AS upstream, coalesce(u.n, 0) - coalesce(m.n, 0) AS missing FROM m FULL JOIN u USING (source)""")
+@query(f"""WITH {GAPPED_SQL}, m AS (SELECT source, count(*) AS n FROM gapped WHERE {WINDOW_SQL} GROUP BY 1), u AS (SELECT source,
+    count(*) AS n FROM raw_events_fx WHERE {WINDOW_SQL} GROUP BY 1)
+    SELECT source, coalesce(m.n, 0) AS mirrored, coalesce(u.n, 0) AS upstream, coalesce(u.n, 0) - coalesce(m.n, 0) AS missing FROM m FULL
+    JOIN u USING (source)""")
 def snk9_window_counts(t: Tables) -> DataFrame:
     return sinks.window_counts(gapped(t), t.raw_events_fx, datetime(2024, 1, 8), datetime(2024, 1, 12))
 
 
-@query("""WITH stored AS (SELECT * FROM raw_events_fx WHERE received_at < TIMESTAMP '2024-01-20' AND CAST(id AS BIGINT) % 50 <> 0), edge AS (SELECT max(received_at) - INTERVAL '300' SECOND AS edge_at FROM stored)
+@query("""WITH stored AS (SELECT * FROM raw_events_fx WHERE received_at < TIMESTAMP '2024-01-20' AND CAST(id AS BIGINT) % 50 <> 0),
+    edge AS (SELECT max(received_at) - INTERVAL '300' SECOND AS edge_at FROM stored)
     SELECT id, received_at FROM raw_events_fx, edge WHERE received_at >= edge_at AND id NOT IN (SELECT id FROM stored)""")
 def str1_ingest_incremental(t: Tables) -> DataFrame:
     """What a mirror that stops on one day, with gaps, takes from all arrivals, some of them twice."""
@@ -1284,12 +1911,21 @@ def str4_dedupe_notifications(t: Tables) -> DataFrame:
 
 EXPECTED = [("purchase", 240, 8, 60), ("refund", 900, 4, 300), ("click", 180, 500, 300), ("view", 1560, 1, 300), ("never", 60, 1, 60)]
 EXPECTED_SQL = "expected(job_name, stale_minutes, per_day, max_seconds) AS (VALUES ('purchase', 240, 8, 60), ('refund', 900, 4, 300), ('click', 180, 500, 300), ('view', 1560, 1, 300), ('never', 60, 1, 60))"
-HEALTH_SQL = f"""{EXPECTED_SQL}, own AS (SELECT r.*, e.stale_minutes, e.per_day, greatest(0, CAST(floor(date_diff('microsecond', started_at, TIMESTAMP '2024-01-31') / 60e6) AS BIGINT)) AS age, CAST(ceil(e.max_seconds * 2 / 60.0) AS BIGINT) AS lim, row_number() OVER (PARTITION BY r.job_name ORDER BY started_at DESC, id DESC) AS nth
-    FROM job_runs_fx r JOIN expected e ON e.job_name = r.job_name WHERE request_id LIKE 'cf-cron-%'), d AS (SELECT *, status = 'failed' OR (status = 'running' AND age > lim) AS dead FROM own),
-    f AS (SELECT job_name, max(CASE WHEN nth = 1 THEN status END) AS st, max(CASE WHEN nth = 1 THEN age END) AS age, bool_or(nth = 1 AND dead) AS dead, count(CASE WHEN age <= 1455 THEN 1 END) AS runs_in_window, count(CASE WHEN age <= 1455 AND dead AND nth > 1 THEN 1 END) AS recent_failures FROM d GROUP BY 1),
-    verdicts AS (SELECT e.job_name, CASE WHEN st IS NULL THEN 'sem_registro' WHEN st = 'failed' THEN 'falhou' WHEN dead THEN 'travado' WHEN age > stale_minutes THEN 'atrasado' WHEN runs_in_window < per_day THEN 'poucas_execucoes' WHEN recent_failures > 0 THEN 'falhas_recentes' WHEN st = 'running' THEN 'rodando' ELSE 'ok' END AS verdict,
-    age AS minutes_since_last, coalesce(runs_in_window, 0) AS runs_in_window, coalesce(recent_failures, 0) AS recent_failures FROM expected e LEFT JOIN f ON f.job_name = e.job_name),
-    graded AS (SELECT *, CASE WHEN verdict IN ('falhou', 'travado', 'atrasado') THEN 'crit' WHEN verdict IN ('poucas_execucoes', 'falhas_recentes') THEN 'warn' WHEN verdict = 'sem_registro' THEN 'unknown' ELSE 'ok' END AS severity FROM verdicts)"""
+HEALTH_SQL = f"""{EXPECTED_SQL}, own AS (SELECT r.*, e.stale_minutes, e.per_day, greatest(0, CAST(floor(date_diff('microsecond', started_at,
+    TIMESTAMP '2024-01-31') / 60e6) AS BIGINT)) AS age, CAST(ceil(e.max_seconds * 2 / 60.0) AS BIGINT) AS lim,
+    row_number() OVER (PARTITION BY r.job_name ORDER BY started_at DESC, id DESC) AS nth
+    FROM job_runs_fx r JOIN expected e ON e.job_name = r.job_name WHERE request_id LIKE 'cf-cron-%'), d AS (SELECT *,
+    status = 'failed' OR (status = 'running' AND age > lim) AS dead FROM own),
+    f AS (SELECT job_name, max(CASE WHEN nth = 1 THEN status END) AS st, max(CASE WHEN nth = 1 THEN age END) AS age,
+    bool_or(nth = 1 AND dead) AS dead, count(CASE WHEN age <= 1455 THEN 1 END) AS runs_in_window, count(CASE
+    WHEN age <= 1455 AND dead AND nth > 1 THEN 1 END) AS recent_failures FROM d GROUP BY 1),
+    verdicts AS (SELECT e.job_name, CASE WHEN st IS NULL THEN 'sem_registro' WHEN st = 'failed' THEN 'falhou' WHEN dead THEN 'travado'
+    WHEN age > stale_minutes THEN 'atrasado' WHEN runs_in_window < per_day THEN 'poucas_execucoes'
+    WHEN recent_failures > 0 THEN 'falhas_recentes' WHEN st = 'running' THEN 'rodando' ELSE 'ok' END AS verdict,
+    age AS minutes_since_last, coalesce(runs_in_window, 0) AS runs_in_window, coalesce(recent_failures, 0) AS recent_failures
+    FROM expected e LEFT JOIN f ON f.job_name = e.job_name),
+    graded AS (SELECT *, CASE WHEN verdict IN ('falhou', 'travado', 'atrasado') THEN 'crit' WHEN verdict IN ('poucas_execucoes',
+    'falhas_recentes') THEN 'warn' WHEN verdict = 'sem_registro' THEN 'unknown' ELSE 'ok' END AS severity FROM verdicts)"""
 
 
 def job_verdicts(t: Tables) -> DataFrame:
@@ -1302,20 +1938,33 @@ def hlt1_job_health(t: Tables) -> DataFrame:
     return job_verdicts(t)
 
 
-@query(f"""WITH {HEALTH_SQL}, r AS (SELECT *, CASE severity WHEN 'crit' THEN 3 WHEN 'warn' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END AS rank FROM graded)
-    SELECT CASE max(rank) WHEN 3 THEN 'crit' WHEN 2 THEN 'warn' WHEN 1 THEN 'unknown' ELSE 'ok' END AS severity, coalesce(string_agg(CASE WHEN rank > 0 THEN job_name END, ',' ORDER BY rank DESC, job_name), '') AS problems, count(CASE WHEN severity = 'crit' THEN 1 END) AS critical FROM r""")
+@query(f"""WITH {HEALTH_SQL}, r AS (SELECT *, CASE severity WHEN 'crit' THEN 3 WHEN 'warn' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END AS rank
+    FROM graded)
+    SELECT CASE max(rank) WHEN 3 THEN 'crit' WHEN 2 THEN 'warn' WHEN 1 THEN 'unknown' ELSE 'ok' END AS severity, coalesce(string_agg(CASE
+    WHEN rank > 0 THEN job_name END, ',' ORDER BY rank DESC, job_name), '') AS problems, count(CASE
+    WHEN severity = 'crit' THEN 1 END) AS critical FROM r""")
 def hlt2_pipeline_health(t: Tables) -> DataFrame:
     return health.pipeline_health(job_verdicts(t))
 
 
-@query("""WITH l AS (SELECT max(occurred_at) AS through, max(materialized_at) AS ran FROM orders_fx) SELECT DISTINCT o_orderdate AS "start", o_orderdate + INTERVAL '20' DAY AS "end", CASE WHEN o_orderdate + INTERVAL '20' DAY <= through THEN 'fresh' WHEN o_orderdate > through THEN 'not_yet'
-    WHEN o_orderdate + INTERVAL '20' DAY <= TIMESTAMP '2001-08-10' AND ran >= o_orderdate + INTERVAL '20' DAY THEN 'fresh' WHEN o_orderdate + INTERVAL '20' DAY <= TIMESTAMP '2001-08-10' THEN 'incomplete' ELSE 'trailing' END AS freshness, NOT (o_orderdate > through) AS can_show_totals FROM orders, l""")
+@query("""WITH l AS (SELECT max(occurred_at) AS through, max(materialized_at) AS ran FROM orders_fx) SELECT DISTINCT o_orderdate AS "start",
+    o_orderdate + INTERVAL '20' DAY AS "end", CASE WHEN o_orderdate + INTERVAL '20' DAY <= through THEN 'fresh'
+    WHEN o_orderdate > through THEN 'not_yet'
+    WHEN o_orderdate + INTERVAL '20' DAY <= TIMESTAMP '2001-08-10' AND ran >= o_orderdate + INTERVAL '20' DAY THEN 'fresh'
+    WHEN o_orderdate + INTERVAL '20' DAY <= TIMESTAMP '2001-08-10' THEN 'incomplete' ELSE 'trailing' END AS freshness,
+    NOT (o_orderdate > through) AS can_show_totals FROM orders, l""")
 def hlt3_freshness(t: Tables) -> DataFrame:
-    periods = t.orders.select(F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")).alias("end")).distinct()
+    periods = t.orders.select(
+        F.col("o_orderdate").alias("start"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")).alias("end"),
+    ).distinct()
     return health.freshness(periods, A.materialized_lag(t.orders_fx, ntz(ORDERS_AS_OF)), ntz(datetime(2001, 8, 10)))
 
 
-@query("SELECT id, CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-31' - INTERVAL '30' MINUTE THEN 'failed' ELSE status END AS status FROM job_runs_fx")
+@query(
+    """SELECT id, CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-31' - INTERVAL '30' MINUTE THEN 'failed'
+        ELSE status END AS status FROM job_runs_fx"""
+)
 def hlt4_mark_stale_runs(t: Tables) -> DataFrame:
     return health.mark_stale(t.job_runs_fx, ntz(EVENTS_AS_OF), 30).select("id", "status")
 
@@ -1328,7 +1977,10 @@ def hlt5_retention(t: Tables) -> DataFrame:
 # ---- incremental
 
 
-@query(f"WITH v AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY event_id DESC) AS nth FROM changes_fx WHERE {CHANGE_SQL} IS NULL) SELECT record_id, payload FROM v WHERE nth = 1 AND operation <> 'DELETE'")
+@query(
+    f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY event_id DESC) AS nth FROM changes_fx
+        WHERE {CHANGE_SQL} IS NULL) SELECT record_id, payload FROM v WHERE nth = 1 AND operation <> 'DELETE'"""
+)
 def str2_apply_changes(t: Tables) -> DataFrame:
     valid, _ = ingest.split_changes(t.changes_fx, filters.change_problem(["raw_payloads"]))
     empty = t.changes_fx.where(F.lit(False)).select("record_id", "payload")
@@ -1337,20 +1989,33 @@ def str2_apply_changes(t: Tables) -> DataFrame:
 
 @query("""SELECT external_order_id, CASE WHEN attempts >= 5 THEN 'dead_letter' ELSE 'retry' END AS outcome, CASE WHEN attempts < 5 THEN TIMESTAMP '2001-08-02' + CASE attempts WHEN 0 THEN INTERVAL '0' SECOND WHEN 1 THEN INTERVAL '30' SECOND WHEN 2 THEN INTERVAL '300' SECOND WHEN 3 THEN INTERVAL '900' SECOND ELSE INTERVAL '3600' SECOND END END AS next_attempt_at FROM divergences_fx""")
 def str3_retry_schedule(t: Tables) -> DataFrame:
-    return health.retry_schedule(t.divergences_fx, ntz(ORDERS_AS_OF), V.RETRY_SECONDS).select("external_order_id", "outcome", "next_attempt_at")
+    return health.retry_schedule(
+        t.divergences_fx,
+        ntz(ORDERS_AS_OF),
+        V.RETRY_SECONDS,
+    ).select("external_order_id", "outcome", "next_attempt_at")
 
 
-@query(f"SELECT CAST(processed_at - INTERVAL '3' HOUR AS DATE) AS day, gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents, count(*) AS n FROM payment_tx_fx WHERE status = 'success' GROUP BY 1, 2")
+@query(
+    f"""SELECT CAST(processed_at - INTERVAL '3' HOUR AS DATE) AS day, gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents,
+        count(*) AS n FROM payment_tx_fx WHERE status = 'success' GROUP BY 1, 2"""
+)
 def str6_daily_rolling_totals(t: Tables) -> DataFrame:
     return ingest.daily_totals(t.payment_tx_fx.where("status = 'success'"))
 
 
-@query("SELECT CAST(sum(duration_ms) AS BIGINT) AS duration_ms, min(started_at) AS first_started_at, max(started_at) AS last_started_at FROM job_runs_fx")
+@query(
+    """SELECT CAST(sum(duration_ms) AS BIGINT) AS duration_ms, min(started_at) AS first_started_at, max(started_at) AS last_started_at
+        FROM job_runs_fx"""
+)
 def str7_cycle_summary(t: Tables) -> DataFrame:
     return ingest.cycle_totals(t.job_runs_fx, ["duration_ms"])
 
 
-@query("SELECT order_key AS id, CASE WHEN CAST(order_key AS BIGINT) % 5 = 0 THEN 'vanished' ELSE 'fetched' END AS outcome FROM orders_fx WHERE CAST(order_key AS BIGINT) % 3 = 0")
+@query(
+    """SELECT order_key AS id, CASE WHEN CAST(order_key AS BIGINT) % 5 = 0 THEN 'vanished' ELSE 'fetched' END AS outcome FROM orders_fx
+        WHERE CAST(order_key AS BIGINT) % 3 = 0"""
+)
 def str8_repair_backlog(t: Tables) -> DataFrame:
     rows = t.orders_fx.select(F.col("order_key").alias("id"))
     k = F.col("id").cast("long")

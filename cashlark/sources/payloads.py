@@ -15,14 +15,23 @@ _MONEY = "struct<shop_money:struct<amount:string>>"
 #: Fields of both sources' payloads.
 ORDER_PAYLOAD = ", ".join(
     [
-        *(f"{c} string" for c in "id name order_number number financial_status display_financial_status total_price current_total_price subtotal_price current_subtotal_price total_line_items_price total_tax total_discounts current_total_discounts total_shipping_price currency processed_at created_at updated_at updatedAt gateway note tags".split()),
-        *(f"{c} {_MONEY}" for c in "total_shipping_price_set current_total_shipping_price_set current_total_discounts_set current_total_tax_set current_total_additional_fees_set".split()),
+        *(
+            f"{c} string"
+            for c in "id name order_number number financial_status display_financial_status total_price current_total_price subtotal_price current_subtotal_price total_line_items_price total_tax total_discounts current_total_discounts total_shipping_price currency processed_at created_at updated_at updatedAt gateway note tags".split()
+        ),
+        *(
+            f"{c} {_MONEY}"
+            for c in "total_shipping_price_set current_total_shipping_price_set current_total_discounts_set current_total_tax_set current_total_additional_fees_set".split()
+        ),
         "payment_gateway_names array<string>",
         "note_attributes array<struct<name:string,value:string>>",
         "transactions array<struct<gateway:string,payment_details:struct<credit_card:struct<brand:string>,wallet:struct<type:string>>>>",
         f"shipping_lines array<struct<price:string,discounted_price:string,discounted_price_set:{_MONEY}>>",
         f"line_items array<struct<total_discount:string,total_discount_set:{_MONEY}>>",
-        *(f"{c} string" for c in "paymentStatus status marketPlace marketPlaceNumber total freight discount paymentDate createdAt lastUpdate".split()),
+        *(
+            f"{c} string"
+            for c in "paymentStatus status marketPlace marketPlaceNumber total freight discount paymentDate createdAt lastUpdate".split()
+        ),
         "payments array<struct<status:string,paymentMethodNormalized:string,paymentDetailNormalized:string,method:string,marketplaceFee:string,gatewayFee:string>>",
     ]
 )

@@ -34,14 +34,26 @@ def read_orders(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("not is_deleted").drop("is_deleted", "bucket")
 
 
-def update_orders(events: DataFrame, resolutions: DataFrame, path: str, buckets: int, first_day: date, last_day: date, as_of: datetime | None = None) -> None:
+def update_orders(
+    events: DataFrame,
+    resolutions: DataFrame,
+    path: str,
+    buckets: int,
+    first_day: date,
+    last_day: date,
+    as_of: datetime | None = None,
+) -> None:
     """Materialise days into a stored order table; only buckets that hold a touched order are read whole and rewritten."""
     spark = events.sparkSession
     keys = orders.touched(read_orders(spark, path), events, resolutions, first_day, last_day)
     # At most as many numbers as there are buckets.
     hit = sorted(r["bucket"] for r in keys.select(_bucket(buckets).alias("bucket")).distinct().collect())
     current = spark.read.parquet(path).where(F.col("bucket").isin(hit) & ~F.col("is_deleted")).drop("is_deleted", "bucket")
-    write_orders(orders.materialize(current, events, resolutions, first_day, last_day, as_of).where(_bucket(buckets).isin(hit)), path, buckets)
+    write_orders(
+        orders.materialize(current, events, resolutions, first_day, last_day, as_of).where(_bucket(buckets).isin(hit)),
+        path,
+        buckets,
+    )
 
 
 def snapshot_day(entries: DataFrame, day: date, zone: str, path: str) -> None:
@@ -54,7 +66,14 @@ def read_snapshot(spark: SparkSession, day: date, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("day") == F.lit(day)).drop("day")
 
 
-def backfill_window(mirror: DataFrame, upstream: DataFrame, start: datetime, end: datetime, floor: datetime, content: list[str]) -> DataFrame:
+def backfill_window(
+    mirror: DataFrame,
+    upstream: DataFrame,
+    start: datetime,
+    end: datetime,
+    floor: datetime,
+    content: list[str],
+) -> DataFrame:
     """The mirror with upstream's events of a half-open window merged in; a start below the floor is refused."""
     if start < floor:
         raise ValueError(f"the window starts at {start}, below the floor of the data at {floor}")
@@ -67,6 +86,12 @@ def in_window(events: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 def window_counts(mirror: DataFrame, upstream: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Events of the window on both sides by source: the check before and after a backfill."""
-    sides = [in_window(rows, start, end).select("source", F.lit(side).alias("side")) for side, rows in (("mirror", mirror), ("upstream", upstream))]
-    counts = sides[0].unionByName(sides[1]).groupBy("source").agg(F.count_if(F.col("side") == "mirror").alias("mirrored"), F.count_if(F.col("side") == "upstream").alias("upstream"))
+    sides = [
+        in_window(rows, start, end).select("source", F.lit(side).alias("side"))
+        for side, rows in (("mirror", mirror), ("upstream", upstream))
+    ]
+    counts = sides[0].unionByName(sides[1]).groupBy("source").agg(
+        F.count_if(F.col("side") == "mirror").alias("mirrored"),
+        F.count_if(F.col("side") == "upstream").alias("upstream"),
+    )
     return counts.withColumn("missing", F.col("upstream") - F.col("mirrored"))

@@ -25,7 +25,14 @@ def fresh_events(stream: DataFrame, key: str = "id", stamp: str = "received_at",
     return timed.withWatermark(stamp, grace).dropDuplicatesWithinWatermark([key])
 
 
-def incremental(stored: DataFrame, arrivals: DataFrame, floor: datetime, key: str = "id", stamp: str = "received_at", grace_seconds: int = 300) -> DataFrame:
+def incremental(
+    stored: DataFrame,
+    arrivals: DataFrame,
+    floor: datetime,
+    key: str = "id",
+    stamp: str = "received_at",
+    grace_seconds: int = 300,
+) -> DataFrame:
     """Arrivals that a mirror lacks: read again from its newest instant less the grace, or from the floor if it is empty.
 
     Ids that are stored are never taken twice, however old they are; of repeated
@@ -45,7 +52,10 @@ def unseen(stream: DataFrame, key: str = "event_id", stamp: str = "ts", kept: st
 def daily_totals(stream: DataFrame, stamp: str = "processed_at", late: str = "2 days", offset: str = "3 hours") -> DataFrame:
     """Cents and number of payments per gateway and local day, a day of UTC moved by ``offset``."""
     timed = stream.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, late)
-    grouped = timed.groupBy(F.window(stamp, "1 day", "1 day", offset).alias("w"), "gateway_raw").agg(F.sum("amount_cents").cast("long").alias("amount_cents"), F.count("*").alias("n"))
+    grouped = timed.groupBy(F.window(stamp, "1 day", "1 day", offset).alias("w"), "gateway_raw").agg(
+        F.sum("amount_cents").cast("long").alias("amount_cents"),
+        F.count("*").alias("n"),
+    )
     return grouped.select(F.to_date("w.start").alias("day"), "gateway_raw", "amount_cents", "n")
 
 
@@ -79,4 +89,8 @@ def repair_backlog(mirror: DataFrame, upstream: DataFrame, queued: DataFrame, ke
 
 def cycle_totals(cycles: DataFrame, counters: list[str]) -> DataFrame:
     """Counters of successive cycles merged to one row."""
-    return cycles.agg(*[S.zero(F.sum(c)).cast("long").alias(c) for c in counters], F.min("started_at").alias("first_started_at"), F.max("started_at").alias("last_started_at"))
+    return cycles.agg(
+        *[S.zero(F.sum(c)).cast("long").alias(c) for c in counters],
+        F.min("started_at").alias("first_started_at"),
+        F.max("started_at").alias("last_started_at"),
+    )

@@ -26,7 +26,17 @@ def test_every_query_has_a_twin():
     assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["agg1_cash_flow_by_source_method_type", "ded1_dedup_events", "agg11_dominant_gateway", "cf1_cash_flow_summary", "hlt1_job_health", "src9_import_csv"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "agg1_cash_flow_by_source_method_type",
+        "ded1_dedup_events",
+        "agg11_dominant_gateway",
+        "cf1_cash_flow_summary",
+        "hlt1_job_health",
+        "src9_import_csv",
+    ],
+)
 def test_queries_match_their_twins(spark, name):
     import duckdb
 
@@ -68,7 +78,10 @@ def test_orders_that_no_longer_hold_are_deleted(spark):
     events, none = registry.payload_events(t), registry.no_resolution(t)
     current = orders.map_orders(orders.joins.events_with_resolution(orders.newest_events(events), none))
     unpaid = events.withColumn("payload_json", F.lit("{}"))
-    changes = {r["change"] for r in orders.change_counts(orders.materialize(current, unpaid, none, date(1990, 1, 1), date(2005, 1, 1))).collect()}
+    changes = {
+        r["change"]
+        for r in orders.change_counts(orders.materialize(current, unpaid, none, date(1990, 1, 1), date(2005, 1, 1))).collect()
+    }
     assert changes == {"deleted"}
 
 
@@ -81,8 +94,14 @@ def test_stream_of_changes_equals_batch(spark, tmp_path):
 
     def sink(batch, _):
         last = ingest.last_change(batch).select("record_id", "payload", "event_id", "operation")
-        newer = last.join(seen["state"].select("record_id", F.col("event_id").alias("old")), "record_id", "left").where("old is null or event_id > old").drop("old")
-        merged = seen["state"].join(newer.select("record_id"), "record_id", "left_anti").unionByName(newer.select("record_id", F.when(F.col("operation") != "DELETE", F.col("payload")).alias("payload"), "event_id"))
+        newer = last.join(
+            seen["state"].select("record_id", F.col("event_id").alias("old")),
+            "record_id",
+            "left",
+        ).where("old is null or event_id > old").drop("old")
+        merged = seen["state"].join(newer.select("record_id"), "record_id", "left_anti").unionByName(
+            newer.select("record_id", F.when(F.col("operation") != "DELETE", F.col("payload")).alias("payload"), "event_id")
+        )
         path = str(tmp_path / f"state-{seen['n']}")
         merged.write.parquet(path)
         seen.update(state=spark.read.parquet(path), n=seen["n"] + 1)
@@ -91,7 +110,10 @@ def test_stream_of_changes_equals_batch(spark, tmp_path):
     ingest.run_once(stream, sink, str(tmp_path / "checkpoint"))
     assert seen["n"] == 4
     streamed = {(r["record_id"], r["payload"]) for r in seen["state"].where("payload is not null").collect()}
-    batch = {(r["record_id"], r["payload"]) for r in ingest.apply_changes(changes.where("false").select("record_id", "payload"), changes).collect()}
+    batch = {
+        (r["record_id"], r["payload"])
+        for r in ingest.apply_changes(changes.where("false").select("record_id", "payload"), changes).collect()
+    }
     assert streamed == batch
 
 
@@ -106,7 +128,12 @@ def test_streamed_events_are_deduplicated(spark, tmp_path):
 
 def test_snapshots_replace_their_day_only(spark, tmp_path):
     rows = Tables(spark, SF).entries_fx
-    first, second = [r[0] for r in rows.select(F.to_date(F.from_utc_timestamp("occurred_at", "America/Sao_Paulo")).alias("d")).distinct().orderBy("d").limit(2).collect()]
+    first, second = [
+        r[0]
+        for r in rows.select(
+            F.to_date(F.from_utc_timestamp("occurred_at", "America/Sao_Paulo")).alias("d")
+        ).distinct().orderBy("d").limit(2).collect()
+    ]
     path = str(tmp_path / "days")
     for day in (first, second, first):
         sinks.snapshot_day(rows, day, "America/Sao_Paulo", path)
@@ -122,14 +149,27 @@ def test_backfill_refuses_to_go_below_the_floor(spark):
 
 
 def test_landed_pages_of_orders(spark, tmp_path):
-    (tmp_path / "page.json").write_text('{"orders": [{"id": 7, "name": "#7", "total_price": "10.00", "total_tax": "1.00", "processed_at": "2024-01-01T00:00:00Z", "payment_gateway_names": ["pix"]}]}')
+    (tmp_path / "page.json").write_text(
+        '{"orders": [{"id": 7, "name": "#7", "total_price": "10.00", "total_tax": "1.00", "processed_at": "2024-01-01T00:00:00Z", "payment_gateway_names": ["pix"]}]}'
+    )
     row = orders.map_extract(orders_extract(spark, str(tmp_path))).first()
-    assert (row["external_id"], row["order_number"], row["amount_cents"], row["tax_cents"], row["payment_method_normalized"]) == ("7", "#7", 1000, 100, "pix")
+    assert (
+        row["external_id"],
+        row["order_number"],
+        row["amount_cents"],
+        row["tax_cents"],
+        row["payment_method_normalized"],
+    ) == ("7", "#7", 1000, 100, "pix")
 
 
 def test_csv_quirks(spark):
     text = 'Data;Tipo;Valor;Descrição;Origem\n01/02/2024,receita,"1.234,56",a;b\n2024-02-30;despesa;5\n\n2024-03-01;Saída;1.234;"x;y"\n'
-    rows = {r["row_index"]: r for r in imports.parse(spark.createDataFrame([("f", text), ("empty", ""), ("head", "data")], "path string, content string")).collect()}
+    rows = {
+        r["row_index"]: r
+        for r in imports.parse(
+            spark.createDataFrame([("f", text), ("empty", ""), ("head", "data")], "path string, content string")
+        ).collect()
+    }
     assert (rows[1]["amount_cents"], rows[1]["description"], rows[1]["origin"], rows[1]["type"]) == (123456, "a", "b", "income")
     assert rows[2]["status"] == "error" and "data inválida" in rows[2]["error_message"]
     assert (rows[3]["amount_cents"], rows[3]["description"]) == (123400, "x;y")
@@ -144,7 +184,12 @@ def test_periods():
 
 def test_job_health_precedence(spark):
     now = datetime(2024, 1, 2)
-    runs = [(1, "a", datetime(2024, 1, 1, 23, 50), "failed", "cf-cron-1"), (2, "b", datetime(2024, 1, 1, 20), "running", "cf-cron-2"), (3, "c", datetime(2024, 1, 1, 23, 59), "ok", "manual"), (4, "d", datetime(2024, 1, 1, 23, 59), "ok", "cf-cron-4")]
+    runs = [
+        (1, "a", datetime(2024, 1, 1, 23, 50), "failed", "cf-cron-1"),
+        (2, "b", datetime(2024, 1, 1, 20), "running", "cf-cron-2"),
+        (3, "c", datetime(2024, 1, 1, 23, 59), "ok", "manual"),
+        (4, "d", datetime(2024, 1, 1, 23, 59), "ok", "cf-cron-4"),
+    ]
     df = spark.createDataFrame(runs, "id long, job_name string, started_at timestamp, status string, request_id string")
     expected = spark.createDataFrame([(j, 60, 1, 60) for j in "abcd"], "job_name string, stale_minutes int, per_day int, max_seconds int")
     found = health.job_health(df, expected, F.lit(now))
@@ -168,12 +213,24 @@ def test_empty_legs_clear_only_on_request(spark):
 
 def test_candidates_are_half_open_business_days(spark):
     stamps = [datetime(2024, 1, 8, 2, 59, 59), datetime(2024, 1, 8, 3), datetime(2024, 1, 13, 2, 59, 59), datetime(2024, 1, 13, 3)]
-    rows = spark.createDataFrame([(f"e{i}", f"o{i}", "shopify", "{}", at) for i, at in enumerate(stamps)], "id string, external_order_id string, source string, payload_json string, received_at timestamp")
+    rows = spark.createDataFrame(
+        [(f"e{i}", f"o{i}", "shopify", "{}", at) for i, at in enumerate(stamps)],
+        "id string, external_order_id string, source string, payload_json string, received_at timestamp",
+    )
     assert sorted(r["order_key"] for r in orders.candidates(rows, date(2024, 1, 10), date(2024, 1, 10)).collect()) == ["o1", "o2"]
 
 
 def paid_event(order, amount, at):
-    return (f"{order}-{at:%d%H}", order, "shopify", "order", '{"financial_status": "paid", "total_price": "%s", "created_at": "2024-01-10T12:00:00Z"}' % amount, at, None, "processed")
+    return (
+        f"{order}-{at:%d%H}",
+        order,
+        "shopify",
+        "order",
+        '{"financial_status": "paid", "total_price": "%s", "created_at": "2024-01-10T12:00:00Z"}' % amount,
+        at,
+        None,
+        "processed",
+    )
 
 
 EVENTS = "id string, external_order_id string, source string, event_type string, payload_json string, received_at timestamp, mirror_updated_at timestamp, processing_status string"
@@ -188,7 +245,10 @@ def test_orders_resolved_late_are_materialised_again(spark, tmp_path):
     sinks.write_orders(orders.materialize_day(empty, events, none, day, now), path, 4)
     assert {(r["payment_method_raw"], r["materialized_at"]) for r in sinks.read_orders(spark, path).collect()} == {(None, now)}
     stale, early = ("o3", "pix", datetime(2024, 1, 9), datetime(2024, 1, 20)), ("o4", "pix", datetime(2024, 1, 9), datetime(2024, 1, 1))
-    resolved = spark.createDataFrame([stale, early], "external_order_id string, gateway_raw string, processed_at timestamp, resolved_at timestamp")
+    resolved = spark.createDataFrame(
+        [stale, early],
+        "external_order_id string, gateway_raw string, processed_at timestamp, resolved_at timestamp",
+    )
     before = {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "orders").glob("bucket=*")}
     sinks.update_orders(events, resolved, path, 4, date(2024, 3, 1), date(2024, 3, 1), datetime(2024, 1, 21))
     after = {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "orders").glob("bucket=*")}
@@ -200,7 +260,10 @@ def test_orders_resolved_late_are_materialised_again(spark, tmp_path):
 
 
 def test_export_is_one_file_with_mark_and_headings(spark, tmp_path):
-    rows = spark.createDataFrame([('Loja "A"; B', None, None, None, "Pedido #7", "", "cash", datetime(2024, 1, 2, 1), 1050, None, 5, -3, 2)], "marketplace string, external_source string, source string, order_number string, description string, payment_method_raw string, payment_method_normalized string, occurred_at timestamp, amount_cents long, shipping_cents long, discount_cents long, tax_cents long, fee_cents long")
+    rows = spark.createDataFrame(
+        [('Loja "A"; B', None, None, None, "Pedido #7", "", "cash", datetime(2024, 1, 2, 1), 1050, None, 5, -3, 2)],
+        "marketplace string, external_source string, source string, order_number string, description string, payment_method_raw string, payment_method_normalized string, occurred_at timestamp, amount_cents long, shipping_cents long, discount_cents long, tax_cents long, fee_cents long",
+    )
     cashflow.write_export(cashflow.export_rows(rows, "America/Sao_Paulo"), str(tmp_path / "out"), single=True)
     (file,) = (tmp_path / "out").glob("part-*")
     assert file.read_text(encoding="utf-8") == '﻿Marketplace;Numero do pedido;Data;Forma de pagamento;Entrega;Descontos;Taxas;Valor\n"Loja ""A""; B";#7;01/01/2024;Dinheiro;0.00;0.05;-0.01;10.50\n'
@@ -223,7 +286,12 @@ def test_streamed_ingestion_equals_batch(spark, tmp_path):
     rows.limit(0).write.parquet(mirror)
 
     def sink(batch, _):
-        ingest.incremental(spark.read.schema(rows.schema).parquet(mirror), batch, datetime(2024, 1, 1), grace_seconds=40 * 86400).write.mode("append").parquet(mirror)
+        ingest.incremental(
+            spark.read.schema(rows.schema).parquet(mirror),
+            batch,
+            datetime(2024, 1, 1),
+            grace_seconds=40 * 86400,
+        ).write.mode("append").parquet(mirror)
 
     ingest.run_once(ingest.source(spark, source, rows.schema, files_per_batch=1), sink, str(tmp_path / "checkpoint"))
     found = [r["id"] for r in spark.read.parquet(mirror).collect()]
@@ -232,7 +300,10 @@ def test_streamed_ingestion_equals_batch(spark, tmp_path):
 
 def test_numbers_and_gaps_need_no_whole_group(spark):
     rng = random.Random(5)
-    rows = [("ab"[i % 7 > 0], i, datetime.fromtimestamp(1_700_000_000 + rng.randrange(10**6) * (1 + 9 * (i % 5 == 0)))) for i in range(300)] + [("c", 1, None)]
+    rows = [
+        ("ab"[i % 7 > 0], i, datetime.fromtimestamp(1_700_000_000 + rng.randrange(10**6) * (1 + 9 * (i % 5 == 0))))
+        for i in range(300)
+    ] + [("c", 1, None)]
     frame = spark.createDataFrame(rows, "g string, k long, ts timestamp")
     for r in ranks.numbered(frame, "g", ["k"]).collect():
         own = sorted(k for g, k, _ in rows if g == r["g"])
