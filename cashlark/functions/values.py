@@ -76,12 +76,6 @@ BUSINESS_ZONE, VERIFICATION_ZONE = "America/Sao_Paulo", "America/Bahia"
 #: The days that a materialisation covers begin at this fixed offset.
 BUSINESS_OFFSET = "-03:00"
 
-# Expectations of scheduled jobs: label, minutes until late, runs per day, seconds that a run may take.
-JOB_EXPECTATIONS = {
-    "worker-sync": ("Sync OMS → mirror", 240, 8, 60),
-    "materialize-orders": ("Materialização de pedidos", 900, 4, 300),
-    "shopify-payment-resolution": ("Resolução de gateway Shopify", 180, 13, 300),
-    "shopify-verify": ("Verificação contra a Shopify", 1560, 1, 300),
-}
+# How scheduled runs are told from manual ones, and limits of their health.
 SCHEDULED_PREFIX = "cf-cron-"
 RUN_WINDOW_MINUTES, STUCK_FACTOR = 24 * 60 + 15, 2

@@ -61,7 +61,6 @@ def explain_difference(
     ledger: DataFrame,
     events: DataFrame,
     orders: DataFrame,
-    day: Column,
     zone: str,
     end: Column,
 ) -> DataFrame:

@@ -438,7 +438,6 @@ def jn11_explain_difference(t: Tables) -> DataFrame:
         split(t),
         events,
         t.orders_fx.where("status <> 'rejected'"),
-        F.lit(None),
         ZONE,
         ntz(ORDERS_AS_OF),
     )

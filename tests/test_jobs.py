@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cashlark import registry
 from cashlark.operators import dedup, ranks, state
-from cashlark.plans import cashflow, health, imports, orders, reconcile
+from cashlark.plans import cashflow, health, imports, orders, payments, reconcile
 from cashlark.sources import sinks
 from cashlark.sources.fixtures import Tables
 from cashlark.sources.payloads import orders_extract
@@ -312,3 +312,26 @@ def test_numbers_and_gaps_need_no_whole_group(spark):
     for g in "ab":
         own = sorted(t for x, _, t in rows if x == g)
         assert found[g] == max((b - a).total_seconds() for a, b in zip(own, own[1:])) * 1e6
+
+
+def test_events_by_day_and_legs_by_order(spark, tmp_path):
+    rows = Tables(spark, SF).raw_events_fx
+    sinks.write_events(rows, str(tmp_path / "events"))
+    days = {p.name for p in (tmp_path / "events").glob("received_day=*")}
+    assert len(days) == rows.select(F.to_date("received_at")).distinct().count()
+    assert spark.read.parquet(str(tmp_path / "events")).drop("received_day").count() == rows.count()
+    legs = spark.createDataFrame(
+        [("1", "pix", "sale", "success", 5), ("1", "card", "sale", "success", 7), ("2", "pix", "sale", "failure", 9), ("3", "pix", "sale", "success", 1)],
+        "external_order_id string, gateway_raw string, kind string, status string, amount_cents long",
+    ).withColumn("processed_at", F.lit(datetime(2024, 1, 1)))
+    ledger = payments.A.gateway_split(legs).where("external_order_id <> '1'").withColumn("amount_cents", F.lit(100).cast("long"))
+    found = payments.resolve_into(ledger, legs.select("external_order_id").where("external_order_id < '3'"), legs)
+    assert sorted((r["external_order_id"], r["gateway_raw"], r["amount_cents"]) for r in found.collect()) == [("1", "card", 7), ("1", "pix", 5), ("3", "pix", 100)]
+
+
+def test_finance_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Data;Tipo;Valor\n01/02/2024;receita;5\n")
+    (tmp_path / "b.csv").write_text("")
+    files = imports.read_files(spark, str(tmp_path))
+    assert {r["path"].rpartition("/")[2] for r in files.collect()} >= {"a.csv"}
+    assert imports.parse(files).where("status <> 'error'").count() == 1
