@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, capfilters, licenses, lines, neardup, neighbours, packing, quality, secrets
+from . import archives, bpe, capfilters, divergence, licenses, lines, neardup, neighbours, packing, quality, repetition, secrets
 from .common import table
 
 WORDS = "word_bpe_49k.json"
@@ -77,6 +77,16 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_length_bucketed_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each source of a language to each other one, and its most over-used terms; null columns count as ''."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated lines and n-grams cover of each document, and whether the rules keep it; a null text has no words."""
+    return repetition.judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = (
         op1_suffix_array_lines,
@@ -89,9 +99,14 @@ def queries() -> dict:
         op8_order_minhash,
         op9_harmonic_packing,
         op10_ownership_secrets,
+        op11_length_bucketed_divergence,
+        op13_repetition_coverage,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op11_length_bucketed_divergence": divergence.twin(),
+        "op13_repetition_coverage": repetition.twin(),
+    }
