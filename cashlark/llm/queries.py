@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, capfilters, divergence, licenses, lines, neardup, neighbours, packing, quality, repetition, secrets
+from . import archives, bpe, capfilters, codes, divergence, licenses, lines, neardup, neighbours, packing, quality, repetition, secrets
 from .common import table
 
 WORDS = "word_bpe_49k.json"
@@ -82,6 +82,11 @@ def op11_length_bucketed_divergence(spark: SparkSession, sf_dir: str) -> DataFra
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_member_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of each vector, its error and that of its label; null and non-finite vectors take no part."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated lines and n-grams cover of each document, and whether the rules keep it; a null text has no words."""
     return repetition.judged(table(spark, sf_dir, "documents"))
@@ -100,6 +105,7 @@ def queries() -> dict:
         op9_harmonic_packing,
         op10_ownership_secrets,
         op11_length_bucketed_divergence,
+        op12_member_resident_lloyd,
         op13_repetition_coverage,
     )
     return {f.__name__: f for f in found}
@@ -108,5 +114,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_length_bucketed_divergence": divergence.twin(),
+        "op12_member_resident_lloyd": codes.twin(),
         "op13_repetition_coverage": repetition.twin(),
     }
