@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..functions.values import NO_GATEWAY, PAID_KINDS, STOREFRONT
-from .ranks import largest_gaps
+from .ranks import discrete_percentile, largest_gaps
 
 
 def total(column: str | Column) -> Column:
@@ -166,36 +166,31 @@ def pipeline_by_day(orders: DataFrame, ledger: DataFrame, resolutions: DataFrame
     )
 
 
-def job_run_report(runs: DataFrame, as_of: Column, stuck_minutes: int, per_day: Column, days: int) -> DataFrame:
-    """Per job: runs by outcome and trigger, durations of good runs, largest gap between starts, schedule coverage."""
+def job_run_report(runs: DataFrame, as_of: Column, per_day: Column, days: int) -> DataFrame:
+    """Per job over the last days: runs by outcome and trigger, durations of good runs, largest gap between starts, schedule coverage.
+
+    Runs without a known trigger are manual; the 95th percentile is the discrete one.
+    """
+    runs = runs.where(F.col("started_at") >= as_of - F.make_interval(days=F.lit(days)))
     scheduled = F.coalesce(F.col("request_id").startswith("cf-cron-"), F.lit(False))
     ok = F.col("status") == "ok"
-    stuck = (F.col("status") == "running") & (F.col("started_at") < as_of - F.make_interval(mins=F.lit(stuck_minutes)))
     report = runs.groupBy("job_name").agg(
         F.count("*").alias("runs"),
         F.count_if(ok).alias("ok"),
         F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count_if(stuck).alias("stuck"),
+        F.count_if(F.col("status") == "running").alias("stuck"),
         F.count_if(scheduled).alias("scheduled"),
         F.count_if(~scheduled).alias("manual"),
-        F.round(F.avg(F.when(ok, F.col("duration_ms"))), 6).alias("avg_ms"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms) FILTER (WHERE status = 'ok')").cast("long").alias("p95_ms"),
-        F.max("duration_ms").alias("max_ms"),
+        F.round(F.avg(F.when(ok, F.col("duration_ms")))).cast("long").alias("avg_ms"),
+        F.max(F.when(ok, F.col("duration_ms"))).alias("peak_ms"),
         F.max("started_at").alias("last_started_at"),
     )
-    gaps = largest_gaps(runs, "job_name", "started_at").select(
-        "job_name",
-        F.round(F.col("gap_micros") / 60e6, 6).alias("largest_gap_minutes"),
-    )
-    report = report.join(gaps, "job_name", "left")
+    high = discrete_percentile(runs.where(ok).select("job_name", "duration_ms"), "job_name", "duration_ms", 95)
+    gaps = largest_gaps(runs, "job_name", "started_at").select("job_name", F.round(F.col("gap_micros") / 60e6).cast("long").alias("largest_gap_minutes"))
+    report = report.join(high.withColumnRenamed("duration_ms", "p95_ms"), "job_name", "left").join(gaps, "job_name", "left")
     return report.withColumn("coverage_percent", F.round(F.col("scheduled") / (per_day * days) * 100, 6))
 
 
-def event_amplification(events: DataFrame, *keys) -> DataFrame:
-    counts = events.groupBy(*keys).agg(F.count("*").alias("events"), F.countDistinct("external_order_id").alias("orders"))
-    return counts.withColumn("events_per_order", F.col("events") / F.nullif(F.col("orders"), F.lit(0)))
-
-
 def with_shares(grouped: DataFrame, **shares: str) -> DataFrame:
     """Percentages of grand totals; the totals are one row of sums."""
     sums = grouped.agg(*[F.sum(c).alias(f"_{name}") for name, c in shares.items()])
@@ -205,61 +200,6 @@ def with_shares(grouped: DataFrame, **shares: str) -> DataFrame:
     ).drop(*[f"_{name}" for name in shares])
 
 
-def status_mix(canonical: DataFrame) -> DataFrame:
-    return with_shares(
-        canonical.groupBy("status").agg(F.count("*").alias("orders"), total("total_cents").alias("total_cents")),
-        orders_percent="orders",
-        money_percent="total_cents",
-    )
-
-
-def misattribution(split: DataFrame, dominant: DataFrame) -> DataFrame:
-    """Money that dominant gateways get credit for but others took."""
-    joined = split.join(dominant.select("external_order_id", F.col("gateway_raw").alias("winner")), "external_order_id")
-    other = F.col("gateway_raw") != F.col("winner")
-    sums = joined.agg(
-        total("amount_cents").alias("total_cents"),
-        sum_if(other, "amount_cents").alias("misattributed_cents"),
-        F.countDistinct(F.when(other, F.col("external_order_id"))).alias("split_orders"),
-    )
-    return sums.withColumn("misattributed_percent", F.col("misattributed_cents") / F.nullif(F.col("total_cents"), F.lit(0)) * 100)
-
-
-def gateway_inflation(split: DataFrame, dominant: DataFrame) -> DataFrame:
-    """Per gateway: what it took, what the dominant rule credits it with, and by how much that is too high."""
-    own = split.groupBy("gateway_raw").agg(total("amount_cents").alias("own_cents"))
-    credited = dominant.groupBy("gateway_raw").agg(total("total_amount_cents").alias("credited_cents"))
-    both = own.join(credited, "gateway_raw", "full_outer").select(
-        "gateway_raw",
-        S.zero(F.col("own_cents")).alias("own_cents"),
-        S.zero(F.col("credited_cents")).alias("credited_cents"),
-    )
-    return both.withColumn(
-        "inflation_percent",
-        (F.col("credited_cents") - F.col("own_cents")) / F.nullif(F.col("own_cents"), F.lit(0)) * 100,
-    )
-
-
-def value_parity(orders: DataFrame, resolutions: DataFrame, tolerance: int = 1) -> DataFrame:
-    difference = F.col("amount_cents") - F.col("total_amount_cents")
-    kind = F.when(F.abs(difference) <= tolerance, "equal").when(difference > 0, "above").otherwise("below")
-    return orders.join(resolutions, "external_order_id").groupBy(kind.alias("parity")).agg(
-        F.count("*").alias("orders"),
-        total(difference).alias("difference_cents"),
-    )
-
-
-def date_basis(orders: DataFrame, resolutions: DataFrame, zone: str) -> DataFrame:
-    """Whether orders were paid on the day they were made, with shares of the money."""
-    made, paid = S.local_day(F.col("occurred_at"), zone), S.local_day(F.col("processed_at"), zone)
-    kind = F.when(made == paid, "same_day").when(paid == F.date_add(made, 1), "next_day").when(paid > made, "later").otherwise("earlier")
-    grouped = orders.join(resolutions, "external_order_id").groupBy(kind.alias("basis")).agg(
-        F.count("*").alias("orders"),
-        total("total_amount_cents").alias("total_cents"),
-    )
-    return with_shares(grouped, money_percent="total_cents")
-
-
 def transactions_by_gateway(legs: DataFrame) -> DataFrame:
     """Per gateway the successful gross, refunds, net, legs and orders."""
     ok = legs.where("status = 'success'")

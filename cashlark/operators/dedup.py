@@ -24,9 +24,14 @@ def dedup_events(events: DataFrame, paid: Column, recency: Column) -> DataFrame:
     return first_by(events, keys, [paid.desc(), recency.desc_nulls_last(), F.desc("id")])
 
 
-def canonical_orders(events: DataFrame) -> DataFrame:
-    """Per order: paid first, newest first, greatest id first."""
-    return first_by(events, ["external_order_id"], [(F.col("status") == "paid").desc(), F.desc_nulls_last("received_at"), F.desc("id")])
+def canonical_orders(events: DataFrame, recency: Column | None = None, unknown: str = "sem_status") -> DataFrame:
+    """Per order the event that is paid, else the newest by the mirror's time or else by receipt (null last), then the greatest id.
+
+    ``status`` is the lower-case financial status, ``unknown`` where there is none.
+    """
+    rows = events.withColumn("status", F.lower(F.coalesce("financial_status", F.lit(unknown))))
+    recency = F.coalesce("mirror_updated_at", "received_at") if recency is None else recency
+    return first_by(rows, ["external_order_id"], [(F.col("status") == "paid").desc(), recency.desc_nulls_last(), F.desc("id")])
 
 
 def latest_paid(events: DataFrame) -> DataFrame:

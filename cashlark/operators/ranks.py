@@ -34,6 +34,25 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return both.withColumn("_j", F.col("_before") + F.col("_at") - F.col("_first")).select(*rows.columns, "_j", "_n")
 
 
+def discrete_percentile(rows: DataFrame, group: str, value: str, percent: int) -> DataFrame:
+    """``group, value``: the smallest value that at least ``percent`` percent of a group's known values do not exceed.
+
+    Values are counted, the counts lie in sorted range partitions, and the sums
+    of these tell which partition holds the place; only that one is summed up
+    value by value.  No task gathers the values of a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_k"))
+    placed = _ranged(counts, group, [value])
+    parts = placed.groupBy(group, "_part").agg(F.sum("_k").alias("_own"))
+    up_to = F.sum("_own").over(W.partitionBy(group).orderBy("_part"))
+    parts = parts.withColumns({"_up_to": up_to, "_n": F.sum("_own").over(W.partitionBy(group))})
+    place = F.floor((F.col("_n") * percent + 99) / 100)
+    here = parts.withColumn("_place", place).where((F.col("_place") <= F.col("_up_to")) & (F.col("_place") > F.col("_up_to") - F.col("_own")))
+    held = placed.join(here.select(group, "_part", "_place", (F.col("_up_to") - F.col("_own")).alias("_before")), [group, "_part"])
+    reached = F.col("_before") + F.sum("_k").over(W.partitionBy(group).orderBy(value))
+    return held.withColumn("_reached", reached).where("_reached >= _place").groupBy(group).agg(F.min(value).alias(value))
+
+
 def largest_gaps(rows: DataFrame, group: str, instant: str, width: str = "1 day") -> DataFrame:
     """``group, gap_micros``: the longest time between neighbouring instants of a group; null with one instant.
 

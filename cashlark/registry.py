@@ -13,12 +13,13 @@ from .functions import values as V
 from .operators import aggregates as A
 from .operators import dedup, filters, joins, paging, state
 from .operators.ranks import largest_gaps
-from .plans import cashflow, health, imports, orders, payments, reconcile
-from .sources import sinks
+from .plans import cashflow, diagnosis, health, imports, orders, payments, reconcile
+from .sources import order_store, sinks
 from .sources.fixtures import Tables, twin
 from .sources.payloads import order_payload, orders_extract
 from .sources.scratch import scratch, written
 from .streaming import ingest
+from .streaming.materialize import keep_orders
 
 FLAGSHIP = "cf1_cash_flow_summary"
 ORDERS_AS_OF, EVENTS_AS_OF = datetime(2001, 8, 2), datetime(2024, 1, 31)
@@ -79,8 +80,23 @@ RANKED_SQL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY external_or
     sum(amount_cents) OVER (PARTITION BY external_order_id) AS whole FROM split)"""
 DOMINANT_SQL = f"""{SPLIT_SQL}, {RANKED_SQL}, dominant AS (SELECT external_order_id, gateway_raw, amount_cents AS dominant_amount_cents,
     CAST(whole AS BIGINT) AS total_amount_cents, processed_at FROM ranked WHERE nth = 1)"""
-CANONICAL_SQL = """canonical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_order_id ORDER BY CASE status
-    WHEN 'paid' THEN 0 ELSE 1 END, received_at DESC NULLS LAST, id DESC) AS nth FROM raw_events_fx) WHERE nth = 1)"""
+DIAGNOSED = (datetime(1998, 1, 2), datetime(1998, 1, 1, 3), datetime(1998, 5, 1, 3))  # received from, created from, created before
+DIAGNOSED_SQL = f"source = 'shopify' AND has_payload AND external_order_id IS NOT NULL AND received_at >= TIMESTAMP '{DIAGNOSED[0]}'" + (
+    f" AND created_at >= TIMESTAMP '{DIAGNOSED[1]}' AND created_at < TIMESTAMP '{DIAGNOSED[2]}'"
+)
+
+
+def canonical_sql(where: str, recency: str = "coalesce(mirror_updated_at, received_at)", unknown: str = "sem_status") -> str:
+    """SQL of one event per order: a paid one, else the newest."""
+    return f"""canonical AS (SELECT DISTINCT ON (external_order_id) id, external_order_id, lower(coalesce(financial_status, '{unknown}')) AS status,
+    coalesce(total_cents, 0) AS total_cents, created_at FROM storefront_events_fx WHERE {where}
+    ORDER BY external_order_id, lower(coalesce(financial_status, '')) = 'paid' DESC, {recency} DESC NULLS LAST, id DESC)"""
+
+
+#: Resolutions of which some are undated and some name no gateway, and paid orders with theirs.
+SPR_SQL = """spr AS (SELECT external_order_id, CASE WHEN CAST(external_order_id AS BIGINT) % 10 <> 6 THEN gateway_raw END AS gateway_raw,
+    dominant_amount_cents, total_amount_cents, CASE WHEN CAST(external_order_id AS BIGINT) % 10 <> 4 THEN processed_at END AS processed_at FROM dominant)"""
+PAID_SQL = "FROM canonical c JOIN spr USING (external_order_id) WHERE status = 'paid' AND gateway_raw IS NOT NULL"
 IN_PERIOD = "occurred_at >= TIMESTAMP '1998-01-01' AND occurred_at < TIMESTAMP '1998-07-01'"
 
 
@@ -273,9 +289,19 @@ def ded1_dedup_events(t: Tables) -> DataFrame:
     ).select("id", "external_order_id", "source", "status")
 
 
-@query(f"WITH {CANONICAL_SQL} SELECT id, external_order_id, status FROM canonical")
+def diagnosed(t: Tables) -> DataFrame:
+    """Storefront events of the orders under diagnosis; absent totals are zero."""
+    return diagnosis.of_window(t.storefront_events_fx, *DIAGNOSED).withColumn("total_cents", S.zero(F.col("total_cents")))
+
+
+def partly_resolved(t: Tables) -> DataFrame:
+    k = F.col("external_order_id").cast("long") % 10
+    return dominant(t).withColumns({"gateway_raw": F.when(k != 6, F.col("gateway_raw")), "processed_at": F.when(k != 4, F.col("processed_at"))})
+
+
+@query(f"WITH {canonical_sql(DIAGNOSED_SQL)} SELECT id, external_order_id, status FROM canonical")
 def ded2_canonical_order(t: Tables) -> DataFrame:
-    return dedup.canonical_orders(t.raw_events_fx).select("id", "external_order_id", "status")
+    return dedup.canonical_orders(diagnosed(t)).select("id", "external_order_id", "status")
 
 
 @query(
@@ -705,116 +731,105 @@ def agg21_sweep_status(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT job_name, count(*) AS runs, count(CASE WHEN status = 'ok' THEN 1 END) AS ok, count(CASE
-    WHEN status = 'failed' THEN 1 END) AS failed, count(CASE WHEN status = 'running'
-    AND started_at < TIMESTAMP '2024-01-31' - INTERVAL '10' MINUTE THEN 1 END) AS stuck,
-    count(CASE WHEN request_id LIKE 'cf-cron-%' THEN 1 END) AS scheduled, count(CASE
-    WHEN request_id NOT LIKE 'cf-cron-%' THEN 1 END) AS manual, round(avg(CASE WHEN status = 'ok' THEN duration_ms END), 6) AS avg_ms,
+@query("""SELECT job_name, count(*) AS runs, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed,
+    count(*) FILTER (WHERE status = 'running') AS stuck, count(*) FILTER (WHERE request_id LIKE 'cf-cron-%') AS scheduled,
+    count(*) FILTER (WHERE request_id NOT LIKE 'cf-cron-%' OR request_id IS NULL) AS manual,
+    CAST(round(avg(duration_ms) FILTER (WHERE status = 'ok')) AS BIGINT) AS avg_ms,
     CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms) FILTER (WHERE status = 'ok') AS BIGINT) AS p95_ms,
-    max(duration_ms) AS max_ms, round(max(date_diff('microsecond', prior, started_at)) / 60e6, 6) AS largest_gap_minutes,
-    max(started_at) AS last_started_at, round(count(CASE WHEN request_id LIKE 'cf-cron-%' THEN 1 END) * 100.0 / (8 * 30),
-    6) AS coverage_percent
-    FROM (SELECT *, lag(started_at) OVER (PARTITION BY job_name ORDER BY started_at, id) AS prior FROM job_runs_fx) GROUP BY 1""")
+    max(duration_ms) FILTER (WHERE status = 'ok') AS peak_ms,
+    CAST(round(max(date_diff('microsecond', prior, started_at)) / 60e6) AS BIGINT) AS largest_gap_minutes,
+    max(started_at) AS last_started_at, round(count(*) FILTER (WHERE request_id LIKE 'cf-cron-%') * 100.0 / (8 * 20), 6) AS coverage_percent
+    FROM (SELECT *, lag(started_at) OVER (PARTITION BY job_name ORDER BY started_at) AS prior FROM job_runs_fx
+    WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL '20' DAY) GROUP BY 1""")
 def agg22_job_run_report(t: Tables) -> DataFrame:
-    return A.job_run_report(t.job_runs_fx, ntz(EVENTS_AS_OF), 10, F.lit(8), 30)
+    return A.job_run_report(t.job_runs_fx, ntz(EVENTS_AS_OF), F.lit(8), 20)
 
 
-@query(
-    """SELECT CAST(received_at AS DATE) AS day, event_type, count(*) AS events, count(DISTINCT external_order_id) AS orders,
-        round(count(*) * 1.0 / count(DISTINCT external_order_id), 6) AS events_per_order FROM raw_events_fx GROUP BY 1, 2"""
-)
+@query(f"""SELECT {local('created_at', diagnosis.ZONE)} AS day, count(DISTINCT external_order_id) AS orders, count(*) AS events,
+    round(count(*) * 1.0 / nullif(count(DISTINCT external_order_id), 0), 2) AS events_per_order FROM storefront_events_fx
+    WHERE source = 'shopify' AND has_payload AND external_order_id IS NOT NULL AND received_at >= TIMESTAMP '1998-07-01' - INTERVAL '40' DAY GROUP BY 1""")
 def agg23_event_amplification(t: Tables) -> DataFrame:
-    found = A.event_amplification(t.raw_events_fx, F.to_date("received_at").alias("day"), "event_type")
-    return found.withColumn("events_per_order", F.round("events_per_order", 6))
+    """By the day on which orders were created."""
+    return diagnosis.amplification_by_day(t.storefront_events_fx, PERIOD[1])
 
 
-@query(
-    f"""WITH {CANONICAL_SQL} SELECT status, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS total_cents,
-        round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS orders_percent,
-        round(sum(total_cents) * 100.0 / sum(sum(total_cents)) OVER (), 6) AS money_percent FROM canonical GROUP BY 1"""
-)
+@query("""SELECT event_type, count(DISTINCT external_order_id) AS orders, count(*) AS events,
+    round(count(*) * 1.0 / nullif(count(DISTINCT external_order_id), 0), 2) AS events_per_order FROM storefront_events_fx
+    WHERE source = 'shopify' AND received_at >= TIMESTAMP '1998-01-02' GROUP BY 1""")
+def agg23_amplification_by_type(t: Tables) -> DataFrame:
+    return diagnosis.amplification_by_type(t.storefront_events_fx, DIAGNOSED[0])
+
+
+@query(f"""WITH {canonical_sql(DIAGNOSED_SQL)} SELECT status AS financial_status, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS total_cents,
+    round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS orders_percent, round(100.0 * sum(total_cents) / sum(sum(total_cents)) OVER (), 2) AS money_percent
+    FROM canonical GROUP BY 1""")
 def agg24_financial_status_mix(t: Tables) -> DataFrame:
-    return A.status_mix(dedup.canonical_orders(t.raw_events_fx)).withColumns(
-        {c: F.round(c, 6) for c in ("orders_percent", "money_percent")}
-    )
+    return diagnosis.status_mix(dedup.canonical_orders(diagnosed(t)))
 
 
-@query(
-    """SELECT lower(status) AS status, count(DISTINCT external_order_id) AS orders FROM raw_events_fx
-        WHERE source = 'shopify' AND received_at >= TIMESTAMP '2024-01-05' GROUP BY 1"""
-)
+@query(f"SELECT lower(financial_status) AS financial_status, count(DISTINCT external_order_id) AS orders FROM storefront_events_fx WHERE {DIAGNOSED_SQL} GROUP BY 1")
 def agg25_status_on_any_event(t: Tables) -> DataFrame:
-    """Storefront orders with each status on any of their events, so that one order can count under several."""
-    events = A.storefront(t.raw_events_fx).where(F.col("received_at") >= ntz(datetime(2024, 1, 5)))
-    return events.groupBy(F.lower("status").alias("status")).agg(F.countDistinct("external_order_id").alias("orders"))
+    return diagnosis.statuses_of_any_event(diagnosed(t))
 
 
-@query(f"""WITH {DOMINANT_SQL} SELECT CAST(sum(s.amount_cents) AS BIGINT) AS total_cents, CAST(coalesce(sum(CASE
-    WHEN s.gateway_raw <> d.gateway_raw THEN s.amount_cents END), 0) AS BIGINT) AS misattributed_cents, count(DISTINCT CASE
-    WHEN s.gateway_raw <> d.gateway_raw THEN s.external_order_id END) AS split_orders,
-    round(coalesce(sum(CASE WHEN s.gateway_raw <> d.gateway_raw THEN s.amount_cents END), 0) * 100.0 / sum(s.amount_cents),
-    6) AS misattributed_percent FROM split s JOIN dominant d USING (external_order_id)""")
+@query(f"""WITH {DOMINANT_SQL}, {SPR_SQL}, {canonical_sql(DIAGNOSED_SQL)} SELECT count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS order_cents,
+    CAST(sum(total_amount_cents) AS BIGINT) AS transaction_cents, CAST(sum(dominant_amount_cents) AS BIGINT) AS dominant_cents,
+    CAST(sum(total_amount_cents - dominant_amount_cents) AS BIGINT) AS misattributed_cents,
+    count(*) FILTER (WHERE total_amount_cents <> dominant_amount_cents) AS split_orders,
+    round(100.0 * sum(total_amount_cents - dominant_amount_cents) / nullif(sum(total_amount_cents), 0), 3) AS misattributed_percent {PAID_SQL}""")
 def agg26_split_misattribution(t: Tables) -> DataFrame:
-    return A.misattribution(split(t), dominant(t)).withColumn("misattributed_percent", F.round("misattributed_percent", 6))
+    return diagnosis.misattribution(diagnosis.paid_and_resolved(dedup.canonical_orders(diagnosed(t)), partly_resolved(t)))
 
 
-@query(f"""WITH {DOMINANT_SQL}, o AS (SELECT gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS own_cents FROM split GROUP BY 1),
-    c AS (SELECT gateway_raw, CAST(sum(total_amount_cents) AS BIGINT) AS credited_cents FROM dominant GROUP BY 1)
-    SELECT o.gateway_raw, own_cents, coalesce(credited_cents, 0) AS credited_cents, round((coalesce(credited_cents,
-    0) - own_cents) * 100.0 / own_cents, 6) AS inflation_percent FROM o LEFT JOIN c USING (gateway_raw)""")
+@query(f"""WITH {DOMINANT_SQL}, {SPR_SQL}, {canonical_sql(DIAGNOSED_SQL)} SELECT gateway_raw, count(*) AS orders,
+    CAST(sum(total_amount_cents) AS BIGINT) AS credited_cents, CAST(sum(dominant_amount_cents) AS BIGINT) AS own_cents,
+    CAST(sum(total_amount_cents - dominant_amount_cents) AS BIGINT) AS excess_cents,
+    round(100.0 * sum(total_amount_cents - dominant_amount_cents) / nullif(sum(dominant_amount_cents), 0), 2) AS inflation_percent {PAID_SQL} GROUP BY 1""")
 def agg26_gateway_inflation(t: Tables) -> DataFrame:
-    return A.gateway_inflation(split(t), dominant(t)).withColumn("inflation_percent", F.round("inflation_percent", 6))
+    return diagnosis.gateway_inflation(diagnosis.paid_and_resolved(dedup.canonical_orders(diagnosed(t)), partly_resolved(t)))
 
 
-@query(f"""WITH {DOMINANT_SQL} SELECT CASE WHEN abs(amount_cents - total_amount_cents) <= 1 THEN 'equal'
-    WHEN amount_cents > total_amount_cents THEN 'above' ELSE 'below' END AS parity, count(*) AS orders,
-    CAST(sum(amount_cents - total_amount_cents) AS BIGINT) AS difference_cents
-    FROM orders_fx o JOIN dominant d ON d.external_order_id = o.external_order_id GROUP BY 1""")
+@query(f"""WITH {DOMINANT_SQL}, {SPR_SQL}, {canonical_sql(DIAGNOSED_SQL)} SELECT CASE WHEN abs(total_cents - total_amount_cents) <= 1 THEN 'equal'
+    WHEN total_cents > total_amount_cents THEN 'above' ELSE 'below' END AS parity, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS order_cents,
+    CAST(sum(total_amount_cents) AS BIGINT) AS transaction_cents, CAST(sum(total_cents - total_amount_cents) AS BIGINT) AS difference_cents {PAID_SQL} GROUP BY 1""")
 def agg27_value_parity(t: Tables) -> DataFrame:
-    return A.value_parity(t.orders_fx, dominant(t))
+    return diagnosis.value_parity(diagnosis.paid_and_resolved(dedup.canonical_orders(diagnosed(t)), partly_resolved(t)))
 
 
-@query(f"""WITH {DOMINANT_SQL}, d2 AS (SELECT {local('o.occurred_at')} AS made, {local('d.processed_at')} AS paid, total_amount_cents
-    FROM orders_fx o JOIN dominant d ON d.external_order_id = o.external_order_id),
-    g AS (SELECT CASE WHEN made = paid THEN 'same_day' WHEN paid = made + 1 THEN 'next_day' WHEN paid > made THEN 'later'
-    ELSE 'earlier' END AS basis, count(*) AS orders, CAST(sum(total_amount_cents) AS BIGINT) AS total_cents FROM d2 GROUP BY 1)
-    SELECT basis, orders, total_cents, round(total_cents * 100.0 / sum(total_cents) OVER (), 6) AS money_percent FROM g""")
+@query(f"""WITH {DOMINANT_SQL}, {SPR_SQL}, {canonical_sql(DIAGNOSED_SQL)}, paid AS (SELECT total_cents, spr.processed_at,
+    {local('created_at', diagnosis.ZONE)} AS made, {local('spr.processed_at', diagnosis.ZONE)} AS paid_on
+    FROM canonical c LEFT JOIN spr USING (external_order_id) WHERE status = 'paid')
+    SELECT CASE WHEN processed_at IS NULL THEN 'undated' WHEN paid_on = made THEN 'same_day' ELSE 'other_day' END AS basis, count(*) AS orders,
+    CAST(sum(total_cents) AS BIGINT) AS total_cents, round(100.0 * sum(total_cents) / sum(sum(total_cents)) OVER (), 3) AS money_percent FROM paid GROUP BY 1""")
 def agg28_date_basis(t: Tables) -> DataFrame:
-    return A.date_basis(t.orders_fx, dominant(t), ZONE).withColumn("money_percent", F.round("money_percent", 6))
+    return diagnosis.date_basis(dedup.canonical_orders(diagnosed(t)), partly_resolved(t))
 
 
-@query(
-    """SELECT CAST(received_at AS DATE) AS day, count(*) AS n, count(DISTINCT external_order_id) AS orders, min(received_at) AS oldest,
-        max(received_at) AS newest FROM raw_events_fx GROUP BY 1"""
-)
+@query("SELECT max(received_at) AS max_received_at, max(mirror_updated_at) AS max_mirror_updated_at, max(created_at) AS max_order_created_at FROM storefront_events_fx WHERE source = 'shopify'")
+def agg29_mirror_maxima(t: Tables) -> DataFrame:
+    return diagnosis.mirror_maxima(t.storefront_events_fx)
+
+
+@query(f"""SELECT {local('received_at', diagnosis.ZONE)} AS day, count(*) AS n, count(DISTINCT external_order_id) AS orders, min(created_at) AS oldest_order,
+    max(created_at) AS newest_order FROM storefront_events_fx WHERE source = 'shopify' AND received_at >= TIMESTAMP '1998-01-02' GROUP BY 1""")
 def agg29_received_by_day(t: Tables) -> DataFrame:
-    return t.raw_events_fx.groupBy(F.to_date("received_at").alias("day")).agg(
-        F.count("*").alias("n"),
-        F.countDistinct("external_order_id").alias("orders"),
-        F.min("received_at").alias("oldest"),
-        F.max("received_at").alias("newest"),
-    )
+    return diagnosis.received_by_day(t.storefront_events_fx, DIAGNOSED[0])
 
 
-@query(
-    """SELECT CAST(received_at AS DATE) AS day, count(*) AS n, count(DISTINCT external_order_id) AS orders FROM raw_events_fx
-        WHERE received_at > TIMESTAMP '2024-01-15' GROUP BY 1"""
-)
+BEYOND_SQL = "source = 'shopify' AND coalesce(received_at, processed_at) >= TIMESTAMP '1998-05-02 12:00:00'"
+BEYOND = datetime(1998, 5, 2, 12)
+
+
+@query(f"""SELECT {local('coalesce(received_at, processed_at)', diagnosis.ZONE)} AS day, count(*) AS n, count(DISTINCT external_order_id) AS orders
+    FROM storefront_events_fx WHERE {BEYOND_SQL} GROUP BY 1""")
 def agg30_backlog_by_day(t: Tables) -> DataFrame:
-    beyond = t.raw_events_fx.where(F.col("received_at") > ntz(datetime(2024, 1, 15)))
-    return beyond.groupBy(F.to_date("received_at").alias("day")).agg(
-        F.count("*").alias("n"),
-        F.countDistinct("external_order_id").alias("orders"),
-    )
+    return diagnosis.backlog_by_day(t.storefront_events_fx, BEYOND)
 
 
-@query(
-    f"""WITH {CANONICAL_SQL.replace('FROM raw_events_fx', 'FROM raw_events_fx WHERE received_at > TIMESTAMP ' + chr(39) + '2024-01-15' + chr(39))}
-        SELECT status, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS total_cents FROM canonical GROUP BY 1"""
-)
+@query(f"""WITH {canonical_sql(BEYOND_SQL + ' AND external_order_id IS NOT NULL AND has_payload', 'received_at', '')}
+    SELECT status AS financial_status, count(*) AS orders, CAST(sum(total_cents) AS BIGINT) AS total_cents FROM canonical GROUP BY 1""")
 def agg30_backlog_money_by_status(t: Tables) -> DataFrame:
-    beyond = dedup.canonical_orders(t.raw_events_fx.where(F.col("received_at") > ntz(datetime(2024, 1, 15))))
-    return beyond.groupBy("status").agg(F.count("*").alias("orders"), A.total("total_cents").alias("total_cents"))
+    return diagnosis.backlog_money_by_status(t.storefront_events_fx, BEYOND)
 
 
 @query("""SELECT CASE WHEN CAST(external_order_id AS BIGINT) % 5 = 0 THEN 'sem_gateway' WHEN event_type = 'purchase' THEN 'pix'
@@ -1396,6 +1411,64 @@ def str5_late_events(t: Tables) -> DataFrame:
     return orders.touched(half_current(t, events), events, resolved(t), date(1998, 1, 1), date(1998, 1, 31))
 
 
+BUCKETS = 4
+
+
+def stored_orders(t: Tables, events: DataFrame) -> str:
+    """The path of a stored table of ``half_current``."""
+    first = events.groupBy("source", dedup.order_key().alias("order_key")).agg(F.date_format(F.min("received_at"), "yyyy-MM").alias("month"))
+    path = scratch(t.spark, "order-store")
+    order_store.create(half_current(t, events).join(first, orders.KEYS), path, BUCKETS)
+    return path
+
+
+@query(f"""WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key, change = 'deleted' AS is_deleted FROM changes
+    WHERE change IN ('inserted', 'updated', 'deleted')""")
+def mat2_day_appends(t: Tables) -> DataFrame:
+    """What a business day adds to the stored table: its changed rows only."""
+    events = landed(t)
+    path = stored_orders(t, events)
+    order_store.update(events, resolved(t), path, BUCKETS, date(1998, 3, 5), date(1998, 3, 5), ORDERS_AS_OF)
+    return order_store.changes(t.spark, path).select("source", "order_key", "is_deleted")
+
+
+@query(f"""WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key, CASE WHEN change IN ('inserted',
+    'updated') THEN TIMESTAMP '2001-08-02' ELSE CAST(occurred_at AS TIMESTAMP) + INTERVAL '3' DAY END AS materialized_at
+    FROM changes WHERE change <> 'deleted'""")
+def snk2_merge_on_read(t: Tables) -> DataFrame:
+    """The stored table after a business day, changes merged while reading."""
+    events = landed(t)
+    path = stored_orders(t, events)
+    order_store.update(events, resolved(t), path, BUCKETS, date(1998, 3, 5), date(1998, 3, 5), ORDERS_AS_OF)
+    rows = order_store.read(t.spark, path)
+    return rows.select("source", "order_key", F.col("materialized_at").cast("timestamp_ntz").alias("materialized_at"))
+
+
+@query(f"WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key FROM changes WHERE stored AND CAST(order_key AS BIGINT) % 7 <> 0")
+def snk3_delete_and_compact(t: Tables) -> DataFrame:
+    """Orders deleted from the stored table, then cells compacted."""
+    path = stored_orders(t, landed(t))
+    gone = order_store.read(t.spark, path).where(F.col("order_key").cast("long") % 7 == 0)
+    order_store.delete(t.spark, path, BUCKETS, gone)
+    order_store.compact(t.spark, path, BUCKETS, share=0.1)
+    return order_store.read(t.spark, path).select("source", "order_key")
+
+
+@query(f"""WITH {MAPPED_SQL} SELECT source, order_key, mirror_row_id, amount_cents, payment_method_normalized,
+    CAST(occurred_at AS TIMESTAMP) AS occurred_at FROM mapped""")
+def str5_stream_materialization(t: Tables) -> DataFrame:
+    """The order table kept by a stream of events and resolutions, of which many come after their order's first events."""
+    events, resolutions = payload_events(t), resolved(t)
+    paths = [scratch(t.spark, tag) for tag in ("landed-events", "landed-resolutions", "order-store", "checkpoint")]
+    # Newer events and resolutions in files of their own, which later batches take.
+    events.repartition(3, F.substring("id", 1, 3)).write.parquet(paths[0])
+    resolutions.repartition(3).write.parquet(paths[1])
+    order_store.create(t.spark.createDataFrame([], f"{orders.ORDER_ROW}, materialized_at timestamp, month string"), paths[2], BUCKETS)
+    keep_orders(t.spark, paths[0], events.schema, paths[1], resolutions.schema, paths[2], BUCKETS, paths[3], files_per_batch=2, as_of=ORDERS_AS_OF)
+    rows = order_store.read(t.spark, paths[2])
+    return rows.select("source", "order_key", "mirror_row_id", "amount_cents", "payment_method_normalized", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
+
+
 #: The nine filters under which both ways to the orders are compared: name, test on mapped rows, SQL.
 PARITY_CASES = [
     ("all", lambda: F.lit(True), "true"),

@@ -33,6 +33,21 @@ FIXTURES = {
         CASE o_orderkey % 2 WHEN 0 THEN 'manual' ELSE 'import' END AS source, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(c_nationkey AS BIGINT) END AS category_id, o_orderdate AS occurred_at,
         {cents('o_totalprice')} AS amount_cents, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'applied' ELSE 'rejected' END AS status, c_mktsegment AS description, lower(c_mktsegment) AS search_text
         FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey""",
+    "storefront_events_fx": " UNION ALL ".join(
+        f"""SELECT CAST(k * 3 + {n} AS STRING) AS id, CASE k % 9 WHEN 0 THEN 'anymarket' ELSE 'shopify' END AS source,
+        CASE WHEN {n} = 2 AND k % 23 = 0 THEN NULL ELSE CAST(k AS STRING) END AS external_order_id, '{kind}' AS event_type, {status} AS financial_status,
+        CASE WHEN k % 29 = 0 THEN NULL ELSE cents + {13 * n} * (k % 3) END AS total_cents, (k + {n}) % 19 <> 0 AS has_payload, created_at,
+        CASE WHEN {n} = 2 AND k % 11 = 0 THEN NULL ELSE created_at + INTERVAL '{n}' DAY END AS received_at,
+        CASE (k + {n}) % 3 WHEN 0 THEN NULL WHEN 1 THEN created_at + INTERVAL '{10 - 3 * n}' DAY ELSE created_at + INTERVAL '{n + 1}' DAY END AS mirror_updated_at,
+        created_at + INTERVAL '{n + 2}' DAY AS processed_at
+        FROM (SELECT o_orderkey AS k, {cents('o_totalprice')} AS cents, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate + INTERVAL '2' HOUR WHEN 1 THEN o_orderdate + INTERVAL '12' HOUR
+        ELSE o_orderdate + INTERVAL '23' HOUR END AS created_at FROM {{orders}})"""
+        for n, kind, status in (
+            (0, "orders/create", "CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 'PAID' WHEN 2 THEN 'pending' ELSE 'Paid' END"),
+            (1, "orders/updated", "CASE k % 7 WHEN 0 THEN 'refunded' ELSE 'pending' END"),
+            (2, "orders/paid", "CASE k % 4 WHEN 0 THEN 'paid' WHEN 1 THEN 'voided' END"),
+        )
+    ),
     "categories_fx": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE n_regionkey % 2 WHEN 0 THEN 'income' ELSE 'expense' END AS direction FROM {nation} WHERE n_nationkey < 23",
     "payment_tx_fx": f"""SELECT CAST(l_orderkey AS STRING) AS external_order_id, CASE l_returnflag WHEN 'A' THEN 'pix' WHEN 'N' THEN 'appmax' ELSE 'shopify_store_credit' END AS gateway_raw,
         CASE l_linenumber % 4 WHEN 0 THEN 'authorization' WHEN 1 THEN 'sale' WHEN 2 THEN 'capture' ELSE 'refund' END AS kind, CASE l_linestatus WHEN 'F' THEN 'success' ELSE 'failure' END AS status,

@@ -37,10 +37,18 @@ ORDER_PAYLOAD = ", ".join(
 )
 
 
+#: Those that say whether an order is paid.
+PAID_PAYLOAD = "financial_status string, display_financial_status string, paymentStatus string, status string, payments array<struct<status:string>>"
+
+
 def order_payload(json: Column) -> Column:
     return F.from_json(json, ORDER_PAYLOAD, {"mode": "PERMISSIVE"})
 
 
+def paid_payload(json: Column) -> Column:
+    return F.from_json(json, PAID_PAYLOAD, {"mode": "PERMISSIVE"})
+
+
 def payment_transactions(landed: DataFrame) -> DataFrame:
     """Payment legs from landed JSON rows ``order_id, gateway, kind, status, amount, processed_at`` (all text)."""
     amount = S.finite(F.replace("amount", F.lit(","), F.lit(".")).try_cast("double"))

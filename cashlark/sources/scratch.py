@@ -38,11 +38,12 @@ def made() -> tuple[str, ...]:
 
 
 def discard(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Delete scratch paths; frames that read them are of no use afterwards, so store results first."""
+    """Delete paths; frames that read them are of no use afterwards, so store results first."""
     for path in list(paths):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+        if path in _made:
+            _made.remove(path)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
