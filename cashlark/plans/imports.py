@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from ..sources.scratch import written
 
+# Columns, words and labels of the file format.
 FIELDS = ["data", "tipo", "valor", "descricao", "categoria", "origem"]
+INCOME_WORDS, EXPENSE_WORDS = ["receita", "entrada", "income"], ["despesa", "saida", "expense"]
+LABELS = {"data": "data inválida", "tipo": "tipo inválido", "valor": "valor inválido"}
 _BREAK = "\x01"
 
 
 def cells(line: Column) -> Column:
     """Cells between commas and semicolons outside quotes; quotes only switch and are dropped."""
     parts = F.transform(F.split(line, '"'), lambda s, i: F.when(i % 2 == 0, F.regexp_replace(s, "[,;]", _BREAK)).otherwise(s))
-    return F.transform(F.split(F.array_join(parts, ""), _BREAK), lambda x: F.trim(x))
+    return F.transform(F.split(F.array_join(parts, ""), _BREAK), S.trimmed)
 
 
 def _date(text: Column) -> Column:
@@ -28,12 +33,12 @@ def _date(text: Column) -> Column:
 
 def _type(text: Column) -> Column:
     word = S.folded(text)
-    return F.when(word.isin("receita", "entrada", "income"), "income").when(word.isin("despesa", "saida", "expense"), "expense")
+    return F.when(word.isin(INCOME_WORDS), "income").when(word.isin(EXPENSE_WORDS), "expense")
 
 
 def _amount(text: Column) -> Column:
     """Cents of an amount above zero; dots before groups of three digits are thousands."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^R\$\s?", ""), r"\s", "")
+    bare = F.regexp_replace(F.regexp_replace(S.trimmed(text), r"^R\$\s?", ""), r"\s", "")
     local = bare.rlike(r"^\d{1,3}(\.\d{3})*(,\d{1,2})?$")
     plain = F.when(local, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(bare)
     value = S.to_cents(S.money_prefix(plain))
@@ -43,13 +48,34 @@ def _amount(text: Column) -> Column:
 def parse(files: DataFrame) -> DataFrame:
     """Typed rows of CSV files (``path, content``), with what is wrong with a row; a file is held by one task."""
     text = F.regexp_replace("content", r"\r\n?", "\n")
-    lines = files.select("path", F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "").alias("lines"))
+    lines = files.select("path", F.filter(F.split(text, "\n"), lambda s: S.trimmed(s) != "").alias("lines"))
     header = F.transform(cells(F.get("lines", F.lit(0))), S.folded)
     rows = lines.where(F.size("lines") > 1).select(
         "path",
         header.alias("header"),
         F.posexplode("lines").alias("row_index", "line"),
     ).where("row_index > 0")
+    return _typed(rows)
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """As :func:`parse`, from lines as the text reader gives them (:func:`read_lines`), so that a large file is split over tasks.
+
+    Quotes never span lines.  A line's number is its place in its block plus the
+    lines of the blocks before it; the header is joined to the lines of its file.
+    """
+    known = written(lines.where(S.trimmed(F.col("line")) != "").withColumn("_at", F.monotonically_increasing_id()), "csv-lines")
+    blocks = known.groupBy("path", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select("path", "block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = known.join(blocks, ["path", "block"]).withColumn("row_index", (F.col("_before") + F.col("_at") - F.col("_first")).cast("int"))
+    rows = rows.select("path", "row_index", "line")
+    headers = rows.where("row_index = 0").select("path", F.transform(cells(F.col("line")), S.folded).alias("header"))
+    return _typed(rows.where("row_index > 0").join(headers, "path").select("path", "header", "row_index", "line"))
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """Lines with their file's header as typed rows."""
     rows = rows.withColumn("cells", cells(F.col("line")))
     cell = lambda name: F.when(F.array_position("header", name) > 0, F.get("cells", F.array_position("header", name).cast("int") - 1))
     raw = rows.select(
@@ -60,7 +86,7 @@ def parse(files: DataFrame) -> DataFrame:
     typed = raw.select(
         "path",
         "row_index",
-        _date(F.trim("data")).alias("occurred_on"),
+        _date(S.trimmed(F.col("data"))).alias("occurred_on"),
         _type(F.col("tipo")).alias("type"),
         _amount(F.col("valor")).alias("amount_cents"),
         S.clean(F.col("descricao")).alias("description"),
@@ -70,16 +96,8 @@ def parse(files: DataFrame) -> DataFrame:
         "tipo",
         "valor",
     )
-    wrong = lambda column, label, text: F.when(
-        column.isNull(),
-        F.concat(F.lit(f"{label} inválid{'a' if label == 'data' else 'o'}: \""), text, F.lit('"')),
-    )
-    problems = F.concat_ws(
-        "; ",
-        wrong(F.col("occurred_on"), "data", F.col("data")),
-        wrong(F.col("type"), "tipo", F.col("tipo")),
-        wrong(F.col("amount_cents"), "valor", F.col("valor")),
-    )
+    results = {"data": "occurred_on", "tipo": "type", "valor": "amount_cents"}
+    problems = F.concat_ws("; ", *[F.when(F.col(results[c]).isNull(), F.concat(F.lit(f'{label}: "'), c, F.lit('"'))) for c, label in LABELS.items()])
     return typed.withColumn("error_message", F.nullif(problems, F.lit(""))).withColumn(
         "status",
         F.when(F.col("error_message").isNull(), "pending").otherwise("error"),
@@ -90,6 +108,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, block, line`` of text files; a file is split at line ends into blocks of the scan's size."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+
+
 def preview(files: DataFrame, batches: DataFrame) -> DataFrame:
     """Per file its hash, rows, errors, and whether it has been imported before (``batches``: file_hash)."""
     hashed = files.select("path", F.sha2("content", 256).alias("file_hash"))

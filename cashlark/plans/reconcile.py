@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from ..functions import scalars as S
 from ..functions.values import CLOSED_STATES, OPEN_STATES, RETRY_DAYS
 from ..operators import aggregates as A
 from ..operators import joins, state
+from ..sources.scratch import written
 
 ORDER = "external_order_id"
 
@@ -29,6 +31,45 @@ def detect(tenders: DataFrame, ledger: DataFrame, first: Column, end: Column, zo
     )
 
 
+def detect_stored(
+    tenders: DataFrame,
+    spans: DataFrame,
+    ledger: DataFrame,
+    first: date,
+    last: date,
+    zone: str,
+    tolerance: int = 1,
+) -> DataFrame:
+    """As :func:`detect` over local days, from tenders stored by ``processed_month`` (its first day, of UTC), of which only some months are read.
+
+    ``spans`` has the first and last month of each order's tenders
+    (:func:`tender_spans`); those of the candidates are what their whole
+    tenders can lie on, so nothing outside is missed.
+    """
+    start, end = (S.day_start(F.lit(d), zone) for d in (first, last + timedelta(days=1)))
+    # A local day lies within the UTC days around it.
+    month = lambda day: F.lit(day.replace(day=1))
+    near = F.col("processed_month").between(month(first - timedelta(days=1)), month(last + timedelta(days=1)))
+    stamp = F.col("processed_at").cast("timestamp")
+    inside = tenders.where(near & ~F.col("test") & (stamp >= start) & (stamp < end))
+    days = written(inside.groupBy(ORDER).agg(F.max(S.local_day(F.col("processed_at"), zone)).alias("day")), "candidate-days")
+    held = days.join(spans, ORDER).select(F.explode(F.sequence("first_month", "last_month", F.expr("INTERVAL 1 MONTH"))).alias("m")).distinct()
+    read = [r["m"] for r in held.collect()]  # as many as the data has months
+    whole = A.tender_totals(tenders.where(F.col("processed_month").isin(read)).join(days, ORDER, "left_semi"))
+    return joins.ledger_vs_tender(whole, ledger, tolerance).join(days, ORDER).select(ORDER, "day", "tender_cents", "ledger_cents", "delta_cents")
+
+
+def tender_spans(tenders: DataFrame) -> DataFrame:
+    """The first and last month of each order's tenders, kept beside the tenders and widened as they land."""
+    return tenders.groupBy(ORDER).agg(F.min("processed_month").alias("first_month"), F.max("processed_month").alias("last_month"))
+
+
+def widened(spans: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Spans after more tenders have landed."""
+    both = spans.unionByName(tender_spans(arrived))
+    return both.groupBy(ORDER).agg(F.min("first_month").alias("first_month"), F.max("last_month").alias("last_month"))
+
+
 def record(current: DataFrame, detected: DataFrame, as_of: Column) -> DataFrame:
     """The divergence table after a detection: closed rows come back as persistent, an accepted delta stays accepted."""
     fresh = detected.select(

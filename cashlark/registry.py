@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .functions import values as V
 from .operators import aggregates as A
-from .operators import dedup, filters, joins, paging, state
+from .operators import checksums, dedup, filters, joins, paging, state
 from .operators.ranks import largest_gaps
-from .plans import cashflow, diagnosis, health, imports, orders, payments, reconcile
-from .sources import order_store, sinks
+from .plans import cashflow, day_totals, diagnosis, health, imports, orders, payments, reconcile
+from .sources import sinks
 from .sources.fixtures import Tables, twin
+from .sources.order_store import OrderStore
 from .sources.payloads import order_payload, orders_extract
 from .sources.scratch import scratch, written
-from .streaming import ingest
+from .streaming import ingest, totals
+from .streaming.changes import ChangeFeed
 from .streaming.materialize import keep_orders
+from .streaming.mirror import Mirror
 
 FLAGSHIP = "cf1_cash_flow_summary"
 ORDERS_AS_OF, EVENTS_AS_OF = datetime(2001, 8, 2), datetime(2024, 1, 31)
@@ -418,13 +421,15 @@ def jn8_orders_missing_split(t: Tables) -> DataFrame:
     return joins.orders_missing_split(order_events(t), dominant(t), split(t))
 
 
-@query("""SELECT order_key, CASE WHEN CAST(order_key AS BIGINT) % 50 = 0 THEN 'only_left'
+DIFF_SQL = """SELECT order_key, CASE WHEN CAST(order_key AS BIGINT) % 50 = 0 THEN 'only_left'
     WHEN CAST(order_key AS BIGINT) % 50 = 1 THEN 'only_right' ELSE 'different' END AS difference,
     CASE WHEN CAST(order_key AS BIGINT) % 50 = 2 THEN 'amount_cents' WHEN CAST(order_key AS BIGINT) % 50 = 3
-    THEN 'marketplace,amount_cents' END AS fields FROM orders_fx WHERE CAST(order_key AS BIGINT) % 50 < 4""")
-def jn9_diff_read_models(t: Tables) -> DataFrame:
+    THEN 'marketplace,amount_cents' END AS fields FROM orders_fx WHERE CAST(order_key AS BIGINT) % 50 < 4"""
+DIFF_FIELDS = ["marketplace", "amount_cents", "shipping_cents", "status"]
+
+
+def two_read_models(t: Tables) -> tuple[DataFrame, DataFrame]:
     slot = F.col("order_key").cast("long") % 50
-    fields = ["marketplace", "amount_cents", "shipping_cents", "status"]
     left = t.orders_fx.where(slot != 1)
     right = t.orders_fx.where(slot != 0).withColumns(
         {
@@ -432,7 +437,18 @@ def jn9_diff_read_models(t: Tables) -> DataFrame:
             "marketplace": F.when(slot == 3, F.lower("marketplace")).otherwise(F.col("marketplace")),
         }
     )
-    return joins.diff_read_models(left, right, ["order_key"], fields)
+    return left, right
+
+
+@query(DIFF_SQL)
+def jn9_diff_read_models(t: Tables) -> DataFrame:
+    return joins.diff_read_models(*two_read_models(t), ["order_key"], DIFF_FIELDS)
+
+
+@query(DIFF_SQL)
+def jn9_diff_by_checksums(t: Tables) -> DataFrame:
+    """The same difference, of which only buckets of keys with other checksums are joined."""
+    return checksums.diff(*two_read_models(t), ["order_key"], DIFF_FIELDS)
 
 
 @query(
@@ -1411,15 +1427,13 @@ def str5_late_events(t: Tables) -> DataFrame:
     return orders.touched(half_current(t, events), events, resolved(t), date(1998, 1, 1), date(1998, 1, 31))
 
 
-BUCKETS = 4
+def new_store(t: Tables) -> OrderStore:
+    """The test tables hold few orders of many years, so a year is a period."""
+    return OrderStore(t.spark, scratch(t.spark, "order-store"), 2, "yyyy")
 
 
-def stored_orders(t: Tables, events: DataFrame) -> str:
-    """The path of a stored table of ``half_current``."""
-    first = events.groupBy("source", dedup.order_key().alias("order_key")).agg(F.date_format(F.min("received_at"), "yyyy-MM").alias("month"))
-    path = scratch(t.spark, "order-store")
-    order_store.create(half_current(t, events).join(first, orders.KEYS), path, BUCKETS)
-    return path
+def stored_orders(t: Tables, events: DataFrame) -> OrderStore:
+    return new_store(t).create(half_current(t, events), events)
 
 
 @query(f"""WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key, change = 'deleted' AS is_deleted FROM changes
@@ -1427,9 +1441,9 @@ def stored_orders(t: Tables, events: DataFrame) -> str:
 def mat2_day_appends(t: Tables) -> DataFrame:
     """What a business day adds to the stored table: its changed rows only."""
     events = landed(t)
-    path = stored_orders(t, events)
-    order_store.update(events, resolved(t), path, BUCKETS, date(1998, 3, 5), date(1998, 3, 5), ORDERS_AS_OF)
-    return order_store.changes(t.spark, path).select("source", "order_key", "is_deleted")
+    store = stored_orders(t, events)
+    store.update(events, resolved(t), date(1998, 3, 5), date(1998, 3, 5), ORDERS_AS_OF)
+    return store.changes().select("source", "order_key", "is_deleted")
 
 
 @query(f"""WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key, CASE WHEN change IN ('inserted',
@@ -1438,20 +1452,32 @@ def mat2_day_appends(t: Tables) -> DataFrame:
 def snk2_merge_on_read(t: Tables) -> DataFrame:
     """The stored table after a business day, changes merged while reading."""
     events = landed(t)
-    path = stored_orders(t, events)
-    order_store.update(events, resolved(t), path, BUCKETS, date(1998, 3, 5), date(1998, 3, 5), ORDERS_AS_OF)
-    rows = order_store.read(t.spark, path)
+    store = stored_orders(t, events)
+    store.update(events, resolved(t), date(1998, 3, 5), date(1998, 3, 5), ORDERS_AS_OF)
+    rows = store.read()
     return rows.select("source", "order_key", F.col("materialized_at").cast("timestamp_ntz").alias("materialized_at"))
 
 
 @query(f"WITH {touched_sql('1998-03-05', '1998-03-06')} SELECT source, order_key FROM changes WHERE stored AND CAST(order_key AS BIGINT) % 7 <> 0")
 def snk3_delete_and_compact(t: Tables) -> DataFrame:
     """Orders deleted from the stored table, then cells compacted."""
-    path = stored_orders(t, landed(t))
-    gone = order_store.read(t.spark, path).where(F.col("order_key").cast("long") % 7 == 0)
-    order_store.delete(t.spark, path, BUCKETS, gone)
-    order_store.compact(t.spark, path, BUCKETS, share=0.1)
-    return order_store.read(t.spark, path).select("source", "order_key")
+    store = stored_orders(t, landed(t))
+    store.delete(store.read().where(F.col("order_key").cast("long") % 7 == 0))
+    store.compact(share=0.1)
+    return store.read().select("source", "order_key")
+
+
+@query(f"""WITH {MAPPED_SQL} SELECT {local('occurred_at')} AS day, source_bucket, payment_method_normalized, count(*) AS n,
+    {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in day_totals.SUMS[1:])} FROM mapped GROUP BY ALL""")
+def cf1_maintained_day_totals(t: Tables) -> DataFrame:
+    """Day totals after three materialisations that together touch all orders, each kept up by what it retracted and added."""
+    events = landed(t)
+    store, path = stored_orders(t, events), scratch(t.spark, "day-totals")
+    day_totals.create(store.read(), path)
+    for first, last in ((1992, 1994), (1995, 1997), (1998, 2001)):
+        version = store.update(events, resolved(t), date(first, 1, 1), date(last, 12, 31), ORDERS_AS_OF)
+        day_totals.add_version(store, path, version)
+    return day_totals.read(t.spark, path)
 
 
 @query(f"""WITH {MAPPED_SQL} SELECT source, order_key, mirror_row_id, amount_cents, payment_method_normalized,
@@ -1459,13 +1485,13 @@ def snk3_delete_and_compact(t: Tables) -> DataFrame:
 def str5_stream_materialization(t: Tables) -> DataFrame:
     """The order table kept by a stream of events and resolutions, of which many come after their order's first events."""
     events, resolutions = payload_events(t), resolved(t)
-    paths = [scratch(t.spark, tag) for tag in ("landed-events", "landed-resolutions", "order-store", "checkpoint")]
+    paths = [scratch(t.spark, tag) for tag in ("landed-events", "landed-resolutions", "checkpoint")]
     # Newer events and resolutions in files of their own, which later batches take.
     events.repartition(3, F.substring("id", 1, 3)).write.parquet(paths[0])
     resolutions.repartition(3).write.parquet(paths[1])
-    order_store.create(t.spark.createDataFrame([], f"{orders.ORDER_ROW}, materialized_at timestamp, month string"), paths[2], BUCKETS)
-    keep_orders(t.spark, paths[0], events.schema, paths[1], resolutions.schema, paths[2], BUCKETS, paths[3], files_per_batch=2, as_of=ORDERS_AS_OF)
-    rows = order_store.read(t.spark, paths[2])
+    store = new_store(t).create(t.spark.createDataFrame([], f"{orders.ORDER_ROW}, materialized_at timestamp"), events)
+    keep_orders(t.spark, paths[0], events.schema, paths[1], resolutions.schema, store, paths[2], files_per_batch=2, as_of=ORDERS_AS_OF)
+    rows = store.read()
     return rows.select("source", "order_key", "mirror_row_id", "amount_cents", "payment_method_normalized", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
 
 
@@ -1682,18 +1708,21 @@ CSV_SQL = f"""csv AS (SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(row_number
     CASE o_orderkey % 6 WHEN 2 THEN 'valor inválido: "zero"' WHEN 4 THEN 'data inválida: "2020-13-45"' END AS error_message FROM orders)"""
 
 
+CSV_COLUMNS = ["path", "row_index", "status", "occurred_on", "type", "amount_cents", "description", "error_message"]
+
+
 @query(f"WITH {CSV_SQL} SELECT * FROM csv")
 def src9_import_csv(t: Tables) -> DataFrame:
-    return imports.parse(csv_files(t)).select(
-        "path",
-        "row_index",
-        "status",
-        "occurred_on",
-        "type",
-        "amount_cents",
-        "description",
-        "error_message",
-    )
+    return imports.parse(csv_files(t)).select(CSV_COLUMNS)
+
+
+@query(f"WITH {CSV_SQL} SELECT * FROM csv")
+def src9_import_csv_by_lines(t: Tables) -> DataFrame:
+    """The same files, stored and read line by line, so that large ones are split over tasks."""
+    path = scratch(t.spark, "csv")
+    csv_files(t).withColumnRenamed("path", "file").repartition("file").write.partitionBy("file").text(path)
+    lines = imports.read_lines(t.spark, path)
+    return imports.parse_lines(lines.withColumn("path", F.regexp_extract("path", "file=([^/]*)", 1))).select(CSV_COLUMNS)
 
 
 @query(
@@ -1741,6 +1770,20 @@ def rec1_detect_divergences(t: Tables) -> DataFrame:
     return reconcile.detect(t.tenders_fx, split(t), *map(ntz, PERIOD), V.VERIFICATION_ZONE)
 
 
+@query(f"""WITH {DELTA_SQL}, days AS (SELECT external_order_id, max({local('processed_at', V.VERIFICATION_ZONE)}) AS day FROM tenders_fx
+    WHERE NOT test AND {local('processed_at', V.VERIFICATION_ZONE)} BETWEEN DATE '1998-02-01' AND DATE '1998-02-10' GROUP BY 1)
+    SELECT external_order_id, day, tender_cents, ledger_cents, delta_cents FROM delta JOIN days USING (external_order_id)
+    WHERE abs(delta_cents) > 1""")
+def rec1_detect_stored(t: Tables) -> DataFrame:
+    """Divergences of some days, from tenders stored by month, of which only the candidates' months are read."""
+    path = scratch(t.spark, "tenders")
+    month = F.to_date(F.date_trunc("month", "processed_at"))
+    t.tenders_fx.withColumn("processed_month", month).repartition("processed_month").write.partitionBy("processed_month").parquet(path)
+    tenders = t.spark.read.parquet(path)
+    spans = written(reconcile.tender_spans(tenders), "tender-spans")
+    return reconcile.detect_stored(tenders, spans, split(t), date(1998, 2, 1), date(1998, 2, 10), V.VERIFICATION_ZONE)
+
+
 def detected_again(t: Tables) -> DataFrame:
     k = F.col("external_order_id").cast("long")
     return t.divergences_fx.where(k % 2 == 0).select(
@@ -1968,6 +2011,20 @@ def str1_ingest_incremental(t: Tables) -> DataFrame:
     return ingest.incremental(stored, arrivals, datetime(2024, 1, 1)).select("id", "received_at")
 
 
+@query("""WITH stored AS (SELECT * FROM raw_events_fx WHERE received_at < TIMESTAMP '2024-01-20' AND CAST(id AS BIGINT) % 50 <> 0),
+    edge AS (SELECT max(received_at) - INTERVAL '10' DAY AS edge_at FROM stored)
+    SELECT id, received_at FROM raw_events_fx, edge WHERE received_at >= edge_at AND id NOT IN (SELECT id FROM stored)""")
+def str1_grown_mirror(t: Tables) -> DataFrame:
+    """The second batch of a stored mirror: days around it are looked at, and filters answer for older ones."""
+    rows = t.raw_events_fx.select("id", "received_at").withColumn("received_at", F.col("received_at").cast("timestamp"))
+    mirror = Mirror(t.spark, scratch(t.spark, "mirror"), rows.schema, datetime(2024, 1, 1), grace_seconds=10 * 86_400, days_around=1, expected=rows.count())
+    mirror.take(rows.where((F.col("received_at") < datetime(2024, 1, 20)) & (F.col("id").cast("long") % 50 != 0)), 0)
+    # Some of the first batch's ids come again at a later time.
+    again = mirror.events().where(F.col("id").cast("long") % 4 == 0).withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 15 DAYS"))
+    mirror.take(rows.unionByName(again), 1)
+    return mirror.stored().where("batch = 1").select("id", F.col("received_at").cast("timestamp_ntz").alias("received_at"))
+
+
 @query("SELECT event_id, event_type FROM events")
 def str4_dedupe_notifications(t: Tables) -> DataFrame:
     """Notifications as a stream of files in which a third comes twice: each is taken once."""
@@ -2059,6 +2116,47 @@ def str2_apply_changes(t: Tables) -> DataFrame:
     return ingest.apply_changes(empty, valid)
 
 
+BATCHES = 6
+LATER_SQL = CHANGE_SQL.replace("table_name <> 'raw_payloads'", "table_name NOT IN ('raw_payloads', 'other')")
+
+
+def fed_changes(t: Tables) -> ChangeFeed:
+    """Changes streamed in six batches an hour apart; changes of one table are taken from the third batch on only."""
+    rows = t.changes_fx.select("event_id", "operation", "record_id", "payload", "table_name")
+    path, landing, checkpoint = (scratch(t.spark, tag) for tag in ("changes", "landed-changes", "checkpoint"))
+    whole = written(rows, "changes")
+    for batch in range(BATCHES):  # a file per batch, in the order of their arrival
+        whole.where(F.col("event_id") % BATCHES == batch).coalesce(1).write.mode("append").parquet(landing)
+
+    def judge(changes: DataFrame, batch_id: int) -> DataFrame:
+        known = ["raw_payloads"] + ["other"] * (batch_id >= 2)
+        return changes.withColumn("reason", filters.change_problem(known))
+
+    feed = ChangeFeed(t.spark, path, rows.schema, judge, lambda batch_id: datetime(2024, 2, 1, batch_id))
+    ingest.run_once(ingest.source(t.spark, landing, rows.schema, 1), feed, checkpoint)
+    return feed
+
+
+@query(
+    f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY event_id DESC) AS nth FROM changes_fx
+        WHERE {LATER_SQL} IS NULL) SELECT record_id, payload FROM v WHERE nth = 1 AND operation <> 'DELETE'"""
+)
+def str2_changes_with_retries(t: Tables) -> DataFrame:
+    """Records after all batches: changes that healed are applied, unless their record had a newer one."""
+    return fed_changes(t).records().select("record_id", "payload")
+
+
+@query(
+    f"""WITH j AS (SELECT event_id % {BATCHES} AS b, {CHANGE_SQL} AS at_first, {LATER_SQL} AS later FROM changes_fx)
+        SELECT CASE WHEN later IS NULL THEN 'healed' WHEN {BATCHES} - b >= 5 THEN 'dead' ELSE 'waiting' END AS state,
+        CAST(CASE WHEN later IS NULL THEN 2 - b ELSE least(5, {BATCHES} - b) END AS INTEGER) AS attempts, count(*) AS n
+        FROM j WHERE later IS NOT NULL OR (at_first IS NOT NULL AND b < 2) GROUP BY 1, 2"""
+)
+def str3_retry_queue(t: Tables) -> DataFrame:
+    """What became of rejected changes: healed by the third batch, dead after five attempts, or waiting."""
+    return fed_changes(t).queue().groupBy("state", "attempts").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT external_order_id, CASE WHEN attempts >= 5 THEN 'dead_letter' ELSE 'retry' END AS outcome, CASE WHEN attempts < 5 THEN TIMESTAMP '2001-08-02' + CASE attempts WHEN 0 THEN INTERVAL '0' SECOND WHEN 1 THEN INTERVAL '30' SECOND WHEN 2 THEN INTERVAL '300' SECOND WHEN 3 THEN INTERVAL '900' SECOND ELSE INTERVAL '3600' SECOND END END AS next_attempt_at FROM divergences_fx""")
 def str3_retry_schedule(t: Tables) -> DataFrame:
     return health.retry_schedule(
@@ -2076,6 +2174,19 @@ def str6_daily_rolling_totals(t: Tables) -> DataFrame:
     return ingest.daily_totals(t.payment_tx_fx.where("status = 'success'"))
 
 
+@query(
+    f"""SELECT CAST(processed_at - INTERVAL '3' HOUR AS DATE) AS day, gateway_raw, CAST(sum(amount_cents) AS BIGINT) AS amount_cents,
+        count(*) AS n FROM payment_tx_fx WHERE status = 'success' GROUP BY 1, 2"""
+)
+def str6_streamed_totals(t: Tables) -> DataFrame:
+    """The same totals kept by a stream of legs that come in no order, so that emitted days change."""
+    legs = t.payment_tx_fx.where("status = 'success'").select("gateway_raw", "amount_cents", "processed_at", "l_partkey")
+    landing, path, checkpoint = (scratch(t.spark, tag) for tag in ("landed-legs", "totals", "checkpoint"))
+    legs.repartition(3, "l_partkey").write.parquet(landing)
+    totals.keep_totals(ingest.source(t.spark, landing, legs.schema, 1), path, checkpoint, late="4000 days")
+    return totals.read(t.spark, path)
+
+
 @query(
     """SELECT CAST(sum(duration_ms) AS BIGINT) AS duration_ms, min(started_at) AS first_started_at, max(started_at) AS last_started_at
         FROM job_runs_fx"""

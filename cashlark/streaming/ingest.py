@@ -59,9 +59,9 @@ def daily_totals(stream: DataFrame, stamp: str = "processed_at", late: str = "2
     return grouped.select(F.to_date("w.start").alias("day"), "gateway_raw", "amount_cents", "n")
 
 
-def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """All that has arrived, in micro-batches, then stop; the checkpoint makes restarts exact."""
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def split_changes(changes: DataFrame, problem) -> tuple[DataFrame, DataFrame]:

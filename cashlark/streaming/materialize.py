@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.values import HUB, STOREFRONT
 from ..operators.dedup import first_by, order_key
-from ..sources import order_store
+from ..sources.order_store import OrderStore
 from ..sources.scratch import discard, made, written
 from .ingest import run_once, source
 
@@ -31,14 +31,14 @@ class OrderSink:
     Of several resolutions of an order the newest holds.
     """
 
-    def __init__(self, events: DataFrame, resolutions: DataFrame, path: str, buckets: int, as_of: datetime | None = None):
-        self.events, self.resolutions, self.path, self.buckets, self.as_of = events, resolutions, path, buckets, as_of
+    def __init__(self, events: DataFrame, resolutions: DataFrame, store: OrderStore, as_of: datetime | None = None):
+        self.events, self.resolutions, self.store, self.as_of = events, resolutions, store, as_of
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         before = made()
         keys = written(batch.where("order_key IS NOT NULL").distinct(), "touched")
         newest = first_by(self.resolutions, ["external_order_id"], [F.desc_nulls_last("resolved_at"), F.desc_nulls_last("processed_at"), F.col("gateway_raw")])
-        order_store.update_keys(self.events, newest, self.path, self.buckets, keys, batch_id + 1, self.as_of)
+        self.store.update_keys(self.events, newest, keys, batch_id + 1, self.as_of)
         discard(batch.sparkSession, [p for p in made() if p not in before])
 
 
@@ -48,15 +48,12 @@ def keep_orders(
     events_schema: StructType,
     resolutions_path: str,
     resolutions_schema: StructType,
-    path: str,
-    buckets: int,
+    store: OrderStore,
     checkpoint: str,
     files_per_batch: int = 64,
     as_of: datetime | None = None,
-    sink=None,
 ) -> None:
-    """Bring the stored table at ``path`` up to all events and resolutions that have landed; a restart goes on where the last run ended."""
+    """Bring the stored table up to all events and resolutions that have landed; a restart goes on where the last run ended."""
     landed = lambda where, schema: spark.read.schema(schema).parquet(where)
     stream = touches(source(spark, events_path, events_schema, files_per_batch), source(spark, resolutions_path, resolutions_schema, files_per_batch))
-    sink = sink or OrderSink(landed(events_path, events_schema), landed(resolutions_path, resolutions_schema), path, buckets, as_of)
-    run_once(stream, sink, checkpoint)
+    run_once(stream, OrderSink(landed(events_path, events_schema), landed(resolutions_path, resolutions_schema), store, as_of), checkpoint)
