@@ -9,17 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.values import PAYMENT_METHODS
+from ..functions.values import HUB, PAYMENT_METHODS, STOREFRONT
 
+# States and sources of entries that count, and sources of orders.
 ENTRY_STATES, ENTRY_SOURCES = ["approved", "applied"], ["manual", "import"]
+ORDER_SOURCES = [STOREFRONT, HUB, "integration", "webhook"]
 
 
 def all_of(*tests: Column | None) -> Column:
     return reduce(lambda a, b: a & b, [t for t in tests if t is not None], F.lit(True))
 
 
-def marketplace_is(token: str, marketplace: str = "marketplace", source: str = "source") -> Column:
-    return F.coalesce((S.marketplace_token(F.col(marketplace)) == token) | (S.marketplace_token(F.col(source)) == token), F.lit(False))
+def marketplace_is(value: str, marketplace: str = "marketplace", source: str = "source") -> Column:
+    """Whether a row is of a marketplace, which may be given by label or key; a value that names none, as 'todos', takes all rows."""
+    target = S.marketplace_token(F.lit(value))
+    own = (S.marketplace_token(F.col(marketplace)) == target) | (S.marketplace_token(F.col(source)) == target)
+    return target.isNull() | F.coalesce(own, F.lit(False))
 
 
 def payment_is(method: str, normalized: str = "payment_method_normalized", raw: str = "payment_method_raw") -> Column:
@@ -51,7 +56,7 @@ def transactions(
         all_of(
             eq("type", type),
             eq("source", source),
-            None if sources is None else F.col("source").isin(list(sources)),
+            None if not sources else F.col("source").isin(list(sources)),
             eq("status", status),
             None if marketplace is None else marketplace_is(marketplace),
             eq("category_id", category),
@@ -63,13 +68,15 @@ def transactions(
     )
 
 
-def cannot_contribute(type=None, source=None, category=None, status=None) -> bool:
-    """Whether conditions alone rule out every order: orders are income, uncategorised, approved or rejected, never manual."""
-    return (type not in (None, "income")) or category is not None or source in ENTRY_SOURCES or status not in (None, "approved", "rejected")
+def cannot_contribute(type=None, source=None, sources=None, category=None) -> bool:
+    """Whether conditions alone rule out every order: orders are income, uncategorised, and of known sources."""
+    foreign = source not in (None, *ORDER_SOURCES) or (bool(sources) and not set(sources) & set(ORDER_SOURCES))
+    return type not in (None, "income") or category is not None or foreign
 
 
 def orders_for(rows: DataFrame, **conditions) -> DataFrame:
-    ruled_out = cannot_contribute(**{k: conditions.get(k) for k in ("type", "source", "category", "status")})
+    """Orders under conditions; if these rule out every order, nothing is read."""
+    ruled_out = cannot_contribute(**{k: conditions.get(k) for k in ("type", "source", "sources", "category")})
     return rows.where(F.lit(False)) if ruled_out else transactions(rows, **conditions)
 
 
@@ -86,9 +93,16 @@ def entries(rows: DataFrame, start=None, end=None, category=None, type=None) ->
 
 
 def coverage(periods: DataFrame, floor: datetime) -> DataFrame:
-    """Periods ``start, end`` clipped at the floor of the data: full, partial or none, and whether they may be compared."""
-    status = F.when(F.col("start") >= F.lit(floor), "full").when(F.col("end") > F.lit(floor), "partial").otherwise("none")
-    return periods.withColumns({"coverage": status, "clipped_start": F.greatest("start", F.lit(floor)), "comparable": status == "full"})
+    """Periods ``start, end`` clipped at the floor of the data: full, partial or none, and whether they may be compared.
+
+    A period without a start asks for all there is, which is full from the floor
+    on; one that ends before the floor has neither start nor end.
+    """
+    start, end, least = F.col("start"), F.col("end"), F.lit(floor)
+    status = F.when(start.isNull(), "full").when(F.coalesce(end < least, F.lit(False)), "none").when(start < least, "partial").otherwise("full")
+    none = status == "none"
+    clipped = {"clipped_start": F.when(~none, F.greatest(start, least)), "clipped_end": F.when(~none, end)}
+    return periods.withColumns({"coverage": status, **clipped, "comparable": status == "full"})
 
 
 def floor_partition(events: DataFrame, floor: datetime, *stamps: str) -> DataFrame:

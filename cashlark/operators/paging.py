@@ -48,6 +48,13 @@ def retry_queue(rows: DataFrame, states: list[str], as_of: Column, most_attempts
     return page(due, [F.abs("delta_cents").desc(), F.col("external_order_id")], limit).withColumnRenamed("total", "eligible")
 
 
+def pending_changes(rows: DataFrame, as_of: Column, most_retries: int, limit: int) -> DataFrame:
+    """Queued changes that are due and may be tried again, most retried first; rows that only ask to fetch are not changes."""
+    due = F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= as_of)
+    rows = rows.where((F.col("operation") != "FETCH") & (F.col("retries") < most_retries) & due)
+    return rows.orderBy(F.desc("retries"), "id").limit(limit)
+
+
 def incremental(rows: DataFrame, sort_at: str, key: str, watermark: tuple) -> DataFrame:
     """Rows behind a watermark (instant, id)."""
     return after(rows, [(sort_at, False), (key, False)], list(watermark))

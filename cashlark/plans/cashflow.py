@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from ..functions.values import STOREFRONT
 from ..operators import aggregates as A
 from ..operators import filters
 
-PRESETS = {"today": (0, 0), "yesterday": (1, 1), "d7": (6, 0), "d14": (13, 0), "d30": (29, 0), "d60": (59, 0), "d90": (89, 0)}
+#: Days back to the first and the last day of a preset.
+PRESETS = {"today": (0, 0), "yesterday": (1, 1), "d7": (6, 0), "d30": (29, 0), "d60": (59, 0), "d90": (89, 0)}
 
 
 def period_range(
@@ -21,13 +23,26 @@ def period_range(
     start: datetime | None = None,
     end: datetime | None = None,
     days: int = 30,
+    zone: str | None = None,
 ) -> tuple[datetime, datetime]:
-    """Half-open days: explicit dates before a preset before the last ``days`` days."""
-    today = datetime(as_of.year, as_of.month, as_of.day)
-    if start and end:
-        return start, end + timedelta(days=1)
-    back, until = PRESETS.get(preset or "", (days - 1, 0))
-    return today - timedelta(days=back), today - timedelta(days=until) + timedelta(days=1)
+    """Half-open days: explicit dates before a preset before the last ``days`` days.
+
+    One date alone means that day.  With a ``zone``, ``as_of`` is an instant of
+    UTC, and so are the two edges, at which calendar days of the zone begin.
+    """
+    local = as_of.replace(tzinfo=UTC).astimezone(ZoneInfo(zone)) if zone else as_of
+    today = datetime(local.year, local.month, local.day)
+    if start or end:
+        first, last = start or end, end or start
+    else:
+        if preset and preset not in PRESETS:
+            raise ValueError(f"unknown preset: {preset}")
+        back, until = PRESETS[preset] if preset else (max(days - 1, 0), 0)
+        first, last = today - timedelta(days=back), today - timedelta(days=until)
+    edges = first, last + timedelta(days=1)
+    if not zone:
+        return edges
+    return tuple(e.replace(tzinfo=ZoneInfo(zone)).astimezone(UTC).replace(tzinfo=None) for e in edges)
 
 
 def previous_period(start: datetime, end: datetime) -> tuple[datetime, datetime]:

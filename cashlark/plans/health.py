@@ -31,7 +31,8 @@ def _picked(column: Column, values: dict) -> Column:
 def job_health(runs: DataFrame, expectations: DataFrame, as_of: Column) -> DataFrame:
     """One verdict per expected job from its scheduled runs.
 
-    ``expectations``: job_name, stale_minutes, per_day, max_seconds.
+    ``expectations``: job_name, stale_minutes, per_day, max_seconds.  ``detail``
+    says what is wrong with a job that is critical.
     """
     age = F.greatest(
         F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 60_000_000),
@@ -42,7 +43,8 @@ def job_health(runs: DataFrame, expectations: DataFrame, as_of: Column) -> DataF
     limit = F.ceil(F.col("max_seconds") * STUCK_FACTOR / 60)
     own = own.withColumn("dead", (F.col("status") == "failed") | ((F.col("status") == "running") & (F.col("age") > limit)))
     inside = F.col("age") <= RUN_WINDOW_MINUTES
-    newest = F.max_by(F.struct("status", "age", "dead"), F.struct("started_at", "id"))
+    message = F.col("error_message") if "error_message" in runs.columns else F.lit(None).cast("string")
+    newest = F.max_by(F.struct("status", "age", "dead", message.alias("message")), F.struct("started_at", "id"))
     facts = own.groupBy("job_name").agg(
         newest.alias("last"),
         F.count_if(inside).alias("runs_in_window"),
@@ -69,18 +71,51 @@ def job_health(runs: DataFrame, expectations: DataFrame, as_of: Column) -> DataF
         _picked(F.col("verdict"), SEVERITIES).alias("severity"),
         F.col("last.age").alias("minutes_since_last"),
         *[c.alias(n) for n, c in counts.items()],
+        _detail().alias("detail"),
     )
 
 
-def pipeline_health(jobs: DataFrame) -> DataFrame:
-    """One row: the worst severity, the jobs with problems from worst on, and those that are critical."""
+def short_age(minutes: Column) -> Column:
+    """Minutes, hours below two days, or days."""
+    hours = F.floor(minutes / 60)
+    small = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).when(hours < 48, F.concat(hours.cast("string"), F.lit(" h")))
+    return F.coalesce(small, F.concat(F.floor(hours / 24).cast("string"), F.lit(" d")))
+
+
+def _detail() -> Column:
+    """The words for a critical verdict; fixed texts."""
+    age, text = short_age(F.col("last.age")), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    reason = F.coalesce(F.concat(F.lit(": "), F.nullif(F.col("last.message"), F.lit(""))), F.lit(""))
+    end = F.col("max_seconds").cast("string")
+    return (
+        F.when(F.col("verdict") == "falhou", text("última execução falhou há ", age, reason))
+        .when(F.col("verdict") == "travado", text("começou há ", age, " e não terminou; a rota é encerrada em ", end, " s, então a execução morreu sem registrar o fim"))
+        .when(F.col("verdict") == "atrasado", text("última execução há ", age, "; tolerância de ", short_age(F.col("stale_minutes"))))
+    )
+
+
+def pipeline_health(jobs: DataFrame, expectations: DataFrame | None = None) -> DataFrame:
+    """One row: the worst severity, the jobs with problems from worst on, those that are critical, and the text of an alert on these.
+
+    Jobs of one severity stand in the order of ``expectations`` (job_name,
+    position, label), or by name without them.  Without critical jobs there is
+    no alert.
+    """
     rank = _picked(F.col("severity"), RANKS)
-    problems = F.sort_array(F.collect_list(F.when(rank > 0, F.struct((-rank).alias("r"), F.col("job_name")))))
-    return jobs.agg(F.max(rank).alias("worst"), problems.alias("problems"), F.count_if(F.col("severity") == "crit").alias("critical")).select(
-        _picked(F.col("worst"), {v: k for k, v in RANKS.items()}).alias("severity"), F.array_join(
-            F.transform("problems", lambda p: p["job_name"]),
-            ",",
-        ).alias("problems"), "critical"
+    if expectations is not None:
+        jobs = jobs.join(expectations.select("job_name", "position", "label"), "job_name")
+    place = F.col("position") if expectations is not None else F.lit(0)
+    label = F.col("label") if expectations is not None else F.col("job_name")
+    told = F.when(F.col("severity") == "crit", F.concat(label, F.lit(" — "), F.col("detail")))
+    # One entry per expected job.
+    problems = F.sort_array(F.collect_list(F.when(rank > 0, F.struct((-rank).alias("r"), place.alias("place"), "job_name", told.alias("told")))))
+    found = jobs.agg(F.max(rank).alias("worst"), problems.alias("problems"), F.count_if(F.col("severity") == "crit").alias("critical"))
+    critical = F.array_join(F.filter(F.transform("problems", lambda p: p["told"]), lambda x: x.isNotNull()), "; ")
+    return found.select(
+        _picked(F.col("worst"), {v: k for k, v in RANKS.items()}).alias("severity"),
+        F.array_join(F.transform("problems", lambda p: p["job_name"]), ",").alias("problems"),
+        "critical",
+        F.when(F.col("critical") > 0, F.concat(F.lit("Pipeline com problema: "), critical)).alias("alert"),
     )
 
 
@@ -89,7 +124,7 @@ def freshness(periods: DataFrame, lag: DataFrame, as_of: Column) -> DataFrame:
     both = periods.join(lag, F.lit(True), "left")  # the right side is one row
     through = F.col("max_occurred_at")
     status = (
-        F.when(through.isNull(), "unknown")
+        F.when(through.isNull() | F.col("start").isNull() | F.col("end").isNull(), "unknown")
         .when(F.col("end") <= through, "fresh")
         .when(F.col("start") > through, "not_yet")
         .when((F.col("end") <= as_of) & (F.col("max_materialized_at") >= F.col("end")), "fresh")
@@ -107,6 +142,13 @@ def mark_stale(runs: DataFrame, as_of: Column, minutes: int) -> DataFrame:
     return runs.withColumn("status", F.when(old, "failed").otherwise(F.col("status")))
 
 
+def without_expired_files(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """Export jobs without the files of completed ones that have expired; the jobs themselves stay."""
+    expired = (F.col("status") == "completed") & (F.col("expires_at") <= as_of) & F.col("file_data").isNotNull()
+    gone = F.coalesce(expired, F.lit(False))
+    return jobs.withColumns({c: F.when(~gone, F.col(c)) for c in ("file_data", "file_name", "mime_type", "file_size_bytes")})
+
+
 def retained(rows: DataFrame, stamp: str, as_of: Column, days: int) -> DataFrame:
     return rows.where(F.col(stamp) >= as_of - F.make_interval(days=F.lit(days)))
 

@@ -190,7 +190,9 @@ def maturity(days: DataFrame, zone: str) -> DataFrame:
     )
 
 
-RUN_RESULT = "metrics array<struct<label:string,diverges:boolean>>, maturity struct<isMature:boolean,unresolvedOrders:bigint,ordersWithoutLedger:bigint,materializedAfterWindow:boolean>, ledgerVsShopify struct<driftCents:bigint>"
+# The shape in which runs store their report.
+_MATURITY = "struct<isMature:boolean,unresolvedOrders:bigint,ordersWithoutLedger:bigint,materializedAfterWindow:boolean>"
+RUN_RESULT = f"report struct<metrics:array<struct<label:string,diverges:boolean>>,maturity:{_MATURITY}>"
 
 
 def pending_reasons(maturity: Column) -> Column:
@@ -207,19 +209,20 @@ def pending_reasons(maturity: Column) -> Column:
 def verdict(runs: DataFrame, days: DataFrame) -> DataFrame:
     """The newest verification run of each of the ``days``: none, failed, unreadable, provisional, diverging or confirmed.
 
-    ``pending`` names what a provisional day waits for; ``alert`` is raised for
+    A result without a report is unreadable; a metric counts as diverging only
+    with a label.  ``pending`` names what a provisional day waits for; ``alert`` is raised for
     metrics that diverge, and only informs while the day is not mature.
     """
     from ..operators.dedup import first_by
 
-    last = first_by(runs, ["day"], [F.desc("started_at"), F.desc("id")]).withColumn("r", F.from_json("result", RUN_RESULT))
+    last = first_by(runs, ["day"], [F.desc("started_at"), F.desc("id")]).withColumn("r", F.from_json("result", RUN_RESULT)["report"])
     last = days.select("day").distinct().join(last, "day", "left")
-    diverges = F.coalesce(F.exists("r.metrics", lambda m: F.coalesce(m["diverges"], F.lit(False))), F.lit(False))
+    diverges = F.coalesce(F.exists("r.metrics", lambda m: F.coalesce(m["diverges"] & S.clean(m["label"]).isNotNull(), F.lit(False))), F.lit(False))
     mature = F.coalesce(F.col("r.maturity.isMature"), F.lit(False))
     value = (
         F.when(F.col("id").isNull(), "sem_registro")
         .when(F.col("status") == "failed", "falhou")
-        .when(F.col("r.metrics").isNull(), "formato_desconhecido")
+        .when(F.col("r").isNull(), "formato_desconhecido")
         .when(~mature, "provisoria")
         .when(diverges, "divergente")
         .otherwise("conferido")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,9 +178,13 @@ def flt1_filter_transactions(t: Tables) -> DataFrame:
     ).select("order_key", "source", "amount_cents")
 
 
-@query("SELECT order_key FROM orders_fx WHERE source = 'anymarket' OR lower(marketplace) = 'anymarket'")
+@query("""SELECT order_key, f.value FROM (SELECT unnest(['anymarket', 'Any-Market', 'Household', ' MACHINERY ', 'todos', 'nowhere']) AS value) f
+    JOIN orders_fx ON CASE f.value WHEN 'anymarket' THEN source = 'anymarket' WHEN 'Household' THEN marketplace = 'HOUSEHOLD'
+    WHEN ' MACHINERY ' THEN marketplace = 'MACHINERY' WHEN 'todos' THEN true ELSE false END""")
 def flt2_marketplace_filter(t: Tables) -> DataFrame:
-    return t.orders_fx.where(filters.marketplace_is("anymarket")).select("order_key")
+    """By key, by label in any case, and by the word for all of them."""
+    of = lambda value: t.orders_fx.where(filters.marketplace_is(value)).select("order_key", F.lit(value).alias("value"))
+    return reduce(DataFrame.union, map(of, ["anymarket", "Any-Market", "Household", " MACHINERY ", "todos", "nowhere"]))
 
 
 @query(f"SELECT order_key FROM orders_fx WHERE {METHOD_SQL} = 'credit_card'")
@@ -192,23 +197,28 @@ def flt4_search_filter(t: Tables) -> DataFrame:
     return t.entries_fx.where(filters.search(" MACH ")).select("id")
 
 
-@query(f"SELECT order_key FROM orders_fx WHERE false AND {IN_PERIOD}")
+@query(f"SELECT order_key FROM orders_fx WHERE source = 'shopify' AND {IN_PERIOD}")
 def flt5_cannot_contribute(t: Tables) -> DataFrame:
-    return filters.orders_for(t.orders_fx, type="expense", start=ntz(PERIOD[0])).select("order_key")
+    """Of five questions only the last can have orders as an answer."""
+    asked = [{"type": "expense"}, {"category": 3}, {"source": "elsewhere"}, {"sources": ["manual", "import"]}, {"sources": ["manual", "shopify"]}]
+    found = [filters.orders_for(t.orders_fx, start=ntz(PERIOD[0]), end=ntz(PERIOD[1]), **a).select("order_key") for a in asked]
+    return reduce(DataFrame.union, found)
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderdate - INTERVAL '30' DAY >= TIMESTAMP '1996-01-01' THEN 'full'
-        WHEN o_orderdate > TIMESTAMP '1996-01-01' THEN 'partial' ELSE 'none' END AS coverage, greatest(o_orderdate - INTERVAL '30' DAY,
-        TIMESTAMP '1996-01-01') AS clipped_start FROM orders"""
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'full' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'none'
+        WHEN o_orderdate - INTERVAL '30' DAY < TIMESTAMP '1996-01-01' THEN 'partial' ELSE 'full' END AS coverage,
+        CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '1996-01-01' WHEN o_orderdate >= TIMESTAMP '1996-01-01' THEN
+        greatest(o_orderdate - INTERVAL '30' DAY, TIMESTAMP '1996-01-01') END AS clipped_start,
+        CASE WHEN o_orderkey % 7 = 0 OR o_orderdate >= TIMESTAMP '1996-01-01' THEN o_orderdate END AS clipped_end FROM orders"""
 )
 def flt6_coverage_clip(t: Tables) -> DataFrame:
     periods = t.orders.select(
         "o_orderkey",
-        (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("start"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("start"),
         F.col("o_orderdate").alias("end"),
     )
-    return filters.coverage(periods, ntz(FLOOR)).select("o_orderkey", "coverage", "clipped_start")
+    return filters.coverage(periods, ntz(FLOOR)).select("o_orderkey", "coverage", "clipped_start", "clipped_end")
 
 
 @query(
@@ -994,12 +1004,19 @@ def top6_retry_queue(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT external_order_id, attempts FROM divergences_fx WHERE next_attempt_at <= TIMESTAMP '1999-01-01' ORDER BY attempts DESC,
-        external_order_id LIMIT 300"""
+    """SELECT event_id AS id, event_id % 6 AS retries FROM changes_fx WHERE event_id % 13 <> 0 AND event_id % 6 < 5
+        AND (event_id % 3 = 0 OR ts <= TIMESTAMP '2024-01-20') ORDER BY retries DESC, id LIMIT 300"""
 )
 def top7_pending_changes(t: Tables) -> DataFrame:
-    due = t.divergences_fx.where(F.col("next_attempt_at") <= ntz(datetime(1999, 1, 1)))
-    return due.orderBy(F.desc("attempts"), "external_order_id").limit(300).select("external_order_id", "attempts")
+    """Some rows only ask to fetch, some have no due time, and some have been tried too often."""
+    k = F.col("event_id")
+    queue = t.changes_fx.select(
+        k.alias("id"),
+        (k % 6).alias("retries"),
+        F.when(k % 13 == 0, "FETCH").otherwise(F.col("operation")).alias("operation"),
+        F.when(k % 3 != 0, F.col("ts")).alias("next_retry_at"),
+    )
+    return paging.pending_changes(queue, ntz(datetime(2024, 1, 20)), 5, 300).select("id", "retries")
 
 
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND event_id > 100)")
@@ -1878,11 +1895,12 @@ def rec7_verification_verdict(t: Tables) -> DataFrame:
         (~k.isin(1, 3)).alias("materializedAfterWindow"),
     )
     result = F.struct(
-        F.array(F.struct(F.lit("gross").alias("label"), k.isin(2, 3).alias("diverges"))).alias("metrics"),
+        F.array(F.struct(F.when(k != 5, "gross").alias("label"), k.isin(2, 3, 5).alias("diverges"))).alias("metrics"),
         F.when(k != 4, maturity).alias("maturity"),
     )
+    result = F.struct(result.alias("report"), F.lit(True).alias("ok"))
     runs = t.job_runs_fx.where(F.dayofmonth("started_at") % 6 != 0)
-    runs = runs.withColumns({"day": F.to_date("started_at"), "result": F.when(k == 0, "{}").otherwise(F.to_json(result))})
+    runs = runs.withColumns({"day": F.to_date("started_at"), "result": F.when(k == 0, '{"metrics": [], "maturity": {"isMature": true}}').otherwise(F.to_json(result))})
     return reconcile.verdict(runs, t.events.select(F.to_date("ts").alias("day")))
 
 
@@ -2057,6 +2075,9 @@ HEALTH_SQL = f"""{EXPECTED_SQL}, own AS (SELECT r.*, e.stale_minutes, e.per_day,
     'falhas_recentes') THEN 'warn' WHEN verdict = 'sem_registro' THEN 'unknown' ELSE 'ok' END AS severity FROM verdicts)"""
 
 
+AGE_SQL = """CASE WHEN {0} < 60 THEN {0} || ' min' WHEN {0} // 60 < 48 THEN ({0} // 60) || ' h' ELSE ({0} // 60 // 24) || ' d' END"""
+
+
 def job_verdicts(t: Tables) -> DataFrame:
     expected = t.spark.createDataFrame(EXPECTED, "job_name string, stale_minutes int, per_day int, max_seconds int")
     return health.job_health(t.job_runs_fx, expected, ntz(EVENTS_AS_OF))
@@ -2064,28 +2085,38 @@ def job_verdicts(t: Tables) -> DataFrame:
 
 @query(f"WITH {HEALTH_SQL} SELECT job_name, verdict, severity, minutes_since_last, runs_in_window, recent_failures FROM graded")
 def hlt1_job_health(t: Tables) -> DataFrame:
-    return job_verdicts(t)
+    return job_verdicts(t).drop("detail")
 
 
 @query(f"""WITH {HEALTH_SQL}, r AS (SELECT *, CASE severity WHEN 'crit' THEN 3 WHEN 'warn' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END AS rank
     FROM graded)
     SELECT CASE max(rank) WHEN 3 THEN 'crit' WHEN 2 THEN 'warn' WHEN 1 THEN 'unknown' ELSE 'ok' END AS severity, coalesce(string_agg(CASE
-    WHEN rank > 0 THEN job_name END, ',' ORDER BY rank DESC, job_name), '') AS problems, count(CASE
-    WHEN severity = 'crit' THEN 1 END) AS critical FROM r""")
+    WHEN rank > 0 THEN job_name END, ',' ORDER BY rank DESC, job_name DESC), '') AS problems, count(CASE
+    WHEN severity = 'crit' THEN 1 END) AS critical, 'Pipeline com problema: ' || string_agg(CASE WHEN severity = 'crit' THEN upper(job_name) || ' — '
+    || CASE verdict WHEN 'falhou' THEN 'última execução falhou há ' || {AGE_SQL.format("minutes_since_last")} || coalesce(': ' || message, '')
+    WHEN 'travado' THEN 'começou há ' || {AGE_SQL.format("minutes_since_last")} || ' e não terminou; a rota é encerrada em ' || r.max_seconds
+    || ' s, então a execução morreu sem registrar o fim' ELSE 'última execução há ' || {AGE_SQL.format("minutes_since_last")} || '; tolerância de '
+    || {AGE_SQL.format("r.stale_minutes")} END END, '; ' ORDER BY job_name DESC) AS alert
+    FROM (SELECT r.*, e.max_seconds, e.stale_minutes, m.error_message AS message FROM r JOIN expected e USING (job_name)
+    LEFT JOIN (SELECT job_name, error_message FROM d WHERE nth = 1) m USING (job_name)) r""")
 def hlt2_pipeline_health(t: Tables) -> DataFrame:
-    return health.pipeline_health(job_verdicts(t))
+    """Jobs are expected in the reverse of their names."""
+    names = sorted((e[0] for e in EXPECTED), reverse=True)
+    known = t.spark.createDataFrame([(n, i, n.upper()) for i, n in enumerate(names)], "job_name string, position int, label string")
+    return health.pipeline_health(job_verdicts(t), known)
 
 
 @query("""WITH l AS (SELECT max(occurred_at) AS through, max(materialized_at) AS ran FROM orders_fx) SELECT DISTINCT o_orderdate AS "start",
-    o_orderdate + INTERVAL '20' DAY AS "end", CASE WHEN o_orderdate + INTERVAL '20' DAY <= through THEN 'fresh'
+    CASE WHEN day(o_orderdate) <> 7 THEN o_orderdate + INTERVAL '20' DAY END AS "end", CASE WHEN day(o_orderdate) = 7 THEN 'unknown'
+    WHEN o_orderdate + INTERVAL '20' DAY <= through THEN 'fresh'
     WHEN o_orderdate > through THEN 'not_yet'
     WHEN o_orderdate + INTERVAL '20' DAY <= TIMESTAMP '2001-08-10' AND ran >= o_orderdate + INTERVAL '20' DAY THEN 'fresh'
     WHEN o_orderdate + INTERVAL '20' DAY <= TIMESTAMP '2001-08-10' THEN 'incomplete' ELSE 'trailing' END AS freshness,
-    NOT (o_orderdate > through) AS can_show_totals FROM orders, l""")
+    day(o_orderdate) = 7 OR NOT (o_orderdate > through) AS can_show_totals FROM orders, l""")
 def hlt3_freshness(t: Tables) -> DataFrame:
     periods = t.orders.select(
         F.col("o_orderdate").alias("start"),
-        (F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")).alias("end"),
+        F.when(F.dayofmonth("o_orderdate") != 7, F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")).alias("end"),
     ).distinct()
     return health.freshness(periods, A.materialized_lag(t.orders_fx, ntz(ORDERS_AS_OF)), ntz(datetime(2001, 8, 10)))
 
@@ -2103,6 +2134,22 @@ def hlt5_retention(t: Tables) -> DataFrame:
     return health.retained(t.job_runs_fx, "started_at", ntz(EVENTS_AS_OF), 10).select("id")
 
 
+@query("""SELECT id, CASE WHEN id % 3 <> 0 AND NOT (status = 'ok' AND id % 4 <> 0 AND started_at <= TIMESTAMP '2024-01-20') THEN 'x' || CAST(id AS VARCHAR) END AS file_data,
+    CASE WHEN NOT (status = 'ok' AND id % 4 <> 0 AND started_at <= TIMESTAMP '2024-01-20' AND id % 3 <> 0) THEN 'text/csv' END AS mime_type FROM job_runs_fx""")
+def hlt5_expired_exports(t: Tables) -> DataFrame:
+    """Export jobs of which some never expire, and some have no file."""
+    jobs = t.job_runs_fx.select(
+        "id",
+        F.when(F.col("status") == "ok", "completed").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("id") % 4 != 0, F.col("started_at")).alias("expires_at"),
+        F.when(F.col("id") % 3 != 0, F.concat(F.lit("x"), F.col("id").cast("string"))).alias("file_data"),
+        F.lit("orders.csv").alias("file_name"),
+        F.lit("text/csv").alias("mime_type"),
+        F.lit(3).alias("file_size_bytes"),
+    )
+    return health.without_expired_files(jobs, ntz(datetime(2024, 1, 20))).select("id", "file_data", "mime_type")
+
+
 # ---- incremental
 
 
