@@ -1506,7 +1506,7 @@ def str5_stream_materialization(t: Tables) -> DataFrame:
     # Newer events and resolutions in files of their own, which later batches take.
     events.repartition(3, F.substring("id", 1, 3)).write.parquet(paths[0])
     resolutions.repartition(3).write.parquet(paths[1])
-    store = new_store(t).create(t.spark.createDataFrame([], f"{orders.ORDER_ROW}, materialized_at timestamp"), events)
+    store = new_store(t).create(t.spark.createDataFrame([], orders.ORDER_ROW).withColumn("materialized_at", F.lit(None).cast("timestamp")), events)
     keep_orders(t.spark, paths[0], events.schema, paths[1], resolutions.schema, store, paths[2], files_per_batch=2, as_of=ORDERS_AS_OF)
     rows = store.read()
     return rows.select("source", "order_key", "mirror_row_id", "amount_cents", "payment_method_normalized", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))

@@ -18,7 +18,7 @@ from .ingest import run_once, source
 def touches(events: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Keys of orders that new events or new resolutions concern."""
     told = events.where(F.col("source").isin(STOREFRONT, HUB) & F.col("payload_json").isNotNull()).select("source", order_key().alias("order_key"))
-    resolved = resolutions.where("processed_at is not null").select(F.lit(STOREFRONT).alias("source"), F.col("external_order_id").alias("order_key"))
+    resolved = resolutions.select(F.lit(STOREFRONT).alias("source"), F.col("external_order_id").alias("order_key"))
     return told.union(resolved)
 
 
