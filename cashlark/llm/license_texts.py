@@ -1,7 +1,10 @@
 """Base phrases with their labels, and licence texts and notices with their mandatory phrases.
 
 Texts are plain; they are cut into words like documents.  Mandatory phrases are
-runs of words of their text, all of which have to stand in place.
+runs of words of their text, all of which have to stand in place.  Whole licences,
+without their copyright line, are ``mit-text``, ``isc``, ``bsd-3-clause``, ``zlib``
+and ``unlicense``; all other entries are notices, headers or beginnings by which
+a licence is named.
 """
 
 from __future__ import annotations
@@ -34,6 +37,18 @@ TEMPLATES: dict[str, tuple[str, list[str]]] = {
         of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
         ["Redistribution and use in source and binary forms"],
     ),
+    "bsd-3-clause": (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source
+        code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor
+        the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+        ["Redistribution and use in source and binary forms", "may be used to endorse or promote products derived from this software"],
+    ),
     "apache-2.0": ("Licensed under the Apache License, Version 2.0", ["Apache License, Version 2.0"]),
     "apache-2.0-header": (
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
@@ -77,12 +92,19 @@ TEMPLATES: dict[str, tuple[str, list[str]]] = {
     "zlib": (
         """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
         Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
-        restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented
+        as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
         ["provided 'as-is', without any express or implied warranty"],
     ),
     "unlicense": (
         """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
-        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors
+        of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment
+        of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+        FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>""",
         ["free and unencumbered software released into the public domain"],
     ),
     "cc-by-4.0": ("Licensed under CC BY 4.0", ["CC BY 4.0"]),

@@ -1,14 +1,18 @@
 """License scan by a positional index of rare words, in DataFrame functions only.
 
-The index holds, of each licence text, its RARE_WORDS highest-IDF words and the
-highest-IDF word of each mandatory phrase, with their places in the text.  IDF
-comes from a pass over all documents that counts in how many of them each licence
-word occurs.  A second pass looks up where a document has index words; a word at
-place i that a text has at place p votes for the text at offset i - p.  Each
-offset voted for is verified: all mandatory phrases of the text have to stand in
-place.  It is scored by the share of the text's words that do, and the best
-offset counts, so that strays elsewhere change nothing.  As every phrase has a
-word in the index, no place where the phrases stand is missed.
+The index holds the highest-IDF word of each mandatory phrase of each licence
+text, with its place in the text.  IDF comes from a pass over all documents that
+counts in how many of them each licence word occurs.  A second pass looks up
+where a document has index words; a word at place i that a text has at place p
+is a posting of the text at offset i - p.  The postings of a text's phrases are
+intersected: an offset is left only if the rare words of all its phrases stand
+where that offset puts them.  At each offset left, all words of the phrases are
+verified.  It is scored by the share of the text's words that stand in place,
+and the best offset counts, so that strays elsewhere change nothing.  As every
+phrase has a word in the index, no place where the phrases stand is missed.
+
+Index words are found by the slot of their checksum in a constant table of about
+as many slots as there are words, so that a look-up does not grow with the index.
 
 Base phrases are counted wherever their words stand together, on their own.
 
@@ -25,6 +29,7 @@ import re
 from collections import defaultdict
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +37,11 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .license_texts import BASE, TEMPLATES
 
-#: How many of the rarest words of a licence text are in the index, beside one of each phrase.
-RARE_WORDS = 3
 #: Words that all licence texts may have together.
 MOST_WORDS = 1_000_000
 #: Score of a document with base phrases alone.
 BASE_SCORE = 0.5
-#: Votes are numbers: text, then offset moved up so that it is positive.
+#: Postings are numbers: text, then offset moved up so that it is positive.
 _SHIFT, _ZERO = 40, 1 << 39
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,15 +86,13 @@ def rarity(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[s
     return {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in vocabulary}
 
 
-def postings(texts: list, idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """The index: each rare word with the licence texts that have it and its places there."""
+def postings(texts: list, idf: dict[str, float]) -> dict[str, list[tuple[int, int, int]]]:
+    """The index: each word that is the rarest of a phrase, with (text, number of the phrase, place in the text)."""
     found = defaultdict(list)
-    for number, (_, words, phrases) in enumerate(texts):
-        rarest = lambda some: sorted(set(some), key=lambda w: (-idf[w], w))
-        rare = {*rarest(words)[:RARE_WORDS], *(rarest(p)[0] for _, p in phrases)}
-        for place, word in enumerate(words):
-            if word in rare:
-                found[word].append((number, place))
+    for number, (_, _, phrases) in enumerate(texts):
+        for nth, (at, phrase) in enumerate(phrases):
+            rarest = min(range(len(phrase)), key=lambda k: (-idf[phrase[k]], phrase[k], k))
+            found[phrase[rarest]].append((number, nth, at + rarest))
     return dict(found)
 
 
@@ -100,20 +101,43 @@ def _strings(words: list[str]) -> Column:
     return F.split(F.lit(" ".join(words)), " ")
 
 
-def _votes(words: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
-    """Every text and offset that an index word of the document speaks for, once."""
-    entries = [
-        F.split(F.lit(" ".join(str((t << _SHIFT) - p + _ZERO) for t, p in places)), " ").cast("array<long>")
-        for places in index.values()
-    ]
-    table = F.map_from_arrays(_strings(list(index)), F.array(*entries))
+def _numbers(values: list[int]) -> Column:
+    """A constant array of numbers."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<long>") if values else F.array().cast("array<long>")
+
+
+def _slots(index: dict[str, list[tuple[int, int, int]]], nth: int) -> Column:
+    """Slots of the index by checksum: words with the postings that they give their texts' ``nth`` phrases."""
+    slots: list[list[Column]] = [[] for _ in index]
+    for word, places in index.items():
+        own = _numbers([(t << _SHIFT) - p + _ZERO for t, k, p in places if k == nth])
+        slots[crc32(word.encode()) % len(index)].append(F.struct(F.lit(word).alias("w"), own.alias("postings")))
+    empty = F.array().cast("array<struct<w:string,postings:array<long>>>")
+    return F.array(*[F.array(*s) if s else empty for s in slots])
+
+
+def _found(words: Column, index: dict[str, list[tuple[int, int, int]]], texts: list) -> Column:
+    """Every text and offset at which the rare words of all phrases stand in place, once."""
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(list(index)))
-    each = F.transform(hits, lambda h: F.transform(F.element_at(table, h["w"]), lambda v: v + h["i"]))
-    return F.array_distinct(F.flatten(each))
+    hits = F.transform(hits, lambda h: h.withField("slot", (F.crc32(h["w"].cast("binary")) % len(index)).cast("int")))
 
+    def of_phrases(nth: int) -> Column:
+        slots = _slots(index, nth)
+        here = lambda h: F.flatten(F.transform(F.filter(F.get(slots, h["slot"]), lambda s: s["w"] == h["w"]), lambda s: s["postings"]))
+        return F.flatten(F.transform(hits, lambda h: F.transform(here(h), lambda v: v + h["i"])))
 
-def _matches(words: Column, votes: Column, texts: list) -> Column:
-    """Of the votes those at which all mandatory phrases stand: text number and share of its words in place."""
+    left = F.array_distinct(of_phrases(0))
+    sizes = [len(phrases) for _, _, phrases in texts]
+    for nth in range(1, max(sizes)):
+        # Texts with fewer phrases have nothing more to intersect.
+        done = _numbers([t for t, size in enumerate(sizes) if size <= nth])
+        kept = F.filter(left, lambda v: F.array_contains(done, F.shiftright(v, _SHIFT)))
+        left = F.array_union(kept, F.array_intersect(left, of_phrases(nth)))
+    return left
+
+
+def _matches(words: Column, found: Column, texts: list) -> Column:
+    """Of the places found those at which all mandatory phrases stand: text number and share of its words in place."""
     constants = F.array(
         *[
             F.struct(
@@ -135,7 +159,7 @@ def _matches(words: Column, votes: Column, texts: list) -> Column:
         own = F.get(constants, number(v))["words"]
         return F.struct(number(v).alias("number"), (F.size(F.filter(stands(own, offset(v)), lambda x: x)) / F.size(own)).alias("share"))
 
-    return F.transform(F.filter(votes, whole), scored)
+    return F.transform(F.filter(found, whole), scored)
 
 
 def _base_places(words: Column, phrase: str) -> Column:
@@ -152,16 +176,17 @@ def _base_places(words: Column, phrase: str) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, list[str]]] = TEMPLATES) -> DataFrame:
     """Per row: word count, base phrases and labels, all labels, and a score from 0 to 1."""
     texts = parsed(templates)
-    index = postings(texts, rarity(docs, sorted({w for _, words, _ in texts for w in words}), text))
+    in_phrases = {w for _, _, phrases in texts for _, phrase in phrases for w in phrase}
+    index = postings(texts, rarity(docs, sorted(in_phrases), text))
     rows = docs.select(F.col(key).alias("own_key"), _words(text_of(text)).alias("words"))
     words = F.col("words")
     rows = rows.select(
         "own_key",
         "words",
         *[_base_places(words, phrase).alias(f"at_{label}") for phrase, label in BASE.items()],
-        _votes(words, index).alias("votes"),
+        _found(words, index, texts).alias("found"),
     )
-    rows = rows.withColumn("matches", _matches(words, F.col("votes"), texts))
+    rows = rows.withColumn("matches", _matches(words, F.col("found"), texts))
     places = F.concat(*[F.col(f"at_{label}") for label in BASE.values()])
     own = F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in BASE.values()])
     names = F.transform("matches", lambda m: F.get(F.array(*[F.lit(name) for name, _, _ in texts]), m["number"]))
@@ -177,25 +202,3 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
         text_list(F.concat(own, names)).alias("labels"),
         F.greatest(best, F.when(F.size(places) > 0, BASE_SCORE).otherwise(0.0)).alias("score"),
     )
-
-
-def brute_force(text: str | None, templates: dict[str, tuple[str, list[str]]] = TEMPLATES) -> dict:
-    """The whole result for one text by trying every offset of every licence text, for tests."""
-    words = words_of(text or "")
-    places = [(i, label) for p, label in BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-    at = [i for i, _ in places]
-    labels, score = {x for _, x in places}, BASE_SCORE if places else 0.0
-    for name, own, phrases in parsed(templates):
-        for i in range(len(words)):
-            start = i - phrases[0][0]
-            if all(start + p >= 0 and words[start + p : start + p + len(phrase)] == phrase for p, phrase in phrases):
-                labels.add(name)
-                score = max(score, sum(0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(own)) / len(own))
-    base = {
-        "n_words": len(words),
-        "n_base": len(at),
-        "first_word": min(at, default=None),
-        "last_word": max(at, default=None),
-        "base_labels": ",".join(sorted({x for _, x in places})),
-    }
-    return base | {"labels": ",".join(sorted(labels)), "score": score}
