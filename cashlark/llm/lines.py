@@ -38,7 +38,7 @@ def numbered(rows: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]
     """``rows`` with their place, from 1, in the order of ``by``, which must tell all rows apart; and how many there are.
 
     Sorted range partitions count on from each other, so equal leading values
-    need not meet in one task.
+    need not meet in one task.  ``part_id`` is the partition of a row.
     """
     spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -51,7 +51,7 @@ def numbered(rows: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]
         total += n
     base = F.broadcast(spark.createDataFrame(before, "part_id long, base_id long"))
     order = order.join(base, "part_id").withColumn(name, F.col("base_id") + F.col("at_id").bitwiseAND((1 << 33) - 1) + 1)
-    return order.drop("part_id", "base_id", "at_id"), total
+    return order.drop("base_id", "at_id"), total
 
 
 def first_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -81,7 +81,8 @@ def repeated_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> D
         "left_semi",
     )
     lines = written(lines, "lines")
-    often = lines.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")
+    # Written, as the join can split a frequent line only between plain shuffles.
+    often = written(lines.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2"), "frequent-lines")
     again = written(lines.join(often, ["l1", "l2"]).dropDuplicates(["d1", "d2", "i"]), "repeated-lines")
     rows, _ = numbered(again.select(*KEY).distinct(), KEY, "row")
     again = again.join(rows.select("d1", "d2", "row"), ["d1", "d2"])
@@ -94,8 +95,10 @@ def repeated_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> D
 def first_ranks(lines: DataFrame) -> DataFrame:
     """Suffixes ranked by their first line: a rank is one more than the number of smaller suffixes."""
     order, _ = numbered(lines.select("l1", "l2", "row", "i", "words", "left"), ["l1", "l2", "row", "i"], "place")
-    ranks = order.groupBy("l1", "l2").agg(F.min("place").alias("rank"))
-    return order.join(ranks, ["l1", "l2"]).select("row", "i", "words", "left", "rank", F.array("rank").alias("levels"))
+    # A line that fills many partitions is looked up by partition, and meets in no task.
+    parts = order.groupBy("l1", "l2", "part_id").agg(F.min("place").alias("first"))
+    ranks = parts.withColumn("rank", F.min("first").over(W.partitionBy("l1", "l2"))).drop("first")
+    return order.join(written(ranks, "first-ranks"), ["l1", "l2", "part_id"]).select("row", "i", "words", "left", "rank", F.array("rank").alias("levels"))
 
 
 def doubled(suffixes: DataFrame, h: int) -> DataFrame | None:
@@ -111,6 +114,7 @@ def doubled(suffixes: DataFrame, h: int) -> DataFrame | None:
         F.count("*").alias("n"),
         F.max("left").alias("most"),
     ).where((F.col("n") > 1) & (F.col("most") > h)).select("rank")
+    open_ranks = written(open_ranks, "open-ranks")
     ahead = now.select("row", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
     active = now.join(open_ranks, "rank").join(ahead, ["row", "i"], "left")
     active = written(
@@ -127,7 +131,7 @@ def doubled(suffixes: DataFrame, h: int) -> DataFrame | None:
     inner = pairs.withColumn("inner", smaller("rank", "block", "next"))
     outer = pairs.groupBy("rank", "block").agg(F.sum("n").alias("n")).withColumn("outer", smaller("rank", "block")).drop("n")
     fresh = inner.join(outer, ["rank", "block"]).select("rank", "next", (F.col("rank") + F.col("outer") + F.col("inner")).alias("fresh"))
-    return active.join(fresh, ["rank", "next"]).select("row", "i", "fresh")
+    return active.join(written(fresh, "fresh-ranks"), ["rank", "next"]).select("row", "i", "fresh")
 
 
 def suffix_ranks(lines: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def _equal_level(a: str, b: str, below: Column) -> Column:
 
 def suffix_array(ranks: DataFrame) -> DataFrame:
     """Suffixes in order: ``sa`` from 1, and ``lcp``, the lines that each shares with the one before."""
-    order, _ = numbered(ranks, ["rank", "row", "i"], "sa")
+    order = numbered(ranks, ["rank", "row", "i"], "sa")[0].drop("part_id")
     past = order.select(
         (F.col("sa") + 1).alias("sa"),
         F.col("row").alias("p_row"),
