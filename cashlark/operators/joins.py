@@ -56,33 +56,38 @@ def diff_read_models(left: DataFrame, right: DataFrame, keys: list[str], fields:
     return both.where("difference is not null").select(*keys, "difference", "fields")
 
 
-def explain_difference(
-    tenders: DataFrame,
-    ledger: DataFrame,
-    events: DataFrame,
-    orders: DataFrame,
-    zone: str,
-    end: Column,
-) -> DataFrame:
-    """Each order's difference between tenders and ledger with its first cause."""
-    t = tenders.groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("external_cents"), F.max("processed_at").alias("tendered_at"))
-    own = ledger.groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("system_cents"))
-    flag = lambda rows, name: rows.select(ORDER).distinct().withColumn(name, F.lit(True))
-    both = t.join(own, ORDER, "full_outer").join(flag(events, "mirrored"), ORDER, "left").join(
-        orders.select(ORDER, "occurred_at"),
-        ORDER,
-        "left",
-    )
-    difference = S.zero(F.col("external_cents")) - S.zero(F.col("system_cents"))
+def explain_difference(legs: DataFrame, orders: DataFrame, events: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Per order of a window, what payments outside say less what the order table says, with its cause.
+
+    Outside are the ``legs`` processed in the half-open window; the system's side
+    are the storefront's orders dated in it.  An order that has legs in the window
+    but is dated elsewhere counts nothing there.
+    """
+    inside = lambda c: (F.col(c) >= start) & (F.col(c) < end)
+    t = legs.where(inside("processed_at")).groupBy(ORDER).agg(F.sum("amount_cents").cast("long").alias("external_cents"))
+    own = orders.where(F.col("source") == STOREFRONT).select(ORDER, "amount_cents", inside("occurred_at").alias("dated_inside"))
+    seen = events.where(F.col("source") == STOREFRONT).select(ORDER).distinct().withColumn("mirrored", F.lit(True))
+    both = t.join(own, ORDER, "full_outer").where("external_cents IS NOT NULL OR dated_inside").join(seen, ORDER, "left")
+    system = F.when(F.coalesce("dated_inside", F.lit(False)), S.zero(F.col("amount_cents"))).otherwise(0)
     cause = (
         F.when(F.col("external_cents").isNull(), "system_only")
         .when(F.col("mirrored").isNull(), "absent_from_mirror")
-        .when(F.col("occurred_at").isNull(), "not_materialized")
-        .when(S.local_day(F.col("occurred_at"), zone) != S.local_day(F.col("tendered_at"), zone), "different_date")
-        .when(F.col("tendered_at") >= end, "leg_outside_window")
-        .otherwise("same_day")
+        .when(F.col("dated_inside").isNull(), "not_materialized")
+        .when(~F.col("dated_inside"), "different_date")
+        .otherwise("leg_outside_window")
     )
-    return both.withColumns({"difference_cents": difference, "cause": cause}).where("difference_cents != 0")
+    found = both.select(ORDER, (S.zero(F.col("external_cents")) - system).cast("long").alias("difference_cents"), cause.alias("cause"))
+    return found.where("difference_cents <> 0")
+
+
+def difference_by_cause(found: DataFrame, legs: DataFrame, orders: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Explained differences by cause, and as ``residual`` what the whole difference leaves unexplained, which is zero."""
+    money = lambda rows, c, sign: rows.where((F.col(c) >= start) & (F.col(c) < end)).agg((F.coalesce(F.sum("amount_cents"), F.lit(0)) * sign).alias("cents"))
+    causes = found.groupBy("cause").agg(F.count("*").alias("n"), F.sum("difference_cents").cast("long").alias("difference_cents"))
+    parts = money(legs, "processed_at", 1).union(money(orders.where(F.col("source") == STOREFRONT), "occurred_at", -1))
+    whole = parts.union(found.agg((F.coalesce(F.sum("difference_cents"), F.lit(0)) * -1).alias("cents")))
+    residual = whole.agg(F.lit("residual").alias("cause"), F.lit(0).cast("long").alias("n"), F.sum("cents").cast("long").alias("difference_cents"))
+    return causes.unionByName(residual)
 
 
 def orders_missing_split(events: DataFrame, resolutions: DataFrame, split: DataFrame) -> DataFrame:

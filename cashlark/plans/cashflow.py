@@ -137,6 +137,57 @@ def payments_basis(orders: DataFrame, ledger: DataFrame, start: datetime, end: d
     return both.join(covered, F.lit(True)).where(F.col("covered") == (F.col("basis") == "payments")).drop("covered")  # the right side is one row
 
 
+def summary_by_payments(
+    rows: DataFrame,
+    ledger: DataFrame,
+    start: datetime,
+    end: datetime,
+    zone: str,
+    floor: datetime | None = None,
+    method: str | None = None,
+) -> DataFrame:
+    """Totals by period, source and method, where the ledger takes the place of the storefront's orders in each period that it covers day by day.
+
+    Income and number of storefront orders then come from payments, in a source
+    of their own; discount, shipping, taxes and fees still come from the orders.
+    ``method`` also limits the payments, as the caller has limited ``rows``.
+    """
+    before, _ = previous_period(start, end)
+    both = tagged(rows, start, end)
+    legs = tagged(ledger.withColumnRenamed("processed_at", "occurred_at"), start, end)
+    if floor and before < floor:
+        both, legs = both.where("period = 'current'"), legs.where("period = 'current'")
+    days = F.countDistinct(S.local_day(F.col("occurred_at"), zone))
+    covered = legs.groupBy("period").agg((days >= (end - start).days).alias("covered")).where("covered")  # at most two rows
+    both = both.join(covered, "period", "left")
+    swapped = F.coalesce(F.col("covered") & (F.col("external_source") == STOREFRONT) & (F.col("type") == "income"), F.lit(False))
+    money = ["discount_cents", "shipping_cents", "tax_cents", "fee_cents"]
+    own = both.select(
+        "period",
+        "type",
+        "source_bucket",
+        F.coalesce("payment_method", F.lit("other")).alias("payment_method"),
+        F.when(swapped, 0).otherwise(F.col("amount_cents")).alias("amount_cents"),
+        *[S.zero(F.col(c)).alias(c) for c in money],
+        F.when(swapped, 0).otherwise(1).alias("n"),
+    )
+    paid = legs.join(covered, "period").withColumn("payment_method", S.classify_payment(F.col("gateway_raw")))
+    paid = paid if method is None else paid.where(F.col("payment_method") == method)
+    bucket = S.marketplace_label(F.lit(None).cast("string"), F.lit(STOREFRONT))
+    paid = paid.select(
+        "period", F.lit("income").alias("type"), bucket.alias("source_bucket"), "payment_method", "amount_cents", *[F.lit(0).cast("long").alias(c) for c in money], F.col("transaction_count").alias("n")
+    )
+    income, expense = F.col("type") == "income", F.col("type") == "expense"
+    return own.unionByName(paid).groupBy("period", "source_bucket", "payment_method").agg(
+        A.sum_if(income, "amount_cents").alias("income_cents"),
+        A.sum_if(expense, "amount_cents").alias("expense_cents"),
+        A.total("discount_cents").alias("discount_cents"),
+        A.total("shipping_cents").alias("shipping_cents"),
+        A.total(F.col("tax_cents") + F.col("fee_cents")).alias("tax_fee_cents"),
+        A.total("n").alias("n"),
+    )
+
+
 def entries_summary(entries: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Totals of entries that count in both periods; no row for a period without any."""
     income, expense = F.col("type") == "income", F.col("type") == "expense"

@@ -181,6 +181,70 @@ def metrics(system: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFra
     )
 
 
+def ledger_vs_tender_day(tenders: DataFrame, inside: DataFrame, ledger: DataFrame, first: Column, end: Column, tolerance: int = 1) -> DataFrame:
+    """One row on a window: orders compared with their tenders, those that differ, their drift, and what tenders cannot see.
+
+    ``inside`` are the ledger's legs of the window; store credit among them never has a tender.
+    """
+    candidates = tenders.where(~F.col("test") & (F.col("processed_at") >= first) & (F.col("processed_at") < end)).select(ORDER).distinct()
+    whole = A.tender_totals(tenders.join(candidates, ORDER, "left_semi"))
+    apart = joins.ledger_vs_tender(whole, ledger, tolerance)
+    alone = inside.select(ORDER).distinct().join(whole.select(ORDER), ORDER, "left_anti")
+    credit = S.classify_payment(F.col("gateway_raw")) == "store_credit"
+    parts = [
+        whole.agg(F.count("*").alias("compared_orders"), A.total("negative_entries").alias("negative_entries")),
+        apart.agg(F.count("*").alias("divergent_orders"), A.total(F.abs("delta_cents")).alias("drift_cents")),
+        alone.agg(F.count("*").alias("orders_only_in_ledger")),
+        inside.agg(A.sum_if(credit, "amount_cents").alias("blind_spot_cents")),
+    ]
+    return reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # each is one row
+
+
+def verification_report(
+    system: DataFrame,
+    tenders: DataFrame,
+    ledger: DataFrame,
+    first: Column,
+    end: Column,
+    by_payments: bool = False,
+    tolerance: int = 1,
+) -> DataFrame:
+    """All metrics of a window: gross, count, each method, and the ledger beside the tenders.
+
+    ``system`` has the storefront's ``payment_method, gross_cents, n``.  The count
+    is of payments if the answer stands on these, else of orders, and has no
+    tolerance.  ``ledger_vs_tender`` shows compared orders, the store credit that
+    tenders cannot see, and the drift.
+    """
+    inside = ledger.where((F.col("processed_at") >= first) & (F.col("processed_at") < end))
+    row = lambda name, a, b, d, percent, diverges: [
+        name.alias("metric"),
+        a.cast("long").alias("system_value"),
+        b.cast("long").alias("other_value"),
+        d.cast("long").alias("difference"),
+        percent.cast("double").alias("difference_percent"),
+        diverges.alias("diverges"),
+    ]
+    beside = lambda name, a, b, most: row(name, a, b, a - b, S.difference_percent(a, b), F.abs(a - b) > most)
+    theirs = inside.agg(
+        A.total("amount_cents").alias("other_gross"),
+        A.total("transaction_count").alias("legs"),
+        F.countDistinct(ORDER).alias("orders"),
+    )
+    both = system.agg(A.total("gross_cents").alias("gross"), A.total("n").alias("count")).join(theirs, F.lit(True))  # both are one row
+    count = F.col("legs") if by_payments else F.col("orders")
+    per_method = metrics(system, inside, tolerance)
+    drift = F.col("drift_cents")
+    compared = ledger_vs_tender_day(tenders, inside, ledger, first, end, tolerance)
+    parts = [
+        both.select(*beside(F.lit("gross"), F.col("gross"), F.col("other_gross"), tolerance)),
+        both.select(*beside(F.lit("count"), F.col("count"), count, 0)),
+        per_method.select(*beside(F.concat(F.lit("method:"), "payment_method"), F.col("system_cents"), F.col("ledger_cents"), tolerance)),
+        compared.select(*row(F.lit("ledger_vs_tender"), F.col("compared_orders"), F.col("blind_spot_cents"), drift, F.lit(None), drift > tolerance)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def maturity(days: DataFrame, zone: str) -> DataFrame:
     """A day is mature if nothing is unresolved or without ledger and the orders were materialised after it ended."""
     end = S.day_start(F.date_add("day", 1), zone)

@@ -473,27 +473,18 @@ def jn10_category_lookup(t: Tables) -> DataFrame:
     )
 
 
-@query(f"""WITH {SPLIT_SQL}, t AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS ext, max(processed_at) AS tendered_at
-    FROM tenders_fx GROUP BY 1), s AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS sys FROM split GROUP BY 1),
-    j AS (SELECT coalesce(t.external_order_id, s.external_order_id) AS external_order_id, ext, sys, tendered_at FROM t FULL OUTER
-    JOIN s ON s.external_order_id = t.external_order_id)
-    SELECT cause, count(*) AS n, CAST(sum(d) AS BIGINT) AS difference_cents FROM (SELECT coalesce(ext, 0) - coalesce(sys, 0) AS d, CASE
-    WHEN ext IS NULL THEN 'system_only' WHEN CAST(j.external_order_id AS BIGINT) % 11 = 0 THEN 'absent_from_mirror'
-    WHEN o.status = 'rejected' OR o.status IS NULL THEN 'not_materialized'
-    WHEN {local('o.occurred_at')} <> {local('tendered_at')} THEN 'different_date'
-    WHEN tendered_at >= TIMESTAMP '2001-08-02' THEN 'leg_outside_window' ELSE 'same_day' END AS cause
-    FROM j LEFT JOIN orders_fx o ON o.external_order_id = j.external_order_id) WHERE d <> 0 GROUP BY 1""")
+@query(f"""WITH t AS (SELECT external_order_id, CAST(sum(amount_cents) AS BIGINT) AS ext FROM tenders_fx WHERE {IN_PERIOD.replace('occurred_at', 'processed_at')}
+    GROUP BY 1), o AS (SELECT external_order_id, amount_cents, {IN_PERIOD} AS inside FROM orders_fx WHERE source = 'shopify' AND status <> 'rejected'),
+    d AS (SELECT CASE WHEN ext IS NULL THEN 'system_only' WHEN CAST(external_order_id AS BIGINT) % 11 = 0 OR CAST(external_order_id AS BIGINT) % 4 = 0 THEN 'absent_from_mirror'
+    WHEN inside IS NULL THEN 'not_materialized' WHEN NOT inside THEN 'different_date' ELSE 'leg_outside_window' END AS cause,
+    coalesce(ext, 0) - CASE WHEN inside THEN amount_cents ELSE 0 END AS d FROM t FULL OUTER JOIN o USING (external_order_id) WHERE ext IS NOT NULL OR inside)
+    SELECT cause, count(*) AS n, CAST(sum(d) AS BIGINT) AS difference_cents FROM d WHERE d <> 0 GROUP BY 1
+    UNION ALL SELECT 'residual', 0, CAST((SELECT sum(ext) FROM t) - (SELECT sum(amount_cents) FROM o WHERE inside) - (SELECT sum(d) FROM d) AS BIGINT)""")
 def jn11_explain_difference(t: Tables) -> DataFrame:
     events = t.orders_fx.where(F.col("order_key").cast("long") % 11 != 0)
-    found = joins.explain_difference(
-        t.tenders_fx,
-        split(t),
-        events,
-        t.orders_fx.where("status <> 'rejected'"),
-        ZONE,
-        ntz(ORDERS_AS_OF),
-    )
-    return found.groupBy("cause").agg(F.count("*").alias("n"), A.total("difference_cents").alias("difference_cents"))
+    made, edges = t.orders_fx.where("status <> 'rejected'"), [ntz(p) for p in PERIOD]
+    found = joins.explain_difference(t.tenders_fx, made, events, *edges)
+    return joins.difference_by_cause(found, t.tenders_fx, made, *edges)
 
 
 @query("""WITH c AS (SELECT 'source' AS table_name, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'mirror', (SELECT count(*)
@@ -1169,6 +1160,32 @@ def cf4_payments_basis_swap(t: Tables) -> DataFrame:
     return cashflow.payments_basis(as_order_rows(t), split(t), datetime(1998, 1, 1), datetime(1998, 1, 11), ZONE)
 
 
+SWAP_SQL = f"""CASE WHEN at >= TIMESTAMP '1998-01-01' THEN 'current' ELSE 'previous' END"""
+
+
+@query(f"""WITH {SPLIT_SQL}, legs AS (SELECT *, {SWAP_SQL.replace('at >=', 'processed_at >=')} AS period FROM split WHERE processed_at >= TIMESTAMP '1997-12-24'
+    AND processed_at < TIMESTAMP '1998-01-11'), c AS (SELECT period FROM legs GROUP BY 1 HAVING count(DISTINCT {local('processed_at')}) >= 10),
+    a AS (SELECT period, bucket, method, type, CASE WHEN swapped THEN 0 ELSE amount_cents END AS amount_cents, coalesce(discount_cents, 0) AS discount_cents,
+    coalesce(shipping_cents, 0) AS shipping_cents, coalesce(tax_cents, 0) AS tax_cents, CASE WHEN swapped THEN 0 ELSE 1 END AS n
+    FROM (SELECT q.*, coalesce(source = 'shopify' AND type = 'income' AND period IN (SELECT period FROM c), false) AS swapped FROM (
+        SELECT {SWAP_SQL.replace('at >=', 'occurred_at >=')} AS period, marketplace AS bucket, {METHOD_SQL} AS method, type, amount_cents, discount_cents, shipping_cents, tax_cents, source
+        FROM orders_fx WHERE {LIVE} AND occurred_at >= TIMESTAMP '1997-12-22' AND occurred_at < TIMESTAMP '1998-01-11' UNION ALL
+        SELECT {SWAP_SQL.replace('at >=', 'occurred_at >=')}, source, 'other', type, amount_cents, 0, 0, 0, NULL FROM entries_fx
+        WHERE {LIVE} AND occurred_at >= TIMESTAMP '1997-12-22' AND occurred_at < TIMESTAMP '1998-01-11') q)
+    UNION ALL SELECT period, 'Shopify', {GATEWAY_METHOD_SQL}, 'income', amount_cents, 0, 0, 0, transaction_count FROM legs SEMI JOIN c USING (period))
+    SELECT period, bucket AS source_bucket, method AS payment_method, CAST(sum(CASE type WHEN 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents,
+    CAST(sum(CASE type WHEN 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, CAST(sum(discount_cents) AS BIGINT) AS discount_cents,
+    CAST(sum(shipping_cents) AS BIGINT) AS shipping_cents, CAST(sum(tax_cents) AS BIGINT) AS tax_fee_cents, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY 1, 2, 3""")
+def cf4_summary_by_payments(t: Tables) -> DataFrame:
+    """The whole answer with the period before, whose first days the ledger lacks, so that it stays on orders."""
+    live = F.col("status").isin("approved", "applied")
+    columns = ["type", "source_bucket", "payment_method", "amount_cents", "discount_cents", "shipping_cents", "tax_cents", "fee_cents", "occurred_at", "external_source"]
+    rows = as_order_rows(t).where(live).select(columns)
+    entries = as_entry_rows(t).where(live).withColumn("external_source", F.lit(None).cast("string")).select(columns)
+    ledger = split(t).where(F.col("processed_at") >= ntz(datetime(1997, 12, 24)))
+    return cashflow.summary_by_payments(rows.unionByName(entries), ledger, datetime(1998, 1, 1), datetime(1998, 1, 11), ZONE)
+
+
 @query(f"""SELECT {TAGGED_SQL} AS period, CAST(sum(CASE WHEN type = 'income' THEN amount_cents ELSE 0 END) AS BIGINT) AS income_cents,
     CAST(sum(CASE WHEN type = 'expense' THEN amount_cents ELSE 0 END) AS BIGINT) AS expense_cents, CAST(sum(CASE type
     WHEN 'income' THEN amount_cents WHEN 'expense' THEN -amount_cents ELSE 0 END) AS BIGINT) AS balance_cents,
@@ -1854,18 +1871,34 @@ def rec4_retry_outcome(t: Tables) -> DataFrame:
     ).select("external_order_id", "attempts", "status", "next_attempt_at")
 
 
-@query(f"""WITH {SPLIT_SQL}, s AS (SELECT {METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS c FROM orders_fx WHERE {LIVE}
-    GROUP BY 1), l AS (SELECT {GATEWAY_METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS c FROM split GROUP BY 1)
-    SELECT coalesce(s.payment_method, l.payment_method) AS payment_method, coalesce(s.c, 0) AS system_cents, coalesce(l.c,
-    0) AS ledger_cents, coalesce(s.c, 0) - coalesce(l.c, 0) AS difference_cents,
-    round(CASE WHEN coalesce(l.c, 0) <> 0 THEN (coalesce(s.c, 0) - l.c) * 100.0 / l.c WHEN coalesce(s.c, 0) = 0 THEN 0 ELSE 100 END,
-    6) AS difference_percent, abs(coalesce(s.c, 0) - coalesce(l.c, 0)) > 1 AS diverges FROM s FULL OUTER
-    JOIN l ON l.payment_method = s.payment_method""")
+PROCESSED = IN_PERIOD.replace("occurred_at", "processed_at")
+
+
+def beside_sql(metric: str, system: str, other: str, most: int, source: str) -> str:
+    """SQL of a metric: both values, their difference in all three ways."""
+    return f"""SELECT {metric} AS metric, CAST({system} AS BIGINT) AS system_value, CAST({other} AS BIGINT) AS other_value, CAST({system} - {other} AS BIGINT) AS difference,
+    round(CASE WHEN {other} <> 0 THEN ({system} - {other}) * 100.0 / {other} WHEN {system} = 0 THEN 0 ELSE 100 END, 6) AS difference_percent,
+    abs({system} - {other}) > {most} AS diverges FROM {source}"""
+
+
+@query(f"""WITH {DELTA_SQL}, w AS (SELECT * FROM split WHERE {PROCESSED}),
+    s AS (SELECT {METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS c, count(*) AS n FROM orders_fx WHERE {LIVE} AND source = 'shopify' AND {IN_PERIOD} GROUP BY 1),
+    l AS (SELECT {GATEWAY_METHOD_SQL} AS payment_method, CAST(sum(amount_cents) AS BIGINT) AS c FROM w GROUP BY 1),
+    m AS (SELECT payment_method, coalesce(s.c, 0) AS s, coalesce(l.c, 0) AS l FROM s FULL OUTER JOIN l USING (payment_method)),
+    g AS (SELECT sum(c) AS gross, sum(n) AS orders, (SELECT sum(amount_cents) FROM w) AS other, (SELECT count(DISTINCT external_order_id) FROM w) AS paid FROM s),
+    k AS (SELECT DISTINCT external_order_id FROM tenders_fx WHERE NOT test AND {PROCESSED}), d AS (SELECT * FROM delta SEMI JOIN k USING (external_order_id) WHERE abs(delta_cents) > 1)
+    {beside_sql("'gross'", 'gross', 'other', 1, 'g')} UNION ALL {beside_sql("'count'", 'orders', 'paid', 0, 'g')} UNION ALL {beside_sql("'method:' || payment_method", 's', 'l', 1, 'm')}
+    UNION ALL SELECT 'ledger_vs_tender', (SELECT count(*) FROM k WHERE external_order_id IN (SELECT external_order_id FROM tenders_fx WHERE NOT test AND amount_cents > 0)),
+    (SELECT CAST(coalesce(sum(amount_cents), 0) AS BIGINT) FROM w WHERE gateway_raw = 'shopify_store_credit'), CAST(coalesce(sum(abs(delta_cents)), 0) AS BIGINT), NULL,
+    coalesce(sum(abs(delta_cents)), 0) > 1 FROM d""")
 def rec5_verification_report(t: Tables) -> DataFrame:
-    return reconcile.metrics(A.method_totals(grouped_orders(t)), split(t)).withColumn(
-        "difference_percent",
-        F.round("difference_percent", 6),
-    )
+    """Orders of the storefront beside the ledger and the tenders of a period."""
+    edges = [ntz(p) for p in PERIOD]
+    rows = as_order_rows(t).where(F.col("status").isin("approved", "applied") & (F.col("source") == V.STOREFRONT))
+    rows = rows.where((F.col("occurred_at") >= edges[0]) & (F.col("occurred_at") < edges[1]))
+    system = rows.groupBy("payment_method").agg(A.total("amount_cents").alias("gross_cents"), F.count("*").alias("n"))
+    report = reconcile.verification_report(system, t.tenders_fx, split(t), *edges)
+    return report.withColumn("difference_percent", F.round("difference_percent", 6))
 
 
 @query(
