@@ -1409,7 +1409,7 @@ def half_current(t: Tables, events: DataFrame) -> DataFrame:
     """A stored order table from earlier events: some orders missing, some with less money, some before their resolution, some no longer paid."""
     k = F.col("order_key").cast("long") % 10
     early = resolved(t).where(F.col("external_order_id").cast("long") % 10 != 3)
-    rows = orders._mapped(mapped_events(events, early)).where((k != 0) & (F.col("paid") | (k == 2)))
+    rows = orders.mapped(mapped_events(events, early)).where((k != 0) & (F.col("paid") | (k == 2)))
     rows = rows.withColumns(
         {
             "content_hash": F.when(k == 1, F.lit("old")).otherwise(F.col("content_hash")),

@@ -191,6 +191,7 @@ def test_periods_without_an_end_are_unknown_and_expired_files_go(spark):
 
 
 def test_cells_are_trimmed_of_any_white_space(spark):
-    files = spark.createDataFrame([("f", "data;tipo;valor\n \t01/02/2024 ; receita\t; R$ 1.000,50 \n \n")], "path string, content string")
+    content = 'data;tipo;valor\n \t01/02/2024\u00a0; receita\t;" R$ 1.000,50 "\n \n'
+    files = spark.createDataFrame([("f", content)], "path string, content string")
     (row,) = imports.parse(files).collect()
     assert (str(row["occurred_on"]), row["type"], row["amount_cents"]) == ("2024-02-01", "income", 100_050)
