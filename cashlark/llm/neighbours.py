@@ -16,7 +16,9 @@ than k vectors search all other lists.
 
 Neighbouring lists are scanned together, about SCAN vectors in a task, so a
 query travels once to such a group of lists and not to each list; longer lists
-are split by a hash.  Centroids are fitted on a bounded sample (SAMPLE rows, by a
+are split by a hash.  Which lists a query asks is worked out in the task that
+holds the query, from the centres and the bound, and leaves it as one row per
+query and group of lists with the lists that count.  Centroids are fitted on a bounded sample (SAMPLE rows, by a
 hash of the id); there are as many lists as the square root of the vectors, but
 no more than rows in the sample.  Every usable vector is indexed.  Scores are
 exact inner products of the original vectors in double precision.
@@ -43,6 +45,8 @@ from .vectors import dimension, groups, list_column, matrix, rotation, usable
 SAMPLE, ROUNDS = 20_000, 8
 #: Vectors and queries that one scan takes together, and queries of which the first columns are compared at once.
 SCAN, QUERY_BLOCK, AT_ONCE = 16_384, 1024, 64
+#: Distances between vectors and centres that are held at once.
+CELLS = 1 << 22
 #: Columns of a block, and how many standard deviations a candidate must lie beyond the bound.
 COLUMNS, CONFIDENCE = 16, 1.3
 #: Shares of the lists, nearest first, after which each wave ends; 0 is the nearest list alone.
@@ -58,7 +62,8 @@ def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     chosen = np.random.default_rng(5).permutation(len(sample))[:lists]
     centres = sample[chosen].copy()
     for _ in range(ROUNDS):
-        own = np.argmin((centres**2).sum(1)[None, :] - 2 * sample @ centres.T, axis=1)
+        squares = (centres**2).sum(1)
+        own = np.concatenate([np.argmin(squares - 2 * rows @ centres.T, axis=1) for rows in blocks_of(sample, lists)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
         counts = np.bincount(own, minlength=len(centres))
@@ -66,6 +71,11 @@ def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     return centres
 
 
+def blocks_of(rows: np.ndarray, columns: int) -> list[np.ndarray]:
+    """Blocks of rows of which the distances to so many centres are held at once."""
+    return np.array_split(rows, max(1, -(-len(rows) * columns // CELLS)))
+
+
 def _lifted(values: np.ndarray, top: float | None) -> np.ndarray:
     """Vectors with one more coordinate: to norm ``top`` for indexed ones, zero for queries."""
     extra = np.zeros(len(values)) if top is None else np.sqrt(np.maximum(top**2 - (values**2).sum(1), 0))
@@ -148,11 +158,48 @@ def scan_parts(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _probe(index: DataFrame, queries: DataFrame, asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
-    """Scan lists: ``asked`` has a row (id, list, bound) for each query and list."""
-    # As many rows as there are lists, which SAMPLE bounds.
-    wanted = asked.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence("first", F.col("first") + F.col("own") - 1)))
-    wanted = wanted.groupBy("id", "part").agg(F.collect_set("list").alias("lists"), F.first("bound").alias("bound"))
+def distances(turned: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """From each turned vector to each centre."""
+    return np.sqrt(np.maximum((turned**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * turned @ centres.T, 0))
+
+
+def _asked(centres: np.ndarray, parts: np.ndarray, radius: np.ndarray, low: int, high: int):
+    """Per query and part the lists from place ``low`` to ``high`` that can still hold a nearer vector.
+
+    ``parts`` has the first part of each list and how many parts it is split into.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, bounds = batch.column("id").to_numpy(), batch.column("bound").to_numpy()
+            turned, start = matrix(batch.column("turned")), 0
+            for rows in blocks_of(turned, len(centres)):
+                far = distances(rows, centres)
+                order = np.argsort(far, axis=1, kind="stable")[:, low:high]
+                own_ids, own_bounds = ids[start : start + len(rows)], bounds[start : start + len(rows)]
+                reach = np.sqrt(own_bounds)[:, None] * (1 + 1e-9)
+                query, place = np.nonzero(np.take_along_axis(far, order, 1) - radius[order] <= reach)
+                start += len(rows)
+                number = order[query, place]
+                times = parts[number, 1]
+                ends = np.cumsum(times)
+                within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times)
+                query, part, number = np.repeat(query, times), np.repeat(parts[number, 0], times) + within, np.repeat(number, times)
+                sort = np.lexsort([number, part, query])
+                query, part, number = query[sort], part[sort], number[sort]
+                new = np.ones(len(query), bool)
+                new[1:] = (query[1:] != query[:-1]) | (part[1:] != part[:-1])
+                at = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(query)).astype(np.int32)), pa.array(number.astype(np.int32)))
+                columns = [pa.array(own_ids[query[at]]), pa.array(part[at].astype(np.int32)), lists, pa.array(own_bounds[query[at]])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "part", "lists", "bound"])
+
+    return run
+
+
+def _probe(index: DataFrame, queries: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Scan lists: ``wanted`` has a row (id, part, lists, bound) for each query and part."""
+    wanted = written(wanted, "asked-lists")
     busy = wanted.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     asking = wanted.join(busy, "part").join(queries, "id").withColumns(
         {"query_block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "is_query": F.lit(True)}
@@ -192,74 +239,60 @@ def search(
     sample = np.array([r["vector"] for r in sound.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()], float)
     centres = centroids(_lifted(sample, top) @ turn, min(list_count(total), len(sample)))
 
-    def assigned(queries: bool, count: int):
-        """Turned vectors with their ``count`` nearest lists and the distances to these."""
+    def assigned(queries: bool):
+        """Turned vectors, those of the index with their nearest list and the distance to it."""
 
         def run(batches):
             for batch in batches:
                 turned = _lifted(matrix(batch.column("vector")), None if queries else top) @ turn
-                far = np.sqrt(np.maximum((turned**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2 * turned @ centres.T, 0))
-                order = np.argsort(far, axis=1, kind="stable")[:, :count]
-                columns = [
-                    list_column(turned, pa.float64()),
-                    list_column(order.astype(np.int32), pa.int32()),
-                    list_column(np.take_along_axis(far, order, 1), pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("vector"), *columns],
-                    ["id", "vector", "turned", "lists", "away"],
-                )
+                columns = [batch.column("id"), batch.column("vector"), list_column(turned, pa.float64())]
+                if not queries:
+                    own = [(far.argmin(axis=1), far.min(axis=1)) for far in (distances(rows, centres) for rows in blocks_of(turned, len(centres)))]
+                    columns += [pa.array(np.concatenate([o for o, _ in own]).astype(np.int32)), pa.array(np.concatenate([f for _, f in own]))]
+                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
         return run
 
+    names = ["id", "vector", "turned", "list", "away"]
     doubles = T.ArrayType(T.DoubleType())
-    fields = {"id": T.LongType(), "vector": doubles, "turned": doubles, "lists": T.ArrayType(T.IntegerType()), "away": doubles}
-    schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
-    index = sound.select("id", "vector").mapInArrow(assigned(False, 1), schema)
-    index = written(index.select("id", "vector", "turned", F.col("lists")[0].alias("list"), F.col("away")[0].alias("away")), "lists")
+    fields = [T.StructField(name, kind) for name, kind in zip(names, [T.LongType(), doubles, doubles, T.IntegerType(), T.DoubleType()])]
+    index = written(sound.select("id", "vector").mapInArrow(assigned(False), T.StructType(fields)), "lists")
     sizes = sorted(
         (r["list"], r["n"], r["radius"])
         for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
     )
-    radius = {number: r for number, _, r in sizes}
-    parts = spark.createDataFrame(
-        [(*p, radius[p[0]]) for p in scan_parts([(number, m) for number, m, _ in sizes])],
-        "list int, first int, own int, radius double",
-    )
+    # As many rows as there are lists, which SAMPLE bounds; lists without vectors are in no part.
+    placed = scan_parts([(number, m) for number, m, _ in sizes])
+    part_of, radius = np.zeros((len(centres), 2), np.int64), np.zeros(len(centres))
+    for (number, first, own), (_, _, r) in zip(placed, sizes):
+        part_of[number], radius[number] = (first, own), r
+    parts = spark.createDataFrame(placed, "list int, first int, own int")
     split = F.col("first") + F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
     index = written(index.join(F.broadcast(parts), "list").select("id", "vector", "turned", "list", split.alias("part")), "index")
     queries = written(
-        sound.where("asks").dropDuplicates(["id"]).select("id", "vector").mapInArrow(assigned(True, len(centres)), schema),
+        sound.where("asks").dropDuplicates(["id"]).select("id", "vector").mapInArrow(assigned(True), T.StructType(fields[:3])),
         "queries",
     )
-    vectors = queries.select("id", "vector", "turned")
 
     def probed(found: DataFrame | None, low: int, high: int, which: DataFrame) -> DataFrame:
-        """The lists from place ``low`` to ``high`` that can still hold a nearer vector."""
-        lists = which.select(
-            "id",
-            F.explode(F.slice(F.arrays_zip("lists", "away"), low + 1, high - low)).alias("l"),
-        ).select("id", F.col("l.lists").alias("list"), F.col("l.away").alias("away"))
-        if found is None:
-            return lists.select("id", "list", F.lit(float("inf")).alias("bound"))
-        nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance"))
-        kth = found.withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
-        bounded = lists.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).join(
-            F.broadcast(parts.select("list", "radius")),
-            "list",
-        )
-        return bounded.where(F.col("away") - F.col("radius") <= F.sqrt("bound") * (1 + 1e-9)).select("id", "list", "bound")
+        """What the queries ask of the lists from place ``low`` to ``high``, by the k-th distance found so far."""
+        bounded = which.select("id", "turned", F.lit(float("inf")).alias("bound"))
+        if found is not None:
+            nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance"))
+            kth = found.withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("kth"))
+            bounded = bounded.join(kth, "id", "left").select("id", "turned", F.coalesce("kth", "bound").alias("bound"))
+        return bounded.mapInArrow(_asked(centres, part_of, radius, low, high), "id long, part int, lists array<int>, bound double")
 
     found, low = None, 0
     for share in waves:
         high = min(len(centres), max(low + 1, int(np.ceil(len(centres) * share))))
         if high > low:
-            more = _probe(index, vectors, probed(found, low, high, queries), parts.select("list", "first", "own"), k)
+            more = _probe(index, queries, probed(found, low, high, queries), k)
             found, low = more if found is None else found.union(more), high
     if low < len(centres):
         enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
         short = written(queries.join(enough, "id", "left_anti"), "short-queries")
         if not short.isEmpty():  # their probed lists hold fewer than k vectors
-            found = found.union(_probe(index, vectors, probed(None, low, len(centres), short), parts.select("list", "first", "own"), k))
+            found = found.union(_probe(index, queries, probed(None, low, len(centres), short), k))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
