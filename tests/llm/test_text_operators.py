@@ -510,6 +510,42 @@ def test_classes_equal_brute_force(spark, monkeypatch, block, kmers):
     assert [found[i] for i in range(len(texts))] == want
 
 
+def test_near_duplicates_of_repeating_texts(spark):
+    """Texts of boilerplate, of few words, and of periods, each with a copy that differs a little."""
+    rng, pairs = random.Random(41), []
+    for n in range(60):
+        own = [f"p{n}w{i}" for i in range(rng.choice([3, 4, 6, 200]))]
+        some = lambda k, own=own: rng.choices(own, k=k)
+        again = some(rng.randint(5, 30))
+        kinds = [
+            lambda: [w for _ in range(rng.randint(3, 8)) for w in some(rng.randint(5, 40)) + again],
+            lambda: some(rng.randint(30, 200)),
+            lambda: (some(rng.randint(7, 20)) * 40)[: rng.randint(60, 200)],
+        ]
+        text = kinds[n % 3]()
+        other = list(text)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.choice([0, 1, 4])] = rng.choice([[], ["changed"], again[:3]])
+        pairs.append((" ".join(text), " ".join(other)))
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [t for pair in pairs for t in pair])).collect()}
+    near = [n for n, (a, b) in enumerate(pairs) if neardup.similarity(neardup.kmers(a), neardup.kmers(b)) >= 0.8]
+    assert len(near) > 20 and all(found[2 * n] == found[2 * n + 1] for n in near)
+
+
+def test_a_line_common_to_most_texts_is_no_run(spark):
+    rng = random.Random(43)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common, run = "all rights reserved by all", "\n".join(words(20) for _ in range(4))
+    texts = ["\n".join([words(9), common, words(9), *([run, common] if n % 7 == 0 else []), common]) for n in range(150)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(docs(spark, texts)).collect()}
+    for n, text in enumerate(texts):
+        if n % 7 or n == 0:
+            assert got[n] == text
+        else:
+            assert run not in got[n] and got[n].split("\n")[:3] == text.split("\n")[:3]
+
+
 def test_near_duplicates_with_odd_keys_and_columns(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [
