@@ -2044,6 +2044,16 @@ def snk9_backfill_window(t: Tables) -> DataFrame:
     return filled.select("id", "change")
 
 
+@query(f"""WITH {GAPPED_SQL} SELECT id, CASE WHEN id NOT IN (SELECT id FROM gapped) THEN 'only_left' ELSE 'different' END AS difference,
+    CASE WHEN id IN (SELECT id FROM gapped) THEN 'status' END AS fields FROM raw_events_fx
+    WHERE {WINDOW_SQL} AND (id NOT IN (SELECT id FROM gapped) OR CAST(id AS BIGINT) % 50 = 1)""")
+def snk9_window_differences(t: Tables) -> DataFrame:
+    """What a backfill of the window has to mend: lost events, and some of which the mirror has another status."""
+    stale = F.when(F.col("id").cast("long") % 50 == 1, F.lit("stale")).otherwise(F.col("status"))
+    mirror = gapped(t).withColumn("status", stale)
+    return sinks.window_differences(mirror, t.raw_events_fx, ntz(datetime(2024, 1, 8)), ntz(datetime(2024, 1, 12)), ["status", "total_cents"])
+
+
 @query(f"""WITH {GAPPED_SQL}, m AS (SELECT source, count(*) AS n FROM gapped WHERE {WINDOW_SQL} GROUP BY 1), u AS (SELECT source,
     count(*) AS n FROM raw_events_fx WHERE {WINDOW_SQL} GROUP BY 1)
     SELECT source, coalesce(m.n, 0) AS mirrored, coalesce(u.n, 0) AS upstream, coalesce(u.n, 0) - coalesce(m.n, 0) AS missing FROM m FULL

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,16 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
             _made.remove(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables that are made inside; what is of use afterwards has to be stored inside."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        discard(spark, [p for p in _made if p not in before])
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.values import RETRY_SECONDS
 from ..operators.dedup import first_by
 from ..plans.health import retry_schedule
-from ..sources.scratch import written
+from ..sources.scratch import temporary, written
 
 
 class ChangeFeed:
@@ -63,6 +63,10 @@ class ChangeFeed:
         return self.changed().where("operation <> 'DELETE'").drop("batch")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with temporary(self.spark):
+            self._take(batch, batch_id)
+
+    def _take(self, batch: DataFrame, batch_id: int) -> None:
         now = F.lit(self.clock(batch_id)).cast("timestamp")
         waiting = self.queue(batch_id).where((F.col("state") == "waiting") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)))
         own = batch.select(*self.schema.names).withColumn("attempts", F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from ..functions.values import HUB, STOREFRONT
 from ..operators.dedup import first_by, order_key
 from ..sources.order_store import OrderStore
-from ..sources.scratch import discard, made, written
+from ..sources.scratch import temporary, written
 from .ingest import run_once, source
 
 
@@ -35,11 +35,10 @@ class OrderSink:
         self.events, self.resolutions, self.store, self.as_of = events, resolutions, store, as_of
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = made()
-        keys = written(batch.where("order_key IS NOT NULL").distinct(), "touched")
+        keys = batch.where("order_key IS NOT NULL").distinct()
         newest = first_by(self.resolutions, ["external_order_id"], [F.desc_nulls_last("resolved_at"), F.desc_nulls_last("processed_at"), F.col("gateway_raw")])
-        self.store.update_keys(self.events, newest, keys, batch_id + 1, self.as_of)
-        discard(batch.sparkSession, [p for p in made() if p not in before])
+        with temporary(batch.sparkSession):
+            self.store.update_keys(self.events, newest, written(keys, "touched"), batch_id + 1, self.as_of)
 
 
 def keep_orders(

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..operators import bloom
 from ..operators.dedup import first_by
-from ..sources.scratch import written
+from ..sources.scratch import temporary, written
 
 MARK = "newest timestamp, batch long"
 FILTER = "bucket long, bitmap binary, batch long"
@@ -41,7 +41,12 @@ class Mirror:
         days_around: int = 3,
         expected: int = 100_000_000,
     ):
-        """``floor`` is the first instant of the data, ``days_around`` how many days ids are looked for before a batch's first event, ``expected`` how many ids the filters are sized for (more are found, only more slowly)."""
+        """``floor`` is the first instant of the data.
+
+        Ids are looked for in ``days_around`` days before a batch's first event.
+        The filters are sized for ``expected`` ids; more are found as well, only
+        more slowly.
+        """
         self.spark, self.path, self.schema, self.floor = spark, path, schema, floor
         self.key, self.stamp, self.grace_seconds, self.days_around = key, stamp, grace_seconds, days_around
         self.bits = expected * bloom.BITS_PER_KEY
@@ -76,6 +81,10 @@ class Mirror:
 
     def take(self, arrivals: DataFrame, batch_id: int) -> None:
         """Store what of ``arrivals`` is new; of repeated ids the first by time."""
+        with temporary(self.spark):
+            self._take(arrivals, batch_id)
+
+    def _take(self, arrivals: DataFrame, batch_id: int) -> None:
         late = arrivals.where(F.col(self.stamp) >= F.lit(self.start(batch_id)))
         late = written(first_by(late, [self.key], [F.col(self.stamp)]).withColumn("received_day", F.to_date(self.stamp)), "arrivals")
         first_day = late.agg(F.min("received_day")).first()[0]

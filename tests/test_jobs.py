@@ -35,6 +35,13 @@ def test_every_query_has_a_twin():
         "cf1_cash_flow_summary",
         "hlt1_job_health",
         "src9_import_csv",
+        "src9_import_csv_by_lines",
+        "agg26_gateway_inflation",
+        "agg28_date_basis",
+        "jn9_diff_by_checksums",
+        "jn11_explain_difference",
+        "rec5_verification_report",
+        "cf4_summary_by_payments",
     ],
 )
 def test_queries_match_their_twins(spark, name):
