@@ -186,7 +186,10 @@ def job_run_report(runs: DataFrame, as_of: Column, per_day: Column, days: int) -
         F.max("started_at").alias("last_started_at"),
     )
     high = discrete_percentile(runs.where(ok).select("job_name", "duration_ms"), "job_name", "duration_ms", 95)
-    gaps = largest_gaps(runs, "job_name", "started_at").select("job_name", F.round(F.col("gap_micros") / 60e6).cast("long").alias("largest_gap_minutes"))
+    gaps = largest_gaps(runs, "job_name", "started_at").select(
+        "job_name",
+        F.round(F.col("gap_micros") / 60e6).cast("long").alias("largest_gap_minutes"),
+    )
     report = report.join(high.withColumnRenamed("duration_ms", "p95_ms"), "job_name", "left").join(gaps, "job_name", "left")
     return report.withColumn("coverage_percent", F.round(F.col("scheduled") / (per_day * days) * 100, 6))
 

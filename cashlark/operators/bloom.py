@@ -31,7 +31,10 @@ def merged(filters: DataFrame) -> DataFrame:
 
 def maybe_seen(rows: DataFrame, key: str, filters: DataFrame, bits: int) -> DataFrame:
     """The distinct keys of ``rows`` that a filter may hold; one that it holds is never missing."""
-    asked = rows.select(key).where(F.col(key).isNotNull()).distinct().select(key, F.explode(F.array_distinct(_positions(key, bits))).alias("at"))
+    asked = rows.select(key).where(F.col(key).isNotNull()).distinct().select(
+        key,
+        F.explode(F.array_distinct(_positions(key, bits))).alias("at"),
+    )
     asked = asked.withColumns({"bucket": F.bitmap_bucket_number("at"), "bit": F.bitmap_bit_position("at")})
     byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1

@@ -36,7 +36,11 @@ def leaf_sums(rows: DataFrame, keys: list[str], fields: list[str], leaves: int =
 
 def parents(sums: DataFrame, fan: int = FAN) -> DataFrame:
     """The level above: checksums of ``fan`` neighbouring buckets each."""
-    return sums.groupBy(F.floor(F.col("leaf") / fan).cast("int").alias("leaf")).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
+    return sums.groupBy(F.floor(F.col("leaf") / fan).cast("int").alias("leaf")).agg(
+        F.sum("n").alias("n"),
+        F.bit_xor("x").alias("x"),
+        F.sum("s").alias("s"),
+    )
 
 
 def differing(left: DataFrame, right: DataFrame) -> DataFrame:

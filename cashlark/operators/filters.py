@@ -99,7 +99,9 @@ def coverage(periods: DataFrame, floor: datetime) -> DataFrame:
     on; one that ends before the floor has neither start nor end.
     """
     start, end, least = F.col("start"), F.col("end"), F.lit(floor)
-    status = F.when(start.isNull(), "full").when(F.coalesce(end < least, F.lit(False)), "none").when(start < least, "partial").otherwise("full")
+    status = F.when(start.isNull(), "full").when(F.coalesce(end < least, F.lit(False)), "none").when(start < least, "partial").otherwise(
+        "full"
+    )
     none = status == "none"
     clipped = {"clipped_start": F.when(~none, F.greatest(start, least)), "clipped_end": F.when(~none, end)}
     return periods.withColumns({"coverage": status, **clipped, "comparable": status == "full"})

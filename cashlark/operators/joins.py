@@ -86,7 +86,11 @@ def difference_by_cause(found: DataFrame, legs: DataFrame, orders: DataFrame, st
     causes = found.groupBy("cause").agg(F.count("*").alias("n"), F.sum("difference_cents").cast("long").alias("difference_cents"))
     parts = money(legs, "processed_at", 1).union(money(orders.where(F.col("source") == STOREFRONT), "occurred_at", -1))
     whole = parts.union(found.agg((F.coalesce(F.sum("difference_cents"), F.lit(0)) * -1).alias("cents")))
-    residual = whole.agg(F.lit("residual").alias("cause"), F.lit(0).cast("long").alias("n"), F.sum("cents").cast("long").alias("difference_cents"))
+    residual = whole.agg(
+        F.lit("residual").alias("cause"),
+        F.lit(0).cast("long").alias("n"),
+        F.sum("cents").cast("long").alias("difference_cents"),
+    )
     return causes.unionByName(residual)
 
 

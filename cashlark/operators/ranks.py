@@ -47,7 +47,9 @@ def discrete_percentile(rows: DataFrame, group: str, value: str, percent: int) -
     up_to = F.sum("_own").over(W.partitionBy(group).orderBy("_part"))
     parts = parts.withColumns({"_up_to": up_to, "_n": F.sum("_own").over(W.partitionBy(group))})
     place = F.floor((F.col("_n") * percent + 99) / 100)
-    here = parts.withColumn("_place", place).where((F.col("_place") <= F.col("_up_to")) & (F.col("_place") > F.col("_up_to") - F.col("_own")))
+    here = parts.withColumn("_place", place).where(
+        (F.col("_place") <= F.col("_up_to")) & (F.col("_place") > F.col("_up_to") - F.col("_own"))
+    )
     held = placed.join(here.select(group, "_part", "_place", (F.col("_up_to") - F.col("_own")).alias("_before")), [group, "_part"])
     reached = F.col("_before") + F.sum("_k").over(W.partitionBy(group).orderBy(value))
     return held.withColumn("_reached", reached).where("_reached >= _place").groupBy(group).agg(F.min(value).alias(value))

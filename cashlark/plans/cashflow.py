@@ -129,7 +129,9 @@ def payments_basis(orders: DataFrame, ledger: DataFrame, start: datetime, end: d
         A.total("transaction_count").alias("n"),
     )
     inside = orders.where(
-        (F.col("source") == STOREFRONT) & (F.col("type") == "income") & (F.col("occurred_at") >= F.lit(start)) & (F.col("occurred_at") < F.lit(end))
+        (F.col("source") == STOREFRONT) & (F.col("type") == "income") & (F.col("occurred_at") >= F.lit(start)) & (
+            F.col("occurred_at") < F.lit(end)
+        )
     )
     by_order = inside.groupBy("payment_method").agg(A.total("amount_cents").alias("gross_cents"), F.count("*").alias("n"))
     covered = paid.agg((F.coalesce(F.max("covered_days"), F.lit(0)) >= days).alias("covered"))
@@ -175,7 +177,13 @@ def summary_by_payments(
     paid = paid if method is None else paid.where(F.col("payment_method") == method)
     bucket = S.marketplace_label(F.lit(None).cast("string"), F.lit(STOREFRONT))
     paid = paid.select(
-        "period", F.lit("income").alias("type"), bucket.alias("source_bucket"), "payment_method", "amount_cents", *[F.lit(0).cast("long").alias(c) for c in money], F.col("transaction_count").alias("n")
+        "period",
+        F.lit("income").alias("type"),
+        bucket.alias("source_bucket"),
+        "payment_method",
+        "amount_cents",
+        *[F.lit(0).cast("long").alias(c) for c in money],
+        F.col("transaction_count").alias("n"),
     )
     income, expense = F.col("type") == "income", F.col("type") == "expense"
     return own.unionByName(paid).groupBy("period", "source_bucket", "payment_method").agg(

@@ -55,7 +55,10 @@ def _amplified(rows: DataFrame, key: Column) -> DataFrame:
 
 def status_mix(canonical: DataFrame) -> DataFrame:
     """Canonical orders by status, with shares of their number and money."""
-    grouped = canonical.groupBy(F.col("status").alias("financial_status")).agg(F.count("*").alias("orders"), total("total_cents").alias("total_cents"))
+    grouped = canonical.groupBy(F.col("status").alias("financial_status")).agg(
+        F.count("*").alias("orders"),
+        total("total_cents").alias("total_cents"),
+    )
     shares = with_shares(grouped, orders_percent="orders", money_percent="total_cents")
     return shares.withColumns({c: F.round(c, 2) for c in ("orders_percent", "money_percent")})
 
@@ -148,4 +151,7 @@ def backlog_by_day(upstream: DataFrame, mark: datetime, zone: str = ZONE) -> Dat
 def backlog_money_by_status(upstream: DataFrame, mark: datetime) -> DataFrame:
     """Orders and money that the mirror still has to take, by status ('' for none); here recency is receipt alone, none last."""
     canonical = canonical_orders(with_payload(beyond(upstream, mark)), F.col("received_at"), unknown="")
-    return canonical.groupBy(F.col("status").alias("financial_status")).agg(F.count("*").alias("orders"), sum_if(F.lit(True), "total_cents").alias("total_cents"))
+    return canonical.groupBy(F.col("status").alias("financial_status")).agg(
+        F.count("*").alias("orders"),
+        sum_if(F.lit(True), "total_cents").alias("total_cents"),
+    )

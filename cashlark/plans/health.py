@@ -78,7 +78,10 @@ def job_health(runs: DataFrame, expectations: DataFrame, as_of: Column) -> DataF
 def short_age(minutes: Column) -> Column:
     """Minutes, hours below two days, or days."""
     hours = F.floor(minutes / 60)
-    small = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).when(hours < 48, F.concat(hours.cast("string"), F.lit(" h")))
+    small = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).when(
+        hours < 48,
+        F.concat(hours.cast("string"), F.lit(" h")),
+    )
     return F.coalesce(small, F.concat(F.floor(hours / 24).cast("string"), F.lit(" d")))
 
 
@@ -89,7 +92,10 @@ def _detail() -> Column:
     end = F.col("max_seconds").cast("string")
     return (
         F.when(F.col("verdict") == "falhou", text("última execução falhou há ", age, reason))
-        .when(F.col("verdict") == "travado", text("começou há ", age, " e não terminou; a rota é encerrada em ", end, " s, então a execução morreu sem registrar o fim"))
+        .when(
+            F.col("verdict") == "travado",
+            text("começou há ", age, " e não terminou; a rota é encerrada em ", end, " s, então a execução morreu sem registrar o fim"),
+        )
         .when(F.col("verdict") == "atrasado", text("última execução há ", age, "; tolerância de ", short_age(F.col("stale_minutes"))))
     )
 
@@ -108,7 +114,9 @@ def pipeline_health(jobs: DataFrame, expectations: DataFrame | None = None) -> D
     label = F.col("label") if expectations is not None else F.col("job_name")
     told = F.when(F.col("severity") == "crit", F.concat(label, F.lit(" — "), F.col("detail")))
     # One entry per expected job.
-    problems = F.sort_array(F.collect_list(F.when(rank > 0, F.struct((-rank).alias("r"), place.alias("place"), "job_name", told.alias("told")))))
+    problems = F.sort_array(
+        F.collect_list(F.when(rank > 0, F.struct((-rank).alias("r"), place.alias("place"), "job_name", told.alias("told"))))
+    )
     found = jobs.agg(F.max(rank).alias("worst"), problems.alias("problems"), F.count_if(F.col("severity") == "crit").alias("critical"))
     critical = F.array_join(F.filter(F.transform("problems", lambda p: p["told"]), lambda x: x.isNotNull()), "; ")
     return found.select(

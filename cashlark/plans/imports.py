@@ -97,7 +97,10 @@ def _typed(rows: DataFrame) -> DataFrame:
         "valor",
     )
     results = {"data": "occurred_on", "tipo": "type", "valor": "amount_cents"}
-    problems = F.concat_ws("; ", *[F.when(F.col(results[c]).isNull(), F.concat(F.lit(f'{label}: "'), c, F.lit('"'))) for c, label in LABELS.items()])
+    problems = F.concat_ws(
+        "; ",
+        *[F.when(F.col(results[c]).isNull(), F.concat(F.lit(f'{label}: "'), c, F.lit('"'))) for c, label in LABELS.items()],
+    )
     return typed.withColumn("error_message", F.nullif(problems, F.lit(""))).withColumn(
         "status",
         F.when(F.col("error_message").isNull(), "pending").otherwise("error"),
@@ -111,7 +114,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, block, line`` of text files; a file is split at line ends into blocks of the scan's size."""
     lines = spark.read.text(path)
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"),
+    )
 
 
 def preview(files: DataFrame, batches: DataFrame) -> DataFrame:
@@ -131,7 +138,14 @@ def preview(files: DataFrame, batches: DataFrame) -> DataFrame:
 def commit(rows: DataFrame, batch: str = "path") -> DataFrame:
     """Entries of the pending rows; category and origin are not copied."""
     return rows.where("status = 'pending'").select(
-        F.concat(F.lit("import:"), F.col(batch)).alias("external_source"), F.concat(F.lit("row:"), F.col("row_index")).alias("external_id"), "occurred_on", "type", "amount_cents", "description", F.lit("applied").alias("status"), F.lit("import").alias("source")
+        F.concat(F.lit("import:"), F.col(batch)).alias("external_source"),
+        F.concat(F.lit("row:"), F.col("row_index")).alias("external_id"),
+        "occurred_on",
+        "type",
+        "amount_cents",
+        "description",
+        F.lit("applied").alias("status"),
+        F.lit("import").alias("source"),
     )
 
 

@@ -56,7 +56,13 @@ def detect_stored(
     held = days.join(spans, ORDER).select(F.explode(F.sequence("first_month", "last_month", F.expr("INTERVAL 1 MONTH"))).alias("m")).distinct()
     read = [r["m"] for r in held.collect()]  # as many as the data has months
     whole = A.tender_totals(tenders.where(F.col("processed_month").isin(read)).join(days, ORDER, "left_semi"))
-    return joins.ledger_vs_tender(whole, ledger, tolerance).join(days, ORDER).select(ORDER, "day", "tender_cents", "ledger_cents", "delta_cents")
+    return joins.ledger_vs_tender(whole, ledger, tolerance).join(days, ORDER).select(
+        ORDER,
+        "day",
+        "tender_cents",
+        "ledger_cents",
+        "delta_cents",
+    )
 
 
 def tender_spans(tenders: DataFrame) -> DataFrame:
@@ -73,7 +79,16 @@ def widened(spans: DataFrame, arrived: DataFrame) -> DataFrame:
 def record(current: DataFrame, detected: DataFrame, as_of: Column) -> DataFrame:
     """The divergence table after a detection: closed rows come back as persistent, an accepted delta stays accepted."""
     fresh = detected.select(
-        ORDER, "day", "tender_cents", F.col("ledger_cents").alias("ledger_cents_before"), "delta_cents", F.lit("pendente").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp_ntz").alias("next_attempt_at"), F.lit(1).alias("occurrences"), as_of.alias("last_checked_at")
+        ORDER,
+        "day",
+        "tender_cents",
+        F.col("ledger_cents").alias("ledger_cents_before"),
+        "delta_cents",
+        F.lit("pendente").alias("status"),
+        F.lit(0).alias("attempts"),
+        F.lit(None).cast("timestamp_ntz").alias("next_attempt_at"),
+        F.lit(1).alias("occurrences"),
+        as_of.alias("last_checked_at"),
     )
     accepted = (F.col("o_status") == "aceito") & (F.col("o_delta_cents") == F.col("n_delta_cents"))
     closed = F.col("o_status").isin(CLOSED_STATES)
@@ -134,7 +149,12 @@ def summary(rows: DataFrame) -> DataFrame:
     """One row: how many divergences stand where, and their drift."""
     is_ = lambda s: F.count_if(F.col("status") == s)
     return rows.agg(
-        F.count("*").alias("detected"), is_("corrigido").alias("corrected"), F.count_if(F.col("status").isin(OPEN_STATES)).alias("still_open"), is_("sem_correcao").alias("exhausted"), is_("aceito").alias("accepted"), A.total(F.abs("delta_cents")).alias("drift_cents"),
+        F.count("*").alias("detected"),
+        is_("corrigido").alias("corrected"),
+        F.count_if(F.col("status").isin(OPEN_STATES)).alias("still_open"),
+        is_("sem_correcao").alias("exhausted"),
+        is_("aceito").alias("accepted"),
+        A.total(F.abs("delta_cents")).alias("drift_cents"),
     )
 
 
@@ -181,7 +201,14 @@ def metrics(system: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFra
     )
 
 
-def ledger_vs_tender_day(tenders: DataFrame, inside: DataFrame, ledger: DataFrame, first: Column, end: Column, tolerance: int = 1) -> DataFrame:
+def ledger_vs_tender_day(
+    tenders: DataFrame,
+    inside: DataFrame,
+    ledger: DataFrame,
+    first: Column,
+    end: Column,
+    tolerance: int = 1,
+) -> DataFrame:
     """One row on a window: orders compared with their tenders, those that differ, their drift, and what tenders cannot see.
 
     ``inside`` are the ledger's legs of the window; store credit among them never has a tender.
@@ -281,7 +308,10 @@ def verdict(runs: DataFrame, days: DataFrame) -> DataFrame:
 
     last = first_by(runs, ["day"], [F.desc("started_at"), F.desc("id")]).withColumn("r", F.from_json("result", RUN_RESULT)["report"])
     last = days.select("day").distinct().join(last, "day", "left")
-    diverges = F.coalesce(F.exists("r.metrics", lambda m: F.coalesce(m["diverges"] & S.clean(m["label"]).isNotNull(), F.lit(False))), F.lit(False))
+    diverges = F.coalesce(
+        F.exists("r.metrics", lambda m: F.coalesce(m["diverges"] & S.clean(m["label"]).isNotNull(), F.lit(False))),
+        F.lit(False),
+    )
     mature = F.coalesce(F.col("r.maturity.isMature"), F.lit(False))
     value = (
         F.when(F.col("id").isNull(), "sem_registro")

@@ -68,7 +68,9 @@ class ChangeFeed:
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
         now = F.lit(self.clock(batch_id)).cast("timestamp")
-        waiting = self.queue(batch_id).where((F.col("state") == "waiting") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)))
+        waiting = self.queue(batch_id).where(
+            (F.col("state") == "waiting") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now))
+        )
         own = batch.select(*self.schema.names).withColumn("attempts", F.lit(0))
         tried = first_by(own.unionByName(waiting.select(*own.columns)), ["event_id"], [F.desc("attempts")])
         judged = written(self.judge(tried, batch_id), "judged-changes")

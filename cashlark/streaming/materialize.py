@@ -17,7 +17,10 @@ from .ingest import run_once, source
 
 def touches(events: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Keys of orders that new events or new resolutions concern."""
-    told = events.where(F.col("source").isin(STOREFRONT, HUB) & F.col("payload_json").isNotNull()).select("source", order_key().alias("order_key"))
+    told = events.where(F.col("source").isin(STOREFRONT, HUB) & F.col("payload_json").isNotNull()).select(
+        "source",
+        order_key().alias("order_key"),
+    )
     resolved = resolutions.select(F.lit(STOREFRONT).alias("source"), F.col("external_order_id").alias("order_key"))
     return told.union(resolved)
 
@@ -36,7 +39,11 @@ class OrderSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         keys = batch.where("order_key IS NOT NULL").distinct()
-        newest = first_by(self.resolutions, ["external_order_id"], [F.desc_nulls_last("resolved_at"), F.desc_nulls_last("processed_at"), F.col("gateway_raw")])
+        newest = first_by(
+            self.resolutions,
+            ["external_order_id"],
+            [F.desc_nulls_last("resolved_at"), F.desc_nulls_last("processed_at"), F.col("gateway_raw")],
+        )
         with temporary(batch.sparkSession):
             self.store.update_keys(self.events, newest, written(keys, "touched"), batch_id + 1, self.as_of)
 
@@ -54,5 +61,8 @@ def keep_orders(
 ) -> None:
     """Bring the stored table up to all events and resolutions that have landed; a restart goes on where the last run ended."""
     landed = lambda where, schema: spark.read.schema(schema).parquet(where)
-    stream = touches(source(spark, events_path, events_schema, files_per_batch), source(spark, resolutions_path, resolutions_schema, files_per_batch))
+    stream = touches(
+        source(spark, events_path, events_schema, files_per_batch),
+        source(spark, resolutions_path, resolutions_schema, files_per_batch),
+    )
     run_once(stream, OrderSink(landed(events_path, events_schema), landed(resolutions_path, resolutions_schema), store, as_of), checkpoint)

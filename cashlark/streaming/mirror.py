@@ -76,7 +76,9 @@ class Mirror:
 
     def near(self, batch_id: int, first_day) -> DataFrame:
         """Ids of other batches in the days around: a scan of these partitions."""
-        rows = self.stored().where((F.col("batch") != batch_id) & (F.col("received_day") >= F.lit(first_day - timedelta(days=self.days_around))))
+        rows = self.stored().where(
+            (F.col("batch") != batch_id) & (F.col("received_day") >= F.lit(first_day - timedelta(days=self.days_around)))
+        )
         return rows.select(self.key)
 
     def take(self, arrivals: DataFrame, batch_id: int) -> None:
@@ -95,7 +97,9 @@ class Mirror:
             maybe = written(bloom.maybe_seen(rest, self.key, filters, self.bits), "maybe-seen")
             fresh = rest
             if not maybe.isEmpty():
-                older = self.stored().where((F.col("batch") != batch_id) & (F.col("received_day") < F.lit(first_day - timedelta(days=self.days_around))))
+                older = self.stored().where(
+                    (F.col("batch") != batch_id) & (F.col("received_day") < F.lit(first_day - timedelta(days=self.days_around)))
+                )
                 fresh = rest.join(older.select(self.key).join(maybe, self.key, "left_semi"), self.key, "left_anti")
         self._put(fresh.select(*self.schema.names, "received_day"), "events", batch_id, ["received_day"])
         added = self.stored().where(F.col("batch") == batch_id)

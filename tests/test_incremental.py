@@ -54,7 +54,11 @@ def test_a_day_appends_its_changes_only(spark, tmp_path):
     assert store.update(events, none, date(2024, 1, 1), date(2024, 1, 31)) == 1
     assert shown(store.read()) == from_scratch(events, none) and store.compact(0) > 0
     before = files(tmp_path / "orders")
-    late = frame(spark, [*first, event("o3", "99.00", datetime(2024, 2, 10, 12)), event("o4", "5.00", datetime(2024, 2, 10, 13)), event("new", "7.00", datetime(2024, 2, 10))], EVENTS)
+    late = frame(
+        spark,
+        [*first, event("o3", "99.00", datetime(2024, 2, 10, 12)), event("o4", "5.00", datetime(2024, 2, 10, 13)), event("new", "7.00", datetime(2024, 2, 10))],
+        EVENTS,
+    )
     version = store.update(late, none, date(2024, 2, 10), date(2024, 2, 10))
     # Orders keep the cell of their first event.
     assert {(r["order_key"], r["period"]) for r in store.changes().collect()} == {("o3", "2024-01"), ("o4", "2024-01"), ("new", "2024-02")}
@@ -94,7 +98,11 @@ def test_streamed_orders_equal_a_batch(spark, tmp_path, monkeypatch, crash):
         [event("o1", "50.00", at(20)), event("o2", "9.00", at(5)), event("o3", "1.00", at(25), paid=False)],
         [event("o9", "4.00", at(2)), event("o0", "6.00", at(26)), event("o0", "6.00", at(26), mark="b")],
     ]
-    resolutions = [[("o5", "pix", at(11), at(12))], [("o5", "appmax", at(11), at(28)), ("o6", "pix", None, at(28)), ("o7", "boleto", at(3), at(29))], [("none", "pix", at(1), at(1))]]
+    resolutions = [
+        [("o5", "pix", at(11), at(12))],
+        [("o5", "appmax", at(11), at(28)), ("o6", "pix", None, at(28)), ("o7", "boleto", at(3), at(29))],
+        [("none", "pix", at(1), at(1))],
+    ]
     where = [str(tmp_path / n) for n in ("events", "resolutions", "checkpoint")]
     for es, rs in zip(parts, resolutions):
         frame(spark, es, EVENTS).coalesce(1).write.mode("append").parquet(where[0])
@@ -115,7 +123,10 @@ def test_streamed_orders_equal_a_batch(spark, tmp_path, monkeypatch, crash):
             run()
         monkeypatch.setattr(OrderSink, "__call__", real)
     run()
-    newest = known.groupBy("external_order_id").agg(F.max_by(F.struct("gateway_raw", "processed_at"), "resolved_at").alias("r")).select("external_order_id", "r.*")
+    newest = known.groupBy("external_order_id").agg(F.max_by(F.struct("gateway_raw", "processed_at"), "resolved_at").alias("r")).select(
+        "external_order_id",
+        "r.*",
+    )
     assert shown(store.read()) == from_scratch(events, newest)
     found = shown(store.read())
     run()
@@ -125,7 +136,9 @@ def test_streamed_orders_equal_a_batch(spark, tmp_path, monkeypatch, crash):
 def test_bloom_filters_miss_nothing(spark):
     keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("id"))
     bits = 2000 * bloom.BITS_PER_KEY
-    filters = bloom.build(keys.limit(1000), "id", bits).unionByName(bloom.build(keys.where("substring(id, 2) >= 1000 and substring(id, 2) < 2000"), "id", bits))
+    filters = bloom.build(keys.limit(1000), "id", bits).unionByName(
+        bloom.build(keys.where("substring(id, 2) >= 1000 and substring(id, 2) < 2000"), "id", bits)
+    )
     seen = {int(r["id"][1:]) for r in bloom.maybe_seen(keys.unionByName(keys.limit(5)), "id", filters, bits).collect()}
     assert set(range(2000)) <= seen and len(seen) < 2020
     assert bloom.maybe_seen(keys, "id", filters.limit(0), bits).count() == 0
@@ -173,7 +186,11 @@ def test_rejected_changes_heal_or_die(spark, tmp_path):
         if n in (2, 4):  # a repeated batch
             feed(spark.createDataFrame(rows, schema), n)
     assert {(r["record_id"], r["payload"]) for r in feed.records().collect()} == {(1, "one"), (3, "new"), (4, "four")}
-    assert {(r["event_id"], r["state"], r["attempts"]) for r in feed.queue().collect()} == {(1, "healed", 2), (5, "healed", 1), (3, "dead", 5)}
+    assert {(r["event_id"], r["state"], r["attempts"]) for r in feed.queue().collect()} == {
+        (1, "healed", 2),
+        (5, "healed", 1),
+        (3, "dead", 5),
+    }
 
 
 def test_totals_follow_legs_that_come_late(spark, tmp_path):
@@ -214,7 +231,13 @@ def test_discrete_percentile(spark):
 
 
 def test_large_csv_files_are_split(spark, tmp_path):
-    body = ["data;tipo;valor;descricao;categoria;origem", *(f'{1 + i % 28:02}/01/2024;receita;"{i},50";linha {i};;' for i in range(4000)), "", "   ", "x;y;z"]
+    body = [
+        "data;tipo;valor;descricao;categoria;origem",
+        *(f'{1 + i % 28:02}/01/2024;receita;"{i},50";linha {i};;' for i in range(4000)),
+        "",
+        "   ",
+        "x;y;z",
+    ]
     (tmp_path / "a.csv").write_bytes("\r\n".join(body).encode())
     (tmp_path / "b.csv").write_text("valor;data;tipo\n\n10;2024-01-02;despesa")
     (tmp_path / "c.csv").write_text("data;tipo\n")
@@ -234,10 +257,18 @@ def test_large_csv_files_are_split(spark, tmp_path):
 def test_maintained_totals_equal_totals_from_scratch(spark, tmp_path):
     days = [datetime(2024, 1, 5), datetime(2024, 1, 6, 1), datetime(2024, 2, 1)]
     events = frame(spark, [event(f"o{i}", f"{i}.00", days[i % 3]) for i in range(1, 12)], EVENTS)
-    resolved = frame(spark, [("o2", "pix", datetime(2024, 1, 9), datetime(2030, 1, 1)), ("o3", "pix", datetime(2024, 1, 5), datetime(2030, 1, 1))], RESOLUTIONS)
+    resolved = frame(
+        spark,
+        [("o2", "pix", datetime(2024, 1, 9), datetime(2030, 1, 1)), ("o3", "pix", datetime(2024, 1, 5), datetime(2030, 1, 1))],
+        RESOLUTIONS,
+    )
     store, path = empty_store(spark, tmp_path / "orders", events), str(tmp_path / "totals")
     day_totals.create(store.read(), path)
-    steps = [(events.where("external_order_id <> 'o5'"), resolved.limit(0)), (events, resolved), (events.where("external_order_id <> 'o7'").unionByName(frame(spark, [event("o7", "0.00", days[2])], EVENTS)), resolved)]
+    steps = [
+        (events.where("external_order_id <> 'o5'"), resolved.limit(0)),
+        (events, resolved),
+        (events.where("external_order_id <> 'o7'").unionByName(frame(spark, [event("o7", "0.00", days[2])], EVENTS)), resolved),
+    ]
     for rows, known in steps:
         version = store.update(rows, known, date(2024, 1, 1), date(2024, 2, 28))
         for _ in range(2):  # adding a version twice counts it once
@@ -249,7 +280,9 @@ def test_maintained_totals_equal_totals_from_scratch(spark, tmp_path):
 def test_stored_tenders_are_read_by_month(spark, tmp_path):
     t = Tables(spark, "/root/testdata/sf0.01")
     path = str(tmp_path / "tenders")
-    t.tenders_fx.withColumn("processed_month", F.to_date(F.date_trunc("month", "processed_at"))).repartition("processed_month").write.partitionBy("processed_month").parquet(path)
+    t.tenders_fx.withColumn("processed_month", F.to_date(F.date_trunc("month", "processed_at"))).repartition("processed_month").write.partitionBy("processed_month").parquet(
+        path
+    )
     tenders = spark.read.parquet(path)
     spans = reconcile.tender_spans(tenders.where("processed_month < '1995-01-01'"))
     spans = reconcile.widened(spans, tenders.where("processed_month >= '1995-01-01'"))
