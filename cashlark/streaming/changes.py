@@ -55,9 +55,11 @@ class ChangeFeed:
         """The last state of every change that was ever rejected: waiting, healed or dead."""
         return first_by(self._read("queue", self.queue_schema, before), ["event_id"], [F.desc("batch")])
 
-    def changed(self, before: int | None = None) -> DataFrame:
-        """The last applied change of each record, deletions too."""
-        return first_by(self._read("records", self.record_schema, before), ["record_id"], [F.desc("event_id"), F.desc("batch")])
+    def changed(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """The last applied change of each record, or of those of ``of``, deletions too."""
+        rows = self._read("records", self.record_schema, before)
+        rows = rows if of is None else rows.join(of.select("record_id").distinct(), "record_id", "left_semi")
+        return first_by(rows, ["record_id"], [F.desc("event_id"), F.desc("batch")])
 
     def records(self) -> DataFrame:
         return self.changed().where("operation <> 'DELETE'").drop("batch")
@@ -76,7 +78,7 @@ class ChangeFeed:
         judged = written(self.judge(tried, batch_id), "judged-changes")
         good, bad = judged.where("reason IS NULL"), judged.where("reason IS NOT NULL")
         last = first_by(good, ["record_id"], [F.desc("event_id")])
-        applied = self.changed(batch_id).select("record_id", F.col("event_id").alias("applied_id"))
+        applied = self.changed(batch_id, good).select("record_id", F.col("event_id").alias("applied_id"))
         newer = last.join(applied, "record_id", "left").where("applied_id IS NULL OR event_id > applied_id")
         self._put(newer.select(*self.schema.names), "records", batch_id)
         failed = retry_schedule(bad.withColumn("attempts", F.col("attempts") + 1), now, self.delays)

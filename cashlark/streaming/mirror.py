@@ -5,6 +5,7 @@ batch has come, and ``known/batch=/`` with a Bloom filter of its ids.  A batch
 reads again from the newest mark less a grace, looks for its ids in the days
 around its own, and asks the filters for the rest; only if they may hold an id are older days
 read, for those ids alone.  So a usual batch reads a few days, however long the mirror is.
+Filters of finished batches are merged by :meth:`Mirror.compact` now and then.
 
 A batch that is run again replaces what it wrote and does not see it, so a
 crash between a write and the stream's commit repeats the batch with the same result.
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..operators import bloom
 from ..operators.dedup import first_by
-from ..sources.scratch import temporary, written
+from ..sources.scratch import discard, temporary, written
 
 MARK = "newest timestamp, batch long"
 FILTER = "bucket long, bitmap binary, batch long"
@@ -49,7 +50,7 @@ class Mirror:
         """
         self.spark, self.path, self.schema, self.floor = spark, path, schema, floor
         self.key, self.stamp, self.grace_seconds, self.days_around = key, stamp, grace_seconds, days_around
-        self.bits = expected * bloom.BITS_PER_KEY
+        self.buckets = bloom.buckets_for(expected)
         if not self._exists():
             for part, of in (("events", self._event_schema()), ("marks", MARK), ("known", FILTER)):
                 spark.createDataFrame([], of).write.mode("ignore").parquet(f"{path}/{part}")
@@ -94,7 +95,7 @@ class Mirror:
         if first_day is not None:
             rest = written(late.join(self.near(batch_id, first_day), self.key, "left_anti"), "arrivals-rest")
             filters = self.spark.read.schema(FILTER).parquet(f"{self.path}/known").where(F.col("batch") != batch_id)
-            maybe = written(bloom.maybe_seen(rest, self.key, filters, self.bits), "maybe-seen")
+            maybe = written(bloom.maybe_seen(rest, self.key, filters, self.buckets), "maybe-seen")
             fresh = rest
             if not maybe.isEmpty():
                 older = self.stored().where(
@@ -103,9 +104,17 @@ class Mirror:
                 fresh = rest.join(older.select(self.key).join(maybe, self.key, "left_semi"), self.key, "left_anti")
         self._put(fresh.select(*self.schema.names, "received_day"), "events", batch_id, ["received_day"])
         added = self.stored().where(F.col("batch") == batch_id)
-        self._put(bloom.build(added, self.key, self.bits), "known", batch_id)
+        self._put(bloom.build(added, self.key, self.buckets), "known", batch_id)
         self._put(late.agg(F.max(self.stamp).alias("newest")), "marks", batch_id)
 
+    def compact(self, before: int) -> None:
+        """Merge the filters of the batches before one that will not run again; a filter that is merged twice is the same."""
+        rows = self.spark.read.schema(FILTER).parquet(f"{self.path}/known").where(F.col("batch") < before)
+        batches = [r["batch"] for r in rows.select("batch").distinct().collect() if r["batch"] >= 0]  # as many as batches since the last time
+        with temporary(self.spark):
+            self._put(written(bloom.merged(rows), "merged-filters"), "known", -1)
+        discard(self.spark, [f"{self.path}/known/batch={b}" for b in batches])
+
     def _put(self, rows: DataFrame, part: str, batch_id: int, by: list[str] | None = None) -> None:
         """Store rows of a batch instead of those that it stored before."""
         cells = [*(by or []), "batch"]
