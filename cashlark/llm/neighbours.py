@@ -11,7 +11,8 @@ beyond the query's present k-th distance.
 Lists are probed nearest first, in waves that end at the shares WAVES of all
 lists.  Each wave takes the k-th distance found so far as its bound, and leaves
 out the lists that cannot reach it: those of which the centre lies further away
-than bound and radius together, which is exact.  Queries that have found fewer
+than bound and radius together, which is exact.  The last wave takes all lists
+that this leaves, so only the hypothesis test can lose a neighbour.  Queries that have found fewer
 than k vectors search all other lists.
 
 Neighbouring lists are scanned together, about SCAN vectors in a task, so a
@@ -49,8 +50,8 @@ SCAN, QUERY_BLOCK, AT_ONCE = 16_384, 1024, 64
 CELLS = 1 << 22
 #: Columns of a block, and how many standard deviations a candidate must lie beyond the bound.
 COLUMNS, CONFIDENCE = 16, 1.3
-#: Shares of the lists, nearest first, after which each wave ends; 0 is the nearest list alone.
-WAVES = (0.0, 0.15, 0.75)
+#: Shares of the lists, nearest first, after which each wave ends; 0 is the nearest list alone, 1 leaves the end to the bound.
+WAVES = (0.0, 0.15, 1.0)
 
 
 def list_count(n: int) -> int:
