@@ -166,12 +166,13 @@ def pipeline_by_day(orders: DataFrame, ledger: DataFrame, resolutions: DataFrame
     )
 
 
-def job_run_report(runs: DataFrame, as_of: Column, per_day: Column, days: int) -> DataFrame:
-    """Per job over the last days: runs by outcome and trigger, durations of good runs, largest gap between starts, schedule coverage.
+def job_run_report(runs: DataFrame, as_of: Column | None, per_day: Column, days: int) -> DataFrame:
+    """Per job over the last days, or over all runs, said to span them, if ``as_of`` is None: runs by outcome and trigger, durations of good runs, largest gap between starts, schedule coverage.
 
     Runs without a known trigger are manual; the 95th percentile is the discrete one.
     """
-    runs = runs.where(F.col("started_at") >= as_of - F.make_interval(days=F.lit(days)))
+    if as_of is not None:
+        runs = runs.where(F.col("started_at") >= as_of - F.make_interval(days=F.lit(days)))
     scheduled = F.coalesce(F.col("request_id").startswith("cf-cron-"), F.lit(False))
     ok = F.col("status") == "ok"
     report = runs.groupBy("job_name").agg(
