@@ -72,9 +72,17 @@ def tenders(landed: DataFrame) -> DataFrame:
     )
 
 
-def orders_extract(spark, path: str) -> DataFrame:
-    """Orders of landed storefront pages, ``{"orders": [...]}`` per file, as payload structs."""
-    pages = spark.read.schema(f"orders array<struct<{_as_fields(ORDER_PAYLOAD)}>>").option("multiLine", True).json(path)
+#: Ends a JSON text where a file holds many; it stands in none, as JSON escapes control characters.
+RECORD = "\x1e"
+
+
+def orders_extract(spark, path: str, separator: str | None = None) -> DataFrame:
+    """Orders of landed storefront pages, ``{"orders": [...]}``, as payload structs.
+
+    A file is one page, or holds many that ``separator`` ends; such files are split over tasks.
+    """
+    reader = spark.read.schema(f"orders array<struct<{_as_fields(ORDER_PAYLOAD)}>>")
+    pages = (reader.option("lineSep", separator) if separator else reader.option("multiLine", True)).json(path)
     return pages.select(F.explode("orders").alias("p"))
 
 
