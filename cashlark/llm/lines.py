@@ -18,6 +18,8 @@ which nothing is left is the empty text, and its row stays.
 
 from __future__ import annotations
 
+from math import ceil
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +34,28 @@ FAN = 64
 #: Next ranks that are ordered in one piece, as a power of two.
 NEXT_BITS = 16
 KEY = ["key_id", "d1", "d2"]
+#: Rows below which a table on the way is not split over more tasks: to write a file takes as long as thousands of rows.
+ROWS_A_FILE = 8_192
+
+
+def _files(most: int) -> int:
+    """How many files ``most`` rows are worth."""
+    return max(1, ceil(most / ROWS_A_FILE))
+
+
+def _stored(rows: DataFrame, most: int, tag: str) -> DataFrame:
+    """``rows``, at most ``most``, written by no more tasks than they are worth; many rows by as many as they are dealt to."""
+    return written(rows.coalesce(_files(most)), tag)
 
 
-def numbered(rows: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
-    """``rows`` with their place, from 1, in the order of ``by``, which must tell all rows apart; and how many there are.
+def numbered(rows: DataFrame, by: list[str], name: str, most: int) -> tuple[DataFrame, int]:
+    """``rows``, at most ``most``, with their place, from 1, in the order of ``by``, which must tell all rows apart; and how many there are.
 
     Sorted range partitions count on from each other, so equal leading values
     need not meet in one task.  ``part_id`` is the partition of a row.
     """
     spark = rows.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), _files(most))
     order = rows.repartitionByRange(width, *by).sortWithinPartitions(*by).withColumn("at_id", F.monotonically_increasing_id())
     order = written(order, "numbered").withColumn("part_id", F.shiftright("at_id", 33))
     before, total = [], 0
@@ -82,27 +96,30 @@ def repeated_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> D
     )
     lines = written(lines, "lines")
     # Written, as the join can split a frequent line only between plain shuffles.
-    often = written(lines.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2"), "frequent-lines")
-    again = written(lines.join(often, ["l1", "l2"]).dropDuplicates(["d1", "d2", "i"]), "repeated-lines")
-    rows, _ = numbered(again.select(*KEY).distinct(), KEY, "row")
+    n = lines.count()
+    often = _stored(lines.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2"), n // 2, "frequent-lines")
+    again = _stored(lines.join(often, ["l1", "l2"]).dropDuplicates(["d1", "d2", "i"]), n, "repeated-lines")
+    n = again.count()
+    rows, _ = numbered(again.select(*KEY).distinct(), KEY, "row", n)
     again = again.join(rows.select("d1", "d2", "row"), ["d1", "d2"])
     by_row = W.partitionBy("row").orderBy("i")
     again = again.withColumn("fresh", (F.col("i") - F.coalesce(F.lag("i").over(by_row), F.lit(-2)) != 1).cast("int"))
     again = again.withColumn("stretch", F.sum("fresh").over(by_row))
-    return again.withColumn("left", F.max("i").over(W.partitionBy("row", "stretch")) - F.col("i") + 1).drop("fresh", "stretch")
+    again = again.withColumn("left", F.max("i").over(W.partitionBy("row", "stretch")) - F.col("i") + 1).drop("fresh", "stretch")
+    return _stored(again, n, "stretches")
 
 
-def first_ranks(lines: DataFrame) -> DataFrame:
+def first_ranks(lines: DataFrame, most: int) -> DataFrame:
     """Suffixes ranked by their first line: a rank is one more than the number of smaller suffixes."""
-    order, _ = numbered(lines.select("l1", "l2", "row", "i", "words", "left"), ["l1", "l2", "row", "i"], "place")
+    order, _ = numbered(lines.select("l1", "l2", "row", "i", "words", "left"), ["l1", "l2", "row", "i"], "place", most)
     # A line that fills many partitions is looked up by partition, and meets in no task.
     parts = order.groupBy("l1", "l2", "part_id").agg(F.min("place").alias("first"))
     ranks = parts.withColumn("rank", F.min("first").over(W.partitionBy("l1", "l2"))).drop("first")
-    return order.join(written(ranks, "first-ranks"), ["l1", "l2", "part_id"]).select("row", "i", "words", "left", "rank", F.array("rank").alias("levels"))
+    return order.join(_stored(ranks, most, "first-ranks"), ["l1", "l2", "part_id"]).select("row", "i", "words", "left", "rank", F.array("rank").alias("levels"))
 
 
-def doubled(suffixes: DataFrame, h: int) -> DataFrame | None:
-    """``row, i, fresh``: new ranks by 2h lines of the suffixes that shared a rank by h lines and go on; None if there are none.
+def doubled(suffixes: DataFrame, h: int, most: int) -> DataFrame | None:
+    """``row, i, fresh`` of at most ``most`` suffixes: new ranks by 2h lines of the suffixes that shared a rank by h lines and go on; None if there are none.
 
     Within its group a suffix moves up by the number of suffixes whose next h
     lines are smaller.  These are counted from one row per distinct pair, first
@@ -114,14 +131,16 @@ def doubled(suffixes: DataFrame, h: int) -> DataFrame | None:
         F.count("*").alias("n"),
         F.max("left").alias("most"),
     ).where((F.col("n") > 1) & (F.col("most") > h)).select("rank")
-    open_ranks = written(open_ranks, "open-ranks")
+    open_ranks = _stored(open_ranks, most // 2, "open-ranks")
     ahead = now.select("row", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
     active = now.join(open_ranks, "rank").join(ahead, ["row", "i"], "left")
-    active = written(
+    active = _stored(
         active.select("row", "i", "rank", F.when(F.col("left") > h, F.col("next")).otherwise(F.lit(0)).alias("next")),
+        most,
         "active",
     )
-    if active.isEmpty():
+    n_active = active.count()
+    if not n_active:
         return None
     smaller = lambda *keys: F.coalesce(
         F.sum("n").over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)),
@@ -131,15 +150,16 @@ def doubled(suffixes: DataFrame, h: int) -> DataFrame | None:
     inner = pairs.withColumn("inner", smaller("rank", "block", "next"))
     outer = pairs.groupBy("rank", "block").agg(F.sum("n").alias("n")).withColumn("outer", smaller("rank", "block")).drop("n")
     fresh = inner.join(outer, ["rank", "block"]).select("rank", "next", (F.col("rank") + F.col("outer") + F.col("inner")).alias("fresh"))
-    return active.join(written(fresh, "fresh-ranks"), ["rank", "next"]).select("row", "i", "fresh")
+    return active.join(_stored(fresh, n_active, "fresh-ranks"), ["rank", "next"]).select("row", "i", "fresh")
 
 
 def suffix_ranks(lines: DataFrame) -> DataFrame:
     """All suffixes: row, i, words, left, rank, and levels (their ranks by 1, 2, 4, ... lines)."""
-    now, h = written(first_ranks(lines), "suffixes"), 1
-    while (changed := doubled(now, h)) is not None:
+    most = lines.count()
+    now, h = _stored(first_ranks(lines, most), most, "suffixes"), 1
+    while (changed := doubled(now, h, most)) is not None:
         now = now.join(changed, ["row", "i"], "left").withColumn("rank", F.coalesce("fresh", "rank"))
-        now = written(now.select("row", "i", "words", "left", "rank", F.concat("levels", F.array("rank")).alias("levels")), "suffixes")
+        now = _stored(now.select("row", "i", "words", "left", "rank", F.concat("levels", F.array("rank")).alias("levels")), most, "suffixes")
         h *= 2
     return now
 
@@ -158,7 +178,8 @@ def _equal_level(a: str, b: str, below: Column) -> Column:
 
 def suffix_array(ranks: DataFrame) -> DataFrame:
     """Suffixes in order: ``sa`` from 1, and ``lcp``, the lines that each shares with the one before."""
-    order = numbered(ranks, ["rank", "row", "i"], "sa")[0].drop("part_id")
+    most = ranks.count()
+    order = numbered(ranks, ["rank", "row", "i"], "sa", most)[0].drop("part_id")
     past = order.select(
         (F.col("sa") + 1).alias("sa"),
         F.col("row").alias("p_row"),
@@ -169,8 +190,9 @@ def suffix_array(ranks: DataFrame) -> DataFrame:
     same = F.col("rank") == F.col("p_rank")
     pairs = order.join(past, "sa").withColumn("k", F.when(same, -1).otherwise(_equal_level("levels", "b", F.size("levels"))))
     step = F.when(F.col("k") >= 0, F.expr("shiftleft(1, k)")).otherwise(0)
-    pairs = written(
+    pairs = _stored(
         pairs.select("sa", "row", "i", "p_row", "p_i", "k", F.when(same, F.col("left")).otherwise(step).alias("lcp")),
+        most,
         "neighbours",
     )
     done, open_pairs = pairs.where("k <= 0").select("sa", "lcp"), pairs.where("k > 0")
@@ -179,7 +201,7 @@ def suffix_array(ranks: DataFrame) -> DataFrame:
         two = ranks.select(F.col("row").alias("p_row"), F.col("i").alias("y"), F.col("levels").alias("b"))
         ahead = open_pairs.withColumns({"x": F.col("i") + F.col("lcp"), "y": F.col("p_i") + F.col("lcp")})
         ahead = ahead.join(one, ["row", "x"], "left").join(two, ["p_row", "y"], "left").withColumn("k", _equal_level("a", "b", F.col("k")))
-        ahead = written(ahead.select("sa", "row", "i", "p_row", "p_i", "k", (F.col("lcp") + step).alias("lcp")), "neighbours")
+        ahead = _stored(ahead.select("sa", "row", "i", "p_row", "p_i", "k", (F.col("lcp") + step).alias("lcp")), open_pairs.count(), "neighbours")
         done = done.union(ahead.where("k <= 0").select("sa", "lcp"))
         open_pairs = ahead.where("k > 0")
     return order.join(done, "sa", "left").select("sa", "row", "i", "words", "left", F.coalesce("lcp", F.lit(0)).alias("lcp"))
@@ -278,16 +300,19 @@ _ENDS = "chunk long, least long, up array<array<long>>, down array<array<long>>"
 _AROUND = "chunk long, low array<array<long>>, high array<array<long>>"
 
 
-def _all_around(ends: DataFrame) -> DataFrame:
-    """``chunk, low, high``: the stacks before and behind every chunk, by a tree of FAN chunks a node."""
-    levels = [written(ends, "chunk-ends")]
+def _all_around(ends: DataFrame, n: int) -> DataFrame:
+    """``chunk, low, high``: the stacks before and behind each of ``n`` chunks, by a tree of FAN chunks a node."""
+    levels = [_stored(ends, n * CHUNK, "chunk-ends")]
     while levels[-1].select("chunk").limit(2).count() > 1:
         parents = levels[-1].withColumn("parent", F.floor(F.col("chunk") / FAN).cast("long")).groupBy("parent")
-        levels.append(written(parents.applyInPandas(_merged, _ENDS), "chunk-ends"))
+        n = ceil(n / FAN)
+        levels.append(_stored(parents.applyInPandas(_merged, _ENDS), n * CHUNK, "chunk-ends"))
     around = ends.sparkSession.createDataFrame([(0, [], [])], _AROUND)
     for children in reversed(levels[:-1]):
         children = children.withColumn("parent", F.floor(F.col("chunk") / FAN).cast("long"))
-        around = written(children.groupBy("parent").cogroup(around.groupBy("chunk")).applyInPandas(_passed_on, _AROUND), "around-chunks")
+        children = children.groupBy("parent").cogroup(around.groupBy("chunk"))
+        n *= FAN
+        around = _stored(children.applyInPandas(_passed_on, _AROUND), n * CHUNK, "around-chunks")
     return around
 
 
@@ -298,8 +323,8 @@ def _finished(chunk: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": rows, "i": lines, "shared": best})
 
 
-def shared_runs(array: DataFrame) -> DataFrame:
-    """``row, i, shared``: the longest run of lines from there that an earlier place has too.
+def shared_runs(array: DataFrame, most: int) -> DataFrame:
+    """``row, i, shared`` of at most ``most`` suffixes: the longest run of lines from there that an earlier place has too.
 
     Chunks of the suffix array are scanned on their own; an interval of common
     prefixes that crosses chunks is passed on by the stacks at their ends, which
@@ -307,11 +332,12 @@ def shared_runs(array: DataFrame) -> DataFrame:
     tree of chunks and passed down again, so no task or driver holds all of them.
     """
     arrow_batches(array.sparkSession)
-    chunks = written(
+    chunks = _stored(
         array.select(F.floor((F.col("sa") - 1) / CHUNK).cast("long").alias("chunk"), "sa", "row", "i", "left", "lcp"),
+        most,
         "chunks",
     )
-    around = _all_around(chunks.groupBy("chunk").applyInPandas(_ends, _ENDS))
+    around = _all_around(chunks.groupBy("chunk").applyInPandas(_ends, _ENDS), ceil(most / CHUNK))
     return chunks.groupBy("chunk").cogroup(around.groupBy("chunk")).applyInPandas(_finished, "row long, i long, shared long")
 
 
@@ -338,10 +364,10 @@ def _covered(least_words: int):
 
 def later_copies(docs: DataFrame, firsts: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 50) -> DataFrame:
     """``d1, d2, gone``: the line numbers to delete of each distinct text that repeats earlier runs."""
-    lines = written(repeated_lines(docs, firsts, key, text), "stretches")
+    lines = repeated_lines(docs, firsts, key, text)
     if lines.isEmpty():
         return lines.select("d1", "d2", F.array("i").alias("gone"))
-    runs = shared_runs(suffix_array(suffix_ranks(lines)))
+    runs = shared_runs(suffix_array(suffix_ranks(lines)), lines.count())
     by_row = runs.join(lines.select("row", "i", "words"), ["row", "i"]).groupBy("row")
     by_row = by_row.agg(
         F.sort_array(F.collect_list(F.struct("i", "words", "shared"))).alias("lines"),
@@ -357,8 +383,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words:
     Of a whole text's copies only the first, found by key and text, keeps lines;
     a copy of fewer than ``least_words`` words holds no run that counts and stays.
     """
-    firsts = written(first_copies(docs, key, text), "first-copies")
-    gone = written(firsts.join(later_copies(docs, firsts, key, text, least_words), ["d1", "d2"], "left"), "deleted-lines").alias("g")
+    firsts = _stored(first_copies(docs, key, text), docs.count(), "first-copies")
+    gone = later_copies(docs, firsts, key, text, least_words)
+    gone = _stored(firsts.join(gone, ["d1", "d2"], "left"), firsts.count(), "deleted-lines").alias("g")
     rows = docs.select(F.struct(*docs.columns).alias("doc_row"), F.col(key).alias("key_id"), *digest128(F.col(text))).alias("r")
     # Keys spread the copies of one text.
     same = F.col("r.key_id").eqNullSafe(F.col("g.first_key")) & (F.col("r.d1") == F.col("g.d1")) & (F.col("r.d2") == F.col("g.d2"))
