@@ -312,7 +312,10 @@ def payment_raw(p: Column, dominant: Column, stated: Column | None = None) -> Co
     ``stated`` is :func:`stated_payment` where a row has it already.
     """
     raw = stated_payment(p) if stated is None else stated
+    # One name without tags, as most orders have, stands alone.
+    alone = ~F.coalesce(raw, F.lit("")).contains("|") & (F.coalesce(p["tags"], F.lit("")) == "")
     tags = F.filter(F.split(F.coalesce(p["tags"], F.lit("")), ","), lambda t: t.rlike(f"(?i){'|'.join(V.TAG_WORDS)}"))
     pieces = F.transform(F.flatten(F.transform(tags, lambda t: F.split(t, r"\|"))), gateway_name)
     own = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\|"), gateway_name)
-    return F.when(dominant.isNotNull(), gateway_name(dominant)).otherwise(F.coalesce(distinct_names(F.concat(own, pieces)), raw))
+    name = F.when(alone, F.nullif(gateway_name(raw), F.lit(""))).otherwise(distinct_names(F.concat(own, pieces)))
+    return F.when(dominant.isNotNull(), gateway_name(dominant)).otherwise(F.coalesce(name, raw))
